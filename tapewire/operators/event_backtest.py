@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tapewire import config
 from tapewire.functions.labels import position_of
+from tapewire.functions.settle import settle
 from tapewire.functions.stats import ratio, sharpe
 from tapewire.operators.panel import next_day_returns
 
@@ -67,6 +68,7 @@ def portfolio_metrics(returns: DataFrame, keys: list[str]) -> DataFrame:
     Alpha keeps the reference formula, which mixes the annualised strategy
     return with the benchmark's total return.
     """
+    returns = settle(returns)
     rf_day = config.RISK_FREE_RATE / YEAR
     daily = equity_curve(daily_portfolio(returns, keys), keys)
     loss = F.when(F.col("strat") < 0, F.col("strat"))

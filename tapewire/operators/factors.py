@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapewire import config
+from tapewire.functions.settle import settle
 from tapewire.functions.stats import clip, ratio
 from tapewire.operators.calendar import as_of_forward, with_pos
 from tapewire.operators.panel import at_offset, attach_points, by_ticker, returns_from_closes, rolling_log_vol
@@ -52,6 +53,7 @@ def factor_matrix(signals: DataFrame, panel: DataFrame, cal: DataFrame, keys: tu
 
     Standardisation covers the tickers that have a signal on that date.
     """
+    signals = settle(signals)
     entered = as_of_forward(signals, cal).withColumnRenamed("entry_pos", "pos")
     raw = raw_factors(panel, entered)
     rows = entered.join(raw, ["ticker", "pos"], "left")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tapewire import config
 from tapewire.functions.dates import weekday_gap
+from tapewire.functions.settle import settle
 from tapewire.functions.stats import correlation_p, sharpe
 from tapewire.operators.calendar import as_of_backward, explode_params, forward_positions, rebalance_dates
 from tapewire.operators.event_backtest import equity_curve
@@ -45,7 +46,8 @@ def strategy(
 
 
 def with_strategies(signals: DataFrame, rows: list[dict]) -> DataFrame:
-    return explode_params(signals, rows)
+    """Pair the daily signals, read once, with every parameter set."""
+    return explode_params(settle(signals), rows)
 
 
 def rank_positions(day: DataFrame, keys: list[str], signal: str = "signal") -> DataFrame:
@@ -186,6 +188,7 @@ def _period_stats(pnl: DataFrame, keys: list[str], per_year: Column) -> DataFram
 def run_metrics(trades: DataFrame, keys: list[str] | None = None, min_ic: int = 10, p_value: bool = True) -> DataFrame:
     """Metrics at 252/hold_days periods per year, plus signal IC and hit rate over positions."""
     keys = keys or ["run"]
+    trades = settle(trades)
     pnl = trades.groupBy(*keys, "rebalance_date").agg(F.sum("ls_return").alias("net_return"), F.max("hold_days").alias("hold_days"))
     s = _period_stats(pnl, keys, config.TRADING_DAYS / F.col("hold_days"))
     s = s.withColumn("ann", F.pow(1 + F.col("tot"), F.col("py") / F.greatest(F.col("n_periods"), F.lit(1))) - 1)
@@ -237,6 +240,7 @@ def gap_frequency(trades: DataFrame, keys: list[str]) -> DataFrame:
 
 def trade_metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
     """Metrics of a trade table whose frequency is read off its own rebalance gaps."""
+    trades = settle(trades)
     pnl = period_pnl(trades, keys).join(gap_frequency(trades, keys), keys)
     s = _period_stats(pnl, keys, F.col("per_year"))
     s = s.withColumn("ann", F.pow(1 + F.col("tot"), F.col("py") / F.greatest(F.lit(1), F.col("n_periods"))) - 1)

@@ -101,7 +101,7 @@ def overlap_counts(df: DataFrame, keys: list[str], item: str, is_left: Column) -
     """Sizes of intersection and symmetric difference of two item sets, by membership flags."""
     flags = df.groupBy(*keys, item).agg(F.bool_or(is_left).alias("a"), F.bool_or(~is_left).alias("b"))
     return flags.groupBy(*keys).agg(
-        F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(F.col("a") != F.col("b")).alias("only_one")
+        F.count_if(F.col("a") & F.col("b")).alias("in_both"), F.count_if(F.col("a") != F.col("b")).alias("only_one")
     )
 
 

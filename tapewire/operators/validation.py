@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tapewire import config
 from tapewire.functions.dates import period_label
 from tapewire.functions.labels import signal_of
+from tapewire.functions.settle import settle
 from tapewire.functions.stats import correlation_p, ratio, t_two_sided_p
 from tapewire.operators.calendar import as_of_forward
 from tapewire.operators.panel import forward_returns

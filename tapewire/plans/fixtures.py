@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewire.functions.labels import signal_of
+from tapewire.functions.settle import settle
 from tapewire.operators.calendar import trading_calendar
 from tapewire.operators.panel import price_panel
 
@@ -77,7 +78,10 @@ class Market:
 
     @cached_property
     def px(self) -> DataFrame:
-        """(date, ticker, close, volume): weekdays only, brand as ticker."""
+        """(date, ticker, close, volume): weekdays only, brand as ticker.
+
+        Read from the line items once; bounded by days x tickers.
+        """
         items = self.table("lineitem").select(
             F.to_date("l_shipdate").alias("date"),
             "l_partkey",
@@ -86,9 +90,10 @@ class Market:
         )
         parts = self.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
         rows = items.where(F.weekday("date") < 5).join(parts, "l_partkey")
-        return rows.groupBy("date", "ticker").agg(
+        bars = rows.groupBy("date", "ticker").agg(
             (F.lit(100.0) + F.sum("net").cast("double") / F.count("*")).alias("close"), F.sum("l_quantity").alias("volume")
         )
+        return settle(bars)
 
     @cached_property
     def cal(self) -> DataFrame:

@@ -26,10 +26,10 @@ from tapewire.plans.registry import query
     "headline_id:i date:t headline",
     "news",
     "SELECT headline_id, date, headline FROM n2 WHERE headline IS NOT NULL AND date IS NOT NULL AND trim(headline) <> ''",
-    "n2 AS (SELECT headline_id, date, CASE WHEN headline_id % 11 = 0 THEN NULL WHEN headline_id % 13 = 0 THEN '   ' ELSE headline END AS headline FROM news)",
+    "n2 AS (SELECT headline_id, date, CASE source WHEN 'reddit' THEN NULL WHEN 'newsapi' THEN '   ' ELSE headline END AS headline FROM news)",
 )
 def _(m: Market):
-    hole = F.when(F.pmod("headline_id", F.lit(11)) == 0, None).when(F.pmod("headline_id", F.lit(13)) == 0, "   ").otherwise(F.col("headline"))
+    hole = F.when(F.col("source") == "reddit", None).when(F.col("source") == "newsapi", "   ").otherwise(F.col("headline"))
     return st.drop_blank(m.news.withColumn("headline", hole))
 
 
@@ -567,12 +567,13 @@ def _(m: Market):
     "SET01_union_sources",
     "date:t ticker headline source n:i",
     "news",
-    """SELECT date, ticker, headline, source, count(*) AS n FROM (SELECT date, ticker, headline, 'a' AS source FROM news WHERE headline_id % 2 = 0
- UNION ALL SELECT date, ticker, headline, 'b' AS source FROM news WHERE headline_id % 3 = 0) GROUP BY ALL""",
+    "SELECT date, ticker, headline, CASE WHEN source IN ('sec_edgar', 'reuters') THEN 'wire' ELSE 'press' END AS source, count(*) AS n FROM news GROUP BY ALL",
 )
 def _(m: Market):
-    a = m.news.where(F.pmod("headline_id", F.lit(2)) == 0).select(F.col("date").cast("timestamp").alias("date"), "ticker", "headline", F.lit("a").alias("source"))
-    b = m.news.where(F.pmod("headline_id", F.lit(3)) == 0).select(F.col("date").cast("timestamp").alias("date"), "ticker", "headline", F.lit("b").alias("source"))
+    wire = F.col("source").isin("sec_edgar", "reuters")
+    day = F.col("date").cast("timestamp").alias("date")
+    a = m.news.where(wire).select(day, "ticker", "headline", F.lit("wire").alias("source"))
+    b = m.news.where(~wire).select(day, "ticker", "headline", F.lit("press").alias("source"))
     return st.combine_sources([a, b]).groupBy("date", "ticker", "headline", "source").agg(F.count("*").alias("n"))
 
 
@@ -596,8 +597,8 @@ def _(m: Market):
     "SELECT ticker, headline, min(date) AS date FROM news GROUP BY 1, 2",
 )
 def _(m: Market):
-    third = F.pmod("headline_id", F.lit(3))
-    parts = [m.news.where(third == k) for k in range(3)]
+    year = F.year("date")
+    parts = [m.news.where(year <= 1996), m.news.where((year > 1996) & (year <= 1999)), m.news.where(year > 1999)]
     return st.expand_news(parts[0], parts[1:], tie=[F.col("headline_id")])
 
 
@@ -605,18 +606,18 @@ def _(m: Market):
     "SET04_missing_tickers",
     "ticker",
     "news px",
-    "SELECT ticker FROM (SELECT DISTINCT ticker FROM px) WHERE ticker NOT IN (SELECT ticker FROM news WHERE headline_id % 15 = 0)",
+    "SELECT ticker FROM (SELECT DISTINCT ticker FROM px) WHERE ticker NOT IN (SELECT ticker FROM news WHERE date = (SELECT max(date) FROM news))",
 )
 def _(m: Market):
-    have = m.news.where(F.pmod("headline_id", F.lit(15)) == 0)
+    have = m.news.where(F.col("date") == m.news.agg(F.max("date")).scalar())
     return st.missing_tickers(m.px.select("ticker").distinct(), have)
 
 
 @query(
     "SET05_symmetric_difference",
-    "ticker both:i only_one:i",
+    "ticker in_both:i only_one:i",
     "news",
-    """SELECT ticker, count(*) FILTER (a AND b) AS both, count(*) FILTER (a <> b) AS only_one FROM (
+    """SELECT ticker, count(*) FILTER (a AND b) AS in_both, count(*) FILTER (a <> b) AS only_one FROM (
  SELECT ticker, headline, bool_or(year(date) <= 1998) AS a, bool_or(year(date) > 1998) AS b FROM news GROUP BY 1, 2) GROUP BY 1""",
 )
 def _(m: Market):

@@ -50,7 +50,9 @@ def project(df: DataFrame, spec: str) -> DataFrame:
         elif kind == "a":
             col = F.array_join(col, "|")
         elif kind.startswith("d"):
-            col = F.round(col.cast("double"), int(kind[1:] or 6)) + F.lit(0.0)
+            scale = 10.0 ** int(kind[1:] or 6)
+            x = col.cast("double")
+            col = F.when(~F.isnan(x), F.floor(x * scale + 0.5) / scale)
         out.append(col.alias(name))
     return df.select(*out)
 
@@ -68,7 +70,9 @@ def project_sql(body: str, spec: str) -> str:
         elif kind == "a":
             col = f"array_to_string({name}, '|')"
         elif kind.startswith("d"):
-            col = f"round(CAST({name} AS DOUBLE), {int(kind[1:] or 6)}) + 0.0"
+            scale = f"{10 ** int(kind[1:] or 6)}::DOUBLE"
+            x = f"CAST({name} AS DOUBLE)"
+            col = f"CASE WHEN NOT isnan({x}) THEN floor({x} * {scale} + 0.5::DOUBLE) / {scale} END"
         out.append(f"{col} AS {name}")
     return f"SELECT {', '.join(out)} FROM (\n{body}\n) AS q"
 
