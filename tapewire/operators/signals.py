@@ -112,12 +112,15 @@ def liquidity_filter(signals: DataFrame, dollar_vol: DataFrame, share: float = 0
 
 
 def zscore(col: str, keys: list[str], bound: float = 3.0) -> Column:
-    """Cross-sectional z-score clipped to +-bound; 0 for a single or flat group."""
+    """Cross-sectional z-score clipped to +-bound; 0 for a single or flat group.
+
+    Rounded to 9 places, so equal scores stay equal whatever order the sums ran in.
+    """
     w = W.partitionBy(*keys)
     std, size = F.stddev_samp(col).over(w), F.count(col).over(w)
     z = (F.col(col) - F.avg(col).over(w)) / F.nullif(std, F.lit(0.0))
     flat = (size < 2) | (std < 1e-8)
-    return F.when(F.col(col).isNull(), None).when(flat, 0.0).otherwise(F.greatest(F.lit(-bound), F.least(F.lit(bound), z)))
+    return F.when(F.col(col).isNull(), None).when(flat, 0.0).otherwise(F.round(F.greatest(F.lit(-bound), F.least(F.lit(bound), z)), 9))
 
 
 def sector_neutral(signals: DataFrame, sectors: DataFrame, col: str = "signal", keys: tuple[str, ...] = ()) -> DataFrame:

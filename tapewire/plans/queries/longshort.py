@@ -56,7 +56,7 @@ fraw AS MATERIALIZED (SELECT f.*, s.volf, s.liq, CASE WHEN f.pos > 2 THEN (e.clo
  LEFT JOIN fst s ON s.ticker = f.ticker AND s.pos = f.pos),
 fac AS MATERIALIZED (SELECT date, ticker, signal, headline_count, """ + ", ".join(
     f"""CASE WHEN {c} IS NULL THEN NULL WHEN count({c}) OVER w < 2 OR stddev_samp({c}) OVER w < 1e-8 THEN 0
- ELSE greatest(-3, least(3, ({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w)) END AS {n}"""
+ ELSE round(greatest(-3, least(3, ({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w)), 9) END AS {n}"""
     for c, n in (("mom", "momentum"), ("volf", "vol_factor"), ("liq", "liquidity"))
 ) + " FROM fraw WINDOW w AS (PARTITION BY date))"
 FVIEWS = "capped panel cal ret"
