@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapewire import config
 from tapewire import keyword_data as kd
+from tapewire.functions.settle import settle
 from tapewire.functions.stats import clip
 
 INLINE_LIMIT = 1000
@@ -132,34 +133,35 @@ def tfidf_weights(
     max_df: float = 0.80,
     max_features: int = 10_000,
 ) -> DataFrame:
-    """(id, term, weight): (1+ln tf) * (ln((1+n)/(1+df))+1), unit length per document.
+    """(id, term, weight, meaningful): (1+ln tf) * (ln((1+n)/(1+df))+1), unit length per document.
 
     The vocabulary is the ``max_features`` most frequent terms within the df
-    bounds.  Its size is bounded by that parameter, so it is broadcast.
+    bounds.  Its size is bounded by that parameter, so it is broadcast.  The
+    quality predicate runs on the vocabulary, not on every term occurrence.
     """
     terms = text_terms(df, id_col, text, stop_words)
     n_docs = df.agg(F.count("*")).scalar()
     vocab = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     vocab = vocab.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-    vocab = vocab.orderBy(F.desc("total"), "term").limit(max_features)
+    vocab = settle(vocab.orderBy(F.desc("total"), "term").limit(max_features))
     idf = F.ln((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
-    rows = terms.join(F.broadcast(vocab.select("term", idf.alias("idf"))), "term")
+    rows = terms.join(F.broadcast(vocab.select("term", idf.alias("idf"), is_meaningful(F.col("term")).alias("meaningful"))), "term")
     rows = rows.withColumn("raw", (1.0 + F.ln("tf")) * F.col("idf"))
     norms = rows.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return rows.join(norms, id_col).select(id_col, "term", (F.col("raw") / F.nullif("norm", F.lit(0.0))).alias("weight"))
+    return rows.join(norms, id_col).select(id_col, "term", (F.col("raw") / F.nullif("norm", F.lit(0.0))).alias("weight"), "meaningful")
 
 
 def corpus_keywords(df: DataFrame, id_col: str, text: str, n: int = config.TOP_N_KEYWORDS, **options: object) -> DataFrame:
     """Top ``n`` meaningful terms by mean weight over all documents."""
     weights = tfidf_weights(df, id_col, text, **options)
     n_docs = df.agg(F.count("*")).scalar()
-    scores = weights.groupBy("term").agg((F.sum("weight") / n_docs).alias("score"))
-    return scores.where(is_meaningful(F.col("term"))).orderBy(F.desc("score"), "term").limit(n)
+    scores = weights.where("meaningful").groupBy("term").agg((F.sum("weight") / n_docs).alias("score"))
+    return scores.orderBy(F.desc("score"), "term").limit(n)
 
 
 def document_keywords(df: DataFrame, id_col: str, text: str, n: int = 5, floor: float = 0.2, **options: object) -> DataFrame:
     """Top ``n`` meaningful terms per document with weight at least ``floor``."""
-    weights = tfidf_weights(df, id_col, text, **options).where(F.col("weight") >= floor).where(is_meaningful(F.col("term")))
+    weights = tfidf_weights(df, id_col, text, **options).where((F.col("weight") >= floor) & F.col("meaningful"))
     w = W.partitionBy(id_col).orderBy(F.desc(F.round("weight", 9)), "term")
     return weights.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 

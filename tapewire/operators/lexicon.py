@@ -16,6 +16,16 @@ from pyspark.sql import functions as F
 
 from tapewire import lexicon_data as ld
 
+SCORE_COLUMNS = [
+    "raw_score",
+    "normalised_score",
+    "lex_label",
+    "lex_confidence",
+    "matched_bullish",
+    "matched_bearish",
+    "matched_neutral",
+    "combination_bonuses",
+]
 TOKEN_PATTERN = r"[a-z0-9]+(?:[-'][a-z0-9]+)*"
 
 
@@ -70,8 +80,15 @@ def _occurrences(text: Column, entry: Column) -> Column:
     return F.transform(F.filter(starts, ok), lambda i: F.struct(i.alias("start"), (i + size).alias("stop"), entry.alias("entry")))
 
 
-def score_texts(df: DataFrame, text: str = "headline", lexicon: Lexicon | None = None) -> DataFrame:
-    """Add raw_score, normalised_score, lex_label, lex_confidence, the matched arrays and the bonuses."""
+def score_texts(df: DataFrame, text: str = "headline", lexicon: Lexicon | None = None, dedupe: bool = False) -> DataFrame:
+    """Add raw_score, normalised_score, lex_label, lex_confidence, the matched arrays and the bonuses.
+
+    ``dedupe`` scores each distinct text once and joins the result back, for
+    syndicated corpora; AQE picks a broadcast or splits a hot text.
+    """
+    if dedupe:
+        unique = df.where(F.col(text).isNotNull()).select(text).distinct()
+        return df.join(score_texts(unique, text, lexicon), text, "left").select(*df.columns, *SCORE_COLUMNS)
     lex = lexicon or Lexicon()
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     table = F.array(

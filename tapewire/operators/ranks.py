@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapewire.functions.settle import settle
 from tapewire.functions.stats import correlation_t
 
 _CELLS_PER_OCTAVE = 64
@@ -87,6 +88,8 @@ def spearman(
 
         ranked = points.select(*keys, "n", centred("x").alias("rx"), centred("y").alias("ry"))
     else:
+        # Counted pairs are read three times below; settling them keeps the source scan single.
+        points = settle(points)
         rx = average_rank(points, keys, "x").select(*keys, "x", (F.col("avg_rank") - (F.col("size") + 1) / 2.0).alias("rx"))
         ry = average_rank(points, keys, "y").select(*keys, "y", (F.col("avg_rank") - (F.col("size") + 1) / 2.0).alias("ry"))
         ranked = points.join(rx, [*keys, "x"]).join(ry, [*keys, "y"])

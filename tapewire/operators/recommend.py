@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 from tapewire import config
 from tapewire.functions.dates import recency_weight
 from tapewire.functions.labels import signal_of
+from tapewire.functions.settle import settle
+from tapewire.functions.stats import ratio
 from tapewire.operators import keywords as kw
 from tapewire.operators import transmission as tr
-from tapewire.operators.lexicon import score_texts, ticker_lexicon
-from tapewire.operators.sets import source_breakdown, source_weight
+from tapewire.operators.lexicon import score_texts
+from tapewire.operators.sets import source_weight
 from tapewire.rule_data import FRIENDLY_REGIMES, HOSTILE_REGIMES
 
 
-def weighted_rows(scored: DataFrame, weights: dict[str, float], now: Column, decay: float = config.RECENCY_LAMBDA, lexicon_scored: bool = False) -> DataFrame:
+def weighted_rows(scored: DataFrame, weights: dict[str, float], now: Column, decay: float = config.RECENCY_LAMBDA) -> DataFrame:
     """Per-headline source, keyword, recency and lexicon weights."""
-    rows = scored if lexicon_scored else score_texts(scored)
+    rows = score_texts(scored, dedupe=True)
     sentiment = signal_of("label_name").cast("double")
     return rows.select(
         "*",
@@ -27,30 +29,79 @@ def weighted_rows(scored: DataFrame, weights: dict[str, float], now: Column, dec
         kw.impact_weight(F.col("headline"), weights).alias("keyword_w"),
         recency_weight(now, "date", decay).alias("recency_w"),
         kw.agreement_weight(F.col("normalised_score"), sentiment).alias("lexicon_w"),
+        kw.best_keyword(F.col("headline"), weights).alias("best_kw"),
     )
 
 
-def ticker_scores(weighted: DataFrame, threshold: float = config.CONFIDENCE_THRESHOLD) -> DataFrame:
-    """Everything the recommendation needs per ticker, in one aggregate with partial sums."""
-    sure = F.col("confidence") >= threshold
+def score_cube(weighted: DataFrame, threshold: float = config.CONFIDENCE_THRESHOLD) -> DataFrame:
+    """The one pass over the headlines: partial sums per (ticker, source, phrase).
+
+    Each headline gives one row without a phrase, which carries its numbers, and
+    one row per matched phrase.  The result is bounded by tickers x sources x
+    lexicon, whatever the number of headlines, and everything else reads it.
+    """
+    tagged = lambda side: F.transform(F.col(f"matched_{side}"), lambda p: F.struct(F.lit(side).alias("side"), p.alias("phrase")))
+    nothing = F.struct(F.lit(None).cast("string").alias("side"), F.lit(None).cast("string").alias("phrase"))
+    rows = weighted.withColumn("_t", F.explode(F.concat(F.array(nothing), tagged("bullish"), tagged("bearish"))))
+    whole = F.col("_t.phrase").isNull()
+    sure = whole & (F.col("confidence") >= threshold)
     w = F.col("source_w") * F.col("keyword_w") * F.col("recency_w") * F.col("lexicon_w")
     voting = sure & (F.col("sentiment") != 0)
-    s = weighted.groupBy("ticker").agg(
-        F.count("*").alias("headline_count"),
+    label = F.col("label_name")
+    return rows.groupBy("ticker", "source", "_t").agg(
+        F.count("*").alias("n"),
         F.count_if(sure).alias("n_sure"),
-        F.avg(F.when(sure, F.col("confidence"))).alias("sure_conf"),
-        F.avg("confidence").alias("all_conf"),
+        F.sum(F.when(sure, F.col("confidence"))).alias("sure_conf"),
+        F.sum(F.when(whole, F.col("confidence"))).alias("all_conf"),
         F.sum(F.when(voting, F.col("sentiment") * w * F.col("confidence"))).alias("num"),
         F.sum(F.when(voting, w)).alias("den"),
-        F.avg(F.when(sure, F.col("source_w"))).alias("source_quality"),
-        F.count_if(sure & (F.col("label_name") == "positive")).alias("n_pos"),
-        F.count_if(sure & (F.col("label_name") == "negative")).alias("n_neg"),
-        F.count_if(F.col("label_name") == "positive").alias("all_pos"),
-        F.count_if(F.col("label_name") == "negative").alias("all_neg"),
+        F.sum(F.when(sure, F.col("source_w"))).alias("source_sum"),
+        F.count_if(sure & (label == "positive")).alias("n_pos"),
+        F.count_if(sure & (label == "negative")).alias("n_neg"),
+        F.count_if(whole & (label == "positive")).alias("all_pos"),
+        F.count_if(whole & (label == "negative")).alias("all_neg"),
+        F.sum(F.when(whole, F.col("normalised_score"))).alias("lex_sum"),
         F.max(F.when(sure, F.struct("source_w", "source"))).alias("best_source"),
+        F.max(F.when(sure, F.col("best_kw"))).alias("best_kw"),
+    ).select("*", "_t.side", "_t.phrase").drop("_t")
+
+
+def ticker_scores(cube: DataFrame) -> DataFrame:
+    """Counts, means and the composite score per ticker."""
+    total = lambda c: F.sum(c).alias(c)
+    s = cube.where("phrase is null").groupBy("ticker").agg(
+        F.sum("n").alias("headline_count"),
+        *[total(c) for c in ("n_sure", "sure_conf", "all_conf", "num", "den", "source_sum", "n_pos", "n_neg", "all_pos", "all_neg", "lex_sum")],
+        F.max("best_source").alias("best_source"),
+        F.max("best_kw").alias("best_kw"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "n")))).alias("source_breakdown"),
+    )
+    return s.select(
+        "ticker",
+        "headline_count",
+        "n_sure",
+        ratio("sure_conf", "n_sure").alias("sure_conf"),
+        ratio("all_conf", "headline_count").alias("all_conf"),
+        ratio("source_sum", "n_sure").alias("source_quality"),
+        "n_pos",
+        "n_neg",
+        "all_pos",
+        "all_neg",
+        F.round(ratio("lex_sum", "headline_count"), 4).alias("avg_score"),
+        "best_source",
+        "best_kw",
+        "source_breakdown",
+        F.round(F.coalesce(ratio("num", "den"), F.lit(0.0)), 6).alias("signal_score"),
     )
-    score = F.round(F.coalesce(F.col("num") / F.nullif("den", F.lit(0.0)), F.lit(0.0)), 6)
-    return s.withColumn("signal_score", score).drop("num", "den")
+
+
+def top_phrases(cube: DataFrame, side: str, top: int = 5) -> DataFrame:
+    """Most frequent phrases of one side per ticker, as a list of at most ``top``."""
+    counts = cube.where(F.col("side") == side).groupBy("ticker", "phrase").agg(F.sum("n").alias("n"))
+    w = W.partitionBy("ticker").orderBy(F.desc("n"), "phrase")
+    best = counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
+    lists = best.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("_r", "phrase"))).alias("_l"))
+    return lists.select("ticker", F.transform("_l", lambda x: x["phrase"]).alias(f"{side}_phrases"))
 
 
 def side_of(score: Column) -> Column:
@@ -112,13 +163,11 @@ def recommend(
 
     Tickers without headlines come out as HOLD.
     """
-    lexed = score_texts(scored)
-    rows = weighted_rows(lexed, weights, now, lexicon_scored=True)
-    base = ticker_scores(rows)
-    lex = ticker_lexicon(lexed).drop("headline_count", "neutral_count")
-    sure = rows.where(F.col("confidence") >= config.CONFIDENCE_THRESHOLD)
-    best_kw = sure.groupBy("ticker").agg(F.max(kw.best_keyword(F.col("headline"), weights)).alias("best_kw"))
-    t = base.join(lex, "ticker").join(best_kw, "ticker", "left").join(source_breakdown(scored), "ticker")
+    cube = settle(score_cube(weighted_rows(scored, weights, now)))
+    t = ticker_scores(cube)
+    for side in ("bullish", "bearish"):
+        t = t.join(top_phrases(cube, side), "ticker", "left")
+        t = t.withColumn(f"{side}_phrases", F.coalesce(f"{side}_phrases", F.array().cast("array<string>")))
     one = context.select(
         F.struct("regime", "vix", "commodity_stress", "events").alias("ctx")
     ).scalar()

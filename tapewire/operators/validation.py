@@ -103,7 +103,7 @@ def ic_by_ticker(rows: DataFrame, ret: str, n: str | None = None, min_n: int = 5
 
 
 def factor_ics(factors: DataFrame, panel: DataFrame, cal: DataFrame, columns: list[str], lag: int = 2, min_n: int = 10) -> DataFrame:
-    rows = attach_forward(factors.select("date", "ticker", *columns), panel, cal, [lag])
+    rows = settle(attach_forward(factors.select("date", "ticker", *columns), panel, cal, [lag]))
     long = rows.unpivot([f"return_lag_{lag}"], columns, "factor", "value")
     return information_coefficient(long, ["factor"], f"return_lag_{lag}", "value", min_n=min_n, thin=None)
 
