@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tapewire import config
 from tapewire import keyword_data as kd
-from tapewire.functions.settle import settle
 from tapewire.functions.stats import clip
 
 INLINE_LIMIT = 1000
@@ -34,20 +33,19 @@ def english_stop_words() -> list[str]:
 
 
 def _set(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    """Array literal of words, folded from one joined string."""
+    return F.split(F.lit("\n".join(words)), "\n")
 
 
 def is_meaningful(keyword: Column) -> Column:
     """Finance phrases pass; otherwise length, digits, filing patterns, stop words and tickers decide."""
     kw = F.trim(F.lower(keyword))
     stop, names = domain_stop_words(), ticker_stop_words()
-    artefact = F.lit(False)
-    for pattern in kd.FILING_PATTERNS:
-        artefact = artefact | kw.rlike(pattern)
+    artefact = kw.rlike("|".join(f"(?:{p})" for p in kd.FILING_PATTERNS))
     parts = F.split(kw, r"\s+")
     only_stop = F.forall(parts, lambda t: F.array_contains(_set(stop), t))
-    plain = (F.length(kw) >= kd.MIN_KEYWORD_LENGTH) & ~kw.rlike(r"^[\d,.\-%/]+$") & ~artefact & ~only_stop & ~kw.isin(names)
-    return kw.isin(kd.FINANCE_PHRASES) | plain
+    plain = (F.length(kw) >= kd.MIN_KEYWORD_LENGTH) & ~kw.rlike(r"^[\d,.\-%/]+$") & ~artefact & ~only_stop & ~F.array_contains(_set(names), kw)
+    return F.array_contains(_set(kd.FINANCE_PHRASES), kw) | plain
 
 
 def is_filing_artefact(keyword: Column) -> Column:
@@ -68,8 +66,9 @@ def match_listed(news: DataFrame, keywords: list[str], text: str = "headline") -
     if len(keywords) > INLINE_LIMIT:
         raise ValueError("use match_table for long keyword lists")
     low = F.lower(F.col(text))
-    listed = F.array(*[F.lit(k) for k in keywords])
-    return news.withColumn("keyword", F.explode(F.filter(listed, lambda k: F.contains(low, F.lower(k)))))
+    listed = _set(keywords)
+    hits = F.filter(listed, lambda k: F.contains(low, F.lower(k)))
+    return news.withColumn("keyword", F.explode_outer(hits)).where("keyword is not null")
 
 
 def match_table(news: DataFrame, keywords: DataFrame, text: str = "headline", id_col: str = "headline_id") -> DataFrame:
@@ -105,7 +104,7 @@ def match_tickers(entries: DataFrame, aliases: dict[str, list[str]], title: str
     for ticker, names in aliases.items():
         pattern = "(?i)\\b(?:" + "|".join(re.escape(n) for n in [ticker, *names]) + ")\\b"
         tests.append(F.when(body.rlike(pattern), F.lit(ticker)))
-    return entries.withColumn("ticker", F.explode(F.array_compact(F.array(*tests))))
+    return entries.withColumn("ticker", F.explode_outer(F.array_compact(F.array(*tests)))).where("ticker is not null")
 
 
 # ---- TF-IDF -----------------------------------------------------------------
@@ -143,7 +142,7 @@ def tfidf_weights(
     n_docs = df.agg(F.count("*")).scalar()
     vocab = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     vocab = vocab.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-    vocab = settle(vocab.orderBy(F.desc("total"), "term").limit(max_features))
+    vocab = vocab.orderBy(F.desc("total"), "term").limit(max_features)
     idf = F.ln((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
     rows = terms.join(F.broadcast(vocab.select("term", idf.alias("idf"), is_meaningful(F.col("term")).alias("meaningful"))), "term")
     rows = rows.withColumn("raw", (1.0 + F.ln("tf")) * F.col("idf"))

@@ -48,6 +48,12 @@ class Lexicon:
         return sorted(rows, key=lambda r: -len(r[0]))
 
 
+def _literal_table(entries: list[tuple[str, float, str]]) -> Column:
+    """Array of (phrase, weight, side) from three joined strings; Spark folds it into one literal."""
+    part = lambda i: F.split(F.lit("\n".join(str(e[i]) for e in entries)), "\n")
+    return F.arrays_zip(part(0).alias("phrase"), part(1).cast("array<double>").alias("weight"), part(2).alias("side"))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
 
@@ -91,12 +97,7 @@ def score_texts(df: DataFrame, text: str = "headline", lexicon: Lexicon | None =
         return df.join(score_texts(unique, text, lexicon), text, "left").select(*df.columns, *SCORE_COLUMNS)
     lex = lexicon or Lexicon()
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    table = F.array(
-        *[
-            F.struct(F.lit(p).alias("phrase"), F.lit(w).alias("weight"), F.lit(side).alias("side"))
-            for p, w, side in lex.entries()
-        ]
-    )
+    table = _literal_table(lex.entries())
     rows = df.withColumn("_low", low).withColumn("_words", tokens(F.col("_low")))
     # Phrases present at all, longest first; then their whole-word spans.
     present = F.filter(table, lambda e: F.contains(F.col("_low"), e["phrase"]))
@@ -156,7 +157,9 @@ def score_texts(df: DataFrame, text: str = "headline", lexicon: Lexicon | None =
 def phrase_counts(scored: DataFrame, side: str, keys: list[str] | None = None) -> DataFrame:
     """(keys, phrase, count) of one side's matches."""
     keys = keys or []
-    return scored.select(*keys, F.explode(f"matched_{side}").alias("phrase")).groupBy(*keys, "phrase").agg(F.count("*").alias("count"))
+    # explode_outer: a plain explode makes Spark infer a size filter and evaluate the whole scorer a second time.
+    rows = scored.select(*keys, F.explode_outer(f"matched_{side}").alias("phrase")).where("phrase is not null")
+    return rows.groupBy(*keys, "phrase").agg(F.count("*").alias("count"))
 
 
 def top_phrases(scored: DataFrame, side: str, n: int, keys: list[str] | None = None) -> DataFrame:

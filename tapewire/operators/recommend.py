@@ -42,7 +42,7 @@ def score_cube(weighted: DataFrame, threshold: float = config.CONFIDENCE_THRESHO
     """
     tagged = lambda side: F.transform(F.col(f"matched_{side}"), lambda p: F.struct(F.lit(side).alias("side"), p.alias("phrase")))
     nothing = F.struct(F.lit(None).cast("string").alias("side"), F.lit(None).cast("string").alias("phrase"))
-    rows = weighted.withColumn("_t", F.explode(F.concat(F.array(nothing), tagged("bullish"), tagged("bearish"))))
+    rows = weighted.withColumn("_t", F.explode_outer(F.concat(F.array(nothing), tagged("bullish"), tagged("bearish"))))
     whole = F.col("_t.phrase").isNull()
     sure = whole & (F.col("confidence") >= threshold)
     w = F.col("source_w") * F.col("keyword_w") * F.col("recency_w") * F.col("lexicon_w")
