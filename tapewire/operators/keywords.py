@@ -71,28 +71,33 @@ def match_listed(news: DataFrame, keywords: list[str], text: str = "headline") -
     return news.withColumn("keyword", F.explode_outer(hits)).where("keyword is not null")
 
 
-def match_table(news: DataFrame, keywords: DataFrame, text: str = "headline", id_col: str = "headline_id") -> DataFrame:
-    """Same match for a keyword table of any size, as an equi-join.
-
-    A contained keyword's first GRAM characters are one of the text's character
-    grams, so (length, gram) is an exact join key; ``contains`` then confirms.
-    Keywords shorter than GRAM use their full length.  Each text contributes
-    its distinct grams only.
+def match_table(news: DataFrame, keywords: DataFrame, text: str = "headline", inline_limit: int = INLINE_LIMIT) -> DataFrame:
+    """Same match for a keyword table of any size.
+
+    Up to ``inline_limit`` keywords (counted first) are filtered inside the row.
+    Beyond that it is an equi-join: a contained keyword's first GRAM characters
+    are one of the text's character grams, so (length, gram) is an exact join
+    key and ``contains`` confirms.  Keywords shorter than GRAM use their full
+    length.  Each distinct text contributes its distinct grams once.
     """
-    kw = keywords.select("keyword", F.lower("keyword").alias("_kw")).where(F.length("_kw") > 0).distinct()
+    listed = keywords.select("keyword").where(F.length("keyword") > 0).distinct()
+    few = listed.limit(inline_limit + 1).collect()
+    if len(few) <= inline_limit:
+        return match_listed(news, [r.keyword for r in few])
+    kw = listed.withColumn("_kw", F.lower("keyword"))
     kw = kw.withColumn("_k", F.least(F.length("_kw"), F.lit(GRAM))).withColumn("_gram", F.substring("_kw", F.lit(1), F.col("_k")))
-    low = F.lower(F.col(text))
+    low = F.col("_low")
     sizes = F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length(low)))
 
     def grams(k: Column) -> Column:
         starts = F.sequence(F.lit(1), F.length(low) - k + 1)
         return F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, k)))
 
-    probes = news.where(F.length(text) > 0).withColumn("_low", low).withColumn("_k", F.explode(sizes))
-    wanted = kw.select("_k").distinct()
-    probes = probes.join(wanted, "_k", "left_semi").withColumn("_gram", F.explode(grams(F.col("_k"))))
-    hits = probes.join(kw, ["_k", "_gram"]).where(F.contains("_low", F.col("_kw")))
-    return hits.drop("_k", "_gram", "_low", "_kw")
+    texts = news.where(F.length(text) > 0).select(text).distinct().withColumn("_low", F.lower(text))
+    probes = texts.withColumn("_k", F.explode_outer(sizes)).join(kw.select("_k").distinct(), "_k", "left_semi")
+    probes = probes.withColumn("_gram", F.explode_outer(grams(F.col("_k"))))
+    hits = probes.join(kw, ["_k", "_gram"]).where(F.contains("_low", F.col("_kw"))).select(text, "keyword")
+    return news.join(hits, text)
 
 
 def match_tickers(entries: DataFrame, aliases: dict[str, list[str]], title: str = "title", summary: str = "summary") -> DataFrame:
@@ -111,11 +116,16 @@ def match_tickers(entries: DataFrame, aliases: dict[str, list[str]], title: str
 
 
 def text_terms(df: DataFrame, id_col: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
-    """(id, term, tf): word uni- and bigrams after stop-word removal, counted per document."""
+    """(id, term, tf): word uni- and bigrams after stop-word removal, counted per document.
+
+    The texts are hashed by document once; term counts, document norms and the
+    later join on the document then reuse that partitioning, so the much larger
+    term rows are never shuffled by document.
+    """
     stop = stop_words if stop_words is not None else sorted(set(english_stop_words()) | set(domain_stop_words()))
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     kept = F.filter(words, lambda w: ~w.isin(stop)) if stop else words
-    rows = df.select(id_col, kept.alias("_w"))
+    rows = df.select(id_col, text).repartition(id_col).select(id_col, kept.alias("_w"))
     pairs = F.transform(
         F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat_ws(" ", F.element_at("_w", i), F.element_at("_w", i + 1))
     )

@@ -114,7 +114,15 @@ def union_optional(frames: list[DataFrame | None]) -> DataFrame:
 
 
 def sample_per_class(df: DataFrame, label: str, text: str, total: int, classes: int = 3, seed: int = config.RANDOM_SEED, id_col: str | None = None) -> DataFrame:
-    """Up to total/classes rows per class, chosen by a seeded hash so a rerun picks the same rows."""
+    """Up to total/classes rows per class, chosen by a seeded hash so a rerun picks the same rows.
+
+    Picked in two steps, first inside 64 slices of each class, so a dominant
+    class is never ordered in one task.
+    """
     order = [F.xxhash64(text, F.lit(seed)), F.col(text)] + ([F.col(id_col)] if id_col else [])
-    w = W.partitionBy(label).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= total // classes).drop("_rn")
+    size = total // classes
+    rows = df.withColumn("_slice", F.pmod(order[0], F.lit(64)))
+    for keys in ([label, "_slice"], [label]):
+        w = W.partitionBy(*keys).orderBy(*order)
+        rows = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= size).drop("_rn")
+    return rows.drop("_slice")

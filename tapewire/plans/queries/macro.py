@@ -293,7 +293,7 @@ def results(m: Market, strict: bool = False, quality: float = 0.0):
     return rc.recommend(m.scored, universe, latest(m), CARS, m.now, MEMBERS, quality, strict)
 
 
-_REC = (
+REC_CTES = (
     SCORE.replace("/*RECURSIVE_MARK*/", "/*RECURSIVE_MARK*/")
     + ",\n"
     + EVENTS
@@ -313,12 +313,12 @@ REC_SPEC = "ticker recommendation confidence:d4 signal_score:d4 headline_count:i
 _REC_SELECT = "SELECT ticker, recommendation, round(confidence, 4) AS confidence, round(signal_score, 4) AS signal_score, headline_count, confident_headline_count, lexicon_score, macro_regime, round(adjusted_signal_score, 4) AS adjusted_signal_score, tactical_signal, investment_view, conviction_level, conviction_points FROM rec"
 
 
-@query("RC02_recommendations", REC_SPEC, REC_VIEWS, _REC_SELECT, _REC)
+@query("RC02_recommendations", REC_SPEC, REC_VIEWS, _REC_SELECT, REC_CTES)
 def _(m: Market):
     return results(m)
 
 
-@query("RC03_conviction", "ticker conviction_points:i conviction_level", REC_VIEWS, "SELECT * FROM rec", _REC)
+@query("RC03_conviction", "ticker conviction_points:i conviction_level", REC_VIEWS, "SELECT * FROM rec", REC_CTES)
 def _(m: Market):
     return results(m)
 
@@ -329,7 +329,7 @@ def _(m: Market):
     REC_VIEWS,
     """SELECT ticker, 'HOLD' AS recommendation, coalesce(len(risk_flags), 0) + CASE WHEN recommendation <> 'HOLD' THEN 1 ELSE 0 END AS n_flags
  FROM rec LEFT JOIN (SELECT ticker, risk_flags FROM flags WHERE date = (SELECT max(date) FROM macro)) f USING (ticker)""",
-    _REC,
+    REC_CTES,
 )
 def _(m: Market):
     return results(m, strict=True, quality=4.0).withColumn("n_flags", F.size("risk_flags"))
@@ -346,7 +346,7 @@ def _(m: Market):
     REC_VIEWS,
     """SELECT row_number() OVER (ORDER BY CASE recommendation WHEN 'BUY' THEN 0 WHEN 'SELL' THEN 2 ELSE 1 END, CASE WHEN recommendation = 'SELL' THEN s ELSE -s END, ticker) AS rank, ticker, recommendation
  FROM (SELECT *, round(signal_score, 4) AS s FROM rec)""",
-    _REC,
+    REC_CTES,
 )
 def _(m: Market):
     from pyspark.sql import Window as W
@@ -363,7 +363,7 @@ def _(m: Market):
     REC_VIEWS,
     """SELECT ticker, a AS adjusted_signal_score, round(w / sum(w) OVER (), 4) AS position_weight FROM (SELECT *, least(0.2::DOUBLE, greatest(0, a) / sum(greatest(0, a)) OVER ()) AS w FROM (
  SELECT *, round(adjusted_signal_score, 4) AS a FROM rec WHERE signal_score > 0.3 AND conviction_level IN ('HIGH', 'MEDIUM') ORDER BY a DESC, ticker LIMIT 10))""",
-    _REC,
+    REC_CTES,
 )
 def _(m: Market):
     # A lower entry bar than BUY, so the book is not empty on this data.
@@ -371,7 +371,7 @@ def _(m: Market):
     return rc.ranked_book(rows)
 
 
-@query("RC08_compare", REC_SPEC, REC_VIEWS, _REC_SELECT + " WHERE ticker IN ('Brand#3', 'Brand#7')", _REC)
+@query("RC08_compare", REC_SPEC, REC_VIEWS, _REC_SELECT + " WHERE ticker IN ('Brand#3', 'Brand#7')", REC_CTES)
 def _(m: Market):
     return rc.compare(results(m), ["brand#3", "BRAND#7"])
 
@@ -381,7 +381,7 @@ def _(m: Market):
     "ticker adjusted_signal_score:d4",
     REC_VIEWS,
     "SELECT ticker, round(adjusted_signal_score, 4) AS adjusted_signal_score FROM rec ORDER BY 2 DESC, 1 LIMIT 5",
-    _REC,
+    REC_CTES,
 )
 def _(m: Market):
     return results(m).orderBy(F.desc("adjusted_signal_score"), "ticker").limit(5)

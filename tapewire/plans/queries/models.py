@@ -14,9 +14,10 @@ from tapewire.operators import reports as rp
 from tapewire.operators import transmission as tr
 from tapewire.operators import validation as va
 from tapewire.plans.fixtures import Market
-from tapewire.plans.queries.core import returns
+from tapewire.plans.queries.core import metrics_sql, returns
 from tapewire.plans.queries.longshort import VIEWS, sql, trades
-from tapewire.plans.queries.macro import MEMBERS, commodity, results, snapshots
+from tapewire.plans.oracle_stats import spearman_sql
+from tapewire.plans.queries.macro import MEMBERS, REC_CTES, EVENTS, REC_VIEWS, commodity, results, snapshots
 from tapewire.plans.queries.stats import counts
 from tapewire.plans.registry import query
 
@@ -229,12 +230,18 @@ def _(m: Market):
     return rp.with_group_value(t, t.groupBy("run").agg(F.max("ls_return").alias("best")), "run")
 
 
-@query("SO04_watch_list_order", "ticker recommendation", "", None)
+@query("SO04_watch_list_order", "ticker recommendation", REC_VIEWS, "SELECT ticker, recommendation FROM rec", REC_CTES)
 def _(m: Market):
     return rc.scan_order(results(m))
 
 
-@query("SO07_first_flags", "ticker n_flags:i", "", None)
+@query(
+    "SO07_first_flags",
+    "ticker n_flags:i",
+    "macro vix commod",
+    "SELECT ticker, max(least(3, len(risk_flags))) AS n_flags FROM flags GROUP BY 1",
+    EVENTS,
+)
 def _(m: Market):
     rows = tr.context_rows(snapshots(m), commodity(m)).withColumn("ticker", F.explode(F.array(*[F.lit(f"Brand#{b}") for b in range(1, 26)])))
     flags = tr.risk_flags(tr.ticker_sectors(F.col("ticker"), MEMBERS), F.col("events"), 3)
@@ -285,7 +292,7 @@ def _(m: Market):
     return rp.signal_distribution(returns(m), F.col("position"))
 
 
-@query("RP04_sharpe_by_ticker", "ticker sharpe_ratio:d4", "", None)
+@query("RP04_sharpe_by_ticker", "ticker sharpe_ratio:d4", "events_bt", "SELECT ticker, sharpe_ratio FROM mt", metrics_sql("events_bt", "ticker"))
 def _(m: Market):
     return eb.portfolio_metrics(returns(m), ["ticker"]).select("ticker", "sharpe_ratio").orderBy("sharpe_ratio", "ticker")
 
@@ -318,7 +325,13 @@ def _(m: Market):
     return rp.kernel_density(rows, "side", "return_lag_1", "n")
 
 
-@query("RP09_ic_decay_bars", "lag:i ic:d4 n:i", "", None)
+@query(
+    "RP09_ic_decay_bars",
+    "lag:i ic:d4 n:i",
+    "srrow",
+    "SELECT lag, round(ic, 4) AS ic, n FROM s",
+    "lr AS (" + " UNION ALL ".join(f"SELECT {k} AS lag, signal, return_lag_{k} AS ret FROM srrow" for k in (1, 2, 3, 5, 10)) + "),\ns AS (" + spearman_sql("lr", "lag", "signal", "ret") + ")",
+)
 def _(m: Market):
     return va.ic_decay(counts(m), [1, 2, 3, 5, 10], "n")
 

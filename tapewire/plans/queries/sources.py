@@ -13,6 +13,7 @@ from tapewire.operators import keywords as kw
 from tapewire.operators import ml
 from tapewire.operators.lexicon import score_texts
 from tapewire.plans.fixtures import Market
+from tapewire.plans.queries.text import LEX_CTES
 from tapewire.plans.registry import query
 from tapewire.sources import news as sn
 from tapewire.sources import store as so
@@ -223,7 +224,13 @@ def _(m: Market):
     return scored.groupBy("label_name").agg(F.count("*").alias("n"))
 
 
-@query("ML01_batch_scoring", "label_name n:i", "", None)
+@query(
+    "ML01_batch_scoring",
+    "label_name n:i",
+    "news",
+    "SELECT CASE WHEN 0.6 * normalised_score > 0.05 THEN 'positive' WHEN 0.6 * normalised_score < -0.05 THEN 'negative' ELSE 'neutral' END AS label_name, count(*) AS n FROM lexnews GROUP BY 1",
+    LEX_CTES,
+)
 def _(m: Market):
     scorer = ml.lexicon_scorer()
     return scorer(m.news.select("headline_id", "headline")).groupBy("label_name").agg(F.count("*").alias("n"))
@@ -248,7 +255,13 @@ def _(m: Market):
     return ml.batch_scorer(load)(m.news.select("headline_id", "headline")).groupBy("label_name").agg(F.count("*").alias("n"))
 
 
-@query("UDF05_phrase_rows", "headline phrase", "", None)
+@query(
+    "UDF05_phrase_rows",
+    "headline phrase",
+    "news",
+    "SELECT headline, unnest(list_concat(bull, bear)) AS phrase FROM lexed",
+    LEX_CTES,
+)
 def _(m: Market):
     rows = score_texts(m.news.select("headline").distinct())
     return rows.select("headline", F.explode_outer(F.concat("matched_bullish", "matched_bearish")).alias("phrase")).where("phrase is not null")

@@ -13,7 +13,7 @@ from tapewire.operators import signals as sg
 from tapewire.operators import validation as va
 from tapewire.plans.fixtures import Market
 from tapewire.plans.queries.longshort import FACTOR_CTES, FVIEWS, matrix
-from tapewire.plans.queries.macro import snapshots
+from tapewire.plans.queries.macro import REC_CTES, REC_VIEWS, SNAP, snapshots
 from tapewire.plans.queries.models import CLS, predicted
 from tapewire.plans.queries.sources import folder
 from tapewire.plans.queries.stats import counts
@@ -129,7 +129,7 @@ def _(m: Market):
     return m.spark.read.schema(rows.schema).option("header", True).csv(path)
 
 
-@query("SRC16_feature_snapshot_sink", "date:t macro_vix:d2", "", None)
+@query("SRC16_feature_snapshot_sink", "date:t macro_vix:d2 macro_trend:d", "macro vix", "SELECT date, vix AS macro_vix, macro_trend FROM snap", SNAP)
 def _(m: Market):
     from tapewire.operators.macro import macro_features
 
@@ -153,7 +153,7 @@ def _(m: Market):
     return a.join(b, "hash").select((F.length("hash") == 64).alias("same"))
 
 
-@query("SRC23_portfolio_report", "ticker recommendation", "", None)
+@query("SRC23_portfolio_report", "ticker recommendation", REC_VIEWS, "SELECT ticker, recommendation FROM rec", REC_CTES)
 def _(m: Market):
     from tapewire.operators import recommend as rc
     from tapewire.plans.queries.macro import results

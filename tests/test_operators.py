@@ -147,8 +147,10 @@ def test_keyword_table_equals_listed(spark):
     news = spark.createDataFrame([(i, h) for i, h in enumerate(HEADLINES)], "headline_id int, headline string")
     words = ["beat", "e", "record high", "chapter 11", "Acme", "guidance", "zzz", "expectations this quarter"]
     a = {(r.headline_id, r.keyword) for r in kw.match_listed(news, words).collect()}
-    b = [(r.headline_id, r.keyword) for r in kw.match_table(news, spark.createDataFrame([(w,) for w in words], "keyword string")).collect()]
-    assert a == set(b) and len(b) == len(a)
+    table = spark.createDataFrame([(w,) for w in words], "keyword string")
+    for limit in (1000, 0):
+        b = [(r.headline_id, r.keyword) for r in kw.match_table(news, table, inline_limit=limit).collect()]
+        assert a == set(b) and len(b) == len(a)
     assert a == {(i, w) for i, h in enumerate(HEADLINES) for w in words if w.lower() in h.lower()}
 
 
