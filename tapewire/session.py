@@ -25,6 +25,7 @@ def get_spark(app: str = "tapewire", master: str | None = None, **extra: str) ->
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if master and master.startswith("local"):
         cores = master[6:-1] if master.startswith("local[") else ""
