@@ -130,7 +130,8 @@ def text_terms(df: DataFrame, id_col: str, text: str, stop_words: list[str] | No
         F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat_ws(" ", F.element_at("_w", i), F.element_at("_w", i + 1))
     )
     terms = F.when(F.size("_w") > 1, F.concat("_w", pairs)).otherwise(F.col("_w"))
-    return rows.select(id_col, F.explode(terms).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    exploded = rows.select(id_col, F.explode_outer(terms).alias("term")).where("term is not null")
+    return exploded.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf_weights(

@@ -22,10 +22,10 @@ def drawdown_trough(curve: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def return_histogram(rows: DataFrame, value: str, bins: int = 50) -> DataFrame:
-    """Equal-width histogram with density; bounds come from scalar subqueries."""
+    """Equal-width histogram with density; bounds come from one scalar subquery."""
     valid = rows.where(F.col(value).isNotNull())
-    lo, hi = valid.agg(F.min(value)).scalar(), valid.agg(F.max(value)).scalar()
-    n = valid.agg(F.count("*")).scalar()
+    s = valid.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n")).alias("s")).scalar()
+    lo, hi, n = s["lo"], s["hi"], s["n"]
     width = (hi - lo) / bins
     index = F.least(F.lit(bins - 1), F.floor((F.col(value) - lo) / F.nullif(width, F.lit(0.0))).cast("int"))
     counts = valid.groupBy(index.alias("bin")).agg(F.count("*").alias("count"))

@@ -135,9 +135,12 @@ def ic_summary(ics: DataFrame, keys: list[str] | None = None, min_n: int = 3) ->
 
 def quantile_returns(rows: DataFrame, ret: str, signal: str = "signal", bins: int = 5, n: str | None = None) -> DataFrame:
     """Mean signal, mean return and count per signal bin (repeated edges give fewer bins)."""
-    valid = rows.where(F.col(ret).isNotNull() & F.col(signal).isNotNull())
+    w0 = F.col(n) if n else F.lit(1)
+    # Equal (signal, return) rows are counted before anything reads them twice.
+    valid = rows.where(F.col(ret).isNotNull() & F.col(signal).isNotNull()).groupBy(signal, ret).agg(F.sum(w0).alias("_n"))
+    valid, n = settle(valid), "_n"
     binned = equal_frequency_bins(valid, [], signal, bins, "quantile", n)
-    w = F.col(n) if n else F.lit(1)
+    w = F.col(n)
     agg = binned.groupBy("quantile").agg(
         F.sum(F.col(signal) * w).alias("s"), F.sum(F.col(ret) * w).alias("r"), F.sum(w).alias("count")
     )
@@ -159,9 +162,9 @@ def calibration(rows: DataFrame, ret: str, bins: int = 5) -> DataFrame:
     """Hit rate per confidence bin over rows with a direction."""
     valid = rows.where(F.col(ret).isNotNull() & (F.abs("signal") > 0))
     correct = ((F.col("signal") > config.BUY_THRESHOLD) & (F.col(ret) > 0)) | ((F.col("signal") < config.SELL_THRESHOLD) & (F.col(ret) < 0))
-    counts = valid.groupBy("confidence", correct.alias("correct")).agg(F.count("*").alias("n"))
+    counts = settle(valid.groupBy("confidence", correct.alias("correct")).agg(F.count("*").alias("n")))
     binned = equal_frequency_bins(counts, [], "confidence", bins, "conf_bin", "n")
-    total = valid.agg(F.count("*")).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     agg = binned.groupBy("conf_bin").agg(
         F.sum(F.col("confidence") * F.col("n")).alias("s"),
         F.sum(F.when(F.col("correct"), F.col("n")).otherwise(0)).alias("h"),
@@ -237,9 +240,10 @@ def linear_fit(rows: DataFrame, x: str, y: str, n: str | None = None) -> DataFra
     w = (F.col(n) if n else F.lit(1)).cast("double")
     valid = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     # Two passes: centring on the means keeps the sums free of cancellation.
-    means = valid.agg((F.sum(F.col(x) * w) / F.sum(w)).alias("mx"), (F.sum(F.col(y) * w) / F.sum(w)).alias("my"))
-    dx = F.col(x) - means.select("mx").scalar()
-    dy = F.col(y) - means.select("my").scalar()
+    mean_x, mean_y = F.sum(F.col(x) * w) / F.sum(w), F.sum(F.col(y) * w) / F.sum(w)
+    means = valid.agg(F.struct(mean_x.alias("mx"), mean_y.alias("my")).alias("m")).scalar()
+    dx = F.col(x) - means["mx"]
+    dy = F.col(y) - means["my"]
     m = valid.agg(
         F.sum(w).alias("k"),
         F.sum(dx * dx * w).alias("sxx"),
