@@ -9,8 +9,9 @@ from tapewire.operators import longshort as ls
 from tapewire.operators import validation as va
 from tapewire.plans import experiments as ex
 from tapewire.plans.fixtures import Market
-from tapewire.plans.oracle_stats import RUN_METRICS, run_metrics_sql, spearman_sql
+from tapewire.plans.oracle_stats import RUN_METRICS, longshort_sql, run_metrics_sql, spearman_sql
 from tapewire.plans.queries.core import metrics_sql
+from tapewire.plans.queries.longshort import _LOGVOL as LOGVOL
 from tapewire.plans.queries.longshort import FACTOR_CTES, FVIEWS, VIEWS, gated, matrix
 from tapewire.plans.queries.longshort import sql as ls_sql
 from tapewire.plans.queries.text import CARS
@@ -70,7 +71,27 @@ def _(m: Market):
     return ex.horizon_ablation(m.scored, m.panel, m.cal)
 
 
-@query("EX03_keyword_ablation", "variant n_signals:i ic:d4 hit_rate:d4 total_trades:i sharpe_ratio:d4", "", None)
+def _car_sql(floor: float) -> str:
+    total = " + ".join(f"CASE WHEN contains(lower(headline), '{k}') THEN {v}::DOUBLE ELSE 0 END" for k, v in CARS.items() if abs(v) >= floor)
+    return f"greatest(-1, least(1, signal + greatest(-0.25, least(0.25, {total}))))"
+
+
+_KWA = f"""ksig AS MATERIALIZED (SELECT variant, date, ticker, avg(s) AS signal FROM (SELECT 'none' AS variant, date, ticker, signal::DOUBLE AS s FROM conf UNION ALL
+ SELECT 'car>=0.003', date, ticker, {_car_sql(0.003)} FROM conf UNION ALL SELECT 'car>=0.005', date, ticker, {_car_sql(0.005)} FROM conf) GROUP BY ALL),
+kev AS MATERIALIZED (SELECT variant, date, ticker, position, position * next_ret - abs(position) * 0.0015::DOUBLE AS strategy_return, next_ret AS benchmark_return, abs(position) * 0.0015::DOUBLE AS cost_drag FROM (
+ SELECT *, CASE WHEN signal > 0.45 THEN 1 WHEN signal < -0.45 THEN -1 ELSE 0 END AS position FROM ksig JOIN nextret USING (date, ticker))),
+kfw AS MATERIALIZED (SELECT s.variant, s.signal, f.return_lag_1 AS ret FROM (SELECT a.*, c.pos FROM ksig a ASOF JOIN (SELECT date AS cd, pos FROM cal) c ON a.date <= c.cd) s JOIN fwd f USING (ticker, pos) WHERE return_lag_1 IS NOT NULL),
+khit AS (SELECT variant, round(count(*) FILTER ((signal > 0.45 AND ret > 0) OR (signal < -0.45 AND ret < 0)) / count(*) FILTER (abs(signal) > 0.45), 4) AS hit_rate FROM kfw GROUP BY 1),
+""" + metrics_sql("kev", "variant")
+
+
+@query(
+    "EX03_keyword_ablation",
+    "variant n_signals:i hit_rate:d4 total_trades:i sharpe_ratio:d4",
+    "conf nextret cal fwd",
+    "SELECT variant, n_signals, hit_rate, total_trades, sharpe_ratio FROM (SELECT variant, count(*) AS n_signals FROM ksig GROUP BY 1) JOIN khit USING (variant) JOIN mt USING (variant)",
+    _KWA,
+)
 def _(m: Market):
     return ex.keyword_ablation(m.scored, m.panel, m.cal, CARS)
 
@@ -128,11 +149,6 @@ def _(m: Market):
     return ex.break_even(ex.cost_sweep(matrix(m), m.panel, m.cal))
 
 
-@query("EX06_multifactor_suite", "run sharpe_ratio:d4 total_return:d4 n_periods:i n_trades:i", "", None)
-def _(m: Market):
-    return ex.multifactor_suite(matrix(m), m.panel, m.cal)
-
-
 _W12 = ex.weight_rows()
 _WSQL = "wgrid AS (SELECT * FROM (VALUES " + ", ".join(f"('{r['run']}', {r['w_s']}::DOUBLE, {r['w_m']}::DOUBLE, {r['w_v']}::DOUBLE, {r['w_l']}::DOUBLE)" for r in _W12) + ") v(run, ws, wm, wv, wl))"
 
@@ -149,17 +165,67 @@ def _(m: Market):
     return ex.scored_grid(matrix(m), _W12)
 
 
+_FIXED = "2 AS hold_days, 0.2::DOUBLE AS cutoff, 15.0::DOUBLE AS cost_bps, 'equal' AS weighting, false AS vix_filter, date, ticker"
+_SCORE = "round(ws / t * signal + wm / t * coalesce(momentum, 0) + wv / t * coalesce(vol_factor, 0) + wl / t * coalesce(liquidity, 0), 6)"
+_WT = "(SELECT *, abs(ws) + abs(wm) + abs(wv) + abs(wl) AS t FROM wgrid)"
+_MF = f"SELECT run, {_FIXED}, {_SCORE} AS signal FROM fac CROSS JOIN {_WT}" + "".join(
+    f" UNION ALL SELECT 'only_{c}', {_FIXED}, {c} FROM fac WHERE {c} IS NOT NULL" for c in ("signal", "momentum", "vol_factor", "liquidity")
+)
+
+
+def _recursive_first(*parts: str) -> str:
+    return "/*RECURSIVE_MARK*/" + ",\n".join(p.replace("/*RECURSIVE_MARK*/", "") for p in parts)
+
+
+@query(
+    "EX06_multifactor_suite",
+    "run " + RUN_METRICS,
+    FVIEWS + " vix",
+    "SELECT * FROM rm",
+    _recursive_first(FACTOR_CTES, _WSQL, longshort_sql(_MF), run_metrics_sql()),
+)
+def _(m: Market):
+    return ex.multifactor_suite(matrix(m), m.panel, m.cal)
+
+
+# Variants A to G with the variant as key of the factor views.
+_VSIG = """vplain AS MATERIALIZED (SELECT date, ticker, avg(signal * confidence) AS wsig, count(*) AS headline_count FROM conf GROUP BY 1, 2),
+vcap AS MATERIALIZED (SELECT date, ticker, avg(signal::DOUBLE) AS signal, count(*) AS headline_count FROM (
+ SELECT *, row_number() OVER (PARTITION BY date, ticker ORDER BY confidence DESC, headline_id) AS rn FROM conf) WHERE rn <= 3 GROUP BY 1, 2),
+vsn AS MATERIALIZED (SELECT variant, date, ticker, headline_count, CASE WHEN n < 2 OR s < 1e-9 THEN 0 ELSE (signal - a) / s END AS signal FROM (
+ SELECT *, count(*) OVER w AS n, stddev_samp(signal) OVER w AS s, avg(signal) OVER w AS a FROM (SELECT x.*, coalesce(sector, 'Other') AS sector FROM (
+ SELECT 'D_sector_neutral' AS variant, date, ticker, wsig AS signal, headline_count FROM vplain UNION ALL SELECT 'E_all_improvements', date, ticker, signal, headline_count FROM capped) x LEFT JOIN sectors USING (ticker))
+ WINDOW w AS (PARTITION BY variant, date, sector))),
+vsig AS MATERIALIZED (SELECT v AS variant, date, ticker, signal, headline_count FROM binary_sig CROSS JOIN (VALUES ('A_baseline'), ('F_vol_target'), ('G_vix_filter')) t(v)
+ UNION ALL SELECT 'B_conf_weighted', date, ticker, wsig, headline_count FROM vplain UNION ALL SELECT 'C_shock_filter', date, ticker, signal, headline_count FROM vcap
+ UNION ALL SELECT variant, date, ticker, signal, headline_count FROM vsn)"""
+_VFAC = FACTOR_CTES.replace("FROM capped s", "FROM vsig s").replace("SELECT date, ticker, signal, headline_count,", "SELECT variant, pos, date, ticker, signal, headline_count,").replace("PARTITION BY date", "PARTITION BY variant, date")
+_VGRID = f"""vscore AS MATERIALIZED (SELECT variant, variant || '|' || run AS run, pos, date, ticker, {_SCORE} AS cs FROM fac CROSS JOIN {_WT}),
+vfinal AS MATERIALIZED (SELECT s.run, s.date, s.ticker, CASE WHEN variant = 'F_vol_target' THEN greatest(-3, least(3, cs * (0.15::DOUBLE / CASE WHEN rv > 0.01 THEN rv ELSE 1 END)))
+ WHEN variant = 'G_vix_filter' AND level > 30 AND cs > 0 THEN cs * 0.5 ELSE cs END AS cs FROM vscore s LEFT JOIN lv ON lv.ticker = s.ticker AND lv.pos = s.pos LEFT JOIN vix x ON x.date = s.date)"""
+_VVIEWS = "conf capped binary_sig sectors panel cal ret vix"
+_ALL84 = _recursive_first(
+    _VSIG, _VFAC, _WSQL, LOGVOL, _VGRID, longshort_sql(f"SELECT run, {_FIXED}, cs AS signal FROM vfinal"), run_metrics_sql()
+)
+
+
 def grid_trades(m: Market):
     return ex.strategy_grid(ex.signal_variants(m.scored, m.panel, m.cal, m.sectors), m.panel, m.cal, m.vix)
 
 
-@query("FX11_signal_variants", "variant n:i signal_sum:d5 momentum_sum:d5", "", None)
+@query(
+    "FX11_signal_variants",
+    "variant n:i signal_sum:d5 momentum_sum:d5",
+    _VVIEWS,
+    "SELECT variant, count(*) AS n, sum(signal) AS signal_sum, sum(momentum) AS momentum_sum FROM fac GROUP BY 1",
+    _VSIG + ",\n" + _VFAC,
+)
 def _(m: Market):
     v = ex.signal_variants(m.scored, m.panel, m.cal, m.sectors)
     return v.groupBy("variant").agg(F.count("*").alias("n"), F.sum("signal").alias("signal_sum"), F.sum("momentum").alias("momentum_sum"))
 
 
-@query("EX08_strategy_grid", "run sharpe_ratio:d4 total_return:d4 n_periods:i", "", None)
+@query("EX08_strategy_grid", "run " + RUN_METRICS, _VVIEWS, "SELECT * FROM rm", _ALL84)
 def _(m: Market):
     return ls.run_metrics(grid_trades(m), p_value=False)
 

@@ -12,6 +12,7 @@ from tapewire.operators import sets as st
 from tapewire.operators import signals as sg
 from tapewire.operators import validation as va
 from tapewire.plans.fixtures import Market
+from tapewire.plans.oracle_stats import spearman_sql
 from tapewire.plans.queries.longshort import FACTOR_CTES, FVIEWS, matrix
 from tapewire.plans.queries.macro import REC_CTES, REC_VIEWS, SNAP, snapshots
 from tapewire.plans.queries.models import CLS, predicted
@@ -191,6 +192,19 @@ def _(m: Market):
     return fx.combine_factors(matrix(m), {"sentiment": 2.0, "momentum": 2.0, "volatility": 0.0})
 
 
+@query(
+    "UDF03_row_expression",
+    "headline_id:i adjusted:d",
+    "scored",
+    "SELECT headline_id, greatest(-1, least(1, signal * confidence + CASE WHEN contains(headline, 'SEC') THEN -0.1::DOUBLE ELSE 0 END)) AS adjusted FROM scored",
+)
+def _(m: Market):
+    from tapewire.functions.stats import clip
+
+    bump = F.when(F.contains("headline", F.lit("SEC")), -0.1).otherwise(0.0)
+    return m.scored.withColumn("adjusted", clip(F.col("signal") * F.col("confidence") + bump, -1.0, 1.0))
+
+
 @query("UDF02_group_transform", "date:t ticker dev:d", "sig", "SELECT date, ticker, signal - avg(signal) OVER (PARTITION BY date) AS dev FROM sig")
 def _(m: Market):
     from pyspark.sql import Window as W
@@ -240,7 +254,20 @@ def _(m: Market):
     return m.news.groupBy("source", st.source_weight("source").alias("weight")).agg(F.count("*").alias("n"))
 
 
-@query("EX15_signal_validation", "check value:d4", "", None)
+_CHECKS = (
+    "lr AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k} AS lag, signal, return_lag_{k} AS ret FROM srrow" for k in (1, 2, 3, 5, 10)) + "),\n"
+    "sl AS (" + spearman_sql("lr", "lag", "signal", "ret") + "),\nst AS (" + spearman_sql("srrow", "ticker", "signal", "return_lag_1", 5) + ")"
+)
+
+
+@query(
+    "EX15_signal_validation",
+    "check_name value:d4",
+    "srrow",
+    """SELECT 'hit_rate' AS check_name, round(avg(CASE WHEN signal * return_lag_1 > 0 THEN 1 ELSE 0 END), 4) AS value FROM srrow UNION ALL SELECT 'ic_lag_' || lag, round(ic, 4) FROM sl
+ UNION ALL SELECT CASE WHEN signal > 0 THEN 't_buy' ELSE 't_sell' END, round(avg(return_lag_1) / (stddev_samp(return_lag_1) / sqrt(count(*))), 4) FROM srrow GROUP BY 1 UNION ALL SELECT 'ic_' || ticker, round(ic, 4) FROM st""",
+    _CHECKS,
+)
 def _(m: Market):
     """All validation statistics from one counted table, as (check, value) rows."""
     from tapewire.functions.settle import settle
@@ -250,4 +277,4 @@ def _(m: Market):
     ic = va.ic_decay(c, [1, 2, 3, 5, 10], "n").select(F.concat(F.lit("ic_lag_"), F.col("lag").cast("string")).alias("check"), F.col("ic").alias("value"))
     t = va.conditional_ttest(c, "return_lag_1", "n").select(F.concat(F.lit("t_"), F.col("side")).alias("check"), F.col("t_stat").alias("value"))
     best = va.ic_by_ticker(c, "return_lag_1", "n").select(F.concat(F.lit("ic_"), F.col("ticker")).alias("check"), F.col("ic").alias("value"))
-    return hit.unionByName(ic).unionByName(t).unionByName(best)
+    return hit.unionByName(ic).unionByName(t).unionByName(best).withColumnRenamed("check", "check_name")
