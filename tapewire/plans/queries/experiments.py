@@ -230,7 +230,15 @@ def _(m: Market):
     return ls.run_metrics(grid_trades(m), p_value=False)
 
 
-@query("AG15_best_per_variant", "variant run sharpe_ratio:d4 delta:d4 verdict", "", None)
+@query(
+    "AG15_best_per_variant",
+    "variant run sharpe_ratio:d4 delta:d4 verdict",
+    _VVIEWS,
+    """SELECT variant, run, sharpe_ratio, delta, CASE WHEN delta > 0.10 THEN 'IMPROVEMENT' WHEN delta > -0.05 THEN 'neutral' ELSE 'HURTS' END AS verdict FROM (
+ SELECT *, sharpe_ratio - max(CASE WHEN variant = 'A_baseline' THEN sharpe_ratio END) OVER () AS delta FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY coalesce(sharpe_ratio, -999) DESC, run) AS rn FROM (
+ SELECT split_part(run, '|', 1) AS variant, run, sharpe_ratio FROM rm)) WHERE rn = 1)""",
+    _ALL84,
+)
 def _(m: Market):
     return ex.best_per_variant(ls.run_metrics(grid_trades(m), p_value=False))
 
@@ -268,12 +276,40 @@ def _(m: Market):
     return ex.best_per_variant(named).withColumn("run", F.element_at(F.split("run", r"\|"), -1))
 
 
-@query("EX09_period_walk_forward", "period start:t end_date:t n_tickers:i sharpe:d4 ic_mean:d5 ic_t_stat:d3", "", None)
+_PER = "year(date) || '-Q' || quarter(date)"
+_PCTES = _recursive_first(
+    f"""pok AS MATERIALIZED (SELECT {_PER} AS period, count(DISTINCT ticker) AS n_tickers, CAST(date_trunc('quarter', min(date)) AS DATE) AS start,
+ CAST(date_trunc('quarter', min(date)) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS end_date FROM binary_sig GROUP BY 1 HAVING count(DISTINCT ticker) >= 5)""",
+    FACTOR_CTES.replace("FROM capped s", "FROM binary_sig s").replace("SELECT date, ticker, signal, headline_count,", "SELECT pos, date, ticker, signal, headline_count,"),
+    f"pch AS MATERIALIZED (SELECT period, pos, date, ticker, round(0.4::DOUBLE * signal + 0.4::DOUBLE * coalesce(momentum, 0) + 0.2::DOUBLE * coalesce(vol_factor, 0), 6) AS cs FROM (SELECT {_PER} AS period, * FROM fac) JOIN pok USING (period))",
+    longshort_sql(f"SELECT period AS run, {_FIXED}, cs AS signal FROM pch"),
+    run_metrics_sql(),
+    "pfw AS MATERIALIZED (SELECT period, date, cs, return_lag_2 FROM pch JOIN fwd USING (ticker, pos)),\npic AS MATERIALIZED (" + spearman_sql("pfw", "period, date", "cs", "return_lag_2", 5) + ")",
+    "pim AS (SELECT period, round(avg(ic), 5) AS ic_mean, round(CASE WHEN count(*) > 1 AND stddev_samp(ic) > 0 THEN avg(ic) / (stddev_samp(ic) / sqrt(count(*))) END, 3) AS ic_t_stat FROM pic WHERE ic IS NOT NULL GROUP BY 1),\n"
+    "pwf AS MATERIALIZED (SELECT p.*, rm.sharpe_ratio AS sharpe, ic_mean, ic_t_stat FROM pok p LEFT JOIN rm ON rm.run = p.period LEFT JOIN pim USING (period))",
+)
+_PVIEWS = "binary_sig panel cal ret vix fwd"
+
+
+@query(
+    "EX09_period_walk_forward",
+    "period start:t end_date:t n_tickers:i sharpe:d4 ic_mean:d5 ic_t_stat:d3",
+    _PVIEWS,
+    "SELECT * FROM pwf",
+    _PCTES,
+)
 def _(m: Market):
     return ex.period_walk_forward(m.scored, m.panel, m.cal)
 
 
-@query("STA20_walk_forward_summary", "n_periods:i mean_sharpe:d4 pct_positive_sharpe:d4 mean_ic:d5 verdict", "", None)
+@query(
+    "STA20_walk_forward_summary",
+    "n_periods:i mean_sharpe:d4 pct_positive_sharpe:d4 mean_ic:d5 verdict",
+    _PVIEWS,
+    """SELECT *, CASE WHEN pct_positive_sharpe >= 0.6 AND mean_sharpe > 0 THEN 'PASS' WHEN pct_positive_sharpe >= 0.5 THEN 'BORDERLINE' ELSE 'FAIL' END AS verdict FROM (
+ SELECT count(*) AS n_periods, avg(sharpe) AS mean_sharpe, avg(CASE WHEN sharpe > 0 THEN 1 ELSE 0 END) AS pct_positive_sharpe, avg(ic_mean) AS mean_ic FROM pwf WHERE sharpe IS NOT NULL)""",
+    _PCTES,
+)
 def _(m: Market):
     return va.walk_forward_summary(ex.period_walk_forward(m.scored, m.panel, m.cal))
 
@@ -307,7 +343,15 @@ def _(m: Market):
     return ex.diagnostics(m.scored, m.panel, m.cal, m.vix, "lexicon", min_tickers=4)["ranked"]
 
 
-@query("BT14_strategy_variants", "variant conf:d n:i dates:i", "", None)
+@query(
+    "BT14_strategy_variants",
+    "variant conf:d n:i dates:i",
+    "scored px",
+    """SELECT 'sentiment' AS variant, conf, count(*) AS n, count(DISTINCT date) AS dates FROM (SELECT *, count(*) OVER (PARTITION BY conf, date) AS k FROM bd) WHERE k >= 4 GROUP BY conf UNION ALL
+ SELECT 'ensemble', conf, count(*), count(DISTINCT date) FROM (SELECT *, quantile_cont(dv, 0.2) OVER (PARTITION BY conf, date) AS q FROM (SELECT bd.*, close * volume AS dv FROM bd LEFT JOIN px USING (date, ticker))) WHERE dv IS NULL OR dv >= q GROUP BY conf""",
+    """bk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date, ticker ORDER BY confidence DESC, headline_id) AS rn FROM scored WHERE confidence >= 0.6::DOUBLE) WHERE rn <= 3),
+bd AS MATERIALIZED (SELECT DISTINCT conf, date, ticker FROM bk JOIN (VALUES (0.6::DOUBLE), (0.75::DOUBLE)) v(conf) ON confidence >= conf)""",
+)
 def _(m: Market):
     v = ex.variant_signals(m.scored, m.panel, m.cal, [0.60, 0.75], 4)
     return v.groupBy("variant", "conf").agg(F.count("*").alias("n"), F.count_distinct("date").alias("dates"))
