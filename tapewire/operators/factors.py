@@ -51,15 +51,17 @@ def raw_factors(panel: DataFrame, points: DataFrame, mom_window: int = 21, skip:
 def factor_matrix(signals: DataFrame, panel: DataFrame, cal: DataFrame, keys: tuple[str, ...] = (), use_volume: bool = True) -> DataFrame:
     """Attach the three z-scored factors to each (keys, date, ticker) signal row.
 
-    Standardisation covers the tickers that have a signal on that date.
+    Standardisation covers the tickers that have a signal on that date.  Factors
+    are rounded to 9 places, so equal scores rank as equal whatever order the
+    sums ran in.
     """
     signals = settle(signals)
     entered = as_of_forward(signals, cal).withColumnRenamed("entry_pos", "pos")
     raw = raw_factors(panel, entered)
     rows = entered.join(raw, ["ticker", "pos"], "left")
     group = [*keys, "date"]
-    cols: list[Column] = [zscore("momentum", group).alias("momentum"), zscore("vol_factor", group).alias("vol_factor")]
-    cols.append(zscore("liquidity", group).alias("liquidity") if use_volume else F.lit(None).cast("double").alias("liquidity"))
+    cols: list[Column] = [F.round(zscore(c, group), 9).alias(c) for c in ("momentum", "vol_factor")]
+    cols.append(F.round(zscore("liquidity", group), 9).alias("liquidity") if use_volume else F.lit(None).cast("double").alias("liquidity"))
     return rows.select(*signals.columns, *cols)
 
 
