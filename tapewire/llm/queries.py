@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewire.llm import ngram_join, substring_dedup
+from tapewire.llm import decontaminate, mixing, ngram_join, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,3 +67,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substring_dedup.remove_repeats(documents(spark, sf_dir))
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_source_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    "op7_benchmark_decontamination",
+    f"""
+WITH both_ AS (SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+words AS MATERIALIZED (SELECT k, id, {_WORDS.format(text=_LOWER.format(text="text"))} AS w FROM both_),
+shingles AS MATERIALIZED (SELECT k, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END) AS g FROM words),
+sizes AS (SELECT id, count(*) AS n FROM shingles WHERE k = 'i' GROUP BY id),
+shared AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS c FROM shingles d JOIN shingles i ON d.k = 'd' AND i.k = 'i' AND d.g = i.g GROUP BY ALL)
+SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_item, CAST(c AS BIGINT) AS n_shared, c::DOUBLE / n AS containment FROM shared JOIN sizes ON id = item_id WHERE 100 * c >= 80 * n
+""",
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
