@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewire.llm.tables import bitmap, components, in_bitmap, saved
+from tapewire.llm.tables import bitmap, components, in_bitmap, saved, small_batches
 from tapewire.llm.words import set_key, shingle_sets, slices
 
 #: Bounds of the list of frequent shingles: entries kept of a scanned block, and in all.
-FREQUENT_PER_BLOCK = 1 << 15
+FREQUENT_PER_BLOCK = 1 << 14
 FREQUENT = 1 << 17
 FREQUENT_LOCAL = 3
-BLOCK_SHINGLES = 4 << 20
+BLOCK_SHINGLES = 1 << 20
 ID_BITMAP_BITS = 26
 
 
@@ -171,6 +171,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     component and links nothing.  Rows of equal doc_id are one vertex; repeated rows stay rows.
     Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     nodes = saved(_prefixes(docs, doc_id, text, size, num, den))
     some = nodes.where("doc_id IS NOT NULL AND n > 0")
     of_set = some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("g1").alias("g1"), F.min("g2").alias("g2"))

@@ -27,6 +27,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size: rows hold whole texts, and a task keeps a batch in the
+    JVM and in Python at once."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows written as Parquet in the shared folder and read back: lineage ends here, and a
     lost executor costs no recomputation."""
