@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewire.llm.tables import bitmap, in_bitmap, saved
+from tapewire.llm.tables import bitmap, in_bitmap, saved, small_batches
 from tapewire.llm.words import shingle_sets, slices
 
 BITMAP_BITS = 26
@@ -67,6 +67,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     part in nothing.  Repeated documents or items give one row a pair; of rows with equal ids and
     different texts the best containment counts.  Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     table = saved(_item_shingles(items, item_id, item_text, size, num, den).dropDuplicates(["item_id", "variant", "n", "token"]))
     every = spark.sparkContext.broadcast(bitmap(table, "token", BITMAP_BITS))

@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapewire.llm.tables import small_batches
 from tapewire.llm.words import slices, window_hashes, window_starts
 
 DEPTH = 2
 MIN_BITS, MAX_BITS = 18, 30
 SHARD_BITS = 18
-BLOCK_WINDOWS = 4 << 20
+BLOCK_WINDOWS = 2 << 20
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -153,6 +154,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     comparison.  Rows of equal doc_id never cut each other; repeated rows are cut alike and stay
     repeated.  Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     bits = int(np.clip(np.round(np.log2(max(total, 1) / 3)), MIN_BITS, MAX_BITS))

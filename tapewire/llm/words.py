@@ -119,6 +119,14 @@ def slices(column: pa.Array | pa.ChunkedArray, lower: bool = False, hashed: bool
         i = j
 
 
+def prefix_hashes(raw: np.ndarray):
+    """A function of positions and a length: hashes of that many lower-cased bytes from each position."""
+    up, down = _power_tables(len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_MIX_LOWER[raw] * up[: len(raw)], out=total[1:])
+    return lambda at, k: mix64((total[at + k] - total[at]) * down[at] + np.uint64(k << 40))
+
+
 def window_hashes(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """One hash for each ``size`` consecutive words, across text borders too."""
     n = len(hashes) - size + 1
