@@ -22,8 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tapewire.llm.tables import small_batches
 from tapewire.llm.words import slices, window_hashes, window_starts
@@ -146,9 +148,10 @@ def _prime(n: int) -> int:
     return n
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 13) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 13, carry: list[str] | None = None, original: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for each input row; ``kept`` is the text of kept words
-    joined by one space.
+    joined by one space.  ``carry`` names columns to pass through (not doc_id, tag or shard).  With
+    ``original`` the text column is called ``text``, and uncut texts, null among them, stay as they are.
 
     A null text has no words.  A row with a null doc_id keeps all its words and takes part in no
     comparison.  Rows of equal doc_id never cut each other; repeated rows are cut alike and stay
@@ -160,7 +163,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bits = int(np.clip(np.round(np.log2(max(total, 1) / 3)), MIN_BITS, MAX_BITS))
     n_shards = max(256, total >> 21)
     n_buckets = _prime(max(64, total >> 23))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    out_name = "text" if original else "kept"
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(carry or []))
     known = rows.where("doc_id IS NOT NULL").withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int"))
     shared = spark.sparkContext.broadcast(repeated_sketch(known, "text", size, bits))
 
@@ -233,6 +237,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def apply(key, texts, spans):
         n = texts.num_rows
+        more = {c: texts.column(c) for c in carry or []}
         n_words, n_removed, kept = np.zeros(n, np.int64), np.zeros(n, np.int64), [""] * n
         if spans.num_rows:
             doc, tag, pos = _read(spans)
@@ -241,9 +246,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         else:
             doc, tag, pos = np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.int64)
         ids, tags = texts.column("doc_id").to_pylist(), texts.column("tag").to_pylist()
-        texts = texts.column("text")
+        texts = texts.column("text").combine_chunks()
+        if isinstance(texts, pa.ChunkedArray):
+            texts = pa.concat_arrays(texts.chunks)
         for k in range(n):
-            words = texts[k].as_buffer().to_pybytes().split()
+            words = texts[k].as_buffer().to_pybytes().split() if texts[k].is_valid else []
             n_words[k] = len(words)
             lo, hi = (np.searchsorted(doc, ids[k]), np.searchsorted(doc, ids[k], side="right")) if ids[k] is not None else (0, 0)
             if hi > lo:
@@ -252,9 +259,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 gone = np.cumsum(edge[: len(words)]) > 0
                 n_removed[k] = int(gone.sum())
                 words = [word for word, g in zip(words, gone.tolist(), strict=True) if not g]
-            kept[k] = b" ".join(words)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": n_words, "n_removed": n_removed, "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+            kept[k] = None if original and not n_removed[k] else b" ".join(words)
+        kept = pa.array(kept, pa.binary()).cast(pa.string())
+        if original:
+            kept = pc.if_else(pa.array(n_removed > 0), kept, texts.cast(pa.string()))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": n_words, "n_removed": n_removed, out_name: kept} | more)
 
-    spread = F.coalesce(F.pmod("doc_id", F.lit(n_buckets)), F.pmod(F.xxhash64("text"), F.lit(n_buckets)))
+    spread = F.coalesce(F.pmod("doc_id", F.lit(n_buckets)), F.pmod(F.xxhash64("text"), F.lit(n_buckets)))  # a null text hashes like any other
     left = rows.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int")).withColumn("shard", spread)
-    return left.groupBy("shard").cogroup(cuts.groupBy("shard")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, kept string")
+    schema = [StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField(out_name, StringType())]
+    schema += [docs.schema[c] for c in carry or []]
+    return left.groupBy("shard").cogroup(cuts.groupBy("shard")).applyInArrow(apply, StructType(schema))
