@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewire.llm import decontaminate, mixing, ngram_join, substring_dedup, toxicity
+from tapewire.llm import decontaminate, language, mixing, ngram_join, substring_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -96,3 +96,28 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.toxicity_labels())
     got = toxicity.score(docs.select("doc_id", "text"), chain)
     return got.select("doc_id", "p_toxic", "p_toxic_junk", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
+def crc_is(modulus: int, remainder: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", crc_is(4, 2))
+    model = language.fit(docs.where("NOT held_out"))
+    return language.predict(docs, model, "doc_id", "text", F.col("held_out"))
+
+
+@query(
+    "op10_exact_topk",
+    """
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+""",
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
