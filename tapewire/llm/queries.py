@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewire.llm import decontaminate, language, mixing, ngram_join, substring_dedup, topk, toxicity
+from tapewire.llm import decontaminate, language, mixing, ngram_join, quality, substring_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -121,3 +121,12 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", crc_is(3, 1))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~crc_is(3, 1))
+    model = quality.fit(docs.where("NOT held_out"), labels)
+    got = quality.score(docs, model, "doc_id", "text", F.col("held_out"))
+    return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
