@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewire.llm import decontaminate, language, mixing, ngram_join, quality, substring_dedup, topk, toxicity
+from tapewire.llm import decontaminate, language, mixing, ngram_join, quality, substring_dedup, token_counts, topk, toxicity
+
+#: Folder of the public tokenizer files; not part of this repository.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -130,3 +134,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs.where("NOT held_out"), labels)
     got = quality.score(docs, model, "doc_id", "text", F.col("held_out"))
     return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = token_counts.edited(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", token_counts.sample_edits())
+    return got.select("doc_id", "n_tokens", "n_tokens_after", "n_encoded", F.sha2("text_after", 256).alias("after_sha256"))
