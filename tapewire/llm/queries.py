@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewire.llm import decontaminate, language, mixing, ngram_join, quality, substring_dedup, token_counts, topk, toxicity
+from tapewire.llm import decontaminate, language, language_model, mixing, ngram_join, quality, substring_dedup, token_counts, topk, toxicity
 
 #: Folder of the public tokenizer files; not part of this repository.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -140,3 +140,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = token_counts.edited(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", token_counts.sample_edits())
     return got.select("doc_id", "n_tokens", "n_tokens_after", "n_encoded", F.sha2("text_after", 256).alias("after_sha256"))
+
+
+@query("op8_lm_scoring")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(documents(spark, sf_dir).withColumn("train", ~crc_is(7, 2)), "train")
