@@ -11,7 +11,6 @@ from tapewire import config
 from tapewire import keyword_data as kd
 from tapewire.functions.stats import clip
 
-INLINE_LIMIT = 1000
 GRAM = 5
 
 
@@ -61,29 +60,23 @@ def match_listed(news: DataFrame, keywords: list[str], text: str = "headline") -
     """One row per (headline, contained keyword), case-insensitive literal substring.
 
     A list written in the program is filtered inside the row, so nothing is
-    joined.  Longer lists go through ``match_table``.
+    joined; keyword tables go through ``match_table``.
     """
-    if len(keywords) > INLINE_LIMIT:
-        raise ValueError("use match_table for long keyword lists")
     low = F.lower(F.col(text))
     listed = _set(keywords)
     hits = F.filter(listed, lambda k: F.contains(low, F.lower(k)))
     return news.withColumn("keyword", F.explode_outer(hits)).where("keyword is not null")
 
 
-def match_table(news: DataFrame, keywords: DataFrame, text: str = "headline", inline_limit: int = INLINE_LIMIT) -> DataFrame:
+def match_table(news: DataFrame, keywords: DataFrame, text: str = "headline") -> DataFrame:
     """Same match for a keyword table of any size.
 
-    Up to ``inline_limit`` keywords (counted first) are filtered inside the row.
-    Beyond that it is an equi-join: a contained keyword's first GRAM characters
+    It is an equi-join: a contained keyword's first GRAM characters
     are one of the text's character grams, so (length, gram) is an exact join
     key and ``contains`` confirms.  Keywords shorter than GRAM use their full
     length.  Each distinct text contributes its distinct grams once.
     """
     listed = keywords.select("keyword").where(F.length("keyword") > 0).distinct()
-    few = listed.limit(inline_limit + 1).collect()
-    if len(few) <= inline_limit:
-        return match_listed(news, [r.keyword for r in few])
     kw = listed.withColumn("_kw", F.lower("keyword"))
     kw = kw.withColumn("_k", F.least(F.length("_kw"), F.lit(GRAM))).withColumn("_gram", F.substring("_kw", F.lit(1), F.col("_k")))
     low = F.col("_low")
@@ -141,21 +134,21 @@ def tfidf_weights(
     stop_words: list[str] | None = None,
     min_df: int = 2,
     max_df: float = 0.80,
-    max_features: int = 10_000,
+    max_features: int | None = None,
 ) -> DataFrame:
     """(id, term, weight, meaningful): (1+ln tf) * (ln((1+n)/(1+df))+1), unit length per document.
 
-    The vocabulary is the ``max_features`` most frequent terms within the df
-    bounds.  Its size is bounded by that parameter, so it is broadcast.  The
-    quality predicate runs on the vocabulary, not on every term occurrence.
+    The vocabulary is every term within the df bounds, or with ``max_features``
+    that many of the most frequent.  It is joined by term.  The quality predicate runs on the vocabulary, not on every term occurrence.
     """
     terms = text_terms(df, id_col, text, stop_words)
     n_docs = df.agg(F.count("*")).scalar()
     vocab = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     vocab = vocab.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-    vocab = vocab.orderBy(F.desc("total"), "term").limit(max_features)
+    if max_features is not None:
+        vocab = vocab.orderBy(F.desc("total"), "term").limit(max_features)
     idf = F.ln((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
-    rows = terms.join(F.broadcast(vocab.select("term", idf.alias("idf"), is_meaningful(F.col("term")).alias("meaningful"))), "term")
+    rows = terms.join(vocab.select("term", idf.alias("idf"), is_meaningful(F.col("term")).alias("meaningful")), "term")
     rows = rows.withColumn("raw", (1.0 + F.ln("tf")) * F.col("idf"))
     norms = rows.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return rows.join(norms, id_col).select(id_col, "term", (F.col("raw") / F.nullif("norm", F.lit(0.0))).alias("weight"), "meaningful")
@@ -193,8 +186,6 @@ def usable_weights(summary: DataFrame, floor: str = config.KEYWORD_GRADE_FLOOR,
 
 
 def _cars(weights: dict[str, float]) -> Column:
-    if len(weights) > INLINE_LIMIT:
-        raise ValueError("keyword weights are meant to be a short graded list")
     return F.array(*[F.struct(F.lit(k.lower()).alias("k"), F.lit(float(v)).alias("car")) for k, v in weights.items()])
 
 

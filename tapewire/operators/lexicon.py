@@ -3,11 +3,14 @@
 Per text: find every whole-word occurrence of every phrase, resolve overlaps in
 favour of longer phrases, flip negated phrases, add combination bonuses.  All
 steps are column expressions, so a row never leaves the JVM and texts of any
-length are scored whole.
+length are scored whole.  Each phrase that occurs costs a few passes over the
+text: it is counted and then masked, so that shorter phrases cannot use its
+characters again.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -48,10 +51,25 @@ class Lexicon:
         return sorted(rows, key=lambda r: -len(r[0]))
 
 
-def _literal_table(entries: list[tuple[str, float, str]]) -> Column:
-    """Array of (phrase, weight, side) from three joined strings; Spark folds it into one literal."""
-    part = lambda i: F.split(F.lit("\n".join(str(e[i]) for e in entries)), "\n")
-    return F.arrays_zip(part(0).alias("phrase"), part(1).cast("array<double>").alias("weight"), part(2).alias("side"))
+#: Stand for a letter and for another character of a masked phrase; no phrase holds them.
+MASK_LETTER, MASK_OTHER = "\u01c1", "\u0001"
+
+
+def _literal_table(lex: Lexicon) -> Column:
+    """Array of (phrase, weight, side, pattern, mask, flipped) from joined strings; Spark folds it into one literal.
+
+    ``pattern`` matches the whole-word phrase, ``flipped`` the token text with a negation word shortly before it.
+    """
+    rows = []
+    negations = "|".join(re.escape(w) for w in lex.negations)
+    for phrase, weight, side in lex.entries():
+        words = re.findall(TOKEN_PATTERN, phrase)
+        mask = "".join(MASK_LETTER if c.isalpha() else MASK_OTHER for c in phrase)
+        flipped = f" (?:{negations})(?: [^ ]+){{0,{lex.window - 1}}} {' '.join(map(re.escape, words))} " if words and negations else "(?!)"
+        rows.append((phrase, str(weight), side, rf"(?<!\p{{L}})\Q{phrase}\E(?!\p{{L}})", mask, flipped))
+    part = lambda i: F.split(F.lit("\n".join(r[i] for r in rows)), "\n")
+    names = ["phrase", "weight", "side", "pattern", "mask", "flipped"]
+    return F.arrays_zip(*[(part(i).cast("array<double>") if name == "weight" else part(i)).alias(name) for i, name in enumerate(names)])
 
 
 def tokens(text: Column) -> Column:
@@ -71,21 +89,6 @@ def negated(words: Column, phrase_words: Column, negations: list[str], window: i
     return (n > 0) & (F.size(words) >= n) & F.exists(starts, hit)
 
 
-def _occurrences(text: Column, entry: Column) -> Column:
-    """Whole-word 1-based start positions of ``entry.phrase`` as (start, stop) spans."""
-    size = F.length(entry["phrase"])
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-
-    def ok(i: Column) -> Column:
-        here = F.substring(text, i, size) == entry["phrase"]
-        before = (i == 1) | ~F.substring(text, i - 1, F.lit(1)).rlike(r"^\p{L}$")
-        after_at = i + size
-        after = (after_at > F.length(text)) | ~F.substring(text, after_at, F.lit(1)).rlike(r"^\p{L}$")
-        return here & before & after
-
-    return F.transform(F.filter(starts, ok), lambda i: F.struct(i.alias("start"), (i + size).alias("stop"), entry.alias("entry")))
-
-
 def score_texts(df: DataFrame, text: str = "headline", lexicon: Lexicon | None = None, dedupe: bool = False) -> DataFrame:
     """Add raw_score, normalised_score, lex_label, lex_confidence, the matched arrays and the bonuses.
 
@@ -97,29 +100,21 @@ def score_texts(df: DataFrame, text: str = "headline", lexicon: Lexicon | None =
         return df.join(score_texts(unique, text, lexicon), text, "left").select(*df.columns, *SCORE_COLUMNS)
     lex = lexicon or Lexicon()
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    table = _literal_table(lex.entries())
-    rows = df.withColumn("_low", low).withColumn("_words", tokens(F.col("_low")))
-    # Phrases present at all, longest first; then their whole-word spans.
-    present = F.filter(table, lambda e: F.contains(F.col("_low"), e["phrase"]))
-    spans = F.flatten(F.transform(present, lambda e: _occurrences(F.col("_low"), e)))
-    rows = rows.withColumn("_spans", spans)
-
-    def clashes(taken: Column, s: Column) -> Column:
-        return F.exists(
-            taken,
-            lambda t: ((t["start"] <= s["start"]) & (s["start"] < t["stop"])) | ((t["start"] < s["stop"]) & (s["stop"] <= t["stop"])),
-        )
-
-    kept = F.aggregate(
-        "_spans",
-        F.slice("_spans", 1, 0),
-        lambda taken, s: F.when(clashes(taken, s), taken).otherwise(F.concat(taken, F.array(s))),
-    )
+    rows = df.withColumn("_low", low).withColumn("_words", F.concat(F.lit(" "), F.array_join(tokens(F.col("_low")), " "), F.lit(" ")))
+    # Phrases present at all, longest first; each is counted in what longer ones left, then masked.
+    present = F.filter(_literal_table(lex), lambda e: F.contains(F.col("_low"), e["phrase"]))
+    none = F.transform(F.slice(present, 1, 0), lambda e: F.struct(e.alias("entry"), F.lit(0).alias("n")))
+
+    def take(state: Column, e: Column) -> Column:
+        found = F.struct(e.alias("entry"), F.regexp_count(state["text"], e["pattern"]).alias("n"))
+        return F.struct(F.regexp_replace(state["text"], e["pattern"], e["mask"]).alias("text"), F.concat(state["found"], F.array(found)).alias("found"))
+
+    kept = F.aggregate(present, F.struct(F.col("_low").alias("text"), none.alias("found")), take, lambda state: F.filter(state["found"], lambda f: f["n"] > 0))
     rows = rows.withColumn("_kept", kept)
 
-    def value(s: Column) -> Column:
-        flip = negated(F.col("_words"), tokens(s["entry"]["phrase"]), lex.negations, lex.window)
-        return s["entry"]["weight"] * F.when(flip, lex.negation_factor).otherwise(1.0)
+    def value(f: Column) -> Column:
+        flip = F.regexp_like(F.col("_words"), f["entry"]["flipped"])
+        return f["n"] * f["entry"]["weight"] * F.when(flip, lex.negation_factor).otherwise(1.0)
 
     base = F.aggregate(F.transform("_kept", value), F.lit(0.0), lambda a, v: a + v)
 
@@ -138,7 +133,8 @@ def score_texts(df: DataFrame, text: str = "headline", lexicon: Lexicon | None =
     rows = rows.withColumn("normalised_score", F.tanh(F.col("raw_score") / 5.0))
 
     def matched(side: str) -> Column:
-        return F.transform(F.filter("_kept", lambda s: s["entry"]["side"] == side), lambda s: s["entry"]["phrase"])
+        own = F.filter("_kept", lambda f: f["entry"]["side"] == side)
+        return F.flatten(F.transform(own, lambda f: F.array_repeat(f["entry"]["phrase"], f["n"])))
 
     norm = F.col("normalised_score")
     return rows.select(

@@ -193,7 +193,7 @@ def run_metrics(trades: DataFrame, keys: list[str] | None = None, min_ic: int =
     s = _period_stats(pnl, keys, config.TRADING_DAYS / F.col("hold_days"))
     s = s.withColumn("ann", F.pow(1 + F.col("tot"), F.col("py") / F.greatest(F.col("n_periods"), F.lit(1))) - 1)
     # A run's trades are bounded by days x tickers per side.
-    ic = spearman(trades, keys, "signal", "period_return").where(F.col("n") >= min_ic)
+    ic = spearman(trades, keys, "signal", "period_return", bounded=True).where(F.col("n") >= min_ic)
     hits = F.avg((F.signum("position") * F.col("period_return") > 0).cast("double"))
     side = trades.groupBy(*keys).agg(hits.alias("hit"), F.count("*").alias("n_trades"))
     m = s.join(side, keys).join(ic.select(*keys, "n", "ic"), keys, "left").join(positions_per_side(trades, keys), keys)
@@ -244,7 +244,7 @@ def trade_metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
     pnl = period_pnl(trades, keys).join(gap_frequency(trades, keys), keys)
     s = _period_stats(pnl, keys, F.col("per_year"))
     s = s.withColumn("ann", F.pow(1 + F.col("tot"), F.col("py") / F.greatest(F.lit(1), F.col("n_periods"))) - 1)
-    ic = spearman(trades, keys, "signal", "period_return").where(F.col("n") > 10).select(*keys, "ic")
+    ic = spearman(trades, keys, "signal", "period_return", bounded=True).where(F.col("n") > 10).select(*keys, "ic")
     part = F.avg("participation_proxy") if "participation_proxy" in trades.columns else F.lit(None).cast("double")
     side = trades.groupBy(*keys).agg(F.count("*").alias("trade_count"), part.alias("part"))
     m = s.join(side, keys).join(ic, keys, "left")

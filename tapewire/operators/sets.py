@@ -35,12 +35,14 @@ def source_weight(source: Column | str, weights: dict[str, float] | None = None)
     return F.coalesce(F.try_element_at(lookup, col), F.lit(config.DEFAULT_SOURCE_WEIGHT))
 
 
-def drop_syndicated(news: DataFrame, keys: list[str] | None = None, prefix: int = 60) -> DataFrame:
-    """One row per first ``prefix`` lower-case characters: the most credible source wins.
+def drop_syndicated(news: DataFrame, keys: list[str] | None = None, prefix: int | None = None) -> DataFrame:
+    """One row per lower-case headline: the most credible source wins.
 
-    The prefix is the duplicate key itself, not a cut of the stored text.
+    The duplicate key is the digest of the whole headline, or of its first ``prefix`` characters where a
+    feed cuts its headlines.
     """
-    rows = news.withColumn("_head", F.substring(F.lower("headline"), 1, prefix)).withColumn("_w", source_weight("source"))
+    head = F.lower("headline") if prefix is None else F.substring(F.lower("headline"), 1, prefix)
+    rows = news.withColumn("_head", F.sha2(head, 256)).withColumn("_w", source_weight("source"))
     order = [F.desc("_w"), F.desc("date"), F.col("headline")]
     if "headline_id" in news.columns:
         order.append(F.col("headline_id"))

@@ -14,8 +14,8 @@ from tapewire.functions.stats import clip
 from tapewire.rule_data import REGIME_BIAS, RULES, SECTOR_MEMBERS
 
 
-def _words(text: str) -> Column:
-    return F.array(*[F.lit(w) for w in text.split()]).cast("array<string>")
+def _words(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words]).cast("array<string>")
 
 
 def _rule_table() -> Column:
@@ -73,13 +73,13 @@ def chain_features(context: DataFrame) -> DataFrame:
     )
 
 
-def ticker_sectors(ticker: Column, members: dict[str, str] | None = None) -> Column:
+def ticker_sectors(ticker: Column, members: dict[str, list[str]] | None = None) -> Column:
     """Sector proxies that list the ticker, plus the ticker itself."""
     table = members if members is not None else SECTOR_MEMBERS
     own = F.upper(ticker)
     by_ticker: dict[str, list[str]] = {}
     for sector, names in table.items():
-        for name in names.split():
+        for name in names:
             by_ticker.setdefault(name.upper(), []).append(sector)
     lookup = F.create_map(*[x for t, s in by_ticker.items() for x in (F.lit(t), F.array(*[F.lit(v) for v in s]))])
     return F.concat(F.coalesce(F.try_element_at(lookup, own), F.array().cast("array<string>")), F.array(own))

@@ -21,11 +21,10 @@ _CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
 CTES: dict[str, tuple[str, str]] = {
     "px": (
         "",
-        """SELECT CAST(l_shipdate AS DATE) AS date, p_brand AS ticker,
+        """SELECT CAST(l_shipdate AS DATE) + CASE isodow(l_shipdate) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS date, p_brand AS ticker,
  100.0::DOUBLE + CAST(SUM(CAST(round(l_discount*100) AS BIGINT) - CAST(round(l_tax*100) AS BIGINT)) AS DOUBLE) / COUNT(*) AS close,
  SUM(l_quantity) AS volume
- FROM lineitem JOIN part ON l_partkey = p_partkey
- WHERE isodow(l_shipdate) <= 5 GROUP BY 1, 2""",
+ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
     ),
     "cal": ("px", "SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM px)"),
     "panel": ("px cal", "SELECT px.*, cal.pos FROM px JOIN cal USING (date)"),

@@ -259,8 +259,7 @@ def _(m: Market):
 
 @query("STA18_reality_check", "best_strategy best_sharpe:d4 p_value:d4 boot_mean:d4 boot_std:d4 boot_95pct:d4 n_strategies:i n_periods:i n_boot:i", "", None)
 def _(m: Market):
-    trades = ls.long_short(ls.with_strategies(gated(m), _FOUR), m.panel, m.cal, m.vix)
-    return ex.reality_check(ex.aligned_returns(trades), draws=500)
+    return ex.reality_check(ex.aligned_returns(grid_trades(m)), draws=2000)
 
 
 @query(

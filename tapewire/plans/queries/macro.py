@@ -16,7 +16,7 @@ from tapewire.rule_data import REGIMES, RULES, SHOCKS
 
 # Proxy members by brand number: the i-th proxy lists every brand whose number is i modulo 8.
 PROXIES = ["XLE", "XLB", "JETS", "XLY", "XLF", "XLK", "XLV", "TLT"]
-MEMBERS = {p: " ".join(f"Brand#{b}" for b in range(1, 26) if b % len(PROXIES) == i) for i, p in enumerate(PROXIES)}
+MEMBERS = {p: [f"Brand#{b}" for b in range(1, 26) if b % len(PROXIES) == i] for i, p in enumerate(PROXIES)}
 
 
 def dates(m: Market):
@@ -120,10 +120,10 @@ def _(m: Market):
 
 
 _RULES = ", ".join(
-    f"('{k}', '{d}', '{s}', {i}, {risk}, {pos.split()}, {neg.split() or '[]::VARCHAR[]'}, '{first.replace('_', ' ').title()} — {trig.split('(')[0].strip()}', '{second.replace('_', ' ').replace('-', ' ')}')"
+    f"('{k}', '{d}', '{s}', {i}, {risk}, {pos}, {neg or '[]::VARCHAR[]'}, '{first.replace('_', ' ').title()} — {trig.split('(')[0].strip()}', '{second.replace('_', ' ').replace('-', ' ')}')"
     for i, (k, d, s, trig, first, second, pos, neg, risk) in enumerate(RULES)
 )
-_PROXY = ", ".join(f"('{t}', '{p}')" for p, names in MEMBERS.items() for t in names.split())
+_PROXY = ", ".join(f"('{t}', '{p}')" for p, names in MEMBERS.items() for t in names)
 EVENTS = (
     SNAP
     + ",\n"

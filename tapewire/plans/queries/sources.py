@@ -206,7 +206,7 @@ def _(m: Market):
     return m.news.groupBy(so.error_code(F.col("headline")).alias("code")).agg(F.count("*").alias("n"))
 
 
-@query("SF03_cache_key", "headline cache_key", "news", "SELECT DISTINCT headline, substr(sha256(headline || '|m'), 1, 16) AS cache_key FROM news")
+@query("SF03_cache_key", "headline cache_key", "news", "SELECT DISTINCT headline, sha256(headline || '|m') AS cache_key FROM news")
 def _(m: Market):
     return m.news.select("headline").distinct().withColumn("cache_key", so.cache_key("headline", "m"))
 

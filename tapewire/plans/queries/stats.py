@@ -93,11 +93,11 @@ def _(m: Market):
     "STA07_daily_ic",
     "date:t n:i ic:d",
     "capped cal fwd",
-    "SELECT date, n, ic FROM s WHERE n >= 4 AND ic IS NOT NULL",
+    "SELECT date, n, ic FROM s WHERE n >= 5 AND ic IS NOT NULL",
     _DAILY + ",\ns AS (" + spearman_sql("dsig", "date", "signal", "return_lag_1") + ")",
 )
 def _(m: Market):
-    return va.daily_ic(daily(m), "return_lag_1", min_names=4)
+    return va.daily_ic(daily(m), "return_lag_1")
 
 
 @query(
@@ -105,11 +105,11 @@ def _(m: Market):
     "mean_ic:d std_ic:d n_ic:i icir:d t_stat:d",
     "capped cal fwd",
     """SELECT avg(ic) AS mean_ic, stddev_samp(ic) AS std_ic, count(*) AS n_ic, avg(ic) / stddev_samp(ic) AS icir, avg(ic) / (stddev_samp(ic) / sqrt(count(*))) AS t_stat
- FROM s WHERE n >= 4 AND ic IS NOT NULL""",
+ FROM s WHERE n >= 5 AND ic IS NOT NULL""",
     _DAILY + ",\ns AS (" + spearman_sql("dsig", "date", "signal", "return_lag_1") + ")",
 )
 def _(m: Market):
-    return va.ic_summary(va.daily_ic(daily(m), "return_lag_1", min_names=4))
+    return va.ic_summary(va.daily_ic(daily(m), "return_lag_1"))
 
 
 _QUANT = """v AS (SELECT * FROM dsig WHERE return_lag_1 IS NOT NULL),

@@ -131,7 +131,7 @@ def _(m: Market):
 def _(m: Market):
     words = m.news.select(F.explode(F.split(F.lower("headline"), " ")).alias("keyword")).distinct()
     # A limit of 0 forces the join path that a long keyword table takes.
-    return kw.match_table(m.news.select("headline"), words, inline_limit=0).groupBy("keyword").agg(F.count("*").alias("n"))
+    return kw.match_table(m.news.select("headline"), words).groupBy("keyword").agg(F.count("*").alias("n"))
 
 
 _ALIASES = {"Brand#1": [], "Brand#2": ["guidance"], "GS": ["Goldman Sachs", "Goldman"], "SEC": []}
@@ -155,7 +155,7 @@ _STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in kw.domain_
 _TERMS = f"""tw AS MATERIALIZED (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({_STOP_SQL}, w)) AS ws FROM documents),
 tt AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM tw UNION ALL
  SELECT doc_id, ws[i] || ' ' || ws[i + 1] AS term FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM tw)) GROUP BY 1, 2),
-vo AS MATERIALIZED (SELECT term, count(*) AS df, sum(tf) AS total FROM tt GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.8::DOUBLE * (SELECT count(*) FROM documents) ORDER BY total DESC, term LIMIT 10000),
+vo AS MATERIALIZED (SELECT term, count(*) AS df, sum(tf) AS total FROM tt GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.8::DOUBLE * (SELECT count(*) FROM documents)),
 raw AS MATERIALIZED (SELECT doc_id, term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS raw FROM tt JOIN vo USING (term)),
 tfidf AS MATERIALIZED (SELECT doc_id, term, raw / norm AS weight FROM raw JOIN (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM raw GROUP BY 1) USING (doc_id))"""
 
@@ -296,7 +296,7 @@ def _(m: Market):
     "TX13_syndication_dedup",
     "ticker headline source",
     "news",
-    """SELECT ticker, headline, source FROM (SELECT *, row_number() OVER (PARTITION BY ticker, substr(lower(headline), 1, 60) ORDER BY
+    """SELECT ticker, headline, source FROM (SELECT *, row_number() OVER (PARTITION BY ticker, lower(headline) ORDER BY
  CASE source WHEN 'sec_edgar' THEN 1.0 WHEN 'reuters' THEN 0.9 WHEN 'guardian' THEN 0.8 WHEN 'newsapi' THEN 0.6 ELSE 0.3 END DESC, date DESC, headline, headline_id) AS rn FROM news) WHERE rn = 1""",
 )
 def _(m: Market):

@@ -297,7 +297,7 @@ def _(m: Market):
     return rows.groupBy("ticker").agg(F.count("*").alias("n"))
 
 
-_WEEKDAYS = """wk AS (SELECT CAST(d AS DATE) AS d, sum(CASE WHEN isodow(d) <= 5 THEN 1 ELSE 0 END) OVER (ORDER BY d) AS upto
+_WEEKDAYS = """wk AS MATERIALIZED (SELECT CAST(d AS DATE) AS d, sum(CASE WHEN isodow(d) <= 5 THEN 1 ELSE 0 END) OVER (ORDER BY d) AS upto
  FROM (SELECT unnest(generate_series(TIMESTAMP '1994-01-01', TIMESTAMP '2004-12-31', INTERVAL 1 DAY)) AS d))"""
 
 
@@ -317,8 +317,8 @@ REBALANCE_CTES = (
     "/*RECURSIVE_MARK*/"
     + _WEEKDAYS
     + """,
-sdays AS (SELECT DISTINCT hold, date FROM capped CROSS JOIN (SELECT unnest([1, 2, 5]) AS hold)),
-nxt AS (SELECT a.hold, a.date, min(b.date) AS nd FROM sdays a JOIN sdays b ON b.hold = a.hold AND b.date > a.date JOIN wk wa ON wa.d = a.date - 1 JOIN wk wb ON wb.d = b.date
+sdays AS MATERIALIZED (SELECT DISTINCT hold, date FROM capped CROSS JOIN (SELECT unnest([1, 2, 5]) AS hold)),
+nxt AS MATERIALIZED (SELECT a.hold, a.date, min(b.date) AS nd FROM sdays a JOIN sdays b ON b.hold = a.hold AND b.date > a.date JOIN wk wa ON wa.d = a.date - 1 JOIN wk wb ON wb.d = b.date
  WHERE wb.upto - wa.upto - 1 >= a.hold GROUP BY 1, 2),
 reb AS (SELECT hold, min(date) AS date, 1 AS rebalance_no FROM sdays GROUP BY 1 UNION ALL
  SELECT reb.hold, nxt.nd, rebalance_no + 1 FROM reb JOIN nxt ON nxt.hold = reb.hold AND nxt.date = reb.date)"""
@@ -638,10 +638,9 @@ def _(m: Market):
 
 @query(
     "SO01_newest_first",
-    "rn:i date:t headline_id:i",
+    "date:t headline_id:i headline",
     "news",
-    "SELECT row_number() OVER (ORDER BY date DESC, headline_id) AS rn, date, headline_id FROM news ORDER BY rn LIMIT 50",
+    "SELECT date, headline_id, headline FROM news ORDER BY date DESC, headline_id",
 )
 def _(m: Market):
-    top = m.news.orderBy(F.desc("date"), "headline_id").limit(50)
-    return top.withColumn("rn", F.row_number().over(W.orderBy(F.desc("date"), "headline_id")))
+    return m.news.orderBy(F.desc("date"), "headline_id")

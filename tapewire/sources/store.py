@@ -102,9 +102,9 @@ def error_code(message: Column) -> Column:
 
 
 def cache_key(text: Column | str, model: str) -> Column:
-    """First 16 hex digits of SHA-256 of ``text|model``."""
+    """SHA-256 of ``text|model`` in hex, whole: a shorter key would give texts each other's labels."""
     col = F.col(text) if isinstance(text, str) else text
-    return F.substring(F.sha2(F.concat_ws("|", col, F.lit(model)), 256), 1, 16)
+    return F.sha2(F.concat_ws("|", col, F.lit(model)), 256)
 
 
 def merge_cache(old: DataFrame, new: DataFrame) -> DataFrame:

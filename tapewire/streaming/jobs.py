@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tapewire import config
 from tapewire.functions.labels import signal_of
 from tapewire.schemas import NEWS
-from tapewire.sources.store import cache_key, score_with_cache
+from tapewire.sources.store import cache_key
 
 
 def read_news_stream(spark: SparkSession, path: str, schema=NEWS, max_files: int = 1000) -> DataFrame:
@@ -42,24 +42,28 @@ def news_volume_stream(news: DataFrame, window: str = "30 days", step: str = "1
 def incremental_scorer(spark: SparkSession, cache_path: str, scorer: Callable[[DataFrame], DataFrame], model: str, out_path: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch body: score unseen headlines once, append them to the cache, write the scored batch.
 
-    The batch id names both output folders, so a repeated batch overwrites itself.
+    The batch id names both output folders.  A repeated batch sees the cache of all other batches only, so
+    it scores the same texts again and overwrites what its first attempt left, whole or not.
     """
     schema = "cache_key string, label_name string, confidence double"
+    stored = schema + ", batch long"
 
     def body(batch: DataFrame, batch_id: int) -> None:
         try:
-            cache = spark.read.schema(schema).option("basePath", cache_path).parquet(cache_path).where(F.col("cache_key").isNotNull())
+            cache = spark.read.schema(stored).option("basePath", cache_path).parquet(cache_path).where(F.col("cache_key").isNotNull() & (F.col("batch") != batch_id))
         except Exception as exc:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(exc):
                 raise
-            cache = spark.createDataFrame([], schema)
-        cache = cache.select("cache_key", "label_name", "confidence").dropDuplicates(["cache_key"])
+            cache = spark.createDataFrame([], stored)
         keyed = batch.withColumn("cache_key", cache_key("headline", model))
-        unseen = keyed.select("cache_key", "headline").dropDuplicates(["cache_key"]).join(cache.select("cache_key"), "cache_key", "left_anti")
+        asked = keyed.select("cache_key", "headline").dropDuplicates(["cache_key"])
+        cache = cache.join(asked.select("cache_key"), "cache_key", "left_semi").select("cache_key", "label_name", "confidence").dropDuplicates(["cache_key"])
+        unseen = asked.join(cache.select("cache_key"), "cache_key", "left_anti")
         fresh = scorer(unseen).select("cache_key", "label_name", "confidence")
         fresh.write.mode("overwrite").parquet(f"{cache_path}/batch={batch_id}")
-        known = cache.unionByName(spark.read.parquet(f"{cache_path}/batch={batch_id}")).dropDuplicates(["cache_key"])
-        scored, _ = score_with_cache(batch, known, lambda df: df.withColumn("label_name", F.lit("")).withColumn("confidence", F.lit(0.0)), model)
+        known = cache.unionByName(spark.read.schema(schema).parquet(f"{cache_path}/batch={batch_id}"))
+        scored = keyed.join(known, "cache_key", "left")
+        scored = scored.withColumn("label_name", F.coalesce("label_name", F.raise_error(F.lit("a text of the batch has no score"))))
         scored.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return body
