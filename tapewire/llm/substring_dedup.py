@@ -40,7 +40,7 @@ _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 def _pack(x: np.ndarray) -> bytes:
     """Sorted small integers as differences of one or two bytes; the largest value carries on."""
     gap = np.diff(x, prepend=0)
-    base, kind = (255, np.uint8) if len(x) == 0 or x[-1] < 120 * len(x) else (65535, np.uint16)
+    base, kind = (255, np.uint8) if len(x) == 0 or x[-1] < 250 * len(x) else (65535, np.uint16)
     over = gap // base
     out = np.full(len(x) + int(over.sum()), base, kind)
     out[np.arange(len(x)) + np.cumsum(over)] = gap % base
