@@ -114,7 +114,7 @@ def test_queries_match_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    want = con.execute(ORACLE_SQL[name]).fetch_arrow_table().to_pylist()
+    want = con.execute(ORACLE_SQL[name]).to_arrow_table().to_pylist()
     got = [r.asDict() for r in QUERIES[name](spark, sf_dir).collect()]
     key = lambda r: tuple((c, r[c]) for c in sorted(r))
     assert sorted(map(key, got)) == sorted(map(key, want))
