@@ -11,9 +11,10 @@ Two linked sets must share a shingle of their prefixes (the first ``n - ceil(t n
    to their distinct sets and verified on the exact sets.
 
 Equal sets are never paired with each other, and no bucket emits all its pairs: first each bucket is
-verified against its smallest group only.  Links inside a connected component cannot change
-components, so a second step pairs only sets of a bucket that are in different components by then.
-All links between components are found that way; component ids are those of the full join.
+verified against its smallest group only, then, while it holds sets of several components, against a
+few more of its sets.  Links inside a connected component cannot change components, so at last only
+sets of a bucket that are in different components by then are paired.  All links between components
+are found that way; component ids are those of the full join.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ FREQUENT = 1 << 17
 FREQUENT_LOCAL = 3
 BLOCK_SHINGLES = 1 << 20
 ID_BITMAP_BITS = 26
+#: Turns in which each bucket is verified against one more of its sets, before the rest is paired.
+PIVOT_TURNS = 3
 
 
 def _signed(x: np.ndarray | list) -> pa.Array:
@@ -195,25 +198,33 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     inside = in_group.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
     pairs = saved(pivots.unionAll(inside).distinct())
     links = saved(_verified(docs, doc_id, text, pairs, size, num, den))
-    label = saved(components(links))
-
-    def labelled(df: DataFrame, column: str) -> DataFrame:
-        got = label.select(F.col("vertex").alias(column), F.col("component"))
-        return df.join(got, column, "left").withColumn("component", F.coalesce("component", column))
-
-    # sets of one bucket or one group that are in different components
-    by_set = in_group.withColumnsRenamed({"n": "n_"})
-    entry = labelled(bucket.select("token", "gid", "n", "pos").join(by_set, "gid").where("n = n_").select("token", "rep", "n", "pos"), "rep")
-    entry = entry.select("token", "rep", "n", "pos", "component")
-    own = labelled(in_group.select((-F.xxhash64("gid", "n")).alias("token"), "rep", "n", F.lit(0).alias("pos")), "rep").select("token", "rep", "n", "pos", "component")
-    entry = entry.unionAll(own)
-    mixed = entry.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("token")
-    entry = saved(entry.join(mixed, "token"))
-    each = entry.select("token", "component").distinct()
+
+    # what a bucket or a group holds, by set; a group is a bucket of its own
+    by_set = in_group.withColumnRenamed("n", "n_")
+    held = bucket.select("token", "gid", "n", "pos").join(by_set, "gid").where("n = n_").select("token", "rep", "n", "pos")
+    held = held.unionAll(in_group.select((-F.xxhash64("gid", "n")).alias("token"), "rep", "n", F.lit(0).alias("pos")))
+    for turn in range(PIVOT_TURNS + 1):
+        label = components(links).withColumnRenamed("vertex", "rep")
+        entry = held.join(label, "rep", "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("component"))
+        mixed = entry.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("token")
+        held = saved(entry.join(mixed, "token"))  # a bucket within one component is done
+        if turn == PIVOT_TURNS:
+            break
+        # every set of a bucket against a member drawn by hash
+        drawn = held.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep").alias("r"), F.col("n").alias("m"), F.col("pos").alias("p"), F.col("component").alias("c"))).alias("low"))
+        tried = held.join(drawn, "token").where("component <> low.c").where(fits("n", "pos", "low.m", "low.p"))
+        tried = tried.select(F.least("rep", "low.r").alias("a"), F.greatest("rep", "low.r").alias("b")).distinct()
+        tried = saved(tried.join(pairs, ["a", "b"], "left_anti"))
+        pairs = pairs.unionAll(tried)
+        links = links.unionAll(saved(_verified(docs, doc_id, text, tried, size, num, den)))
+        held = held.drop("component")
+
+    # what is left: all pairs of sets of a bucket that are in different components
+    each = held.select("token", "component").distinct()
     two = each.select("token", F.col("component").alias("c1")).join(each.select("token", F.col("component").alias("c2")), "token").where("c1 < c2")
-    side = lambda k: entry.select("token", F.col("component").alias(f"c{k}"), F.col("rep").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}"))
+    side = lambda k: held.select("token", F.col("component").alias(f"c{k}"), F.col("rep").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}"))
     cross = two.join(side(1), ["token", "c1"]).join(side(2), ["token", "c2"]).where(fits("n1", "p1", "n2", "p2"))
-    cross = saved(cross.select(F.col("r1").alias("a"), F.col("r2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    cross = saved(cross.select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
     more = _verified(docs, doc_id, text, cross, size, num, den)
 
     # rows of equal doc_id with different sets are one vertex
