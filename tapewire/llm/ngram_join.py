@@ -1,10 +1,10 @@
 """N-gram Jaccard join by a grouped prefix join.
 
 Two documents link when the Jaccard similarity of their sets of word shingles reaches a threshold
-``num / den``.  Shingles have one global order: rare ones first, the known frequent ones last.
+``num / den``.  Shingles have one global order: rare ones first, frequent ones last.
 Two linked sets must share a shingle of their prefixes (the first ``n - ceil(t n) + 1``), so:
 
-1. one scan finds frequent shingles (a bounded list that only affects speed, never results);
+1. one scan counts shingles in hashed counters of fixed size (the order affects speed, never results);
 2. one scan writes for each document its set's size, key and prefix;
 3. sets with the same prefix and size form a group; groups, not documents, enter the prefix join;
 4. group pairs that share a prefix shingle pass the size and the positional filter, are expanded
@@ -26,25 +26,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapewire.llm.substring_dedup import SHARD_BITS, _pack, _unpack
 from tapewire.llm.tables import bitmap, components, in_bitmap, saved, small_batches
 from tapewire.llm.words import set_key, shingle_sets, slices
 
-#: Bounds of the list of frequent shingles: entries kept of a scanned block, and in all.
-FREQUENT_PER_BLOCK = 1 << 14
-FREQUENT = 1 << 17
-FREQUENT_LOCAL = 3
+#: Hashed counters that order shingles by frequency: 2**COUNTER_BITS bytes are broadcast.
+COUNTER_BITS = 24
 BLOCK_SHINGLES = 1 << 20
 ID_BITMAP_BITS = 26
 #: Turns in which each bucket is verified against one more of its sets, before the rest is paired.
-PIVOT_TURNS = 3
+PIVOT_TURNS = 1
 
 
 def _signed(x: np.ndarray | list) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64), pa.int64())
 
 
-def frequent_shingles(docs: DataFrame, text: str, size: int) -> np.ndarray:
-    """Frequent shingles, most frequent last; at most ``FREQUENT``."""
+def _cells(h: np.ndarray) -> np.ndarray:
+    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def shingle_frequency(docs: DataFrame, text: str, size: int) -> np.ndarray:
+    """One byte for each of ``2**COUNTER_BITS`` hashed counters: how many sets touch it, on a log scale."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -52,17 +55,17 @@ def frequent_shingles(docs: DataFrame, text: str, size: int) -> np.ndarray:
         n = 0
 
         def flush():
-            token, c = np.unique(np.concatenate(held), return_counts=True)
-            keep = np.flatnonzero(c >= FREQUENT_LOCAL)
-            if len(keep) > FREQUENT_PER_BLOCK:
-                keep = keep[np.argpartition(-c[keep], FREQUENT_PER_BLOCK)[:FREQUENT_PER_BLOCK]]
-            return pa.record_batch({"token": _signed(token[keep]), "n": pa.array(c[keep], pa.int64())})
+            x = np.sort(_cells(np.concatenate(held)))
+            shard = x >> SHARD_BITS
+            at = np.flatnonzero(np.diff(shard, prepend=-1))
+            blobs = [_pack(x[lo:hi] & ((1 << SHARD_BITS) - 1)) for lo, hi in zip(at, [*at[1:], len(x)], strict=True)]
+            return pa.record_batch({"shard": pa.array(shard[at], pa.int64()), "at": pa.array(blobs, pa.binary())})
 
         for batch in batches:
             for w in slices(batch.column(0), lower=True):
                 for s in shingle_sets(w, size):
                     key = int(set_key(s))
-                    if len(s) and key not in seen:
+                    if len(s) and key not in seen:  # copies are one group later
                         seen.add(key)
                         held.append(s)
                         n += len(s)
@@ -72,36 +75,37 @@ def frequent_shingles(docs: DataFrame, text: str, size: int) -> np.ndarray:
         if held:
             yield flush()
 
-    top = docs.select(text).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
-    rows = top.toPandas()
-    return rows["token"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+    def merge(key, table):
+        total = np.zeros(1 << SHARD_BITS, np.int64)
+        for blob in table.column("at").to_pylist():
+            total += np.bincount(_unpack(blob), minlength=1 << SHARD_BITS)
+        scale = np.minimum(255, np.round(6 * np.log2(1 + total))).astype(np.uint8)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "at": pa.array([scale.tobytes()], pa.binary())})
+
+    schema = "shard long, at binary"
+    parts = docs.select(text).mapInArrow(count, schema).groupBy("shard").applyInArrow(merge, schema).toArrow()
+    out = np.zeros(1 << COUNTER_BITS, np.uint8)
+    for shard, blob in zip(parts["shard"].to_pylist(), parts["at"], strict=True):
+        out[shard << SHARD_BITS : (shard + 1) << SHARD_BITS] = np.frombuffer(blob.as_buffer(), np.uint8)
+    return out
 
 
 def _prefixes(docs: DataFrame, doc_id: str, text: str, size: int, num: int, den: int) -> DataFrame:
-    frequent = frequent_shingles(docs, text, size)
-    order = np.argsort(frequent)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
+    shared = docs.sparkSession.sparkContext.broadcast(shingle_frequency(docs, text, size))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, rank = shared.value
+        frequency = shared.value
         for batch in batches:
             ids = batch.column(0)
             for w in slices(batch.column(1), lower=True):
                 sets = shingle_sets(w, size)
                 every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                at = np.searchsorted(tokens, every)
-                at[at == len(tokens)] = 0
-                hit = tokens[at] == every if len(tokens) else np.zeros(len(every), bool)
+                often = frequency[_cells(every)]
                 n, s1, s2, g1, g2, prefix, lo = [], [], [], [], [], [], 0
                 for s in sets:
                     hi = lo + len(s)
-                    h = hit[lo:hi]
                     p = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
-                    if h.any():
-                        last = s[h][np.argsort(rank[at[lo:hi][h]], kind="stable")]
-                        head = np.concatenate((s[~h], last))[:p]
-                    else:
-                        head = s[:p]
+                    head = s[np.argsort(often[lo:hi], kind="stable")[:p]]  # sets are sorted by hash: ties stay so
                     n.append(len(s))
                     s1.append(set_key(s))
                     s2.append(set_key(s, 1))
