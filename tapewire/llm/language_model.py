@@ -1,20 +1,25 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-Tokens are the lower-cased words of a text and one end.  A restaurant stands for a context, the class of
-the token before (``CONTEXTS`` hashed classes; at a text's start the end token's).  All context restaurants
-share one parent, the restaurant of single tokens, whose base is uniform over the vocabulary and one
-unseen token.  Tables of a context restaurant are customers of its parent.
+Tokens are the lower-cased words of a text and one end.  A restaurant stands for a context, the token before
+(at a text's start the end token): 48 bits of its hash.  All context restaurants share one parent, the restaurant
+of single tokens, whose base is uniform over the vocabulary and one unseen token.  Tables of a context
+restaurant are customers of its parent.
 
 Seating is sampled by Gibbs sweeps.  In a sweep the customers of every (context, token) are seated anew by
 the Chinese-restaurant rule, given the tables of the context and the parent's probabilities from the sweep
 before; then the parent's customers.  From ``EXACT_SEATS`` customers on, groups of a sixteenth of those
-seated are seated at once.  Data are sharded by token, so a shard holds all customers of its tokens, and only
-table counts by context (a list of ``CONTEXTS`` numbers) are summed between sweeps.  A hot token is counted
-before it is shuffled.  Random numbers depend on shard and sweep alone: a repeated task seats alike, and a
-later job replays the sweeps from the table counts instead of storing seatings.
-
-The score averages the predictive probabilities of the last ``SAMPLES`` sweeps for each token and sums
-their log10 by document.  All counts are of the whole corpus.
+seated are seated at once.
+
+Three kinds of parts have one partitioner, so that what was shuffled once is read again without a shuffle:
+blocks of documents, shards of tokens, which hold all pairs with these tokens, and shards of contexts.  A block
+sends each of its pairs once, with the count in training texts, which may be 0.  A token shard sends the contexts
+of its pairs once and after each sweep the tables by context, without the keys; context shards add them and send
+the sums back in the same order.  Random numbers depend on shard and sweep alone: a repeated task seats alike, and
+a later job replays the sweeps from the table counts instead of storing seatings.  Only sums over all shards
+reach the driver.
+
+The score averages the predictive probabilities of the last ``SAMPLES`` sweeps for each pair.  Shards send its
+log10 back to the blocks, which sum by document.  All counts are of the whole corpus.
 """
 
 from __future__ import annotations
@@ -23,37 +28,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import RDD, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewire.llm.tables import saved, small_batches
-from tapewire.llm.words import mix64, slices
+from tapewire.llm.tables import small_batches
+from tapewire.llm.words import slices
 
-CONTEXT_BITS = 10
-CONTEXTS = 1 << CONTEXT_BITS
 SWEEPS, SAMPLES = 3, 2
 EXACT_SEATS = 256
 STRENGTH = 1.0
 BLOCK_TOKENS = 2 << 20
 MIN_SHARDS, SHARD_BYTES = 48, 1 << 24
-_LOW = np.uint64(CONTEXTS - 1)
+CONTEXT_BYTES = 6
+_SLOT = np.uint64(1023)
 _END = np.uint64(0x5EED0F7E47E4D000)
 
 
-def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, token bounds, token keys) of slices; a key is 54 bits of token and the context class."""
+def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, token bounds, tokens, tokens before) of slices."""
     for w in slices(column, lower=True):
         n = np.diff(w.bounds)
         bounds = w.bounds + np.arange(len(w.bounds))
         token = np.full(int(bounds[-1]), _END)
         token[np.arange(len(w.hashes)) + np.repeat(np.arange(w.n_docs), n)] = w.hashes
-        before = np.concatenate((np.array([_END]), token[:-1]))
-        yield w.first, bounds, (token & ~_LOW) | (mix64(before) >> np.uint64(64 - CONTEXT_BITS))
+        yield w.first, bounds, token, np.concatenate((np.array([_END]), token[:-1]))
+
+
+def _context(before: np.ndarray) -> np.ndarray:
+    return before >> np.uint64(64 - 8 * CONTEXT_BYTES)
 
 
-def _shard(key: np.ndarray, n: int) -> np.ndarray:
-    return ((key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+def _part(high: np.ndarray, n: int) -> np.ndarray:
+    """The shard of keys by their highest 32 bits."""
+    return (high * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def _spans(x: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -62,34 +70,40 @@ def _spans(x: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(x[lo]), slice(lo, hi)
 
 
-def _pack(key: np.ndarray, count: np.ndarray) -> dict:
-    """Sorted distinct keys with counts: tokens once, then contexts and small counts."""
-    token = key & ~_LOW
-    head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-    large = np.flatnonzero(count >= 255)
-    return {
-        "token": token[head].tobytes(),
-        "size": np.diff(np.append(head, len(key))).astype(np.uint16).tobytes(),
-        "context": (key & _LOW).astype(np.uint16).tobytes(),
-        "count": np.minimum(count, 255).astype(np.uint8).tobytes(),
-        "over": large.astype(np.uint32).tobytes() + count[large].astype(np.uint64).tobytes(),
-    }
+def _heads(*sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    n = len(sorted_[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for x in sorted_:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _thin(x: np.ndarray, size: int) -> bytes:
+    """The low bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
 
+def _wide(blob: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(blob) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(blob, np.uint8).reshape(-1, size)
+    return out.reshape(-1).view("<u8")
 
-def _unpack(r: dict) -> tuple[np.ndarray, np.ndarray]:
-    key = np.repeat(np.frombuffer(r["token"], np.uint64), np.frombuffer(r["size"], np.uint16)) | np.frombuffer(r["context"], np.uint16).astype(np.uint64)
-    count = np.frombuffer(r["count"], np.uint8).astype(np.int64)
-    n = len(r["over"]) // 12
-    if n:
-        count[np.frombuffer(r["over"], np.uint32, n)] = np.frombuffer(r["over"], np.uint64, n, 4 * n).astype(np.int64)
-    return key, count
 
+def _small(x: np.ndarray) -> bytes:
+    """Counts of mostly one byte."""
+    large = np.flatnonzero(x >= 255)
+    return len(x).to_bytes(8, "little") + np.minimum(x, 255).astype(np.uint8).tobytes() + large.astype(np.uint32).tobytes() + x[large].astype(np.uint64).tobytes()
 
-def _sum_counts(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
-    key, count = key[order], count[order]
-    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    return key[head], np.add.reduceat(count, head)
+
+def _counts(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    out = np.frombuffer(blob, np.uint8, n, 8).astype(np.int64)
+    m = (len(blob) - 8 - n) // 12
+    if m:
+        out[np.frombuffer(blob, np.uint32, m, 8 + n)] = np.frombuffer(blob, np.uint64, m, 8 + n + 4 * m).astype(np.int64)
+    return out
 
 
 def _seat(c: np.ndarray, mass: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -114,24 +128,25 @@ def _seat(c: np.ndarray, mass: np.ndarray, discount: float, rng: np.random.Gener
 
 
 class Shard:
-    """The customers of a shard's tokens."""
-
-    def __init__(self, key: np.ndarray, count: np.ndarray, number: int):
-        self.key, self.count, self.number = key, count, number
-        token = key & ~_LOW
-        head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(key) else np.zeros(0, np.int64)
+    """The customers of a shard's tokens, sorted by token.  ``context``: each pair's place in the lists by context
+    of ``g``; without it the lowest ten bits of the key are that place."""
+
+    def __init__(self, key: np.ndarray, count: np.ndarray, number: int, context: np.ndarray | None = None):
+        self.count, self.number = count, number
+        token = key & ~_SLOT if context is None else key
+        self.context = (key & _SLOT).astype(np.int64) if context is None else context
+        head = _heads(token)
         self.head, self.token = head, token[head]
         self.of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(key))))
-        self.context = (key & _LOW).astype(np.int64)
         self.total = np.add.reduceat(count, head) if len(head) else np.zeros(0, np.int64)
 
     def sums(self) -> dict:
-        """Numbers that the model needs of all shards."""
-        return {"customers": np.bincount(self.context, self.count, CONTEXTS), "tables": np.bincount(self.context, minlength=CONTEXTS).astype(float)}
+        """Customers and tables by context before the first sweep."""
+        return {"customers": np.bincount(self.context, self.count), "tables": np.bincount(self.context, self.count > 0)}
 
     def replay(self, g: dict, sweeps: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(tables by (token, context), the parent's customers and tables by token) after each sweep."""
-        t, own, out = np.ones(len(self.key)), np.ones(len(self.head)), []
+        t, own, out = np.minimum(self.count, 1).astype(float), np.minimum(self.total, 1).astype(float), []
         n = self._by_token(t)
         for s in range(sweeps):
             before = g["history"][s]
@@ -151,184 +166,210 @@ class Shard:
         return (n - g["d0"] * own + (STRENGTH + g["d0"] * state["parent_tables"]) / (g["V"] + 1)) / (STRENGTH + state["parent_customers"])
 
 
-_PACKED = "token binary, size binary, context binary, count binary, over binary"
-_PACKED_ARROW = [(c, pa.binary()) for c in ("token", "size", "context", "count", "over")]
+def _read(items: Iterator[tuple]) -> dict[str, list]:
+    """The messages of a partition by kind."""
+    out: dict[str, list] = {k: [] for k in ("pairs", "docs", "tables", "sums", "scores", "total")}
+    for _, message in items:
+        out[message[0]].append(message[1:])
+    return out
 
 
-def _counted(docs: DataFrame, n_shards: int) -> DataFrame:
-    """One row a shard with all (token, context) counts of the training texts."""
+class _Pairs:
+    """A token shard from the messages of all blocks, with its contexts in order."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-            key, count = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_pylist([{"shard": s} | _pack(key[at], count[at]) for s, at in _spans(_shard(key, n_shards))], arrow)
+    def __init__(self, messages: list[tuple], number: int, n: int):
+        token = np.concatenate([np.repeat(np.frombuffer(m[2], np.uint64), np.frombuffer(m[3], np.uint32)) for m in messages])
+        context = np.concatenate([_wide(m[4], CONTEXT_BYTES) for m in messages])
+        count = np.concatenate([_counts(m[5]) for m in messages])
+        order = np.lexsort((context, token))
+        token, context, count = token[order], context[order], count[order]
+        head = _heads(token, context)
+        self.key, self.by = token[head], context[head]
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
+        self.contexts, at = np.unique(self.by, return_inverse=True)
+        self.shard = Shard(self.key, np.add.reduceat(count, head), number, at)
+        self.spans = list(_spans(_part(self.contexts >> np.uint64(8 * CONTEXT_BYTES - 32), n)))
 
-        held, n = [], 0
-        for batch in batches:
-            for _, _, key in _tokens(batch.column(0)):
-                held.append(key)
-                n += len(key)
-                if n >= BLOCK_TOKENS:
-                    yield flush(held)
-                    held, n = [], 0
-        if n:
-            yield flush(held)
+    def state(self, g: dict, got: list[tuple]) -> dict:
+        """``g`` with this shard's lists by context."""
+        lists = {}
+        for sweep in {m[0] for m in got}:
+            parts = {m[1]: m for m in got if m[0] == sweep}
+            lists[sweep] = [np.concatenate([_counts(parts[c][k]) for c, _ in self.spans]) for k in (2, 3) if parts[self.spans[0][0]][k] is not None]
+        return g | {"customers": lists[0][1], "history": [h | {"tables": lists[s][0]} for s, h in enumerate(g["history"])]}
 
-    def merge(key, table):
-        parts = [_unpack(r) for r in table.to_pylist()]
-        k, c = _sum_counts(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        return pa.Table.from_pylist([{"shard": key[0].as_py()} | _pack(k, c)], arrow)
 
-    arrow = pa.schema([("shard", pa.int64()), *_PACKED_ARROW])
-    return docs.select("text").mapInArrow(scan, f"shard long, {_PACKED}").groupBy("shard").applyInArrow(merge, f"shard long, {_PACKED}")
-
-
-def _gathered(counts: DataFrame, g: dict | None, sweeps: int) -> dict:
-    """Sums over all shards after the given number of sweeps; by context, so a bounded list."""
-    shared = counts.sparkSession.sparkContext.broadcast(g)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                own = Shard(*_unpack(r), r["shard"])
-                rows = np.zeros((CONTEXTS + 1, 5))
-                if shared.value is None:
-                    s = own.sums()
-                    rows[:-1, 0], rows[:-1, 1] = s["customers"], s["tables"]
-                    rows[-1] = [len(own.token), (own.count == 1).sum(), (own.count == 2).sum(), (own.total == 1).sum(), (own.total == 2).sum()]
-                else:
-                    t, n, tables = own.replay(shared.value, sweeps)[-1]
-                    rows[:-1, 1] = np.bincount(own.context, t, CONTEXTS)
-                    rows[-1] = [n.sum(), tables.sum(), 0, 0, 0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(CONTEXTS + 1), pa.int32()), *(pa.array(rows[:, k]) for k in range(5))], ["context", *"abcde"])
-
-    names = [*"abcde"]
-    got = counts.mapInArrow(run, "context int, " + ", ".join(f"{c} double" for c in names)).groupBy("context").agg(*[F.sum(c).alias(c) for c in names]).collect()
-    out = np.zeros((CONTEXTS + 1, 5))
-    for r in got:
-        out[r["context"]] = [r[c] for c in names]
-    return {"by_context": out[:-1], "all": out[-1]}
+def _at(key: int) -> int:
+    return key
 
 
 def _discount(ones: float, twos: float) -> float:
     return float(np.clip(ones / max(ones + 2 * twos, 1), 0.1, 0.95))
 
 
-def scores(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
-
-    ``train``: a boolean column; rows where it is null or false are held out.  ``base_score``: the text's
-    log10 probability under single tokens with one added to each count; ``score``: under the model.  A null
-    text counts as empty: one end.  Null and repeated doc_ids are rows like others.  Without training rows
-    every token has the base's probability.  Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (~F.coalesce(F.col(train), F.lit(False))).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_shards = max(MIN_SHARDS, n_bytes // SHARD_BYTES)
-    counts = saved(_counted(rows.where("NOT held_out"), n_shards))
-    first = _gathered(counts, None, 0)
-    v, ones, twos, words_once, words_twice = first["all"]
-    tables = first["by_context"][:, 1]
-    g = {"V": v, "N": first["by_context"][:, 0].sum(), "customers": first["by_context"][:, 0], "d1": _discount(ones, twos), "d0": _discount(words_once, words_twice)}
-    g["history"] = [{"tables": tables, "parent_customers": tables.sum(), "parent_tables": v}]
-    for sweep in range(1, SWEEPS + 1):
-        got = _gathered(counts, g, sweep)
-        g["history"].append({"tables": got["by_context"][:, 1], "parent_customers": got["all"][0], "parent_tables": got["all"][1]})
-    shared = spark.sparkContext.broadcast(g)
+def _blocks(rows: DataFrame, n: int) -> RDD:
+    """Messages of blocks of documents: pairs to token shards, the documents themselves to the block's partition."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, blocks = TaskContext.get().partitionId(), 0
 
         def flush(held: list[tuple]) -> pa.RecordBatch:
             nonlocal blocks
-            block = task << 24 | blocks
+            block, home = task << 24 | blocks, (task * 7919 + blocks) % n
             blocks += 1
-            key = np.concatenate([h[0] for h in held])
-            doc = np.repeat(np.arange(sum(len(h[1]) for h in held)), np.concatenate([h[1] for h in held])).astype(np.uint16)
-            order = np.argsort(key, kind="stable")
-            key, doc = key[order], doc[order]
+            token, before, size, ids, out_, valid = (np.concatenate([h[k] for h in held]) for k in range(6))
+            known, rank = np.unique(np.concatenate((token, before)), return_inverse=True)
+            pair = rank[: len(token)].astype(np.int64) << 32 | rank[len(token) :]
+            order = np.argsort(pair, kind="stable")
+            head = _heads(pair[order])
+            place = np.empty(len(order), np.int64)
+            place[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
+            count = np.add.reduceat(np.repeat(out_ == 0, size)[order].astype(np.int64), head)
+            token, context = known[pair[order[head]] >> 32], _context(known[pair[order[head]] & 0xFFFFFFFF])
             out = []
-            for s, at in _spans(_shard(key, n_shards)):
-                k = key[at]
-                token = k & ~_LOW
-                head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-                out.append({"shard": s, "block": block, "token": token[head].tobytes(), "size": np.diff(np.append(head, len(k))).astype(np.uint32).tobytes(), "context": (k & _LOW).astype(np.uint16).tobytes(), "doc": doc[at].tobytes()})
-            n = np.concatenate([h[1] for h in held])
-            valid = np.concatenate([h[4] for h in held])
-            out.append({"shard": -1 - block % n_shards, "block": block, "token": np.concatenate([h[2] for h in held]).tobytes(), "size": n.astype(np.uint32).tobytes(), "context": np.concatenate([h[3] for h in held]).tobytes(), "doc": valid.tobytes()})
+            for s, at in _spans(_part(token >> np.uint64(32), n)):
+                first = _heads(token[at])
+                one = (token[at][first].tobytes(), np.diff(np.append(first, at.stop - at.start)).astype(np.uint32).tobytes(), _thin(context[at], CONTEXT_BYTES), _small(count[at]))
+                out.append({"to": s, "kind": "pairs", "block": block, "home": home, "a": one[0], "b": one[1], "c": one[2], "d": one[3]})
+            width = 3 if len(head) < 1 << 24 else 8
+            out.append({"to": home, "kind": "docs", "block": block, "home": width, "a": _thin(place, width), "b": size.astype(np.uint64).tobytes(), "c": ids.tobytes(), "d": (out_ | valid << 1).astype(np.uint8).tobytes()})
             return pa.RecordBatch.from_pylist(out, arrow)
 
-        held, n, n_docs = [], 0, 0
+        held, n_tokens = [], 0
         for batch in batches:
             ids = batch.column(0)
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            valid = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
             ids = ids.fill_null(0).to_numpy()
             out_ = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
-            for at, bounds, key in _tokens(batch.column(2)):
-                size = np.diff(bounds)
-                part = slice(at, at + len(size))
-                if held and n_docs + len(size) > 60000:
+            for at, bounds, token, before in _tokens(batch.column(2)):
+                part = slice(at, at + len(bounds) - 1)
+                held.append((token, before, np.diff(bounds), ids[part], out_[part], valid[part]))
+                n_tokens += len(token)
+                if n_tokens >= BLOCK_TOKENS:
                     yield flush(held)
-                    held, n, n_docs = [], 0, 0
-                held.append((key, size, ids[part], out_[part], known[part].astype(np.uint8)))
-                n, n_docs = n + len(key), n_docs + len(size)
-                if n >= BLOCK_TOKENS:
-                    yield flush(held)
-                    held, n, n_docs = [], 0, 0
-        if held:
+                    held, n_tokens = [], 0
+        if n_tokens:
             yield flush(held)
 
-    def score(key, asked, model):
-        """Sums of a shard's tokens by block and document."""
-        number, out = key[0].as_py(), []
-        if number < 0:  # ids and sizes of documents go through
-            return pa.Table.from_pylist([{"block": r["block"], "known": None, "base": None, "score": None, "doc_id": r["token"], "n": r["size"], "held": r["context"], "valid": r["doc"]} for r in asked.to_pylist()], sums)
-        if not asked.num_rows:
-            return pa.Table.from_pylist([], sums)
-        g = shared.value
-        own = Shard(*_unpack(model.to_pylist()[0]), number) if model.num_rows else Shard(np.zeros(0, np.uint64), np.zeros(0, np.int64), number)
-        states = [(t, own.parent(n, tables, state, g)) for (t, n, tables), state in zip(own.replay(g, SWEEPS), g["history"][1:], strict=True)][-SAMPLES:]
-        for r in asked.to_pylist():
-            token, size = np.frombuffer(r["token"], np.uint64), np.frombuffer(r["size"], np.uint32)
-            context, doc = np.frombuffer(r["context"], np.uint16).astype(np.int64), np.frombuffer(r["doc"], np.uint16)
-            at = np.searchsorted(own.token, token)
-            at[at == len(own.token)] = 0
-            seen = own.token[at] == token if len(own.token) else np.zeros(len(token), bool)
-            c = np.where(seen, own.total[at], 0) if len(own.token) else np.zeros(len(token), np.int64)
-            known = np.repeat(seen, size)
-            base = np.repeat(np.log10((c + 1) / (g["N"] + g["V"] + 1)), size)
-            pair = np.repeat(token, size) | context.astype(np.uint64)
-            where = np.searchsorted(own.key, pair)
-            where[where == len(own.key)] = 0
-            there = own.key[where] == pair if len(own.key) else np.zeros(len(pair), bool)
-            p = np.zeros(len(pair))
-            for (t, parent), state in zip(states, g["history"][-SAMPLES:], strict=True):
-                unseen = (STRENGTH + g["d0"] * state["parent_tables"]) / (g["V"] + 1) / (STRENGTH + state["parent_customers"])
-                up = np.repeat(np.where(seen, parent[at], unseen) if len(own.token) else np.full(len(token), unseen), size)
-                here = np.where(there, own.count[where] - g["d1"] * t[where], 0.0) if len(own.key) else 0.0
-                p += (here + (STRENGTH + g["d1"] * state["tables"][context]) * up) / (STRENGTH + g["customers"][context])
-            n = int(doc.max()) + 1
-            out.append({"block": r["block"], "known": np.bincount(doc, known, n).astype(np.uint32).tobytes(), "base": np.bincount(doc, base, n).tobytes(), "score": np.bincount(doc, np.log10(p / len(states)), n).tobytes(), "doc_id": None, "n": None, "held": None, "valid": None})
-        return pa.Table.from_pylist(out, sums)
-
-    def add(key, table):
-        got = table.to_pylist()
-        head = next(r for r in got if r["n"] is not None)
-        n = np.frombuffer(head["n"], np.uint32).astype(np.int64)
-        known, base, score_ = np.zeros(len(n), np.int64), np.zeros(len(n)), np.zeros(len(n))
-        for r in sorted((r for r in got if r["n"] is None), key=lambda r: (len(r["base"]), r["base"])):  # sums alike in any order of arrival
-            m = len(r["base"]) // 8
-            known[:m] += np.frombuffer(r["known"], np.uint32).astype(np.int64)
-            base[:m] += np.frombuffer(r["base"], np.float64)
-            score_[:m] += np.frombuffer(r["score"], np.float64)
-        ids = pa.array(np.frombuffer(head["doc_id"], np.int64), mask=np.frombuffer(head["valid"], np.uint8) == 0)
-        held = pa.array(np.frombuffer(head["held"], np.uint8).astype(bool))
-        return pa.table({"doc_id": ids, "held_out": held, "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), int(shared.value["N"])), "base_score": base, "score": score_})
-
-    arrow = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("token", pa.binary()), ("size", pa.binary()), ("context", pa.binary()), ("doc", pa.binary())])
-    sums = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("known", "base", "score", "doc_id", "n", "held", "valid"))])
-    asked = rows.mapInArrow(scan, "shard long, block long, token binary, size binary, context binary, doc binary")
-    parts = asked.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(score, "block long, known binary, base binary, score binary, doc_id binary, n binary, held binary, valid binary")
-    return parts.groupBy("block").applyInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    arrow = pa.schema([("to", pa.int64()), ("kind", pa.string()), ("block", pa.int64()), ("home", pa.int64()), *((c, pa.binary()) for c in "abcd")])
+    sent = rows.mapInArrow(scan, "to long, kind string, block long, home long, a binary, b binary, c binary, d binary")
+    return sent.rdd.map(lambda r: (r[0], (r[1], r[2], r[3], *(bytes(x) for x in r[4:])))).partitionBy(n, _at)
+
+
+def scores(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
+
+    ``train``: a boolean column; rows where it is null or false are held out.  ``base_score``: the text's
+    log10 probability under single tokens with one added to each count; ``score``: under the model.  A null
+    text counts as empty: one end.  Null and repeated doc_ids are rows like others.  Without training rows
+    every token has the base's probability.  Other columns are ignored.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (~F.coalesce(F.col(train), F.lit(False))).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(MIN_SHARDS, n_bytes // SHARD_BYTES)
+    base = _blocks(rows, n)
+
+    def sweep(g: dict | None, s: int):
+        """Sends tables by context after ``s`` sweeps, with sums over the shard; before the first also keys and customers."""
+
+        def run(number: int, items: Iterator[tuple]) -> Iterator[tuple]:
+            got = _read(items)
+            if not got["pairs"]:
+                return
+            own = _Pairs(got["pairs"], number, n)
+            x = own.shard
+            if s == 0:
+                by, total = x.sums(), np.array([(x.total > 0).sum(), x.total.sum(), (x.count == 1).sum(), (x.count == 2).sum(), (x.total == 1).sum(), (x.total == 2).sum()], float)
+                by = (by["tables"].astype(np.int64), by["customers"].astype(np.int64))
+            else:
+                t, customers, tables = x.replay(own.state(g, got["tables"]), s)[-1]
+                by, total = (np.bincount(x.context, t).astype(np.int64), None), np.array([customers.sum(), tables.sum()])
+            yield number, ("total", total)
+            for c, at in own.spans:
+                yield c, ("sums", s, number, _small(by[0][at]), None if s else _small(by[1][at]), None if s else _thin(own.contexts[at], CONTEXT_BYTES))
+
+        return run
+
+    def add(s: int):
+        """Adds tables, before the first sweep also customers, by context and sends them back."""
+
+        def run(number: int, items: Iterator[tuple]) -> Iterator[tuple]:
+            got = _read(items)
+            for (total,) in got["total"]:
+                if len(total) == (2 if s else 6):
+                    yield -1, ("total", total)
+            if not got["sums"]:
+                return
+            first = sorted((m for m in got["sums"] if m[0] == 0), key=lambda m: m[1])
+            now = sorted((m for m in got["sums"] if m[0] == s), key=lambda m: m[1])
+            known, at = np.unique(np.concatenate([_wide(m[4], CONTEXT_BYTES) for m in first]), return_inverse=True)
+            tables = np.bincount(at, np.concatenate([_counts(m[2]) for m in now]), len(known)).astype(np.int64)[at]
+            customers = None if s else np.bincount(at, np.concatenate([_counts(m[3]) for m in now]), len(known)).astype(np.int64)[at]
+            lo = 0
+            for m in first:
+                hi = lo + len(m[4]) // CONTEXT_BYTES
+                yield m[1], ("tables", s, number, _small(tables[lo:hi]), None if s else _small(customers[lo:hi]))
+                lo = hi
+
+        return run
+
+    def summed(messages: RDD, size: int) -> np.ndarray:
+        return sum(messages.filter(lambda m: m[0] == -1).map(lambda m: m[1][1]).collect(), np.zeros(size))
+
+    keys = base.mapPartitionsWithIndex(sweep(None, 0)).partitionBy(n, _at)
+    back = keys.mapPartitionsWithIndex(add(0))
+    v, n_tokens, ones, twos, words_once, words_twice = summed(back, 6)
+    told = base.union(back.filter(lambda m: m[0] >= 0).partitionBy(n, _at))
+    n_pairs = keys.filter(lambda m: m[1][0] == "sums").map(lambda m: int(_counts(m[1][3]).sum())).sum()
+    g = {"V": v, "N": n_tokens, "d1": _discount(ones, twos), "d0": _discount(words_once, words_twice), "history": [{"parent_customers": float(n_pairs), "parent_tables": v}]}
+    for s in range(1, SWEEPS + 1):
+        back = keys.union(told.mapPartitionsWithIndex(sweep(g, s)).partitionBy(n, _at)).mapPartitionsWithIndex(add(s))
+        customers, tables = summed(back, 2)
+        g = g | {"history": [*g["history"], {"parent_customers": customers, "parent_tables": tables}]}
+        told = told.union(back.filter(lambda m: m[0] >= 0).partitionBy(n, _at))
+
+    def score(number: int, items: Iterator[tuple]) -> Iterator[tuple]:
+        """Log10 probabilities of the pairs of each block, in its order, and training counts of its tokens."""
+        got = _read(items)
+        if not got["pairs"]:
+            return
+        own = _Pairs(got["pairs"], number, n)
+        x, here = own.shard, own.state(g, got["tables"])
+        p = np.zeros(len(x.count))
+        for (t, customers, tables), state in list(zip(x.replay(here, SWEEPS), here["history"][1:], strict=True))[-SAMPLES:]:
+            up = x.parent(customers, tables, state, here)[x.of]
+            p += (x.count - g["d1"] * t + (STRENGTH + g["d1"] * state["tables"][x.context]) * up) / (STRENGTH + here["customers"][x.context])
+        p = np.log10(p / SAMPLES).astype(np.float32)
+        lo = 0
+        for block, home, token, size, *_ in got["pairs"]:
+            size = np.frombuffer(size, np.uint32)
+            hi = lo + int(size.sum())
+            yield home, ("scores", block, number, p[own.place[lo:hi]].tobytes(), _small(x.total[np.searchsorted(x.token, np.frombuffer(token, np.uint64))]), size.tobytes())
+            lo = hi
+
+    def add_up(items: Iterator[tuple]) -> Iterator[tuple]:
+        """Sums by document."""
+        got = _read(items)
+        for block, width, place, size, ids, marks in got["docs"]:
+            parts = sorted((m for m in got["scores"] if m[0] == block), key=lambda m: m[1])
+            total = np.concatenate([np.repeat(_counts(m[3]), np.frombuffer(m[4], np.uint32)) for m in parts])
+            place, size = _wide(place, width).astype(np.int64), np.frombuffer(size, np.uint64).astype(np.int64)
+            doc = np.repeat(np.arange(len(size)), size)
+            by = lambda x: np.bincount(doc, x[place], len(size))
+            p = np.concatenate([np.frombuffer(m[2], np.float32) for m in parts]).astype(float)
+            yield ids, marks, size.tobytes(), by(total > 0).astype(np.int64).tobytes(), by(np.log10((total + 1) / (g["N"] + g["V"] + 1))).tobytes(), by(p).tobytes()
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                marks = np.frombuffer(r["marks"], np.uint8)
+                size = np.frombuffer(r["size"], np.int64)
+                cols = [pa.array(np.frombuffer(r["ids"], np.int64), mask=marks & 2 == 0), pa.array(marks & 1 == 1), size, np.frombuffer(r["known"], np.int64), np.full(len(size), int(g["N"])), np.frombuffer(r["base"], np.float64), np.frombuffer(r["score"], np.float64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    sent = told.mapPartitionsWithIndex(score).partitionBy(n, _at)
+    blobs = spark.createDataFrame(base.filter(lambda m: m[1][0] == "docs").union(sent).mapPartitions(add_up), "ids binary, marks binary, size binary, known binary, base binary, score binary")
+    return blobs.mapInArrow(unpack, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

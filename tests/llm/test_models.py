@@ -135,6 +135,13 @@ def test_language_model(spark):
     assert language_model.scores(docs.limit(0), "train").collect() == []
 
 
+def test_language_model_learns_pairs_of_many_contexts(spark):
+    """More previous words than 1,024 classes could keep apart: each is followed by a word of its own."""
+    docs = spark.range(40000).select(F.col("id").alias("doc_id"), F.expr("concat('a', id % 4000, ' b', id % 4000)").alias("text"), F.lit(True).alias("train"))
+    got = language_model.scores(docs, "train").agg(F.avg("score"), F.count("*")).first()
+    assert got[1] == 40000 and got[0] > math.log10(1 / 4000) - 0.25
+
+
 def test_language_model_is_a_distribution():
     """Over the vocabulary and one unseen token the parent and each context restaurant add up to 1."""
     rng = np.random.default_rng(2)
