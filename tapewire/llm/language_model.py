@@ -18,6 +18,10 @@ the sums back in the same order.  Random numbers depend on shard and sweep alone
 a later job replays the sweeps from the table counts instead of storing seatings.  Only sums over all shards
 reach the driver.
 
+Hot tokens, those with more than ``1 / (HOT_PER_SHARD * shards)`` of the tokens of a sample of texts, have their pairs
+dealt over all shards by context.  Their customers and tables at the parent are summed over the shards and seated on
+the driver (at most ``HOT_PER_SHARD * shards`` tokens).  Which tokens these are changes the work, not the model.
+
 The score averages the predictive probabilities of the last ``SAMPLES`` sweeps for each pair.  Shards send its
 log10 back to the blocks, which sum by document.  All counts are of the whole corpus.
 """
@@ -41,6 +45,7 @@ STRENGTH = 1.0
 BLOCK_TOKENS = 2 << 20
 MIN_SHARDS, SHARD_BYTES = 48, 1 << 24
 CONTEXT_BYTES = 6
+HOT_PER_SHARD, HOT_SAMPLE = 4, 32
 _SLOT = np.uint64(1023)
 _END = np.uint64(0x5EED0F7E47E4D000)
 
@@ -131,7 +136,7 @@ class Shard:
     """The customers of a shard's tokens, sorted by token.  ``context``: each pair's place in the lists by context
     of ``g``; without it the lowest ten bits of the key are that place."""
 
-    def __init__(self, key: np.ndarray, count: np.ndarray, number: int, context: np.ndarray | None = None):
+    def __init__(self, key: np.ndarray, count: np.ndarray, number: int, context: np.ndarray | None = None, hot: np.ndarray | None = None):
         self.count, self.number = count, number
         token = key & ~_SLOT if context is None else key
         self.context = (key & _SLOT).astype(np.int64) if context is None else context
@@ -139,6 +144,21 @@ class Shard:
         self.head, self.token = head, token[head]
         self.of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(key))))
         self.total = np.add.reduceat(count, head) if len(head) else np.zeros(0, np.int64)
+        hot = np.zeros(0, np.uint64) if hot is None else hot
+        self.is_hot = np.isin(self.token, hot)  # tokens of which other shards have pairs, too
+        self.n_hot, self.hot = len(hot), np.searchsorted(hot, self.token[self.is_hot])
+
+    def whole(self, x: np.ndarray, of_hot: np.ndarray | None) -> np.ndarray:
+        """Numbers by token with those of hot tokens over all shards put in."""
+        if of_hot is None or not len(self.hot):
+            return x
+        x = x.copy()
+        x[self.is_hot] = of_hot[self.hot]
+        return x
+
+    def part(self, x: np.ndarray) -> np.ndarray:
+        """This shard's share of the numbers of hot tokens."""
+        return np.bincount(self.hot, x[self.is_hot], self.n_hot).astype(float)
 
     def sums(self) -> dict:
         """Customers and tables by context before the first sweep."""
@@ -150,7 +170,7 @@ class Shard:
         n = self._by_token(t)
         for s in range(sweeps):
             before = g["history"][s]
-            p = self.parent(n, own, before, g)
+            p = self.parent(self.whole(n, before.get("hot_customers")), self.whole(own, before.get("hot_tables")), before, g)
             rng = np.random.Generator(np.random.PCG64([11, self.number, s]))
             t = _seat(self.count, (STRENGTH + g["d1"] * before["tables"][self.context]) * p[self.of], g["d1"], rng)
             n = self._by_token(t)
@@ -177,7 +197,7 @@ def _read(items: Iterator[tuple]) -> dict[str, list]:
 class _Pairs:
     """A token shard from the messages of all blocks, with its contexts in order."""
 
-    def __init__(self, messages: list[tuple], number: int, n: int):
+    def __init__(self, messages: list[tuple], number: int, n: int, hot: np.ndarray):
         token = np.concatenate([np.repeat(np.frombuffer(m[2], np.uint64), np.frombuffer(m[3], np.uint32)) for m in messages])
         context = np.concatenate([_wide(m[4], CONTEXT_BYTES) for m in messages])
         count = np.concatenate([_counts(m[5]) for m in messages])
@@ -188,7 +208,7 @@ class _Pairs:
         self.place = np.empty(len(order), np.int64)
         self.place[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
         self.contexts, at = np.unique(self.by, return_inverse=True)
-        self.shard = Shard(self.key, np.add.reduceat(count, head), number, at)
+        self.shard = Shard(self.key, np.add.reduceat(count, head), number, at, hot)
         self.spans = list(_spans(_part(self.contexts >> np.uint64(8 * CONTEXT_BYTES - 32), n)))
 
     def state(self, g: dict, got: list[tuple]) -> dict:
@@ -208,7 +228,25 @@ def _discount(ones: float, twos: float) -> float:
     return float(np.clip(ones / max(ones + 2 * twos, 1), 0.1, 0.95))
 
 
-def _blocks(rows: DataFrame, n: int) -> RDD:
+def _hot(rows: DataFrame, n: int) -> np.ndarray:
+    """The frequent tokens of a sample of texts, sorted."""
+    most = HOT_PER_SHARD * n
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, token, _ in _tokens(batch.column(0)):
+                known, c = np.unique(token, return_counts=True)
+                keep = c * 2 * most > len(token)
+                yield pa.record_batch({"token": pa.array(known[keep].view(np.int64)), "c": pa.array(c[keep], pa.int64()), "n": pa.array(np.where(np.arange(keep.sum()) == 0, len(token), 0), pa.int64())})
+
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(HOT_SAMPLE)) == 0).select("text")
+    got = some.mapInArrow(count, "token long, c long, n long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    total = got.agg(F.sum("n")).first()[0] or 0
+    hot = got.where(F.col("c") * most > total).select("token").toArrow().column(0).to_numpy().view(np.uint64)
+    return np.sort(hot)
+
+
+def _blocks(rows: DataFrame, n: int, hot: np.ndarray) -> RDD:
     """Messages of blocks of documents: pairs to token shards, the documents themselves to the block's partition."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +265,12 @@ def _blocks(rows: DataFrame, n: int) -> RDD:
             place[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
             count = np.add.reduceat(np.repeat(out_ == 0, size)[order].astype(np.int64), head)
             token, context = known[pair[order[head]] >> 32], _context(known[pair[order[head]] & 0xFFFFFFFF])
-            out = []
-            for s, at in _spans(_part(token >> np.uint64(32), n)):
+            shard = _part(np.where(np.isin(token, hot), context >> np.uint64(8 * CONTEXT_BYTES - 32), token >> np.uint64(32)), n)
+            order = np.argsort(shard, kind="stable")
+            moved = np.empty(len(order), np.int64)
+            moved[order] = np.arange(len(order))
+            place, token, context, count, shard, out = moved[place], token[order], context[order], count[order], shard[order], []
+            for s, at in _spans(shard):
                 first = _heads(token[at])
                 one = (token[at][first].tobytes(), np.diff(np.append(first, at.stop - at.start)).astype(np.uint32).tobytes(), _thin(context[at], CONTEXT_BYTES), _small(count[at]))
                 out.append({"to": s, "kind": "pairs", "block": block, "home": home, "a": one[0], "b": one[1], "c": one[2], "d": one[3]})
@@ -270,7 +312,8 @@ def scores(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (~F.coalesce(F.col(train), F.lit(False))).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(MIN_SHARDS, n_bytes // SHARD_BYTES)
-    base = _blocks(rows, n)
+    hot = _hot(rows, n)
+    base = _blocks(rows, n, hot)
 
     def sweep(g: dict | None, s: int):
         """Sends tables by context after ``s`` sweeps, with sums over the shard; before the first also keys and customers."""
@@ -279,15 +322,17 @@ def scores(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "tex
             got = _read(items)
             if not got["pairs"]:
                 return
-            own = _Pairs(got["pairs"], number, n)
+            own = _Pairs(got["pairs"], number, n, hot)
             x = own.shard
             if s == 0:
-                by, total = x.sums(), np.array([(x.total > 0).sum(), x.total.sum(), (x.count == 1).sum(), (x.count == 2).sum(), (x.total == 1).sum(), (x.total == 2).sum()], float)
+                by, once = x.sums(), x.total[~x.is_hot]
+                total = np.array([(once > 0).sum(), x.total.sum(), (x.count == 1).sum(), (x.count == 2).sum(), (once == 1).sum(), (once == 2).sum(), (x.count > 0).sum()], float)
+                total = np.concatenate((total, x.part(x.total), x.part(np.add.reduceat(x.count > 0, x.head, dtype=float))))
                 by = (by["tables"].astype(np.int64), by["customers"].astype(np.int64))
             else:
                 t, customers, tables = x.replay(own.state(g, got["tables"]), s)[-1]
-                by, total = (np.bincount(x.context, t).astype(np.int64), None), np.array([customers.sum(), tables.sum()])
-            yield number, ("total", total)
+                by, total = (np.bincount(x.context, t).astype(np.int64), None), np.concatenate(([customers.sum(), tables[~x.is_hot].sum()], x.part(customers)))
+            yield number, ("total", s, total)
             for c, at in own.spans:
                 yield c, ("sums", s, number, _small(by[0][at]), None if s else _small(by[1][at]), None if s else _thin(own.contexts[at], CONTEXT_BYTES))
 
@@ -298,8 +343,8 @@ def scores(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "tex
 
         def run(number: int, items: Iterator[tuple]) -> Iterator[tuple]:
             got = _read(items)
-            for (total,) in got["total"]:
-                if len(total) == (2 if s else 6):
+            for sweep_, total in got["total"]:
+                if sweep_ == s:
                     yield -1, ("total", total)
             if not got["sums"]:
                 return
@@ -317,18 +362,22 @@ def scores(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "tex
         return run
 
     def summed(messages: RDD, size: int) -> np.ndarray:
-        return sum(messages.filter(lambda m: m[0] == -1).map(lambda m: m[1][1]).collect(), np.zeros(size))
+        return messages.filter(lambda m: m[0] == -1).map(lambda m: m[1][1]).treeAggregate(np.zeros(size), np.add, np.add)
 
     keys = base.mapPartitionsWithIndex(sweep(None, 0)).partitionBy(n, _at)
     back = keys.mapPartitionsWithIndex(add(0))
-    v, n_tokens, ones, twos, words_once, words_twice = summed(back, 6)
+    got = summed(back, 7 + 2 * len(hot))
+    v, n_tokens, ones, twos, words_once, words_twice, n_pairs = got[:7]
+    hot_total, hot_customers = np.split(got[7:], 2)
+    v, words_once, words_twice = v + (hot_total > 0).sum(), words_once + (hot_total == 1).sum(), words_twice + (hot_total == 2).sum()
     told = base.union(back.filter(lambda m: m[0] >= 0).partitionBy(n, _at))
-    n_pairs = keys.filter(lambda m: m[1][0] == "sums").map(lambda m: int(_counts(m[1][3]).sum())).sum()
-    g = {"V": v, "N": n_tokens, "d1": _discount(ones, twos), "d0": _discount(words_once, words_twice), "history": [{"parent_customers": float(n_pairs), "parent_tables": v}]}
+    g = {"V": v, "N": n_tokens, "d1": _discount(ones, twos), "d0": _discount(words_once, words_twice), "history": [{"parent_customers": n_pairs, "parent_tables": v, "hot_customers": hot_customers, "hot_tables": np.minimum(hot_total, 1)}]}
     for s in range(1, SWEEPS + 1):
         back = keys.union(told.mapPartitionsWithIndex(sweep(g, s)).partitionBy(n, _at)).mapPartitionsWithIndex(add(s))
-        customers, tables = summed(back, 2)
-        g = g | {"history": [*g["history"], {"parent_customers": customers, "parent_tables": tables}]}
+        got, before = summed(back, 2 + len(hot)), g["history"][-1]
+        mass = np.full(len(hot), (STRENGTH + g["d0"] * before["parent_tables"]) / (v + 1))
+        hot_tables = _seat(got[2:].astype(np.int64), mass, g["d0"], np.random.Generator(np.random.PCG64([13, s])))
+        g = g | {"history": [*g["history"], {"parent_customers": got[0], "parent_tables": got[1] + hot_tables.sum(), "hot_customers": got[2:], "hot_tables": hot_tables}]}
         told = told.union(back.filter(lambda m: m[0] >= 0).partitionBy(n, _at))
 
     def score(number: int, items: Iterator[tuple]) -> Iterator[tuple]:
@@ -336,18 +385,19 @@ def scores(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "tex
         got = _read(items)
         if not got["pairs"]:
             return
-        own = _Pairs(got["pairs"], number, n)
+        own = _Pairs(got["pairs"], number, n, hot)
         x, here = own.shard, own.state(g, got["tables"])
         p = np.zeros(len(x.count))
         for (t, customers, tables), state in list(zip(x.replay(here, SWEEPS), here["history"][1:], strict=True))[-SAMPLES:]:
-            up = x.parent(customers, tables, state, here)[x.of]
+            up = x.parent(x.whole(customers, state["hot_customers"]), x.whole(tables, state["hot_tables"]), state, here)[x.of]
             p += (x.count - g["d1"] * t + (STRENGTH + g["d1"] * state["tables"][x.context]) * up) / (STRENGTH + here["customers"][x.context])
+        in_training = x.whole(x.total, hot_total.astype(np.int64))
         p = np.log10(p / SAMPLES).astype(np.float32)
         lo = 0
         for block, home, token, size, *_ in got["pairs"]:
             size = np.frombuffer(size, np.uint32)
             hi = lo + int(size.sum())
-            yield home, ("scores", block, number, p[own.place[lo:hi]].tobytes(), _small(x.total[np.searchsorted(x.token, np.frombuffer(token, np.uint64))]), size.tobytes())
+            yield home, ("scores", block, number, p[own.place[lo:hi]].tobytes(), _small(in_training[np.searchsorted(x.token, np.frombuffer(token, np.uint64))]), size.tobytes())
             lo = hi
 
     def add_up(items: Iterator[tuple]) -> Iterator[tuple]:

@@ -142,6 +142,27 @@ def test_language_model_learns_pairs_of_many_contexts(spark):
     assert got[1] == 40000 and got[0] > math.log10(1 / 4000) - 0.25
 
 
+def test_language_model_deals_hot_tokens_over_shards(spark):
+    """A third of all tokens is one word: its pairs do not meet in one shard, and its counts stay whole."""
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(199)), lambda k: F.concat(F.lit("the x"), F.pmod(F.hash(k, "id"), F.lit(3000)), F.lit(" y"), F.pmod(F.hash("id", k), F.lit(3000)))))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit(True).alias("train"))
+    rows = docs.select("doc_id", F.lit(False).alias("held_out"), "text")
+    token = next(language_model._tokens(pa.array(["the"])))[2][0]
+    hot = language_model._hot(rows, 48)
+    assert token in hot
+    sent = language_model._blocks(rows, 48, hot).filter(lambda m: m[1][0] == "pairs").map(lambda m: (m[0], np.frombuffer(m[1][3], np.uint64))).collect()
+    assert len({s for s, t in sent if token in t}) > 40
+    got = language_model.scores(docs, "train").collect()
+    counts: dict = {}
+    texts = [words(r["text"], True) + [None] for r in docs.collect()]
+    for w in texts:
+        for x in w:
+            counts[x] = counts.get(x, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    assert sorted(round(r["base_score"], 5) for r in got) == sorted(round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), 5) for w in texts)
+    assert all(r["n_known"] == r["n_tokens"] for r in got)
+
+
 def test_language_model_is_a_distribution():
     """Over the vocabulary and one unseen token the parent and each context restaurant add up to 1."""
     rng = np.random.default_rng(2)
