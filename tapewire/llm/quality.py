@@ -6,12 +6,14 @@ marks, line ends), word length, and the shares of words new in the document and
 attention (tanh times sigmoid) over the passages and a logistic layer on the attention-weighted passage
 are trained together from document labels only, by Adam on whole bags.
 
-Training uses a bounded sample of labelled documents (``SAMPLE``, those with the smallest id hash), whose
-passage encodings go to the driver; every passage of every document is scored.
+Training uses a bounded sample of labelled documents (``SAMPLE``, those with the smallest id hash) with all their
+passages.  Their encodings are streamed to a file of the driver, of which a batch at a time is in memory; every
+passage of every document is scored.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,12 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewire.llm.tables import small_batches
+from tapewire.llm.tables import saved, small_batches
 from tapewire.llm.words import Words, slices
 
 PASSAGE = 64
 SAMPLE = 4096
-MAX_TRAIN_PASSAGES = 64
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE, DECAY = 30, 128, 3e-3, 1e-4
 
@@ -120,9 +121,8 @@ def _gradient(x: np.ndarray, bag: np.ndarray, y: np.ndarray, params: tuple[np.nd
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
     """Learns from the labelled documents (label 0 or 1).
 
-    Null ids and labels are left out; of repeated labels the smallest counts.  Of a training document with
-    more than ``MAX_TRAIN_PASSAGES`` passages that many, evenly spaced, go into the sample.  With fewer than
-    two classes the model is constant.
+    Null ids and labels are left out; of repeated labels the smallest counts.  All passages of a training
+    document are learned from.  With fewer than two classes the model is constant.
     """
     small_batches(docs.sparkSession)
     y = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).dropna().groupBy("id").agg(F.min("y").alias("y"))
@@ -135,30 +135,41 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
                 bag, x = encode(w)
                 ids, ys, blobs = batch.column(0).slice(w.first, w.n_docs), batch.column(2).slice(w.first, w.n_docs), []
                 for lo, hi in zip(bag[:-1], bag[1:], strict=True):
-                    at = np.arange(lo, hi) if hi - lo <= MAX_TRAIN_PASSAGES else np.linspace(lo, hi - 1, MAX_TRAIN_PASSAGES).astype(int)
-                    blobs.append(x[at].astype(np.float32).tobytes())
+                    blobs.append(x[lo:hi].astype(np.float32).tobytes())
                 yield pa.record_batch({"id": ids, "y": ys, "x": pa.array(blobs, pa.binary())})
 
-    got = rows.mapInArrow(run, "id long, y int, x binary").toArrow().sort_by("id")
-    ys = got.column("y").to_numpy().astype(float) if got.num_rows else np.zeros(0)
-    bags = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES).astype(float) for b in got.column("x").to_pylist()]
+    with tempfile.TemporaryFile() as file:
+        ids, ys, sizes = [], [], []
+        for row in saved(rows.mapInArrow(run, "id long, y int, x binary")).toLocalIterator():
+            ids.append(row["id"])
+            ys.append(row["y"])
+            sizes.append(len(row["x"]) // (4 * N_FEATURES))
+            file.write(row["x"])
+        file.flush()
+        every = np.memmap(file, np.float32, "r", shape=(sum(sizes), N_FEATURES)) if ids else np.zeros((0, N_FEATURES), np.float32)
+        start = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], sizes[i]))
+        return _train(every, [slice(start[i], start[i + 1]) for i in order], np.array([ys[i] for i in order], float))
+
+
+def _train(every: np.ndarray, bags: list[slice], ys: np.ndarray) -> Model:
+    """The model of bags, given as slices of all passages."""
     rng = np.random.Generator(np.random.PCG64(7))
     shapes = [(N_FEATURES, HIDDEN), (HIDDEN,), (HIDDEN, GATE), (HIDDEN, GATE), (GATE,), (HIDDEN,), (1,)]
     params = [rng.normal(0, 1 / np.sqrt(s[0]), s) if len(s) > 1 else rng.normal(0, 0.1, s) for s in shapes]
     if len(set(ys.tolist())) < 2:
         level = 0.0 if not len(ys) else (4.0 if ys[0] else -4.0)
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), tuple([*[np.zeros(s) for s in shapes[:-1]], np.array([level])]))
-    every = np.concatenate(bags)
-    mean, scale = every.mean(0), every.std(0) + 1e-2
-    bags = [(x - mean) / scale for x in bags]
+    mean = sum(every[at].sum(0, dtype=float) for at in bags) / len(every)
+    scale = np.sqrt(sum(((every[at] - mean) ** 2).sum(0) for at in bags) / len(every)) + 1e-2
     params[-1][0] = np.log(ys.mean() / (1 - ys.mean()))
     m, v, step = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes], 0
     for epoch in range(EPOCHS):
         order = rng.permutation(len(bags))
         for lo in range(0, len(order), BATCH):
             at = order[lo : lo + BATCH]
-            bag = np.concatenate(([0], np.cumsum([len(bags[i]) for i in at])))
-            grads = _gradient(np.concatenate([bags[i] for i in at]), bag, ys[at], tuple(params))
+            bag = np.concatenate(([0], np.cumsum([bags[i].stop - bags[i].start for i in at])))
+            grads = _gradient((np.concatenate([every[bags[i]] for i in at]) - mean) / scale, bag, ys[at], tuple(params))
             step += 1
             rate = RATE * (1 - 0.9 * epoch / EPOCHS)
             for k, g in enumerate(grads):

@@ -110,6 +110,16 @@ def test_quality_gradient_and_awkward(spark):
     assert quality.score(frame(spark, []), model).collect() == []
 
 
+def test_quality_trains_on_all_passages(spark, monkeypatch):
+    rows = [(k, " ".join([f"w{k}"] * (64 * (200 if k == 3 else 2)))) for k in range(8)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, quality int")
+    seen = []
+    gradient = quality._gradient
+    monkeypatch.setattr(quality, "_gradient", lambda x, bag, *more: seen.append(np.diff(bag)) or gradient(x, bag, *more))
+    quality.fit(frame(spark, rows), labels)
+    assert sorted(seen[0]) == [2] * 7 + [200]
+
+
 def test_language_model(spark):
     rows = awkward()
     train = F.coalesce(F.col("doc_id") % 7 != 2, F.lit(False))
