@@ -108,7 +108,7 @@ def _(m: Market):
 def _(m: Market):
     rows = m.table("documents").join(m.table("labels"), "doc_id").select("doc_id", "text", F.col("quality").alias("label"))
     split = ml.stratified_split(rows, "label", "text", "doc_id")
-    model = ml.fit_text_classifier(split.where("split = 'train'"), grid=(0.01,), features=1 << 14)
+    model = ml.fit_text_classifier(split.where("split = 'train'"), split.where("split = 'val'"))
     out = model.transform(split.where("split <> 'train'"))
     return out.groupBy("label", F.col("prediction").cast("int").alias("prediction")).agg(F.count("*").alias("n"))
 
@@ -126,13 +126,13 @@ def training_rows(m: Market):
 @query("ML06_alpha_model", "label:i n:i mean_up:d mean_down:d", "", None)
 def _(m: Market):
     rows = training_rows(m)
-    model = ml.fit_alpha(rows, FEATURES, trees=20)
+    model = ml.fit_alpha(rows, FEATURES)
     return ml.alpha_probabilities(model, rows, FEATURES).groupBy("label").agg(F.count("*").alias("n"), F.avg("prob_up").alias("mean_up"), F.avg("prob_down").alias("mean_down"))
 
 
 @query("ML07_feature_importances", "feature importance:d", "", None)
 def _(m: Market):
-    model = ml.fit_alpha(training_rows(m), FEATURES, trees=20)
+    model = ml.fit_alpha(training_rows(m), FEATURES)
     return m.spark.createDataFrame(ml.feature_importances(model, FEATURES), "feature string, importance double")
 
 

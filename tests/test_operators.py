@@ -315,3 +315,25 @@ def test_walk_forward_without_folds(spark):
     got = ex.walk_forward(scored, panel, spark.createDataFrame([], "date date, pos long"), spark.createDataFrame([], "date date, level double"))
     assert set(got) == {"oos", "periods", "ablation", "choices", "costs"}
     assert all(df.isEmpty() for df in got.values())
+
+
+def test_registered_models_are_of_full_size(spark, sf_dir, monkeypatch):
+    import __spark_entry__ as entry
+
+    class Stop(Exception):
+        pass
+
+    def stop(*args, **options):
+        raise Stop(options)
+
+    monkeypatch.setattr(ml, "fit_alpha", stop)
+    monkeypatch.setattr(ml, "fit_text_classifier", stop)
+    for name in ("ML05_text_classifier", "ML06_alpha_model", "ML07_feature_importances"):
+        with pytest.raises(Stop) as e:
+            entry.queries()[name](spark, sf_dir)
+        assert e.value.args == ({},)
+
+
+def test_macro_f1(spark):
+    got = ml.macro_f1(spark.createDataFrame([(0, 0.0)] * 8 + [(1, 0.0), (1, 1.0)], "label int, prediction double"))
+    assert got == pytest.approx((16 / 17 + 2 / 3) / 2)
