@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewire.llm import decontaminate, language, language_model, mixing, ngram_join, quality, substring_dedup, token_counts, topk, toxicity
+from tapewire.llm import decontaminate, language, language_model, mixing, ngram_join, quality, substring_dedup, token_alignment, token_counts, topk, toxicity
 
 #: Folder of the public tokenizer files; not part of this repository.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -145,3 +145,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_lm_scoring")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(documents(spark, sf_dir).withColumn("train", ~crc_is(7, 2)), "train")
+
+
+def contents(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned(documents(spark, sf_dir), contents(f"{TOKENIZERS}/byte_bpe_50k.json"), contents(f"{TOKENIZERS}/piece_bpe_32k.model"), token_counts.PATTERN)
