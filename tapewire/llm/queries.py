@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewire.llm import decontaminate, language, language_model, mixing, ngram_join, quality, substring_dedup, token_alignment, token_counts, topk, toxicity
+from tapewire.llm import decontaminate, language, language_model, mixing, ngram_join, quality, spelling, substring_dedup, token_alignment, token_counts, topk, toxicity, warc
+from tapewire.llm.tables import shared_folder
 
 #: Folder of the public tokenizer files; not part of this repository.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -147,6 +149,33 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(documents(spark, sf_dir).withColumn("train", ~crc_is(7, 2)), "train")
 
 
+# crc32 of a run's UTF-8 bytes from the polynomial; letters from U+00C0 to U+00FF have two bytes
+_CRC = """CAST(xor(list_reduce(flatten(list_transform(string_split({x}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195::BIGINT, ord(c)::BIGINT - 64] END)),
+  lambda s, b: xor(s >> 8, t[xor(s & 255, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS BIGINT)"""
+
+
+@query(
+    "op11_spelling_variants",
+    f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, i::BIGINT)) AS t),
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format(text="text")}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS c FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, c, length(run) AS k, CASE WHEN doc_id IS NULL THEN 1 ELSE {_CRC.format(x="doc_id || ':' || run")} END AS h FROM counted, crc),
+slipped AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % k AS INTEGER)) || substr(run, CAST(h % k AS INTEGER) + 2) ELSE run END AS word, c FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+cuts AS MATERIALIZED (SELECT word, n, unnest(list_transform(range(1, length(word) + 1), lambda i: left(word, i - 1) || '*' || substr(word, i + 1))) AS hole, length(word) AS k FROM words),
+shorter AS MATERIALIZED (SELECT DISTINCT c.word AS a, w.word AS b FROM cuts c JOIN words w ON w.word = replace(c.hole, '*', '')),
+near AS MATERIALIZED (SELECT x.word AS a, y.word AS b FROM cuts x JOIN cuts y ON x.hole = y.hole AND x.word <> y.word UNION ALL SELECT a, b FROM shorter UNION ALL SELECT b, a FROM shorter),
+told AS (SELECT a AS word, count(*) AS n_near, (list(struct_pack(n := w.n, w := w.word) ORDER BY w.n DESC, encode(w.word)))[1] AS best FROM near JOIN words w ON w.word = b GROUP BY a),
+forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 10 * n THEN best.w END AS form, CASE WHEN best.n >= 10 * n THEN best.n END AS form_n FROM words LEFT JOIN told USING (word)),
+way(word, at) AS (SELECT word, word FROM forms UNION ALL SELECT way.word, f.form FROM way JOIN forms f ON f.word = way.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, way.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM forms f JOIN way ON way.word = f.word JOIN forms e ON e.word = way.at WHERE e.form IS NULL
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.slipped_words(documents(spark, sf_dir)))
+
+
 def contents(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -155,3 +184,18 @@ def contents(path: str) -> bytes:
 @query("op12_token_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.aligned(documents(spark, sf_dir), contents(f"{TOKENIZERS}/byte_bpe_50k.json"), contents(f"{TOKENIZERS}/piece_bpe_32k.model"), token_counts.PATTERN)
+
+
+@query(
+    "op13_warc_revisits",
+    """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+r AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS d, first_value(page_id) OVER w AS o, row_number() OVER w AS k FROM p WINDOW w AS (PARTITION BY body ORDER BY page_id NULLS LAST))
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND k > 1 THEN o END AS refers_to FROM r
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = (f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}" for _ in range(2))
+    warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), first)
+    warc.deduplicate(spark, first, second)
+    return warc.replayed(spark, second)
