@@ -158,7 +158,7 @@ _CRC = """CAST(xor(list_reduce(flatten(list_transform(string_split({x}, ''), lam
     "op11_spelling_variants",
     f"""
 WITH RECURSIVE crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, i::BIGINT)) AS t),
-runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format(text="text")}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format(text="text")}, '[a-zÀ-ÿ]+')) AS run FROM documents),
 counted AS (SELECT doc_id, run, count(*) AS c FROM runs WHERE length(run) >= 7 GROUP BY ALL),
 hashed AS (SELECT run, c, length(run) AS k, CASE WHEN doc_id IS NULL THEN 1 ELSE {_CRC.format(x="doc_id || ':' || run")} END AS h FROM counted, crc),
 slipped AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % k AS INTEGER)) || substr(run, CAST(h % k AS INTEGER) + 2) ELSE run END AS word, c FROM hashed),
@@ -168,8 +168,8 @@ shorter AS MATERIALIZED (SELECT DISTINCT c.word AS a, w.word AS b FROM cuts c JO
 near AS MATERIALIZED (SELECT x.word AS a, y.word AS b FROM cuts x JOIN cuts y ON x.hole = y.hole AND x.word <> y.word UNION ALL SELECT a, b FROM shorter UNION ALL SELECT b, a FROM shorter),
 told AS (SELECT a AS word, count(*) AS n_near, (list(struct_pack(n := w.n, w := w.word) ORDER BY w.n DESC, encode(w.word)))[1] AS best FROM near JOIN words w ON w.word = b GROUP BY a),
 forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 10 * n THEN best.w END AS form, CASE WHEN best.n >= 10 * n THEN best.n END AS form_n FROM words LEFT JOIN told USING (word)),
-way(word, at) AS (SELECT word, word FROM forms UNION ALL SELECT way.word, f.form FROM way JOIN forms f ON f.word = way.at WHERE f.form IS NOT NULL)
-SELECT f.word, f.form, way.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM forms f JOIN way ON way.word = f.word JOIN forms e ON e.word = way.at WHERE e.form IS NULL
+way(word, tip) AS (SELECT word, word FROM forms UNION ALL SELECT way.word, f.form FROM way JOIN forms f ON f.word = way.tip WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, way.tip AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM forms f JOIN way ON way.word = f.word JOIN forms e ON e.word = way.tip WHERE e.form IS NULL
 """,
 )
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
