@@ -29,7 +29,7 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,8 @@ BLOCK = 4 << 20
 SHARDS = 64
 #: Blocks whose messages for one shard meet in one group.
 BLOCKS_A_SALT = 512
-#: Units kept by a task with their tokens; beyond that the store starts anew.
-KEPT_UNITS = 1 << 18
+#: Aligned units kept by a task; beyond that the store starts anew.
+KEPT_UNITS = 1 << 19
 #: Pairs of a piece of a shard's table, and of what a task holds before it passes sums on.
 TABLE_PIECE = 1 << 18
 HELD_PAIRS = 1 << 21
@@ -144,22 +144,11 @@ def component_labels(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray
 
 def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token numbers (of A, of B) of every overlapping pair: one for each stretch between two ends."""
-    every = np.union1d(ends_a, ends_b)
+    every = np.sort(np.concatenate((ends_a, ends_b)), kind="stable")  # two rising runs: a merge
+    every = every[np.flatnonzero(np.diff(every, prepend=-1))]
     return np.searchsorted(ends_a, every), np.searchsorted(ends_b, every)
 
 
-@dataclass
-class Aligned:
-    """Distinct units, aligned: tokens, groups and links of each, and its groups as bytes."""
-
-    n_a: np.ndarray
-    n_b: np.ndarray
-    n_groups: np.ndarray
-    link_bounds: np.ndarray
-    links: np.ndarray  # packed id pairs, by unit
-    text: list[bytes]  # the groups, each ended by ";"
-
-
 def pack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Shard, B id and A id in one number; sorting it sorts by shard, then by B id."""
     shard = (b * 0x9E3779B1 >> 7) % SHARDS
@@ -174,58 +163,81 @@ def target_of(pair: np.ndarray) -> np.ndarray:
     return (pair >> _ID_BITS) & ((1 << _ID_BITS) - 1)
 
 
-def align(ids: list[tuple[list[int], list[int]]], sizes_a: np.ndarray, sizes_b: np.ndarray, words_a: np.ndarray, words_b: np.ndarray) -> Aligned:
-    """Aligns units whose tokens of A and of B cover the same bytes."""
-    n_a = np.array([len(a) for a, _ in ids], np.int64)
-    n_b = np.array([len(b) for _, b in ids], np.int64)
-    a = np.array([i for x, _ in ids for i in x], np.int64)
-    b = np.array([i for _, x in ids for i in x], np.int64)
-    ends_a, ends_b = np.cumsum(sizes_a[a]), np.cumsum(sizes_b[b])
-    last_a, last_b = component_labels(ends_a, ends_b)
-    bounds_b = np.concatenate(([0], np.cumsum(n_b)))
-    closes = last_b == np.arange(len(b))  # one in each group
-    closed = np.concatenate(([0], np.cumsum(closes)))
-    group_a, group_b = closed[last_a], closed[last_b]
-    n_all = int(closed[-1])
-    a_before = np.concatenate(([0], np.cumsum(np.bincount(group_a, minlength=n_all))))  # tokens of A in earlier groups
-    b_before = np.concatenate(([0], np.cumsum(np.bincount(group_b, minlength=n_all))))
-    tail_a = np.diff(group_a, append=n_all) != 0
-    pieces = np.empty(len(a) + len(b), object)
-    pieces[np.arange(len(a)) + b_before[group_a]] = words_a[a + tail_a * (len(words_a) // 2)]
-    pieces[np.arange(len(b)) + a_before[group_b + 1]] = words_b[b + closes * (len(words_b) // 2)]
-    at = np.concatenate(([0], np.cumsum(n_a + n_b))).tolist()
-    flat = pieces.tolist()
-    text = [b"".join(flat[lo:hi]) for lo, hi in zip(at, at[1:], strict=False)]
-    x, y = overlaps(ends_a, ends_b)
-    links = pack(a[x], b[y])
-    n_groups = np.diff(closed[bounds_b])
-    return Aligned(n_a, n_b, n_groups, np.concatenate(([0], np.cumsum(n_a + n_b - n_groups))), links, text)
-
-
 def id_words(n: int, inside: str, last: str) -> np.ndarray:
     """Decimal ids with the mark that follows them inside a list, then with that of a list's end."""
     return np.array([f"{i}{inside}".encode() for i in range(n)] + [f"{i}{last}".encode() for i in range(n)], object)
 
 
-class Encoder:
-    """Tokens of units; None for a unit whose tokens of A or of B do not give its bytes."""
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All values, and the n + 1 bounds of the lists in them."""
+    bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(bounds[-1])), bounds
+
+
+class Aligner:
+    """Aligned units, each as (tokens of A, tokens of B, groups, packed links, groups as bytes ended by ";").
+
+    None stands for a unit whose tokens of A or of B do not give its bytes.
+    """
 
     def __init__(self, a: ByteLevel, b: Pieces):
         self.a, self.b = a, b
-        self.kept: dict[str, tuple[list[int], list[int]] | None] = {}
+        self.words_a, self.words_b = id_words(len(a.sizes), ",", "|"), id_words(len(b.sizes), ",", ";")
+        self.kept: dict[str, tuple | None] = {}
 
-    def __call__(self, some: list[str]) -> list[tuple[list[int], list[int]] | None]:
+    def __call__(self, some: list[str]) -> list[tuple | None]:
         if len(self.kept) > KEPT_UNITS:
             self.kept = {}
-        new = [u for u in some if u not in self.kept]
-        fresh: dict = {}
-        for u, x, y in zip(new, self.a.encode(new), self.b.encode(new), strict=True):
-            raw = u.encode()
-            good = b"".join(map(self.b.bytes.__getitem__, y)) == raw and int(self.a.sizes[x].sum()) == len(raw)
-            fresh[u] = (x, y) if good else None
-            if len(u) <= 64:
-                self.kept[u] = fresh[u]
-        return [fresh[u] if u in fresh else self.kept[u] for u in some]
+        kept = self.kept
+        new = [u for u in some if u not in kept]
+        fresh = dict(zip(new, self._aligned(new), strict=True)) if new else {}
+        kept.update((u, x) for u, x in fresh.items() if len(u) <= 64)
+        return [fresh[u] if u in fresh else kept[u] for u in some]
+
+    def _aligned(self, new: list[str]) -> list[tuple | None]:
+        raw = [u.encode() for u in new]
+        all_a, all_b = self.a.encode(new), self.b.encode(new)
+        of_b = self.b.bytes.__getitem__
+        sizes = np.add.reduceat(*_padded(self.a.sizes, all_a))
+        good = [b"".join(map(of_b, y)) == r for y, r in zip(all_b, raw, strict=True)]
+        good = np.array(good) & (sizes == np.fromiter(map(len, raw), np.int64, len(raw)))
+        some = np.flatnonzero(good)
+        out: list = [None] * len(new)
+        if len(some):
+            for k, x in zip(some.tolist(), self._table([all_a[k] for k in some], [all_b[k] for k in some]), strict=True):
+                out[k] = x
+        return out
+
+    def _table(self, all_a: list[list[int]], all_b: list[list[int]]) -> Iterator[tuple]:
+        """Units, one after the other, are two tilings of the same bytes."""
+        a, bounds_a = _flat(all_a)
+        b, bounds_b = _flat(all_b)
+        ends_a, ends_b = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
+        last_a, last_b = component_labels(ends_a, ends_b)
+        closes = last_b == np.arange(len(b))  # one in each group
+        closed = np.concatenate(([0], np.cumsum(closes)))
+        group_a, group_b = closed[last_a], closed[last_b]
+        n_all = int(closed[-1])
+        a_before = np.concatenate(([0], np.cumsum(np.bincount(group_a, minlength=n_all))))  # tokens of A in earlier groups
+        b_before = np.concatenate(([0], np.cumsum(np.bincount(group_b, minlength=n_all))))
+        tail_a = np.diff(group_a, append=n_all) != 0
+        pieces = np.empty(len(a) + len(b), object)
+        pieces[np.arange(len(a)) + b_before[group_a]] = self.words_a[a + tail_a * (len(self.words_a) // 2)]
+        pieces[np.arange(len(b)) + a_before[group_b + 1]] = self.words_b[b + closes * (len(self.words_b) // 2)]
+        x, y = overlaps(ends_a, ends_b)
+        links = pack(a[x], b[y]).tobytes()
+        n_a, n_b, n_groups = np.diff(bounds_a), np.diff(bounds_b), np.diff(closed[bounds_b])
+        link_at = np.concatenate(([0], np.cumsum(n_a + n_b - n_groups))) * 8
+        text_at, link_at = (bounds_a + bounds_b).tolist(), link_at.tolist()
+        flat = pieces.tolist()
+        for k, (p, q, g) in enumerate(zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), strict=True)):
+            yield p, q, g, links[link_at[k] : link_at[k + 1]], b"".join(flat[text_at[k] : text_at[k + 1]])
+
+
+def _padded(sizes: np.ndarray, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the values of non-empty lists and the starts of the lists."""
+    values, bounds = _flat(lists)
+    return sizes[values], bounds[:-1]
 
 
 def _packed(x: np.ndarray, kind) -> bytes:
@@ -288,13 +300,11 @@ def _scan(docs: DataFrame, vocabulary_a: bytes, vocabulary_b: bytes, pattern: st
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary_a, vocabulary_b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        aligner = None
         start = TaskContext.get().partitionId() << 40
         row = block = start
         for batch in batches:
-            if encoder is None:
-                encoder = Encoder(ByteLevel(shared.value[0], pattern), Pieces(shared.value[1]))
-                words_a, words_b = id_words(len(encoder.a.sizes), ",", "|"), id_words(len(encoder.b.sizes), ",", ";")
+            aligner = aligner or Aligner(ByteLevel(shared.value[0], pattern), Pieces(shared.value[1]))
             n = batch.num_rows
             sums = np.zeros((4, n), np.int64)  # n_a, n_b, n_groups, n_links
             good = np.ones(n, bool)
@@ -303,34 +313,35 @@ def _scan(docs: DataFrame, vocabulary_a: bytes, vocabulary_b: bytes, pattern: st
 
             def block_of(held: list) -> Iterator[pa.RecordBatch]:
                 nonlocal block
-                waiting = [u for _, part in held for u in part]
+                number: dict[str, int] = {}
+                place = number.setdefault
+                of = np.array([place(u, len(number)) for _, part in held for u in part], np.int64)
                 doc = np.repeat([k for k, _ in held], [len(part) for _, part in held])
-                number = {u: k for k, u in enumerate(dict.fromkeys(waiting))}
-                ids = encoder(list(number))
-                of = np.fromiter(map(number.__getitem__, waiting), np.int64, len(waiting))
-                failed = np.array([x is None for x in ids], bool)
+                table = aligner(list(number))
+                failed = np.array([x is None for x in table], bool)
                 good[doc[failed[of]]] = False
-                some = np.flatnonzero(~failed)
                 keep = good[doc]
                 if not keep.any():
                     return
-                table = align([ids[k] for k in some], encoder.a.sizes, encoder.b.sizes, words_a, words_b)
-                place = np.zeros(len(ids), np.int64)
-                place[some] = np.arange(len(some))
-                of, doc = place[of[keep]], doc[keep]
-                width = np.diff(table.link_bounds)[of]
-                for k, column in enumerate((table.n_a[of], table.n_b[of], table.n_groups[of], width)):
-                    sums[k] += np.bincount(doc, weights=column, minlength=n).astype(np.int64)
+                of, doc = of[keep], doc[keep]
+                none = (0, 0, 0, b"", b"")
+                n_a, n_b, n_groups, packed, text = zip(*[x or none for x in table], strict=True)
+                width = np.array(n_a) + n_b - n_groups
+                for k, column in enumerate((np.array(n_a), np.array(n_b), np.array(n_groups), width)):
+                    sums[k] += np.bincount(doc, weights=column[of], minlength=n).astype(np.int64)
+                first = np.cumsum(width) - width
+                links = np.frombuffer(b"".join(packed), np.int64)
+                width, first = width[of], first[of]
                 at = np.flatnonzero(np.diff(doc, prepend=-1)).tolist()
                 order = of.tolist()
                 for lo, hi in zip(at, [*at[1:], len(doc)], strict=True):
-                    part = b"".join([table.text[u] for u in order[lo:hi]])[:-1]  # the last mark is held back
+                    part = b"".join([text[u] for u in order[lo:hi]])[:-1]  # the last mark is held back
                     if hashes[doc[lo]] is None:
                         hashes[doc[lo]] = hashlib.sha256(part)
                     else:
                         hashes[doc[lo]].update(b";" + part)
-                link = np.repeat(table.link_bounds[of] - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
-                yield _messages(np.repeat(doc, width), table.links[link], row, block)
+                link = np.repeat(first - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+                yield _messages(np.repeat(doc, width), links[link], row, block)
                 block += 1
 
             for k, raw in enumerate(batch.column(1)):
@@ -346,7 +357,7 @@ def _scan(docs: DataFrame, vocabulary_a: bytes, vocabulary_b: bytes, pattern: st
                 if len(text) > BLOCK:  # several blocks, if all of it is given back
                     step = max(1, len(found) * BLOCK // len(text))
                     parts = [found[lo : lo + step] for lo in range(0, len(found), step)]
-                    good[k] = all(x is not None for part in parts for x in encoder(list(dict.fromkeys(part))))
+                    good[k] = all(x is not None for part in parts for x in aligner(list(dict.fromkeys(part))))
                     for part in parts if good[k] else []:
                         yield from block_of([(k, part)])
                 elif found:

@@ -96,6 +96,7 @@ def test_units_give_the_tokens_of_whole_texts():
 def test_alignment(spark, monkeypatch, block, salt, held):
     monkeypatch.setattr(ta, "BLOCK", block)
     monkeypatch.setattr(ta, "BLOCKS_A_SALT", salt)
+    monkeypatch.setattr(ta, "KEPT_UNITS", held)
     monkeypatch.setattr(ta, "HELD_PAIRS", held)
     monkeypatch.setattr(ta, "TABLE_PIECE", held)
     rows = awkward() + list(enumerate(odd_texts(150), 1000)) + [(2000, "ok " * 900 + "▁ " + "ok " * 900)]
