@@ -166,7 +166,10 @@ def _(m: Market):
     keyed = m.scored.select(so.cache_key("headline", "m").alias("cache_key"), "confidence", "source")
     old = keyed.where("source <> 'reddit'").select("cache_key", F.lit("old").alias("label_name"), "confidence")
     new = keyed.where("source = 'reddit'").select("cache_key", F.lit("new").alias("label_name"), "confidence")
-    return so.merge_cache(old, new).groupBy("label_name").agg(F.count("*").alias("n"))
+    cache = so.open_cache(m.spark, folder(m), 8)
+    cache.merge(old, order=["confidence"])
+    cache.merge(new, order=["confidence"])
+    return cache.read().groupBy("label_name").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -218,9 +221,11 @@ def _(m: Market):
     "SELECT CASE WHEN headline IN (SELECT headline FROM scored WHERE source = 'reddit') THEN 'cached' ELSE 'fresh' END AS label_name, count(*) AS n FROM scored GROUP BY 1",
 )
 def _(m: Market):
-    known = m.scored.where("source = 'reddit'").select(so.cache_key("headline", "m").alias("cache_key"), F.lit("cached").alias("label_name"), F.lit(1.0).alias("confidence")).dropDuplicates(["cache_key"])
+    known = m.scored.where("source = 'reddit'").select(so.cache_key("headline", "m").alias("cache_key"), F.lit("cached").alias("label_name"), F.lit(1.0).alias("confidence"))
     fresh = lambda df: df.withColumn("label_name", F.lit("fresh")).withColumn("confidence", F.lit(0.5))
-    scored, _ = so.score_with_cache(m.news.select("headline_id", "headline"), known, fresh, "m")
+    cache = so.open_cache(m.spark, folder(m), 8)
+    cache.merge(known)
+    scored = so.score_with_cache(m.news.select("headline_id", "headline"), cache, fresh, "m")
     return scored.groupBy("label_name").agg(F.count("*").alias("n"))
 
 

@@ -14,19 +14,24 @@ from tapewire.operators import validation as va
 from tapewire.plans.fixtures import Market
 from tapewire.plans.oracle_stats import spearman_sql
 from tapewire.plans.queries.longshort import FACTOR_CTES, FVIEWS, matrix
-from tapewire.plans.queries.macro import REC_CTES, REC_VIEWS, SNAP, snapshots
+from tapewire.plans.queries.macro import BOOK, REC_CTES, REC_VIEWS, SNAP, book, results, snapshots
 from tapewire.plans.queries.models import CLS, predicted
 from tapewire.plans.queries.sources import folder
 from tapewire.plans.queries.stats import counts
 from tapewire.plans.registry import query
+from tapewire.sources.keyed import KeyedTable
 from tapewire.sources import store as so
 from tapewire.streaming import jobs as sj
 
 
-def landed(m: Market, df: DataFrame) -> tuple[str, str]:
+#: Files come in any order, so the watermark of a whole table read at once lies behind its first day.
+WHOLE = "10000 days"
+
+
+def landed(m: Market, df: DataFrame, files: int | None = None) -> tuple[str, str]:
     """Write the batch table as stream input; returns (input path, schema)."""
     path = folder(m)
-    df.write.parquet(path)
+    (df.repartition(files) if files else df).write.parquet(path)
     return path, df.schema.simpleString()[7:-1].replace(":", " ")
 
 
@@ -57,15 +62,14 @@ def _(m: Market):
 )
 def _(m: Market):
     path, schema = landed(m, stamped(m).drop("label_name", "confidence"))
-    cache, out, state = folder(m), folder(m), folder(m)
+    out = folder(m)
 
     def scorer(df: DataFrame) -> DataFrame:
         label = F.when(F.pmod(F.length("headline"), F.lit(2)) == 0, "positive").otherwise("negative")
         return df.withColumn("label_name", label).withColumn("confidence", F.lit(0.9))
 
-    body = sj.incremental_scorer(m.spark, cache, scorer, "m", out)
-    news = sj.read_news_stream(m.spark, path, schema)
-    news.writeStream.foreachBatch(body).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    body = sj.incremental_scorer(so.open_cache(m.spark, folder(m), 8), scorer, "m", out)
+    sj.run_to_end(sj.read_news_stream(m.spark, path, schema), body, folder(m))
     return m.spark.read.parquet(out).groupBy("label_name").agg(F.count("*").alias("n"))
 
 
@@ -80,32 +84,38 @@ def _(m: Market):
 def _(m: Market):
     s = m.scored.groupBy("ticker", F.date_trunc("month", "date").alias("ts")).agg(F.avg("signal").alias("s"))
     rec = F.when(F.col("s") > 0.1, "BUY").when(F.col("s") < -0.1, "SELL").otherwise("HOLD")
-    path, schema = landed(m, s.select("ticker", rec.alias("recommendation"), F.col("ts").cast("timestamp").alias("ts")))
-    updates = sj.read_news_stream(m.spark, path, schema)
-    return drain(m, sj.recommendation_alerts(updates)).withColumn("month", F.to_date("ts"))
+    path, schema = landed(m, s.select("ticker", rec.alias("recommendation"), F.col("ts").cast("timestamp").alias("ts")), 3)
+    history, alerts = (KeyedTable(m.spark, folder(m), kind, ["ticker", "ts"], 4, ["ticker"]) for kind in (sj.HISTORY, sj.ALERTS))
+    # one file a batch, and files in no order of time
+    sj.run_to_end(sj.read_news_stream(m.spark, path, schema, 1), sj.recommendation_alerts(history, alerts), folder(m))
+    return sj.current_alerts(alerts).withColumn("month", F.to_date("ts"))
 
 
 @query(
     "ST04_daily_signal_stream",
     "date:t ticker signal:d headline_count:i",
     "conf",
-    "SELECT date, ticker, avg(signal::DOUBLE) AS signal, count(*) AS headline_count FROM conf WHERE date <= (SELECT max(date) FROM conf) - 3 GROUP BY 1, 2",
+    "SELECT date, ticker, avg(signal::DOUBLE) AS signal, count(*) AS headline_count FROM conf GROUP BY 1, 2",
 )
 def _(m: Market):
-    path, schema = landed(m, stamped(m))
-    return drain(m, sj.daily_signal_stream(sj.read_news_stream(m.spark, path, schema)))
+    path, schema = landed(m, stamped(m), 3)
+    table = KeyedTable(m.spark, folder(m), "date date, ticker string, signal double, headline_count long", ["date", "ticker"], 8)
+    sj.run_to_end(sj.daily_signal_stream(sj.read_news_stream(m.spark, path, schema, 1), delay=WHOLE), sj.upsert(table), folder(m))
+    return table.read()
 
 
 @query(
     "ST05_news_volume_stream",
     "end_date:t ticker n:i",
     "news",
-    """SELECT CAST(d + 1 AS DATE) AS end_date, ticker, count(*) AS n FROM (SELECT ticker, unnest([date + CAST(i AS INTEGER) for i in range(30)]) AS d FROM news)
- WHERE d + 1 <= (SELECT max(date) FROM news) - 2 GROUP BY 1, 2""",
+    """SELECT CAST(d + 1 AS DATE) AS end_date, ticker, count(*) AS n FROM (SELECT ticker, unnest([date + CAST(i AS INTEGER) for i in range(30)]) AS d FROM news) GROUP BY 1, 2""",
 )
 def _(m: Market):
-    path, schema = landed(m, stamped(m))
-    return drain(m, sj.news_volume_stream(sj.read_news_stream(m.spark, path, schema)))
+    path, schema = landed(m, stamped(m), 3)
+    daily = KeyedTable(m.spark, folder(m), "date date, ticker string, n long", ["date", "ticker"], 8, ["ticker"])
+    windows = KeyedTable(m.spark, folder(m), "end_date date, ticker string, n long", ["end_date", "ticker"], 8, ["ticker"])
+    sj.run_to_end(sj.daily_volume_stream(sj.read_news_stream(m.spark, path, schema, 1), WHOLE), sj.volume_windows(daily, windows), folder(m))
+    return windows.read()
 
 
 # ---- remaining sinks --------------------------------------------------------
@@ -146,23 +156,34 @@ def _(m: Market):
     return m.spark.read.schema("ticker string, n long").json(path)
 
 
-@query("SRC22_content_hash", "same:b", "news", "SELECT true AS same")
+@query(
+    "SRC22_content_hash",
+    "hash",
+    "news",
+    """SELECT sha256(sha256(sha256(sha256(string_agg(sha256(line), '' ORDER BY line)) ) || ' ' || sum(octet_length(encode(line)) + 1))) AS hash FROM (SELECT ticker || ',' || count(*) AS line FROM news GROUP BY ticker)""",
+)
 def _(m: Market):
     path = folder(m)
-    m.news.groupBy("source").agg(F.count("*").alias("n")).coalesce(1).write.parquet(path)
-    a, b = so.content_hash(m.spark, path), so.content_hash(m.spark, path)
-    return a.join(b, "hash").select((F.length("hash") == 64).alias("same"))
+    lines = m.news.groupBy("ticker").agg(F.count("*").alias("n")).select(F.concat_ws(",", "ticker", "n").alias("line"))
+    lines.coalesce(1).sortWithinPartitions("line").write.text(path)
+    return so.content_hash(m.spark, path)
 
 
-@query("SRC23_portfolio_report", "ticker recommendation", REC_VIEWS, "SELECT ticker, recommendation FROM rec", REC_CTES)
+@query(
+    "SRC23_portfolio_report",
+    "copy run ticker recommendation",
+    REC_VIEWS,
+    """SELECT 'archive' AS copy, r AS run, ticker, recommendation FROM rec, (VALUES ('r1'), ('r2')) v(r) UNION ALL SELECT 'latest', NULL, ticker, recommendation FROM rec
+ UNION ALL SELECT 'ranked', NULL, ticker, 'BUY' FROM book""",
+    REC_CTES + ",\n" + BOOK,
+)
 def _(m: Market):
     from tapewire.operators import recommend as rc
-    from tapewire.plans.queries.macro import results
-
     path = folder(m)
     rows = results(m)
-    so.save_portfolio(rc.summary_table(rows), rc.summary_table(rc.ranked_book(rows)), path, "r1")
-    return m.spark.read.option("header", True).csv(f"{path}/latest")
+    for run in ("r1", "r2"):
+        so.save_portfolio(rc.summary_table(rows), rc.summary_table(book(m)), path, run)
+    return so.load_portfolio(m.spark, path, ", ".join(f"`{c}` {t}" for c, t in rc.summary_table(rows).dtypes))
 
 
 @query(

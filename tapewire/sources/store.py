@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapewire.functions.settle import settle
 from tapewire.operators.panel import pivot_panel, unpivot_panel
-from tapewire.operators.sets import keep_first
+from tapewire.sources.keyed import KeyedTable
+
+CACHE = "cache_key string, label_name string, confidence double"
 
 
 def save_snapshot(tables: dict[str, DataFrame], path: str) -> None:
@@ -69,13 +73,51 @@ def save_portfolio(results: DataFrame, ranked: DataFrame, path: str, run_id: str
     ranked.write.mode("overwrite").option("header", True).csv(f"{path}/ranked")
 
 
-def content_hash(spark: SparkSession, path: str) -> DataFrame:
-    """One hash over the files of a manifest, by their own content hashes in path order.
+def load_portfolio(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all archived runs, of the latest copy and of the ranked book, with their ``copy`` and ``run``."""
+
+    def rows(part: str, kind: str, copy: str) -> DataFrame:
+        return spark.read.schema(kind).option("header", True).csv(f"{path}/{part}").withColumn("copy", F.lit(copy))
+
+    out = rows("archive", f"{schema}, run string", "archive")
+    for part in ("latest", "ranked"):
+        out = out.unionByName(rows(part, schema, part), allowMissingColumns=True)
+    return out
+
+
+HASH_LINES = 1 << 16
+
 
-    Input is the small set of files named by the run, not the data set.
+def content_hash(spark: SparkSession, path: str, block_lines: int = HASH_LINES) -> DataFrame:
+    """One hash over the files of a folder, of any size: a hash tree over their lines.
+
+    Leaves are SHA-256 of the bytes between line feeds, hashed where Spark reads them.  ``block_lines`` leaves
+    in order make a block, a file's blocks and its length the file, and the files in path order the whole;
+    each level hashes the hex digests below it.  Blocks go by the line's number in its file, which counts of
+    lines per split give, so the hash does not depend on how Spark splits the files.  A file without line
+    feeds is one row and must stay below 2 GB.  An empty folder has the hash of nothing.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("h"))
-    return files.agg(F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("path", "h"))), lambda s: s["h"])), 256).alias("hash"))
+    meta = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.col("_metadata.file_size").alias("size"),
+        F.monotonically_increasing_id().alias("id"),
+        F.sha2(F.col("value").cast("binary"), 256).alias("leaf"),
+    )
+    leaves = settle(meta)
+    splits = leaves.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("lines"))
+    # one row a split of some file: bounded by bytes over the split size
+    before = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.select("file", "start", (F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    numbered = leaves.join(splits, ["file", "start"]).withColumn("line", F.col("id") + F.col("shift"))
+
+    def folded(order: str, col: str) -> Column:
+        inside = F.sort_array(F.collect_list(F.struct(order, col)))
+        return F.sha2(F.array_join(F.transform(inside, lambda x: x[col]), ""), 256)
+
+    blocks = numbered.groupBy("file", "size", F.floor(F.col("line") / block_lines).alias("block")).agg(folded("line", "leaf").alias("digest"))
+    files = blocks.groupBy("file", "size").agg(folded("block", "digest").alias("digest")).withColumn("digest", F.sha2(F.concat_ws(" ", "digest", "size"), 256))
+    return files.agg(folded("file", "digest").alias("hash"))
 
 
 def state_row(spark: SparkSession, stage: str, status: str, code: str = "OK", message: str = "") -> DataFrame:
@@ -107,16 +149,20 @@ def cache_key(text: Column | str, model: str) -> Column:
     return F.sha2(F.concat_ws("|", col, F.lit(model)), 256)
 
 
-def merge_cache(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New rows replace old ones with the same key."""
-    both = old.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
-    return keep_first(both, ["cache_key"], [F.desc("_v"), F.desc("confidence"), F.col("label_name")]).drop("_v")
+def open_cache(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTable:
+    """The prediction cache: one row a key, in buckets by key."""
+    return KeyedTable(spark, path, CACHE, ["cache_key"], buckets)
+
 
+def score_with_cache(news: DataFrame, cache: KeyedTable, scorer: Callable[[DataFrame], DataFrame], model: str, text: str = "headline", version: int | None = None) -> DataFrame:
+    """Scored news: only texts whose key is unknown reach the scorer, each once, and enter the cache.
 
-def score_with_cache(news: DataFrame, cache: DataFrame, scorer: Callable[[DataFrame], DataFrame], model: str, text: str = "headline") -> tuple[DataFrame, DataFrame]:
-    """(scored news, merged cache): only texts whose key is unknown reach the scorer, each once."""
+    Only the buckets of the asked keys are read and rewritten.  ``version`` numbers the merge; texts that an
+    earlier attempt under that number scored are scored again.
+    """
     keyed = news.withColumn("cache_key", cache_key(text, model))
-    unknown = keyed.select("cache_key", text).dropDuplicates(["cache_key"]).join(cache.select("cache_key"), "cache_key", "left_anti")
-    fresh = scorer(unknown).select("cache_key", "label_name", "confidence")
-    merged = cache.select("cache_key", "label_name", "confidence").unionByName(fresh)
-    return keyed.join(merged, "cache_key"), merged
+    asked = settle(keyed.groupBy("cache_key").agg(F.min(text).alias(text)))
+    known = cache.lookup(asked, before=version).select("cache_key")
+    cache.merge(scorer(asked.join(known, "cache_key", "left_anti")).select("cache_key", "label_name", "confidence"), version)
+    after = None if version is None else version + 1
+    return keyed.join(cache.lookup(asked, before=after), "cache_key", "left")

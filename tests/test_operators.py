@@ -250,7 +250,7 @@ def test_sources_reject_bad_input(spark, tmp_path):
     assert set(rows) == {"Flat", "Nested"} and rows["Flat"].date == dt.datetime(1970, 1, 2)
 
 
-def test_cache_scores_each_text_once(spark):
+def test_cache_scores_each_text_once(spark, tmp_path):
     seen = []
 
     def scorer(df):
@@ -258,10 +258,10 @@ def test_cache_scores_each_text_once(spark):
         return df.withColumn("label_name", F.lit("positive")).withColumn("confidence", F.lit(0.8))
 
     news = spark.createDataFrame([("a",), ("a",), ("b",)], "headline string")
-    cache = spark.createDataFrame([], "cache_key string, label_name string, confidence double")
-    scored, merged = so.score_with_cache(news, cache, scorer, "m")
+    cache = so.open_cache(spark, str(tmp_path), 4)
+    scored = so.score_with_cache(news, cache, scorer, "m")
     assert seen[-1] == ["a", "b"] and scored.count() == 3
-    so.score_with_cache(news, merged, scorer, "m")
+    so.score_with_cache(news, cache, scorer, "m")
     assert seen[-1] == []
 
 
@@ -295,14 +295,13 @@ def test_stream_scorer_survives_repeated_batches(spark, tmp_path):
         calls.append(sorted(r.headline for r in df.collect()))
         return df.withColumn("label_name", F.upper("headline")).withColumn("confidence", F.lit(0.9))
 
-    cache, out = str(tmp_path / "cache"), str(tmp_path / "out")
-    body = incremental_scorer(spark, cache, scorer, "m", out)
+    cache, out = so.open_cache(spark, str(tmp_path / "cache"), 4), str(tmp_path / "out")
+    body = incremental_scorer(cache, scorer, "m", out)
     first = spark.createDataFrame([("a",), ("b",), ("a",)], "headline string")
     second = spark.createDataFrame([("b",), ("c",)], "headline string")
     body(first, 0)
     body(first, 0)  # a replay
     body(second, 1)
-    spark.createDataFrame([], "cache_key string, label_name string, confidence double").write.mode("overwrite").parquet(f"{cache}/batch=1")
     body(second, 1)  # a replay after a failure between the two writes
     assert calls == [["a", "b"], ["a", "b"], ["c"], ["c"]]
     rows = sorted((r.batch, r.headline, r.label_name) for r in spark.read.parquet(out).collect())
