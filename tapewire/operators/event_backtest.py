@@ -126,9 +126,12 @@ def portfolio_metrics(returns: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def drawdown_blocks(curve: DataFrame, keys: list[str], order: str = "date") -> DataFrame:
-    """Contiguous runs with a negative drawdown as (first_day, last_day, days)."""
+    """Contiguous runs with a negative drawdown as (first_day, last_day, days).
+
+    A drawdown within rounding (1e-12) of the peak is none.
+    """
     w = W.partitionBy(*keys).orderBy(order)
-    flagged = curve.withColumn("under", (F.col("drawdown") < 0).cast("int"))
+    flagged = curve.withColumn("under", (F.col("drawdown") < -1e-12).cast("int"))
     starts = F.when(F.col("under") != F.coalesce(F.lag("under").over(w), F.lit(-1)), 1).otherwise(0)
     island = flagged.withColumn("_start", starts)
     island = island.withColumn("_island", F.sum("_start").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))

@@ -15,7 +15,7 @@ from tapewire import config
 from tapewire import keyword_data as kd
 from tapewire.functions.stats import t_two_sided_p
 from tapewire.operators.calendar import as_of_forward
-from tapewire.operators.keywords import match_listed
+from tapewire.operators.keywords import match
 from tapewire.operators.panel import at_offset, benchmark_returns, by_ticker, simple_returns
 
 
@@ -44,9 +44,12 @@ def abnormal_returns(panel: DataFrame, bench: DataFrame | None = None, window: t
     return rows.where("_n >= 5 and _h >= 10").select("ticker", "pos", *[f"ar_{d}" for d in days], car.alias("car")).where("car is not null")
 
 
-def keyword_events(news: DataFrame, cal: DataFrame, keywords: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, keyword, ticker, pos, n): headlines containing a keyword, counted per entry day."""
-    hits = match_listed(news, keywords).groupBy(*keys, "keyword", "ticker", "date").agg(F.count("*").alias("n"))
+def keyword_events(news: DataFrame, cal: DataFrame, keywords: list[str] | DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, keyword, ticker, pos, n): headlines containing a keyword, counted per entry day.
+
+    ``keywords``: a list written in the program, or a table with a column ``keyword``.
+    """
+    hits = match(news.select(*keys, "ticker", "date", "headline"), keywords).groupBy(*keys, "keyword", "ticker", "date").agg(F.count("*").alias("n"))
     entered = as_of_forward(hits, cal).withColumnRenamed("entry_pos", "pos")
     return entered.groupBy(*keys, "keyword", "ticker", "pos").agg(F.sum("n").alias("n"))
 

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from tapewire import config
 from tapewire import keyword_data as kd
+from tapewire.functions.settle import settle
 from tapewire.functions.stats import clip
-
-GRAM = 5
-
+from tapewire.operators.patterns import with_keywords, with_weights
 
 def ticker_stop_words(tickers: list[str] | None = None, aliases: dict[str, list[str]] | None = None) -> list[str]:
     words = [t.lower() for t in (tickers or config.TICKERS)]
@@ -69,28 +68,13 @@ def match_listed(news: DataFrame, keywords: list[str], text: str = "headline") -
 
 
 def match_table(news: DataFrame, keywords: DataFrame, text: str = "headline") -> DataFrame:
-    """Same match for a keyword table of any size.
+    """Same match for a keyword table of any size; select the columns that are needed before."""
+    return with_keywords(news, keywords, text, out="_hits").withColumn("keyword", F.explode("_hits")).drop("_hits")
 
-    It is an equi-join: a contained keyword's first GRAM characters
-    are one of the text's character grams, so (length, gram) is an exact join
-    key and ``contains`` confirms.  Keywords shorter than GRAM use their full
-    length.  Each distinct text contributes its distinct grams once.
-    """
-    listed = keywords.select("keyword").where(F.length("keyword") > 0).distinct()
-    kw = listed.withColumn("_kw", F.lower("keyword"))
-    kw = kw.withColumn("_k", F.least(F.length("_kw"), F.lit(GRAM))).withColumn("_gram", F.substring("_kw", F.lit(1), F.col("_k")))
-    low = F.col("_low")
-    sizes = F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length(low)))
 
-    def grams(k: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length(low) - k + 1)
-        return F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, k)))
-
-    texts = news.where(F.length(text) > 0).select(text).distinct().withColumn("_low", F.lower(text))
-    probes = texts.withColumn("_k", F.explode_outer(sizes)).join(kw.select("_k").distinct(), "_k", "left_semi")
-    probes = probes.withColumn("_gram", F.explode_outer(grams(F.col("_k"))))
-    hits = probes.join(kw, ["_k", "_gram"]).where(F.contains("_low", F.col("_kw"))).select(text, "keyword")
-    return news.join(hits, text)
+def match(news: DataFrame, keywords: list[str] | DataFrame, text: str = "headline") -> DataFrame:
+    """A list that is written in the program, or a table."""
+    return match_table(news, keywords, text) if isinstance(keywords, DataFrame) else match_listed(news, keywords, text)
 
 
 def match_tickers(entries: DataFrame, aliases: dict[str, list[str]], title: str = "title", summary: str = "summary") -> DataFrame:
@@ -109,22 +93,29 @@ def match_tickers(entries: DataFrame, aliases: dict[str, list[str]], title: str
 
 
 def text_terms(df: DataFrame, id_col: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
-    """(id, term, tf): word uni- and bigrams after stop-word removal, counted per document.
+    """(id, term, tf): word uni- and bigrams after stop-word removal, counted inside the row.
 
-    The texts are hashed by document once; term counts, document norms and the
-    later join on the document then reuse that partitioning, so the much larger
-    term rows are never shuffled by document.
+    A row's terms are sorted and cut into runs, so neither texts nor repeated terms are shuffled.  ``id_col``
+    identifies the rows.
     """
     stop = stop_words if stop_words is not None else sorted(set(english_stop_words()) | set(domain_stop_words()))
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     kept = F.filter(words, lambda w: ~w.isin(stop)) if stop else words
-    rows = df.select(id_col, text).repartition(id_col).select(id_col, kept.alias("_w"))
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat_ws(" ", F.element_at("_w", i), F.element_at("_w", i + 1))
-    )
-    terms = F.when(F.size("_w") > 1, F.concat("_w", pairs)).otherwise(F.col("_w"))
-    exploded = rows.select(id_col, F.explode_outer(terms).alias("term")).where("term is not null")
-    return exploded.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    rows = df.select(id_col, kept.alias("_w"))
+    after = F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0)))
+    pairs = F.zip_with(F.slice("_w", F.lit(1), F.greatest(F.size("_w") - 1, F.lit(0))), after, lambda a, b: F.concat_ws(" ", a, b))
+    rows = rows.select(id_col, F.sort_array(F.concat("_w", pairs)).alias("_t")).where(F.size("_t") > 0)
+    begins = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: (i == 0) | ~F.get("_t", i).eqNullSafe(F.get("_t", i - 1)))
+    rows = rows.select(id_col, "_t", begins.alias("_s"))
+    counted = F.transform("_s", lambda s, k: F.struct(F.get("_t", s).alias("term"), (F.coalesce(F.get("_s", k + 1), F.size("_t")) - s).cast("long").alias("tf")))
+    return rows.select(id_col, F.explode_outer(counted).alias("_x")).select(id_col, "_x.term", "_x.tf").where("term is not null")
+
+
+def vocabulary(terms: DataFrame, n_docs: Column | int, min_df: int = 2, max_df: float = 0.80, max_features: int | None = None) -> DataFrame:
+    """(term, df, total): every term within the df bounds, or with ``max_features`` that many of the most frequent."""
+    vocab = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    vocab = vocab.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    return vocab if max_features is None else vocab.orderBy(F.desc("total"), "term").limit(max_features)
 
 
 def tfidf_weights(
@@ -136,35 +127,49 @@ def tfidf_weights(
     max_df: float = 0.80,
     max_features: int | None = None,
 ) -> DataFrame:
-    """(id, term, weight, meaningful): (1+ln tf) * (ln((1+n)/(1+df))+1), unit length per document.
+    """(id, term, weight): (1+ln tf) * (ln((1+n)/(1+df))+1), unit length per document.
 
-    The vocabulary is every term within the df bounds, or with ``max_features``
-    that many of the most frequent.  It is joined by term.  The quality predicate runs on the vocabulary, not on every term occurrence.
+    Terms meet the vocabulary by term, which leaves out all that occur in one document only; what is left
+    goes back to its document once, where the norm is a sum over the document's own array.
     """
     terms = text_terms(df, id_col, text, stop_words)
     n_docs = df.agg(F.count("*")).scalar()
-    vocab = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    vocab = vocab.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-    if max_features is not None:
-        vocab = vocab.orderBy(F.desc("total"), "term").limit(max_features)
+    vocab = vocabulary(terms, n_docs, min_df, max_df, max_features)
     idf = F.ln((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
-    rows = terms.join(vocab.select("term", idf.alias("idf"), is_meaningful(F.col("term")).alias("meaningful")), "term")
-    rows = rows.withColumn("raw", (1.0 + F.ln("tf")) * F.col("idf"))
-    norms = rows.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return rows.join(norms, id_col).select(id_col, "term", (F.col("raw") / F.nullif("norm", F.lit(0.0))).alias("weight"), "meaningful")
+    rows = terms.join(vocab.select("term", idf.alias("idf")), "term")
+    raw = (1.0 + F.ln("tf")) * F.col("idf")
+    docs = rows.groupBy(id_col).agg(F.collect_list(F.struct("term", raw.alias("raw"))).alias("_x"))
+    norm = F.sqrt(F.aggregate("_x", F.lit(0.0), lambda a, x: a + x["raw"] * x["raw"]))
+    docs = docs.select(id_col, "_x", norm.alias("_norm")).select(id_col, "_norm", F.explode_outer("_x").alias("_x"))
+    return docs.select(id_col, F.col("_x.term").alias("term"), (F.col("_x.raw") / F.nullif("_norm", F.lit(0.0))).alias("weight"))
+
+
+def top_meaningful(scores: DataFrame, n: int, score: str = "score") -> DataFrame:
+    """The ``n`` best-scored terms that pass the quality predicate, ties by name.
+
+    The predicate is asked of the best ``4 n`` terms, then of four times as many while too few of them
+    pass: each turn is one job, and it mostly ends with the first.
+    """
+    scores = settle(scores)
+    some = 4 * n
+    while True:
+        best = scores.orderBy(F.desc(score), "term").limit(some)
+        kept = best.where(is_meaningful(F.col("term"))).orderBy(F.desc(score), "term").limit(n)
+        if kept.count() == n or best.count() < some:
+            return kept
+        some *= 4
 
 
 def corpus_keywords(df: DataFrame, id_col: str, text: str, n: int = config.TOP_N_KEYWORDS, **options: object) -> DataFrame:
-    """Top ``n`` meaningful terms by mean weight over all documents."""
-    weights = tfidf_weights(df, id_col, text, **options)
+    """Top ``n`` meaningful terms by mean weight over all documents, to 12 places, so that sums in another order tie alike."""
     n_docs = df.agg(F.count("*")).scalar()
-    scores = weights.where("meaningful").groupBy("term").agg((F.sum("weight") / n_docs).alias("score"))
-    return scores.orderBy(F.desc("score"), "term").limit(n)
+    scores = tfidf_weights(df, id_col, text, **options).groupBy("term").agg(F.round(F.sum("weight") / n_docs, 12).alias("score"))
+    return top_meaningful(scores, n)
 
 
 def document_keywords(df: DataFrame, id_col: str, text: str, n: int = 5, floor: float = 0.2, **options: object) -> DataFrame:
     """Top ``n`` meaningful terms per document with weight at least ``floor``."""
-    weights = tfidf_weights(df, id_col, text, **options).where((F.col("weight") >= floor) & F.col("meaningful"))
+    weights = tfidf_weights(df, id_col, text, **options).where(F.col("weight") >= floor).where(is_meaningful(F.col("term")))
     w = W.partitionBy(id_col).orderBy(F.desc(F.round("weight", 9)), "term")
     return weights.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
@@ -217,16 +222,32 @@ def best_keyword(text: Column, weights: dict[str, float]) -> Column:
     return F.array_max(ranked)
 
 
+def adjusted_signals(rows: DataFrame, weights: DataFrame, text: str = "headline", signal: str = "signal", limit: float = config.MAX_SIGNAL_ADJUSTMENT) -> DataFrame:
+    """``adjusted_signal`` for a weight table (keyword, avg_CAR) of any size, as column ``adjusted``."""
+    got = with_weights(rows, weights, text)
+    return got.withColumn("adjusted", clip(F.col(signal) + clip(F.col("keyword_total"), -limit, limit), -1.0, 1.0)).drop("keyword_total", "best_keyword")
+
+
+def weight_of_best(best: Column) -> Column:
+    """The impact weight of the strongest contained keyword, 1 without one."""
+    return F.least(F.lit(2.0), 1.0 + F.coalesce(best["abs_car"], F.lit(0.0)) * 10)
+
+
+def impact_weights(rows: DataFrame, weights: DataFrame, text: str = "headline") -> DataFrame:
+    """``impact_weight`` for a weight table of any size, as column ``keyword_w``."""
+    return with_weights(rows, weights, text).withColumn("keyword_w", weight_of_best(F.col("best_keyword"))).drop("keyword_total", "best_keyword")
+
+
 def agreement_weight(lex: Column, sentiment: Column) -> Column:
     """Boost when lexicon and model agree, damp when they differ."""
     both = lex * sentiment
     return F.when(both > 0, 1 + 0.5 * F.abs(lex)).when(both < 0, F.greatest(F.lit(0.3), 1 - 0.7 * F.abs(lex))).otherwise(1.0)
 
 
-def sentiment_keywords(scored: DataFrame, label: str, keywords: list[str], top: int = 5, threshold: float = config.CONFIDENCE_THRESHOLD) -> DataFrame:
+def sentiment_keywords(scored: DataFrame, label: str, keywords: list[str] | DataFrame, top: int = 5, threshold: float = config.CONFIDENCE_THRESHOLD) -> DataFrame:
     """Most frequent known keywords per ticker in confident headlines of one label."""
     rows = scored.where((F.col("label_name") == label) & (F.col("confidence") >= threshold))
-    counts = match_listed(rows, keywords).groupBy("ticker", "keyword").agg(F.count("*").alias("n"))
+    counts = match(rows.select("ticker", "headline"), keywords).groupBy("ticker", "keyword").agg(F.count("*").alias("n"))
     return _top(counts, "keyword", top)
 
 

@@ -76,19 +76,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def negated(words: Column, phrase_words: Column, negations: list[str], window: int) -> Column:
-    """True when a negation word stands within ``window`` tokens before any occurrence of the phrase."""
-    n = F.size(phrase_words)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-    neg = F.array(*[F.lit(w) for w in negations])
-
-    def hit(i: Column) -> Column:
-        lead = F.least(F.lit(window), i - 1)
-        return (F.slice(words, i, n) == phrase_words) & F.arrays_overlap(F.slice(words, i - lead, lead), neg)
-
-    return (n > 0) & (F.size(words) >= n) & F.exists(starts, hit)
-
-
 def score_texts(df: DataFrame, text: str = "headline", lexicon: Lexicon | None = None, dedupe: bool = False) -> DataFrame:
     """Add raw_score, normalised_score, lex_label, lex_confidence, the matched arrays and the bonuses.
 

@@ -16,6 +16,8 @@ from tapewire import config
 from tapewire.functions.labels import blended_label, label_name
 from tapewire.functions.stats import ratio
 from tapewire.operators.lexicon import score_texts
+from tapewire.operators.ranks import value_positions
+from tapewire.operators.sets import strata_key
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -52,13 +54,18 @@ def batch_scorer(load: Callable[[], Callable[[pd.Series], pd.DataFrame]], text:
 
 
 def stratified_split(df: DataFrame, label: str, text: str, id_col: str, train: float = 0.70, val: float = 0.15, seed: int = config.RANDOM_SEED) -> DataFrame:
-    """70/15/15 split by a seeded hash of the row, stratified per label.
+    """70/15/15 split of each label, exact to the row, in the order of a seeded MD5 of (label, text, id).
 
-    The hash is uniform inside every label, so a cut of its range splits each
-    label in the given shares without ordering a label in one task.
+    The order's cuts are found over ranges of the hashes, so no label is ordered in one task; rows then compare
+    their hash with the cuts of their label.  Equal rows go together.  A null label is a label.
     """
-    u = F.pmod(F.xxhash64(F.col(label), F.col(text), F.col(id_col), F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-    return df.withColumn("split", F.when(u < train, "train").when(u < train + val, "val").otherwise("test"))
+    keyed = df.withColumn("_key", strata_key(label, text, id_col, seed))
+    pos = value_positions(keyed.select(F.coalesce(F.col(label).cast("string"), F.lit("\0")).alias("_stratum"), "_key").withColumn("_one", F.lit(1)), ["_stratum"], "_key", "_one")
+    first = lambda share: F.min(F.when(F.col("lo") >= F.round(F.col("size") * share), F.col("_key")))
+    cuts = pos.groupBy("_stratum").agg(first(train).alias("_a"), first(train + val).alias("_b"))
+    rows = keyed.withColumn("_stratum", F.coalesce(F.col(label).cast("string"), F.lit("\0"))).join(cuts, "_stratum")
+    before = lambda cut: F.col(cut).isNull() | (F.col("_key") < F.col(cut))
+    return rows.withColumn("split", F.when(before("_a"), "train").when(before("_b"), "val").otherwise("test")).drop("_key", "_stratum", "_a", "_b")
 
 
 def confusion_counts(df: DataFrame, keys: list[str] | None = None, label: str = "label", pred: str = "prediction") -> DataFrame:

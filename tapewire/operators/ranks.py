@@ -5,10 +5,10 @@ row.  Two forms:
 
 * ``bounded``: each key group is a cross-section or one ticker's history (at
   most tickers or days many rows); a plain window per key does it.
-* unbounded: values are cut into cells by a fixed monotone rule (64 cells per
-  factor of two), cells are counted, and ranks are the cell offset plus the
-  rank inside the cell.  The rule does not depend on the data, so a recomputed
-  task always gives the same cells.
+* unbounded: the counted values are range-partitioned by (keys, value), each range is counted, and a
+  value's position is the offset of its range plus its position inside.  Ranges are cut by the values
+  themselves, so dense or hot stretches are spread like any other.  The ranges are written once
+  (``settle``), since the cut is sampled and both readers must see the same one.
 """
 
 from __future__ import annotations
@@ -20,16 +20,6 @@ from pyspark.sql import functions as F
 from tapewire.functions.settle import settle
 from tapewire.functions.stats import correlation_t
 
-_CELLS_PER_OCTAVE = 64
-_RESOLUTION = 1e6
-
-
-def value_cell(x: Column) -> Column:
-    """Monotone integer cell of a double."""
-    magnitude = F.log1p(F.abs(x) * _RESOLUTION) * (_CELLS_PER_OCTAVE / 0.6931471805599453)
-    return F.when(x < 0, -F.floor(magnitude) - 1).otherwise(F.floor(magnitude)).cast("long")
-
-
 def value_positions(df: DataFrame, keys: list[str], col: str, n: str = "n", bounded: bool = False) -> DataFrame:
     """Per distinct value: count ``c``, first 0-based position ``lo`` in sorted order, group size ``size``."""
     counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.sum(n).alias("c"))
@@ -38,21 +28,14 @@ def value_positions(df: DataFrame, keys: list[str], col: str, n: str = "n", boun
         return counts.withColumn("lo", F.sum("c").over(by_value) - F.col("c")).withColumn(
             "size", F.sum("c").over(W.partitionBy(*keys))
         )
-    counts = counts.withColumn("cell", value_cell(F.col(col).cast("double")))
-    cells = counts.groupBy(*keys, "cell").agg(F.sum("c").alias("cell_n"))
-    # One row per cell: at most a few thousand per key whatever the input size.
-    upto = W.partitionBy(*keys).orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cells = cells.select(
-        *keys,
-        "cell",
-        (F.sum("cell_n").over(upto) - F.col("cell_n")).alias("before"),
-        F.sum("cell_n").over(W.partitionBy(*keys)).alias("size"),
-    )
-    inside = W.partitionBy(*keys, "cell").orderBy(col).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = counts.join(cells, [*keys, "cell"])
-    return ranked.select(
-        *keys, col, "c", (F.col("before") + F.sum("c").over(inside) - F.col("c")).alias("lo"), "size"
-    )
+    ranged = settle(counts.repartitionByRange(*keys, col).withColumn("_range", F.spark_partition_id()))
+    # One row per key and range: bounded by the number of shuffle partitions.
+    ranges = ranged.groupBy(*keys, "_range").agg(F.sum("c").alias("_n"))
+    upto = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranges = ranges.select(*keys, "_range", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy(*keys)).alias("size"))
+    inside = W.partitionBy(*keys, "_range").orderBy(col).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = ranged.join(ranges, [*keys, "_range"])
+    return ranked.select(*keys, col, "c", (F.col("_before") + F.sum("c").over(inside) - F.col("c")).alias("lo"), "size")
 
 
 def average_rank(df: DataFrame, keys: list[str], col: str, n: str = "n", bounded: bool = False) -> DataFrame:

@@ -14,22 +14,29 @@ from tapewire.functions.stats import ratio
 from tapewire.operators import keywords as kw
 from tapewire.operators import transmission as tr
 from tapewire.operators.lexicon import score_texts
+from tapewire.operators.patterns import with_weights
 from tapewire.operators.sets import source_weight
 from tapewire.rule_data import FRIENDLY_REGIMES, HOSTILE_REGIMES
 
 
-def weighted_rows(scored: DataFrame, weights: dict[str, float], now: Column, decay: float = config.RECENCY_LAMBDA) -> DataFrame:
-    """Per-headline source, keyword, recency and lexicon weights."""
+def weighted_rows(scored: DataFrame, weights: dict[str, float] | DataFrame, now: Column, decay: float = config.RECENCY_LAMBDA) -> DataFrame:
+    """Per-headline source, keyword, recency and lexicon weights.
+
+    ``weights``: keywords written in the program with their CARs, or a table (keyword, avg_CAR).
+    """
     rows = score_texts(scored, dedupe=True)
+    if isinstance(weights, DataFrame):
+        rows = with_weights(rows, weights).withColumn("best_kw", F.col("best_keyword")).drop("keyword_total", "best_keyword")
+    else:
+        rows = rows.withColumn("best_kw", kw.best_keyword(F.col("headline"), weights))
     sentiment = signal_of("label_name").cast("double")
     return rows.select(
         "*",
         sentiment.alias("sentiment"),
         source_weight("source").alias("source_w"),
-        kw.impact_weight(F.col("headline"), weights).alias("keyword_w"),
+        kw.weight_of_best(F.col("best_kw")).alias("keyword_w"),
         recency_weight(now, "date", decay).alias("recency_w"),
         kw.agreement_weight(F.col("normalised_score"), sentiment).alias("lexicon_w"),
-        kw.best_keyword(F.col("headline"), weights).alias("best_kw"),
     )
 
 
@@ -108,7 +115,7 @@ def side_of(score: Column) -> Column:
     return F.when(score > config.BUY_THRESHOLD, "BUY").when(score < config.SELL_THRESHOLD, "SELL").otherwise("HOLD")
 
 
-def _reasoning(weights: dict[str, float]) -> Column:
+def _reasoning() -> Column:
     c = F.col
     direction = F.when(c("n_pos") > c("n_neg"), "positive").when(c("n_neg") > c("n_pos"), "negative").otherwise("mixed")
     neutral = c("n_sure") - c("n_pos") - c("n_neg")
@@ -153,7 +160,7 @@ def recommend(
     scored: DataFrame,
     universe: DataFrame,
     context: DataFrame,
-    weights: dict[str, float],
+    weights: dict[str, float] | DataFrame,
     now: Column,
     members: dict[str, str] | None = None,
     quality: float = 0.0,
@@ -196,7 +203,7 @@ def recommend(
             F.when((F.col("avg_score") > 0.1) & (F.size("bullish_phrases") > 0), F.concat(F.lit("Bullish lexicon signals: "), F.concat_ws(", ", F.slice("bullish_phrases", 1, 2)))),
         )
     )
-    t = t.withColumn("drivers", F.concat(drivers, F.slice("_why", 1, 2))).withColumn("reasoning", _reasoning(weights))
+    t = t.withColumn("drivers", F.concat(drivers, F.slice("_why", 1, 2))).withColumn("reasoning", _reasoning())
     out = universe.select("ticker").distinct().join(t, "ticker", "left")
     missing = F.col("headline_count").isNull()
     empty = F.array().cast("array<string>")

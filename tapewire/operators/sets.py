@@ -115,16 +115,21 @@ def union_optional(frames: list[DataFrame | None]) -> DataFrame:
     return out
 
 
+def strata_key(label: str, text: str, id_col: str | None, seed: int) -> Column:
+    """A seeded MD5 of a row's label, text and id, as every engine computes it."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (label, text, id_col) if c]
+    return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))).cast("binary"))
+
+
 def sample_per_class(df: DataFrame, label: str, text: str, total: int, classes: int = 3, seed: int = config.RANDOM_SEED, id_col: str | None = None) -> DataFrame:
-    """Up to total/classes rows per class, chosen by a seeded hash so a rerun picks the same rows.
+    """Up to total/classes rows per class, the first by a seeded MD5, so a rerun picks the same rows.
 
     Picked in two steps, first inside 64 slices of each class, so a dominant
     class is never ordered in one task.
     """
-    order = [F.xxhash64(text, F.lit(seed)), F.col(text)] + ([F.col(id_col)] if id_col else [])
     size = total // classes
-    rows = df.withColumn("_slice", F.pmod(order[0], F.lit(64)))
+    rows = df.withColumn("_key", strata_key(label, text, id_col, seed)).withColumn("_slice", F.conv(F.substring("_key", 1, 2), 16, 10).cast("int") % 64)
     for keys in ([label, "_slice"], [label]):
-        w = W.partitionBy(*keys).orderBy(*order)
+        w = W.partitionBy(*keys).orderBy("_key")
         rows = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= size).drop("_rn")
-    return rows.drop("_slice")
+    return rows.drop("_slice", "_key")

@@ -1,12 +1,10 @@
 """Parameter studies: every setting is a key column of one job.
 
-Driver actions are limited to reading one best row per study stage or fold.
+The best setting of a stage or fold is joined back to the next stage, so no row reaches the driver.
 """
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -104,30 +102,49 @@ def run_grid(signals: DataFrame, panel: DataFrame, cal: DataFrame, vix: DataFram
     return ls.run_metrics(ls.long_short(ls.with_strategies(signals, runs), panel, cal, vix), p_value=False)
 
 
+def improvement_runs() -> list[dict]:
+    """Every run a sweep of the suite can ask for: the base settings, and each with the later sweeps' changes."""
+    out = []
+    for c in (0.20, 0.15, 0.10):
+        for w in ("equal", "vol_scaled"):
+            base = {"cutoff": c, "weighting": w}
+
+            def add(section: str, label: str, base: dict = base, **change: object) -> None:
+                out.append({**ls.strategy(f"{section}|{base['cutoff']:g}|{base['weighting']}|{label}", **{**base, **change}), "section": section, "q": base["cutoff"], "w": base["weighting"], "label": label})
+
+            add("base", f"q{int(c * 100)}")
+            for t, x in ((0, 0), (5, 2.5), (10, 5), (20, 10)):
+                add("cost", f"cost{t + x:g}", cost_bps=t + x)
+            for on in (False, True):
+                add("vix", f"vix_{on}".lower(), vix_filter=on)
+            for h in (1, 2, 3, 5):
+                add("hold", f"hold{h}", hold_days=h)
+    return out
+
+
 def improvement_suite(scored: DataFrame, panel: DataFrame, cal: DataFrame, vix: DataFrame, min_tickers: int | None = None) -> DataFrame:
-    """Five sweeps; each later sweep uses the best earlier setting.  Returns the leaderboard."""
+    """Five sweeps; each later sweep uses the best earlier setting.  Returns the leaderboard.
+
+    All settings that can be chosen are runs of one job (66 of them); the choices are joins on its metrics.
+    """
     need = sg.min_tickers_for(config.QUANTILE_CUTOFF) if min_tickers is None else min_tickers
-    signals = settle(sg.on_usable_dates(settle(sg.aggregate_signals(scored)), need))
-    tables: list[DataFrame] = []
-
-    def sweep(section: str, runs: list[dict]) -> dict:
-        by = {r["run"]: r for r in runs}
-        m = settle(run_grid(signals, panel, cal, vix, runs).withColumn("section", F.lit(section)))
-        tables.append(m)
-        best = m.orderBy(F.desc_nulls_last("sharpe_ratio"), "run").limit(1).collect()
-        return by[best[0]["run"]] if best else runs[0]
-
-    q = sweep("cutoff", [ls.strategy(f"q{int(c * 100)}", cutoff=c) for c in (0.20, 0.15, 0.10)])["cutoff"]
-    pairs = sorted({(w, c) for w in ("equal", "vol_scaled") for c in (q, 0.10)})
-    best = sweep("weighting", [ls.strategy(f"q{int(c * 100)}_{w[:3]}", cutoff=c, weighting=w) for w, c in pairs])
-    q, w = best["cutoff"], best["weighting"]
-    sweep("cost", [ls.strategy(f"cost{t + s:g}", cutoff=q, weighting=w, cost_bps=t + s) for t, s in ((0, 0), (5, 2.5), (10, 5), (20, 10))])
-    sweep("vix", [ls.strategy(f"vix_{on}".lower(), cutoff=q, weighting=w, vix_filter=on) for on in (False, True)])
-    sweep("hold", [ls.strategy(f"hold{h}", cutoff=q, weighting=w, hold_days=h) for h in (1, 2, 3, 5)])
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return leaderboard(out, "run")
+    runs = improvement_runs()
+    signals = sg.on_usable_dates(sg.aggregate_signals(scored), need)
+    names = scored.sparkSession.createDataFrame([(r["run"], r["section"], r["q"], r["w"], r["label"]) for r in runs], "run string, section string, q double, w string, label string")
+    core = [{k: r[k] for k in ("run", *ls.PARAMS)} for r in runs]
+    m = settle(run_grid(signals, panel, cal, vix, core).join(F.broadcast(names), "run").drop("run").withColumnRenamed("label", "run"))
+    base = m.where("section = 'base'")
+
+    def best(rows: DataFrame) -> Column:
+        """The setting of the best run, as a scalar struct."""
+        return rows.orderBy(F.desc_nulls_last("sharpe_ratio"), "run").limit(1).select(F.struct("q", "w")).scalar()
+
+    cutoffs = base.where("w = 'equal'").withColumn("section", F.lit("cutoff"))
+    first = best(cutoffs)
+    weighting = base.where((F.col("q") == first["q"]) | (F.col("q") == 0.10)).withColumns({"section": F.lit("weighting"), "run": F.concat_ws("_", "run", F.substring("w", 1, 3))})
+    then = best(weighting)
+    later = m.where(F.col("section") != "base").where((F.col("q") == then["q"]) & (F.col("w") == then["w"]))
+    return leaderboard(cutoffs.unionByName(weighting).unionByName(later).drop("q", "w"), "run")
 
 
 def leaderboard(metrics: DataFrame, label: str) -> DataFrame:
@@ -232,32 +249,37 @@ def aligned_returns(trades: DataFrame) -> DataFrame:
 def reality_check(returns: DataFrame, draws: int = 2000, hold_days: int = config.HOLD_DAYS, seed: int = config.RANDOM_SEED, centered: bool = False) -> DataFrame:
     """Bootstrap p-value of the best Sharpe among all runs.
 
-    Periods are drawn with replacement by a hash of (replicate, slot), counted,
-    and joined to the returns; each replicate keeps only sums per run.
-    ``centered`` subtracts each run's own mean excess first.
+    A replicate is one row: its draws with replacement are the MD5 of (replicate, slot, seed) modulo the
+    number of periods, and each run's array of returns is folded over them inside the row.  The arrays
+    are bounded by the written grid times its periods.  ``centered`` subtracts each run's own mean excess first.
     """
     spark = returns.sparkSession
-    returns = settle(returns)
     py = config.TRADING_DAYS / hold_days
     rf = config.RISK_FREE_RATE / py
-    size = returns.select("idx").distinct().count()
 
     def sharpe_of(n: Column, s: Column, ss: Column) -> Column:
         mean = s / n
         std = F.sqrt(F.greatest(F.lit(0.0), (ss - n * mean * mean) / F.nullif(n - 1, F.lit(0.0))))
         return F.when((n >= 3) & (std >= 1e-10), (mean - rf) / F.nullif(std, F.lit(0.0)) * (py**0.5))
 
-    sums = lambda w: [F.sum(w).alias("n"), F.sum(F.col("r") * w).alias("s"), F.sum(F.col("r") * F.col("r") * w).alias("ss")]
-    observed = returns.groupBy("run").agg(*sums(F.lit(1.0))).withColumn("sharpe", sharpe_of(F.col("n"), F.col("s"), F.col("ss")))
-    observed = settle(observed)
-    pool = returns
-    if centered:
-        pool = returns.join(observed.select("run", (F.col("s") / F.col("n") - rf).alias("_m")), "run").withColumn("r", F.col("r") - F.col("_m"))
-    slots = spark.range(draws).withColumnRenamed("id", "rep").withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(max(size, 1)))))
-    picks = slots.select("rep", F.pmod(F.xxhash64("rep", "slot", F.lit(seed)), F.lit(max(size, 1))).cast("int").alias("idx"))
-    counted = picks.groupBy("rep", "idx").agg(F.count("*").cast("double").alias("c"))
-    boot = counted.join(pool.select("run", "idx", "r"), "idx").groupBy("rep", "run").agg(*sums(F.col("c")))
-    best = boot.withColumn("sharpe", sharpe_of(F.col("n"), F.col("s"), F.col("ss"))).groupBy("rep").agg(F.max("sharpe").alias("top")).where("top is not null")
+    mean = F.avg("r").over(W.partitionBy("run"))
+    rows = returns.select("run", "idx", "r", (F.col("r") - (mean - rf) if centered else F.col("r")).alias("drawn"))
+    runs = rows.groupBy("run").agg(
+        F.count("*").cast("double").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("ss"), F.transform(F.sort_array(F.collect_list(F.struct("idx", "drawn"))), lambda x: x["drawn"]).alias("drawn")
+    )
+    observed = settle(runs.withColumn("sharpe", sharpe_of(F.col("n"), F.col("s"), F.col("ss"))))
+    pool = observed.agg(F.collect_list("drawn").alias("pool")).scalar()
+    size = observed.agg(F.coalesce(F.max("n"), F.lit(0.0))).scalar()
+    slots = F.sequence(F.lit(1), F.greatest(size.cast("int"), F.lit(1)))
+    pick = lambda slot: (F.conv(F.substring(F.md5(F.concat_ws("|", "rep", slot, F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long") % F.greatest(size, F.lit(1.0)).cast("long")).cast("int")
+    replicates = spark.range(draws).withColumnRenamed("id", "rep").withColumn("picks", F.transform(slots, pick)).withColumn("pool", pool)
+
+    def folded(r: Column) -> Column:
+        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"))
+        sums = lambda a, k: F.struct((a["s"] + F.get(r, k)).alias("s"), (a["ss"] + F.get(r, k) * F.get(r, k)).alias("ss"))
+        return F.aggregate("picks", zero, sums, lambda a: sharpe_of(size, a["s"], a["ss"]))
+
+    best = replicates.select("rep", F.array_max(F.transform("pool", folded)).alias("top")).where("top is not null")
     top = observed.where("sharpe is not null").agg(F.max_by("run", "sharpe").alias("best_strategy"), F.max("sharpe").alias("best_sharpe"), F.count("*").alias("n_strategies"))
     bar = top.select("best_sharpe").scalar()
     stats = best.agg(
@@ -275,7 +297,7 @@ def reality_check(returns: DataFrame, draws: int = 2000, hold_days: int = config
         F.round("boot_std", 4).alias("boot_std"),
         F.round("boot_95pct", 4).alias("boot_95pct"),
         top.select("n_strategies").scalar().alias("n_strategies"),
-        F.lit(size).alias("n_periods"),
+        size.cast("int").alias("n_periods"),
         "n_boot",
     )
 
@@ -327,16 +349,27 @@ def variant_signals(scored: DataFrame, panel: DataFrame, cal: DataFrame, confs:
     )
 
 
-def _run_settings(signals: DataFrame, settings: list[dict], panel: DataFrame, cal: DataFrame, vix: DataFrame) -> DataFrame:
-    """Trades of every setting on its own date range.  The settings are a short written list."""
-    table = signals.sparkSession.createDataFrame(
-        [(s["run"], s["fold"], s["scenario"], s["variant"], s["conf"], s["cutoff"], s["hold_days"], s["cost_bps"], s["vix_filter"], s["from"], s["until"]) for s in settings],
-        "run string, fold string, scenario string, variant string, conf double, cutoff double, hold_days int, cost_bps double, vix_filter boolean, from string, until string",
-    ).withColumn("weighting", F.lit("equal"))
-    rows = signals.join(F.broadcast(table), ["variant", "conf"]).where("date >= to_date(from) and date <= to_date(until)")
-    names = F.broadcast(table.select("run", "fold", "scenario"))
+SETTING = ["variant", "conf", "cutoff", "hold_days", "vix_filter"]
+
+
+def _run_settings(signals: DataFrame, settings: DataFrame, panel: DataFrame, cal: DataFrame, vix: DataFrame) -> DataFrame:
+    """Trades of every setting on its own date range.
+
+    ``settings``: run, fold, scenario, SETTING, cost_bps, from, until; folds times a written list.
+    """
+    rows = signals.join(F.broadcast(settings.withColumn("weighting", F.lit("equal"))), ["variant", "conf"]).where("date >= from and date <= until")
     trades = ls.long_short(settle(rows.select("run", *ls.PARAMS, "date", "ticker", "signal")), panel, cal, vix)
-    return ls.tradeability(trades, dollar_volume(panel)).join(names, "run")
+    return ls.tradeability(trades, dollar_volume(panel)).join(F.broadcast(settings.select("run", "fold", "scenario")), "run")
+
+
+def test_quarters(scored: DataFrame, max_folds: int = 4, before: int = 4) -> DataFrame:
+    """(fold, from, until): the last quarters that have at least ``before`` quarters before them."""
+    quarters = scored.select(period_start("date", "quarter").alias("from")).distinct()
+    # One row a quarter of the calendar.
+    last = W.partitionBy(F.lit(1)).orderBy(F.desc("from"))
+    ranked = quarters.withColumn("k", F.row_number().over(last)).withColumn("n", F.count(F.lit(1)).over(W.partitionBy(F.lit(1))))
+    until = F.date_sub(F.add_months("from", 3), 1)
+    return ranked.where((F.col("k") <= max_folds) & (F.col("k") <= F.col("n") - before)).select(F.col("from").cast("string").alias("fold"), "from", until.alias("until"))
 
 
 def calibration_scores(metrics: DataFrame, limit: float = config.MAX_PARTICIPATION) -> DataFrame:
@@ -347,49 +380,44 @@ def calibration_scores(metrics: DataFrame, limit: float = config.MAX_PARTICIPATI
 def walk_forward(scored: DataFrame, panel: DataFrame, cal: DataFrame, vix: DataFrame, min_tickers: int | None = None, max_folds: int = 4) -> dict[str, DataFrame]:
     """Expanding-window folds over the last quarters: calibrate on all earlier dates, then test.
 
-    Folds and settings are key columns; only the fold bounds and the chosen
-    setting per fold (at most ``max_folds`` rows each) reach the driver.
-    ``max_folds`` is the study's own parameter.  Without a fold all tables are empty.
+    Folds, settings and the settings chosen are rows; a fold's best setting is joined back to the test
+    scenarios, so nothing but finished tables leaves the jobs.  ``max_folds`` is the study's own
+    parameter.  Without a fold all tables are empty.
     """
     need = sg.min_tickers_for(config.QUANTILE_CUTOFF) if min_tickers is None else min_tickers
     cost = config.TRANSACTION_COST_BPS + config.SLIPPAGE_BPS
-    quarters = scored.select(period_start("date", "quarter").alias("q")).distinct()
-    n = quarters.count()
-    starts = [r.q for r in quarters.orderBy(F.desc("q")).limit(min(max_folds, n - 4)).collect()] if n > 4 else []
+    folds = settle(test_quarters(scored, max_folds))
     signals = variant_signals(scored, panel, cal, [0.60, 0.70, 0.75], need)
-    settings = []
-    for q in starts:
-        for i, c in enumerate(CALIBRATION):
-            settings.append({**c, "run": f"{q}|{i:02d}", "fold": str(q), "scenario": "train", "cost_bps": cost, "from": "0001-01-01", "until": str(_day_before(q))})
-    chosen = {}
-    if starts:
-        train = _run_settings(signals, settings, panel, cal, vix)
-        scores = settle(calibration_scores(ls.trade_metrics(train, ["fold", "run"])).where("score is not null"))
-        best = scores.groupBy("fold").agg(F.max_by(F.struct("run", "score", "sharpe_ratio"), F.struct("score", -F.substring("run", -2, 2).cast("int"))).alias("b"))
-        chosen = {r["fold"]: (int(r["b"]["run"][-2:]), r["b"]["score"], r["b"]["sharpe_ratio"]) for r in best.collect()}
-    tests = []
-    for q in starts:
-        if str(q) not in chosen:
-            continue
-        pick = CALIBRATION[chosen[str(q)][0]]
-        span = {"fold": str(q), "from": str(q), "until": str(_quarter_end(q)), "cost_bps": cost}
-        tests.append({"scenario": "baseline", "variant": "sentiment", "conf": 0.70, "cutoff": 0.20, "hold_days": 2, "vix_filter": False, **span})
-        tests.append({**pick, "scenario": "improved", **span})
-        for name, variant, on in (("ablation_sentiment", "sentiment", False), ("ablation_ensemble", "ensemble", False), ("ablation_ensemble_regime", "ensemble", True)):
-            tests.append({**pick, "scenario": name, "variant": variant, "vix_filter": on, **span})
-        for bps in (0.0, 7.5, 15.0, 30.0):
-            tests.append({**pick, "scenario": f"cost_{bps:.1f}bps", **span, "cost_bps": bps})
-    if not tests:  # no fold: a span without dates gives every table its columns and no row
-        tests.append({**CALIBRATION[0], "scenario": "baseline", "fold": "none", "from": "9999-01-01", "until": "9999-01-01", "cost_bps": cost})
-    for t in tests:
-        t["run"] = f"{t['fold']}|{t['scenario']}"
+    grid = [{"k": k, **c, "cost_bps": cost} for k, c in enumerate(CALIBRATION)]
+    train = explode_params(folds.select("fold", F.lit("0001-01-01").cast("date").alias("from"), F.date_sub("from", 1).alias("until")), grid)
+    train = train.withColumn("run", F.format_string("%s|%02d", "fold", "k")).withColumn("scenario", F.lit("train"))
+    scores = calibration_scores(ls.trade_metrics(_run_settings(signals, train, panel, cal, vix), ["fold", "run"])).where("score is not null")
+    scores = scores.withColumn("k", F.substring("run", -2, 2).cast("int"))
+    best = scores.groupBy("fold").agg(F.max_by(F.struct("k", "score", "sharpe_ratio"), F.struct("score", -F.col("k"))).alias("b")).select("fold", "b.*")
+    chosen = settle(best.join(train.select("fold", "k", *SETTING), ["fold", "k"]).join(folds, "fold"))
+
+    def scenario(name: str, **change: object) -> Column:
+        value = lambda c: F.lit(change[c]) if c in change else F.col(c)
+        return F.struct(F.lit(name).alias("scenario"), *[value(c).alias(c) for c in SETTING], F.lit(float(change.get("cost_bps", cost))).alias("cost_bps"))
+
+    scenarios = [scenario("baseline", variant="sentiment", conf=0.70, cutoff=0.20, hold_days=2, vix_filter=False), scenario("improved")]
+    for name, variant, on in (("ablation_sentiment", "sentiment", False), ("ablation_ensemble", "ensemble", False), ("ablation_ensemble_regime", "ensemble", True)):
+        scenarios.append(scenario(name, variant=variant, vix_filter=on))
+    scenarios += [scenario(f"cost_{bps:.1f}bps", cost_bps=bps) for bps in (0.0, 7.5, 15.0, 30.0)]
+    tests = chosen.select("fold", "from", "until", F.explode(F.array(*scenarios)).alias("s")).select("fold", "from", "until", "s.*")
+    tests = tests.withColumn("run", F.concat_ws("|", "fold", "scenario"))
     trades = settle(_run_settings(signals, tests, panel, cal, vix))
     per_fold = settle(ls.trade_metrics(trades, ["fold", "scenario"]))
     summary = settle(aggregate_oos(ls.trade_metrics(trades, ["scenario"]), per_fold))
-    spark = scored.sparkSession
-    choices = spark.createDataFrame(
-        [(f, c["conf"], c["cutoff"], c["hold_days"], c["variant"], c["vix_filter"], s, sh) for f, (i, s, sh) in sorted(chosen.items()) for c in [CALIBRATION[i]]],
-        "test_period string, confidence_threshold double, quantile_cutoff double, hold_days int, variant string, regime_filter boolean, score double, train_sharpe double",
+    choices = chosen.select(
+        F.col("fold").alias("test_period"),
+        F.col("conf").alias("confidence_threshold"),
+        F.col("cutoff").alias("quantile_cutoff"),
+        "hold_days",
+        "variant",
+        F.col("vix_filter").alias("regime_filter"),
+        "score",
+        F.col("sharpe_ratio").alias("train_sharpe"),
     )
     costs = summary.where("scenario like 'cost_%'").withColumn("cost_bps", F.regexp_extract("scenario", r"cost_([0-9.]+)bps", 1).cast("double"))
     even = break_even(costs, "cost_bps").select("break_even_cost_bps").scalar()
@@ -403,15 +431,6 @@ def walk_forward(scored: DataFrame, panel: DataFrame, cal: DataFrame, vix: DataF
     }
 
 
-def _day_before(q: datetime.date) -> datetime.date:
-    return q - datetime.timedelta(days=1)
-
-
-def _quarter_end(q: datetime.date) -> datetime.date:
-    nxt = datetime.date(q.year + (q.month + 2) // 12, (q.month + 2) % 12 + 1, 1)
-    return nxt - datetime.timedelta(days=1)
-
-
 def aggregate_oos(overall: DataFrame, per_fold: DataFrame) -> DataFrame:
     """Scenario roll-up: trade metrics plus IC mean, spread, fold count and share of positive folds."""
     folds = per_fold.groupBy("scenario").agg(

@@ -129,6 +129,11 @@ class Market:
         rows = self.news.withColumn("label_name", label).withColumn("confidence", conf)
         return rows.withColumn("signal", signal_of("label_name")).drop("o_orderstatus", "o_totalprice")
 
+    @cached_property
+    def weekly(self) -> DataFrame:
+        """Scored news dated to the Monday of its week, so that cross-sections have enough names."""
+        return self.scored.withColumn("date", F.to_date(F.date_trunc("week", "date")))
+
     @cached_property
     def sectors(self) -> DataFrame:
         """(ticker, sector): five groups by brand number, the last one left out."""

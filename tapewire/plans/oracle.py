@@ -85,6 +85,13 @@ CTES: dict[str, tuple[str, str]] = {
         "conf",
         """SELECT date, ticker, avg(signal * confidence) AS signal, count(*) AS headline_count FROM (
  SELECT *, row_number() OVER (PARTITION BY date, ticker ORDER BY confidence DESC, headline_id) AS rn FROM conf) WHERE rn <= 3 GROUP BY 1, 2""",
+    ),
+    # The same of weekly cross-sections.
+    "wscored": ("scored", "SELECT * REPLACE (CAST(date_trunc('week', date) AS DATE) AS date) FROM scored"),
+    "wcapped": (
+        "wscored",
+        """SELECT date, ticker, avg(signal * confidence) AS signal, count(*) AS headline_count FROM (
+ SELECT *, row_number() OVER (PARTITION BY date, ticker ORDER BY confidence DESC, headline_id) AS rn FROM wscored WHERE confidence >= 0.7) WHERE rn <= 3 GROUP BY 1, 2""",
     ),
     "binary_sig": ("conf", "SELECT date, ticker, avg(CAST(signal AS DOUBLE)) AS signal, count(*) AS headline_count FROM conf GROUP BY 1, 2"),
     # Directional headlines counted per (date, ticker, signal) with forward returns.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 def spearman_sql(source: str, keys: str, x: str, y: str, min_n: int = 0) -> str:
     """SELECT keys, n, ic of average-rank correlation."""
@@ -23,6 +25,13 @@ def t_p_sql(t: str, df: str) -> str:
     return f"greatest(0, 1 - 2 * {const} * list_sum(list_transform(range(0, {steps + 1}), lambda i: {node})) * {theta} / {steps} / 3)"
 
 
+def renamed(sql: str, suffix: str) -> str:
+    """The same CTEs under other names, for a second use in one query; ``wk`` and shared views stay."""
+    own = re.findall(r"(?:^|,\n|\*/)(\w+) AS (?:MATERIALIZED )?\(", sql)
+    names = [n for n in own if n != "wk"]
+    return re.sub(r"\b(" + "|".join(names) + r")\b(?! AS \w+[,)])", lambda m: m.group(1) + suffix, sql)
+
+
 WEEKDAYS = """wk AS (SELECT CAST(d AS DATE) AS d, sum(CASE WHEN isodow(d) <= 5 THEN 1 ELSE 0 END) OVER (ORDER BY d) AS upto
  FROM (SELECT unnest(generate_series(TIMESTAMP '1994-01-01', TIMESTAMP '2004-12-31', INTERVAL 1 DAY)) AS d))"""
 

@@ -154,10 +154,10 @@ def _(m: Market):
     "WN15_drawdown_blocks",
     "ticker first_day:t last_day:t days:i depth:d",
     "events_bt",
-    'SELECT ticker, min(date) AS first_day, max(date) AS last_day, count(*) AS days, min(drawdown) AS depth FROM isl WHERE drawdown < 0 GROUP BY ticker, grp',
+    'SELECT ticker, min(date) AS first_day, max(date) AS last_day, count(*) AS days, min(drawdown) AS depth FROM isl WHERE drawdown < -1e-12::DOUBLE GROUP BY ticker, grp',
     _CURVE
     + """,
-flg AS (SELECT *, CASE WHEN (drawdown < 0) IS DISTINCT FROM lag(drawdown < 0) OVER (PARTITION BY ticker ORDER BY date) THEN 1 ELSE 0 END AS chg FROM curve),
+flg AS (SELECT *, CASE WHEN (drawdown < -1e-12::DOUBLE) IS DISTINCT FROM lag(drawdown < -1e-12::DOUBLE) OVER (PARTITION BY ticker ORDER BY date) THEN 1 ELSE 0 END AS chg FROM curve),
 isl AS (SELECT *, sum(chg) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS grp FROM flg)""",
 )
 def _(m: Market):

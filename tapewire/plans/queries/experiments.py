@@ -9,10 +9,10 @@ from tapewire.operators import longshort as ls
 from tapewire.operators import validation as va
 from tapewire.plans import experiments as ex
 from tapewire.plans.fixtures import Market
-from tapewire.plans.oracle_stats import RUN_METRICS, longshort_sql, run_metrics_sql, spearman_sql
+from tapewire.plans.oracle_stats import RUN_METRICS, WEEKDAYS, longshort_sql, renamed, run_metrics_sql, spearman_sql, trade_metrics_sql
 from tapewire.plans.queries.core import metrics_sql
 from tapewire.plans.queries.longshort import _LOGVOL as LOGVOL
-from tapewire.plans.queries.longshort import FACTOR_CTES, FVIEWS, VIEWS, gated, matrix
+from tapewire.plans.queries.longshort import FACTOR_CTES, FVIEWS, GATE, TRADEABLE, VIEWS, gated, matrix
 from tapewire.plans.queries.longshort import sql as ls_sql
 from tapewire.plans.queries.text import CARS
 from tapewire.plans.registry import query
@@ -98,10 +98,14 @@ def _(m: Market):
 
 @query(
     "EX04_inversion_study",
-    "variant total_trades:i win_rate:d4 sharpe_ratio:d4 max_drawdown:d4",
-    "binary_sig nextret",
-    "SELECT variant, total_trades, win_rate, sharpe_ratio, max_drawdown FROM mt",
-    """iev AS MATERIALIZED (SELECT variant, date, ticker, position, position * next_ret - abs(position) * 0.0015::DOUBLE AS strategy_return, next_ret AS benchmark_return, abs(position) * 0.0015::DOUBLE AS cost_drag FROM (
+    "variant ic:d4 n:i hit_rate:d4 total_trades:i win_rate:d4 sharpe_ratio:d4 max_drawdown:d4",
+    "binary_sig nextret cal fwd",
+    "SELECT variant, ic, n, hit_rate, total_trades, win_rate, sharpe_ratio, max_drawdown FROM iic JOIN ihit USING (variant) LEFT JOIN mt USING (variant)",
+    """ifw AS MATERIALIZED (SELECT variant, signal * sgn AS signal, return_lag_1 AS ret FROM (SELECT a.*, c.pos FROM binary_sig a ASOF JOIN (SELECT date AS cd, pos FROM cal) c ON a.date <= c.cd) JOIN fwd USING (ticker, pos)
+ CROSS JOIN (VALUES ('normal', 1), ('inverted', -1)) v(variant, sgn) WHERE return_lag_1 IS NOT NULL),
+iic AS (""" + spearman_sql("ifw", "variant", "signal", "ret", 5) + """),
+ihit AS (SELECT variant, round(count(*) FILTER ((signal > 0.45 AND ret > 0) OR (signal < -0.45 AND ret < 0)) / count(*) FILTER (abs(signal) > 0.45), 4) AS hit_rate FROM ifw GROUP BY 1),
+iev AS MATERIALIZED (SELECT variant, date, ticker, position, position * next_ret - abs(position) * 0.0015::DOUBLE AS strategy_return, next_ret AS benchmark_return, abs(position) * 0.0015::DOUBLE AS cost_drag FROM (
  SELECT *, CASE WHEN signal * sgn > 0.45 THEN 1 WHEN signal * sgn < -0.45 THEN -1 ELSE 0 END AS position FROM binary_sig JOIN nextret USING (date, ticker) CROSS JOIN (VALUES ('normal', 1), ('inverted', -1)) v(variant, sgn))),
 """
     + metrics_sql("iev", "variant"),
@@ -110,9 +114,25 @@ def _(m: Market):
     return ex.inversion_study(m.scored, m.panel, m.cal)
 
 
-@query("EX05_improvement_suite", "run section sharpe_ratio:d4 n_periods:i", "", None)
+_IMP = ex.improvement_runs()
+_IMPNAMES = "inames AS (SELECT * FROM (VALUES " + ", ".join(f"('{r['run']}', '{r['section']}', {r['q']}::DOUBLE, '{r['w']}', '{r['label']}')" for r in _IMP) + ") v(run, section, q, w, label))"
+_IMPSEL = """im AS MATERIALIZED (SELECT n.section, n.q, n.w, n.label AS run, rm.sharpe_ratio, rm.n_periods FROM rm JOIN inames n USING (run)),
+ic1 AS (SELECT * REPLACE ('cutoff' AS section) FROM im WHERE section = 'base' AND w = 'equal'),
+ib1 AS (SELECT q FROM ic1 ORDER BY sharpe_ratio DESC NULLS LAST, run LIMIT 1),
+ic2 AS (SELECT * REPLACE ('weighting' AS section, run || '_' || left(w, 3) AS run) FROM im WHERE section = 'base' AND q IN (SELECT q FROM ib1 UNION ALL SELECT 0.10::DOUBLE)),
+ib2 AS (SELECT q, w FROM ic2 ORDER BY sharpe_ratio DESC NULLS LAST, run LIMIT 1),
+ic3 AS (SELECT im.* FROM im JOIN ib2 USING (q, w) WHERE section <> 'base')"""
+
+
+@query(
+    "EX05_improvement_suite",
+    "run section sharpe_ratio:d4 n_periods:i",
+    VIEWS,
+    "SELECT * FROM ic1 UNION ALL SELECT * FROM ic2 UNION ALL SELECT * FROM ic3",
+    ls_sql(_IMP) + ",\n" + run_metrics_sql() + ",\n" + _IMPNAMES + ",\n" + _IMPSEL,
+)
 def _(m: Market):
-    return ex.improvement_suite(m.scored, m.panel, m.cal, m.vix, min_tickers=4)
+    return ex.improvement_suite(m.weekly, m.panel, m.cal, m.vix)
 
 
 _HOLDS = [ls.strategy(f"hold{h}", hold_days=h) for h in (1, 2, 3)]
@@ -257,9 +277,27 @@ def _(m: Market):
     return ex.aligned_returns(ls.long_short(ls.with_strategies(gated(m), _FOUR), m.panel, m.cal, m.vix))
 
 
-@query("STA18_reality_check", "best_strategy best_sharpe:d4 p_value:d4 boot_mean:d4 boot_std:d4 boot_95pct:d4 n_strategies:i n_periods:i n_boot:i", "", None)
+_BOOT = """bnet AS MATERIALIZED (SELECT run, rebalance_date, sum(ls_return) AS net FROM ltrades GROUP BY 1, 2),
+bidx AS MATERIALIZED (SELECT rebalance_date, row_number() OVER (ORDER BY rebalance_date) - 1 AS idx FROM (SELECT DISTINCT rebalance_date FROM bnet)),
+bret AS MATERIALIZED (SELECT r.run, p.idx, coalesce(n.net, 0) AS r FROM (SELECT DISTINCT run FROM bnet) r CROSS JOIN bidx p LEFT JOIN bnet n ON n.run = r.run AND n.rebalance_date = p.rebalance_date),
+bobs AS MATERIALIZED (SELECT run, count(*)::DOUBLE AS n, sum(r) AS s, sum(r * r) AS ss FROM bret GROUP BY 1),
+bpick AS MATERIALIZED (SELECT rep, ('0x' || left(md5(rep || '|' || slot || '|42'), 8))::BIGINT % (SELECT count(*) FROM bidx) AS idx FROM range(2000) a(rep), range(1, (SELECT count(*) FROM bidx) + 1) b(slot)),
+bcnt AS MATERIALIZED (SELECT rep, idx, count(*) AS c FROM bpick GROUP BY 1, 2),
+bsum AS MATERIALIZED (SELECT rep, run, sum(c)::DOUBLE AS n, sum(c * r) AS s, sum(c * r * r) AS ss FROM bcnt JOIN bret USING (idx) GROUP BY 1, 2),
+btop AS MATERIALIZED (SELECT rep, max(sh) AS top FROM (SELECT rep, CASE WHEN n >= 3 AND sd >= 1e-10 THEN (s / n - 0.045::DOUBLE / 126) / sd * sqrt(126) END AS sh FROM (SELECT *, sqrt(greatest(0, (ss - n * (s / n) * (s / n)) / (n - 1))) AS sd FROM bsum)) GROUP BY 1 HAVING max(sh) IS NOT NULL),
+bbest AS (SELECT arg_max(run, sh) AS best_strategy, max(sh) AS best, count(*) AS n_strategies FROM (SELECT run, CASE WHEN n >= 3 AND sd >= 1e-10 THEN (s / n - 0.045::DOUBLE / 126) / sd * sqrt(126) END AS sh FROM (SELECT *, sqrt(greatest(0, (ss - n * (s / n) * (s / n)) / (n - 1))) AS sd FROM bobs)) WHERE sh IS NOT NULL)"""
+
+
+@query(
+    "STA18_reality_check",
+    "best_strategy best_sharpe:d4 p_value:d4 boot_mean:d4 boot_std:d4 boot_95pct:d4 n_strategies:i n_periods:i n_boot:i",
+    _VVIEWS,
+    """SELECT best_strategy, round(best, 4) AS best_sharpe, round(avg(CASE WHEN top >= best THEN 1.0::DOUBLE ELSE 0 END), 4) AS p_value, round(avg(top), 4) AS boot_mean, round(stddev_pop(top), 4) AS boot_std, round(quantile_cont(top, 0.95), 4) AS boot_95pct,
+ n_strategies, (SELECT count(*) FROM bidx) AS n_periods, count(*) AS n_boot FROM btop, bbest GROUP BY best_strategy, best, n_strategies""",
+    _ALL84 + ",\n" + _BOOT,
+)
 def _(m: Market):
-    return ex.reality_check(ex.aligned_returns(grid_trades(m)), draws=2000)
+    return ex.reality_check(ex.aligned_returns(grid_trades(m)), draws=2000, seed=42)
 
 
 @query(
@@ -313,47 +351,105 @@ def _(m: Market):
     return va.walk_forward_summary(ex.period_walk_forward(m.scored, m.panel, m.cal))
 
 
+# The walk-forward study: signals of both variants, folds and settings as rows, trades, choices, tests.
+_ESIG = """wkept AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date, ticker ORDER BY confidence DESC, headline_id) AS rn FROM wscored WHERE confidence >= 0.6::DOUBLE) WHERE rn <= 3),
+wday AS MATERIALIZED (SELECT conf, date, ticker, avg(signal * confidence) AS signal, count(*) AS headline_count FROM wkept JOIN (VALUES (0.6::DOUBLE), (0.7::DOUBLE), (0.75::DOUBLE)) v(conf) ON confidence >= conf GROUP BY 1, 2, 3),
+esig AS MATERIALIZED (SELECT conf, date, ticker, signal, headline_count FROM (SELECT *, quantile_cont(dv, 0.2) OVER (PARTITION BY conf, date) AS q FROM (SELECT wday.*, close * volume AS dv FROM wday LEFT JOIN px USING (date, ticker))) WHERE dv IS NULL OR dv >= q),
+ssig AS MATERIALIZED (SELECT conf, date, ticker, signal FROM wday WHERE (conf, date) IN (SELECT (conf, date) FROM wday GROUP BY conf, date HAVING count(DISTINCT ticker) >= 10))"""
+_EFAC = FACTOR_CTES.replace("FROM capped s", "FROM esig s").replace("SELECT date, ticker, signal, headline_count,", "SELECT conf, date, ticker, signal, headline_count,").replace("PARTITION BY date", "PARTITION BY conf, date")
+_CAL = ", ".join(f"({k}, '{c['variant']}', {c['conf']}::DOUBLE, {c['cutoff']}::DOUBLE, {c['hold_days']}, {str(c['vix_filter']).lower()})" for k, c in enumerate(ex.CALIBRATION))
+_WROW = "SELECT {c}.run, hold_days, cutoff, cost_bps, 'equal' AS weighting, vix_filter, date, ticker, signal FROM wsig JOIN {c} USING (variant, conf) WHERE date >= since AND date <= until"
+
+
+def _walk(part: str, keys: str, settings: str) -> str:
+    """Trades and metrics of a settings table under names of their own."""
+    trades = longshort_sql(_WROW.format(c=settings)).replace("/*RECURSIVE_MARK*/", "")
+    body = trades[trades.index("lsig0 AS") :] + ",\n" + TRADEABLE + f",\nttf AS MATERIALIZED (SELECT t.*, c.fold, c.scenario FROM ttr t JOIN {settings} c USING (run)),\n" + trade_metrics_sql("ttf", keys)
+    return renamed(body, part)
+
+
+_WF = "/*RECURSIVE_MARK*/" + ",\n".join(
+    [
+        WEEKDAYS,
+        _ESIG,
+        _EFAC,
+        "wsig AS MATERIALIZED (SELECT 'sentiment' AS variant, conf, date, ticker, signal FROM ssig UNION ALL SELECT 'ensemble', conf, date, ticker, round(0.6::DOUBLE * signal + 0.3::DOUBLE * coalesce(momentum, 0) + 0.1::DOUBLE * coalesce(vol_factor, 0), 6) FROM fac)",
+        """wfold AS MATERIALIZED (SELECT CAST(q AS VARCHAR) AS fold, q AS since, CAST(q + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS until FROM (
+ SELECT q, row_number() OVER (ORDER BY q DESC) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT CAST(date_trunc('quarter', date) AS DATE) AS q FROM wscored)) WHERE k <= 4 AND k <= n - 4)""",
+        f"wcal AS (SELECT * FROM (VALUES {_CAL}) v(k, variant, conf, cutoff, hold_days, vix_filter))",
+        "wtrain AS MATERIALIZED (SELECT fold || '|' || lpad(CAST(k AS VARCHAR), 2, '0') AS run, fold, 'train' AS scenario, wcal.*, 15.0::DOUBLE AS cost_bps, DATE '0001-01-01' AS since, CAST(since - INTERVAL 1 DAY AS DATE) AS until FROM wfold, wcal)",
+        _walk("_a", "fold, run", "wtrain"),
+        "wscore AS MATERIALIZED (SELECT fold, CAST(right(run, 2) AS INT) AS k, sharpe_ratio, sharpe_ratio - 2 * greatest(0, coalesce(participation_proxy_mean, 0) - 0.02::DOUBLE) AS score FROM tm_a WHERE sharpe_ratio IS NOT NULL)",
+        "wbest AS MATERIALIZED (SELECT b.fold, b.score, b.sharpe_ratio AS train_sharpe, c.*, f.since, f.until FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC, k) AS rn FROM wscore) b JOIN wcal c USING (k) JOIN wfold f USING (fold) WHERE rn = 1)",
+        """wtest AS MATERIALIZED (SELECT fold || '|' || scenario AS run, * FROM (
+ SELECT fold, since, until, 'baseline' AS scenario, 'sentiment' AS variant, 0.7::DOUBLE AS conf, 0.2::DOUBLE AS cutoff, 2 AS hold_days, false AS vix_filter, 15.0::DOUBLE AS cost_bps FROM wbest UNION ALL
+ SELECT fold, since, until, 'improved', variant, conf, cutoff, hold_days, vix_filter, 15 FROM wbest UNION ALL
+ SELECT fold, since, until, s, v, conf, cutoff, hold_days, r, 15 FROM wbest, (VALUES ('ablation_sentiment', 'sentiment', false), ('ablation_ensemble', 'ensemble', false), ('ablation_ensemble_regime', 'ensemble', true)) x(s, v, r) UNION ALL
+ SELECT fold, since, until, s, variant, conf, cutoff, hold_days, vix_filter, b FROM wbest, (VALUES ('cost_0.0bps', 0.0::DOUBLE), ('cost_7.5bps', 7.5::DOUBLE), ('cost_15.0bps', 15.0::DOUBLE), ('cost_30.0bps', 30.0::DOUBLE)) x(s, b)))""",
+        _walk("_b", "fold, scenario", "wtest"),
+        renamed(trade_metrics_sql("ttf_b", "scenario"), "_c"),
+        """wsum AS MATERIALIZED (SELECT t.* EXCLUDE (ic), f.* EXCLUDE (scenario) FROM tm_c t JOIN (SELECT scenario, avg(ic) AS ic, stddev_samp(ic) AS ic_stability, count(DISTINCT fold) AS oos_fold_count,
+ avg(CASE WHEN sharpe_ratio > 0 THEN 1.0::DOUBLE WHEN sharpe_ratio IS NOT NULL THEN 0 END) AS pct_positive_oos_folds FROM tm_b GROUP BY 1) f USING (scenario)),
+wcost AS MATERIALIZED (SELECT *, CAST(regexp_extract(scenario, 'cost_([0-9.]+)bps', 1) AS DOUBLE) AS cost_bps FROM wsum WHERE scenario LIKE 'cost_%'),
+weven AS (SELECT coalesce(max(CASE WHEN sharpe_ratio >= 0 THEN cost_bps END), 0) AS break_even_cost_bps FROM wcost),
+wflat AS (SELECT coalesce(avg(sharpe_ratio) FILTER (scenario = 'ablation_ensemble_regime') <= avg(sharpe_ratio) FILTER (scenario = 'ablation_ensemble'), false) AS flat FROM tm_b),
+woos AS MATERIALIZED (SELECT * REPLACE (CASE WHEN flat AND scenario = 'improved' THEN 'improved_no_regime_uplift' ELSE scenario END AS scenario) FROM wsum, wflat, weven WHERE scenario IN ('baseline', 'improved'))""",
+    ]
+)
+_WVIEWS = "wscored px panel cal ret vix"
+
+
 def folds(m: Market):
-    return ex.walk_forward(m.scored, m.panel, m.cal, m.vix, min_tickers=4)
+    return ex.walk_forward(m.weekly, m.panel, m.cal, m.vix)
 
 
-@query("EX10_calibration_choices", "test_period confidence_threshold:d quantile_cutoff:d hold_days:i variant regime_filter:b score:d4", "", None)
+@query(
+    "EX10_calibration_choices",
+    "test_period confidence_threshold:d quantile_cutoff:d hold_days:i variant regime_filter:b score:d4",
+    _WVIEWS,
+    "SELECT fold AS test_period, conf AS confidence_threshold, cutoff AS quantile_cutoff, hold_days, variant, vix_filter AS regime_filter, score FROM wbest",
+    _WF,
+)
 def _(m: Market):
     return folds(m)["choices"]
 
 
-@query("EX11_expanding_walk_forward", "fold scenario sharpe_ratio:d4 ic:d4 trade_count:i", "", None)
+@query("EX11_expanding_walk_forward", "fold scenario sharpe_ratio:d4 ic:d4 trade_count:i", _WVIEWS, "SELECT * FROM tm_b WHERE scenario IN ('baseline', 'improved')", _WF)
 def _(m: Market):
     return folds(m)["periods"]
 
 
-@query("EX12_cost_robustness", "scenario cost_bps:d sharpe_ratio:d4 break_even_cost_bps:d", "", None)
+@query("EX12_cost_robustness", "scenario cost_bps:d sharpe_ratio:d4 break_even_cost_bps:d", _WVIEWS, "SELECT * FROM wcost, weven", _WF)
 def _(m: Market):
     return folds(m)["costs"]
 
 
-@query("AG13_out_of_sample_rollup", "scenario sharpe_ratio:d4 ic:d4 oos_fold_count:i pct_positive_oos_folds:d4 break_even_cost_bps:d", "", None)
+@query("AG13_out_of_sample_rollup", "scenario sharpe_ratio:d4 ic:d4 oos_fold_count:i pct_positive_oos_folds:d4 break_even_cost_bps:d", _WVIEWS, "SELECT * FROM woos", _WF)
 def _(m: Market):
     return folds(m)["oos"]
 
 
-@query("EX13_diagnostics_ranked", "model scenario sharpe_ratio:d4 trade_count:i break_even_cost_bps:d", "", None)
+@query(
+    "EX13_diagnostics_ranked",
+    "model scenario sharpe_ratio:d4 trade_count:i break_even_cost_bps:d",
+    _WVIEWS,
+    "SELECT 'lexicon' AS model, scenario, sharpe_ratio, trade_count, break_even_cost_bps FROM woos UNION ALL SELECT 'lexicon', scenario, sharpe_ratio, trade_count, break_even_cost_bps FROM wcost, weven",
+    _WF,
+)
 def _(m: Market):
-    return ex.diagnostics(m.scored, m.panel, m.cal, m.vix, "lexicon", min_tickers=4)["ranked"]
+    return ex.diagnostics(m.weekly, m.panel, m.cal, m.vix, "lexicon")["ranked"]
 
 
 @query(
     "BT14_strategy_variants",
-    "variant conf:d n:i dates:i",
-    "scored px",
-    """SELECT 'sentiment' AS variant, conf, count(*) AS n, count(DISTINCT date) AS dates FROM (SELECT *, count(*) OVER (PARTITION BY conf, date) AS k FROM bd) WHERE k >= 4 GROUP BY conf UNION ALL
- SELECT 'ensemble', conf, count(*), count(DISTINCT date) FROM (SELECT *, quantile_cont(dv, 0.2) OVER (PARTITION BY conf, date) AS q FROM (SELECT bd.*, close * volume AS dv FROM bd LEFT JOIN px USING (date, ticker))) WHERE dv IS NULL OR dv >= q GROUP BY conf""",
-    """bk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date, ticker ORDER BY confidence DESC, headline_id) AS rn FROM scored WHERE confidence >= 0.6::DOUBLE) WHERE rn <= 3),
-bd AS MATERIALIZED (SELECT DISTINCT conf, date, ticker FROM bk JOIN (VALUES (0.6::DOUBLE), (0.75::DOUBLE)) v(conf) ON confidence >= conf)""",
+    "variant conf:d n:i dates:i signal_sum:d4",
+    _WVIEWS,
+    "SELECT variant, conf, count(*) AS n, count(DISTINCT date) AS dates, sum(signal) AS signal_sum FROM wsig GROUP BY 1, 2",
+    "/*RECURSIVE_MARK*/" + ",\n".join(_WF.replace("/*RECURSIVE_MARK*/", "").split(",\nwfold AS")[:1]),
 )
 def _(m: Market):
-    v = ex.variant_signals(m.scored, m.panel, m.cal, [0.60, 0.75], 4)
-    return v.groupBy("variant", "conf").agg(F.count("*").alias("n"), F.count_distinct("date").alias("dates"))
+    v = ex.variant_signals(m.weekly, m.panel, m.cal, [0.60, 0.70, 0.75], GATE)
+    return v.groupBy("variant", "conf").agg(F.count("*").alias("n"), F.count_distinct("date").alias("dates"), F.sum("signal").alias("signal_sum"))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapewire import config
 from tapewire.operators import factors as fx
 from tapewire.operators import longshort as ls
 from tapewire.operators import panel as pn
@@ -13,7 +14,7 @@ from tapewire.plans.fixtures import Market
 from tapewire.plans.oracle_stats import RUN_METRICS, TRADE_METRICS, longshort_sql, run_metrics_sql, runs_values, spearman_sql, trade_metrics_sql
 from tapewire.plans.registry import query
 
-VIEWS = "capped panel cal ret vix"
+VIEWS = "wcapped panel cal ret vix"
 P = "run, hold_days, cutoff, cost_bps, weighting, vix_filter"
 BASE = [ls.strategy("base")]
 MIXED = [
@@ -27,8 +28,12 @@ TRADES = (
 )
 
 
-def gated(m: Market, min_tickers: int = 4):
-    return sg.on_usable_dates(sg.aggregate_signals(m.scored), min_tickers)
+#: Names a date needs, as the operators have it.
+GATE = sg.min_tickers_for(config.QUANTILE_CUTOFF)
+
+
+def gated(m: Market):
+    return sg.on_usable_dates(sg.aggregate_signals(m.weekly), GATE)
 
 
 def book(m: Market, runs=MIXED):
@@ -39,7 +44,7 @@ def trades(m: Market, runs=MIXED):
     return ls.fill_trades(book(m, runs), m.panel, m.cal)
 
 
-def sql(runs=MIXED, source: str = "capped", signal: str = "signal", gate: int | None = 4) -> str:
+def sql(runs=MIXED, source: str = "wcapped", signal: str = "signal", gate: int | None = GATE) -> str:
     ctes = longshort_sql(f"SELECT {P}, date, ticker, {signal} AS signal FROM {source} CROSS JOIN runs", gate)
     return "/*RECURSIVE_MARK*/" + runs_values(runs) + ",\n" + ctes.replace("/*RECURSIVE_MARK*/", "")
 

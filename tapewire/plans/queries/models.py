@@ -40,15 +40,13 @@ def predicted(m: Market):
 
 @query(
     "ML02_stratified_split",
-    "label_name n:i near_shares:b",
+    "headline_id:i label_name split",
     "scored",
-    "SELECT label_name, count(*) AS n, true AS near_shares FROM scored GROUP BY 1",
+    """SELECT headline_id, label_name, CASE WHEN rn < round(n * 0.7::DOUBLE) THEN 'train' WHEN rn < round(n * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM (
+ SELECT *, row_number() OVER (PARTITION BY label_name ORDER BY md5(label_name || '|' || headline || '|' || headline_id || '|42')) - 1 AS rn, count(*) OVER (PARTITION BY label_name) AS n FROM scored)""",
 )
 def _(m: Market):
-    s = ml.stratified_split(m.scored, "label_name", "headline", "headline_id").groupBy("label_name").agg(
-        F.count("*").alias("n"), F.avg((F.col("split") == "train").cast("double")).alias("a"), F.avg((F.col("split") == "val").cast("double")).alias("b")
-    )
-    return s.withColumn("near_shares", (F.abs(F.col("a") - 0.70) < 0.05) & (F.abs(F.col("b") - 0.15) < 0.05))
+    return ml.stratified_split(m.scored, "label_name", "headline", "headline_id", seed=42)
 
 
 @query(
@@ -235,17 +233,11 @@ def _(m: Market):
     return rc.scan_order(results(m))
 
 
-@query(
-    "SO07_first_flags",
-    "ticker n_flags:i",
-    "macro vix commod",
-    "SELECT ticker, max(least(3, len(risk_flags))) AS n_flags FROM flags GROUP BY 1",
-    EVENTS,
-)
+@query("SO07_first_flags", "date:t ticker risk_flags:a", "macro vix commod", "SELECT date, ticker, risk_flags[1:5] AS risk_flags FROM flags", EVENTS)
 def _(m: Market):
     rows = tr.context_rows(snapshots(m), commodity(m)).withColumn("ticker", F.explode(F.array(*[F.lit(f"Brand#{b}") for b in range(1, 26)])))
-    flags = tr.risk_flags(tr.ticker_sectors(F.col("ticker"), MEMBERS), F.col("events"), 3)
-    return rows.groupBy("ticker").agg(F.max(F.size(flags)).alias("n_flags"))
+    flags = tr.risk_flags(tr.ticker_sectors(F.col("ticker"), MEMBERS), F.col("events"), 5)
+    return rows.select("date", "ticker", flags.alias("risk_flags")).where(F.size("risk_flags") > 0)
 
 
 # ---- report tables ----------------------------------------------------------

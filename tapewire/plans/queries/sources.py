@@ -58,10 +58,18 @@ def _(m: Market):
     return sn.to_news_schema(m.news.withColumn("date", broken), "x").groupBy("date", "source").agg(F.count("*").alias("n"))
 
 
-@query("SRC04_empty_relation", "source n:i", "news", "SELECT source, count(*) AS n FROM news GROUP BY 1")
+@query(
+    "SRC04_empty_relation",
+    "source n:i empty_rows:i fields",
+    "news",
+    "SELECT source, count(*) AS n, 0 AS empty_rows, 'date:timestamp,ticker:string,headline:string,source:string' AS fields FROM news GROUP BY 1",
+)
 def _(m: Market):
+    """A connector whose folder is absent gives the typed empty relation, which unions with any news."""
+    none = sn.load_landed(m.spark, "nyt", f"{folder(m)}/absent")
     stamped = m.news.withColumn("date", F.col("date").cast("timestamp")).select("date", "ticker", "headline", "source")
-    return sn.empty_news(m.spark).unionByName(stamped).groupBy("source").agg(F.count("*").alias("n"))
+    fields = ",".join(f"{n}:{t}" for n, t in none.dtypes)
+    return none.unionByName(stamped).groupBy("source").agg(F.count("*").alias("n")).withColumns({"empty_rows": F.lit(none.count()), "fields": F.lit(fields)})
 
 
 _UNIQ = "SELECT DISTINCT headline, '{s}' AS source FROM news"
@@ -201,12 +209,20 @@ def _(m: Market):
 
 @query(
     "SRC25_run_states",
-    "code n:i",
+    "stage status code n:i stamped:i",
     "news",
-    "SELECT CASE WHEN contains(lower(headline), 'coverage') THEN 'INSUFFICIENT_COVERAGE' WHEN contains(lower(headline), 'missing') OR contains(lower(headline), 'empty') THEN 'MISSING_DATA' WHEN contains(lower(headline), 'model') THEN 'MODEL_ERROR' ELSE 'UNEXPECTED_ERROR' END AS code, count(*) AS n FROM news GROUP BY 1",
+    """SELECT source AS stage, 'failed' AS status, CASE WHEN contains(t, 'coverage') THEN 'INSUFFICIENT_COVERAGE' WHEN contains(t, 'missing') OR contains(t, 'empty') OR contains(t, 'not found') THEN 'MISSING_DATA' WHEN contains(t, 'model') THEN 'MODEL_ERROR' ELSE 'UNEXPECTED_ERROR' END AS code,
+ count(*) AS n, count(*) AS stamped FROM (SELECT source, lower(headline) || CASE headline_id % 4 WHEN 0 THEN ' missing' WHEN 1 THEN ' coverage' WHEN 2 THEN ' model' ELSE '' END AS t FROM news) GROUP BY 1, 2, 3 UNION ALL
+ SELECT source, 'started', 'OK', 1, 1 FROM (SELECT DISTINCT source FROM news)""",
 )
 def _(m: Market):
-    return m.news.groupBy(so.error_code(F.col("headline")).alias("code")).agg(F.count("*").alias("n"))
+    """Two appends to the run log: the stages' starts, then an error for each headline; read back and counted."""
+    path = folder(m)
+    tails = F.when(F.pmod("headline_id", F.lit(4)) == 0, " missing").when(F.pmod("headline_id", F.lit(4)) == 1, " coverage").when(F.pmod("headline_id", F.lit(4)) == 2, " model").otherwise("")
+    text = F.concat("headline", tails)
+    so.append_state(so.state_rows(m.news.select(F.col("source").alias("stage")).distinct(), "started"), path)
+    so.append_state(so.state_rows(m.news.select(F.col("source").alias("stage"), text.alias("message")), "failed", so.error_code(F.col("message"))), path)
+    return so.load_states(m.spark, path).groupBy("stage", "status", "code").agg(F.count("*").alias("n"), F.count("timestamp_utc").alias("stamped"))
 
 
 @query("SF03_cache_key", "headline cache_key", "news", "SELECT DISTINCT headline, sha256(headline || '|m') AS cache_key FROM news")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapewire import keyword_data as kd
+from tapewire.functions.settle import settle
 from tapewire.operators import event_study as es
 from tapewire.operators import keywords as kw
 from tapewire.operators import lexicon as lx
 from tapewire.operators import sets as st
+from tapewire.operators.patterns import with_keywords
 from tapewire.plans.fixtures import KEYWORDS, Market
 from tapewire.plans.oracle_stats import t_p_sql
 from tapewire.plans.registry import query
@@ -62,15 +64,16 @@ def _(m: Market):
 
 @query(
     "TX02_negation",
-    "event_type negated:b n:i",
-    "",
-    """SELECT event_type, regexp_matches(t, '(^| )(not|no)( [a-z0-9]+){0,2} beat') AS negated, count(*) AS n FROM (
- SELECT event_type, CASE WHEN user_id % 3 = 0 THEN 'firm did not beat forecasts' WHEN user_id % 3 = 1 THEN 'no one two three beat' ELSE 'notable beat' END AS t FROM events) GROUP BY 1, 2""",
+    "headline_id:i negated_score:d",
+    "news",
+    "SELECT headline_id, CASE WHEN headline_id % 3 = 0 THEN -0.8::DOUBLE ELSE 1 END AS negated_score FROM news",
 )
 def _(m: Market):
-    text = F.when(F.pmod("user_id", F.lit(3)) == 0, "firm did not beat forecasts").when(F.pmod("user_id", F.lit(3)) == 1, "no one two three beat").otherwise("notable beat")
-    flag = lx.negated(lx.tokens(text), F.array(F.lit("beat")), ["not", "no"], 3)
-    return m.table("events").select("event_type", flag.alias("negated")).groupBy("event_type", "negated").agg(F.count("*").alias("n"))
+    """The scorer's own rule: a word within three tokens after a negation counts -0.8 of its weight."""
+    lead = F.when(F.pmod("headline_id", F.lit(3)) == 0, "it is not a").when(F.pmod("headline_id", F.lit(3)) == 1, "no one two three").otherwise("it is a")
+    own = lx.Lexicon(bullish={"zenith": 1.0}, bearish={}, neutral={}, combinations=[])
+    rows = m.news.select("headline_id", F.concat_ws(" ", "headline", lead, F.lit("zenith")).alias("headline"))
+    return lx.score_texts(rows, lexicon=own).select("headline_id", F.col("raw_score").alias("negated_score"))
 
 
 @query(
@@ -122,16 +125,34 @@ def _(m: Market):
     return kw.match_listed(m.news, KEYWORDS).groupBy("keyword", "ticker").agg(F.count("*").alias("n"))
 
 
+WORD_SQL = "SELECT DISTINCT unnest(string_split(lower(headline), ' ')) AS w FROM news"
+
+
+def headline_words(m: Market):
+    """A keyword table: the distinct words of all headlines."""
+    return m.news.select(F.explode(F.split(F.lower("headline"), " ")).alias("keyword")).distinct()
+
+
 @query(
     "JN07_keyword_table_match",
     "keyword n:i",
     "news",
-    "SELECT w AS keyword, count(*) AS n FROM news JOIN (SELECT DISTINCT unnest(string_split(lower(headline), ' ')) AS w FROM news) k ON contains(lower(headline), w) GROUP BY 1",
+    f"SELECT w AS keyword, count(*) AS n FROM news JOIN ({WORD_SQL}) k ON contains(lower(headline), w) GROUP BY 1",
 )
 def _(m: Market):
-    words = m.news.select(F.explode(F.split(F.lower("headline"), " ")).alias("keyword")).distinct()
-    # A limit of 0 forces the join path that a long keyword table takes.
-    return kw.match_table(m.news.select("headline"), words).groupBy("keyword").agg(F.count("*").alias("n"))
+    return kw.match_table(m.news.select("headline"), headline_words(m)).groupBy("keyword").agg(F.count("*").alias("n"))
+
+
+@query(
+    "JN07_document_keywords",
+    "doc_id:i keywords:i first last",
+    "",
+    """SELECT doc_id, count(w) AS keywords, min(w) AS first, max(w) AS last FROM documents LEFT JOIN (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}]{6,}')) AS w FROM benchmark) k ON contains(lower(text), w) GROUP BY doc_id""",
+)
+def _(m: Market):
+    words = m.table("benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{6,}"), F.lit(0))).alias("keyword")).distinct()
+    rows = with_keywords(m.documents.select("doc_id", "text"), words, "text")
+    return rows.select("doc_id", F.size("keywords").alias("keywords"), F.array_min("keywords").alias("first"), F.array_max("keywords").alias("last"))
 
 
 _ALIASES = {"Brand#1": [], "Brand#2": ["guidance"], "GS": ["Goldman Sachs", "Goldman"], "SEC": []}
@@ -179,7 +200,7 @@ def _(m: Market):
     "TX06_corpus_keywords",
     "term score:d",
     "",
-    f"SELECT term, sum(weight) / (SELECT count(*) FROM documents) AS score FROM tfidf WHERE {meaningful_sql('term')} GROUP BY 1 ORDER BY score DESC, term LIMIT 50",
+    f"SELECT term, round(sum(weight) / (SELECT count(*) FROM documents), 12) AS score FROM tfidf WHERE {meaningful_sql('term')} GROUP BY 1 ORDER BY score DESC, term LIMIT 50",
     _TERMS,
 )
 def _(m: Market):
@@ -209,8 +230,8 @@ def _(m: Market):
 def _(m: Market):
     from pyspark.sql import Window as W
 
-    w = kw.tfidf_weights(m.documents, "doc_id", "text", stop_words=STOP).where("meaningful")
-    top = w.groupBy("term").agg(F.round(F.sum("weight"), 6).alias("score")).orderBy(F.desc("score"), "term").limit(10)
+    w = kw.tfidf_weights(m.documents, "doc_id", "text", stop_words=STOP)
+    top = kw.top_meaningful(w.groupBy("term").agg(F.round(F.sum("weight"), 6).alias("score")), 10)
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "term")))
 
 
@@ -256,7 +277,8 @@ def _(m: Market):
     _TERMS,
 )
 def _(m: Market):
-    return kw.filter_report(kw.tfidf_weights(m.documents, "doc_id", "text", stop_words=STOP).select("term").distinct(), "term")
+    terms = kw.text_terms(m.documents, "doc_id", "text", STOP)
+    return kw.filter_report(kw.vocabulary(terms, m.documents.agg(F.count("*")).scalar()), "term")
 
 
 CARS = {"investigation": -0.012, "guidance": 0.004, "share buyback": 0.02, "dividend": -0.006}
@@ -279,6 +301,42 @@ def _(m: Market):
     return m.news.withColumn("keyword_w", kw.impact_weight(F.col("headline"), CARS))
 
 
+_WCARS = f"wcar AS MATERIALIZED (SELECT w, (length(w) * 7 % 11 - 5) / 1000.0::DOUBLE AS car FROM ({WORD_SQL}) WHERE length(w) > 0),\nwhit AS MATERIALIZED (SELECT h, sum(car) AS total, max(abs(car)) AS best FROM (SELECT DISTINCT headline AS h FROM news) JOIN wcar ON contains(lower(h), w) GROUP BY 1)"
+
+
+def word_weights(m: Market):
+    """A weight table: a CAR for every word of the headlines."""
+    n = F.length("keyword")
+    return headline_words(m).where(n > 0).select("keyword", (((n * 7) % 11 - 5) / 1000.0).alias("avg_CAR"))
+
+
+@query(
+    "TX09_weight_table",
+    "headline_id:i adjusted:d",
+    "scored",
+    "SELECT headline_id, greatest(-1, least(1, signal + greatest(-0.25, least(0.25, coalesce(total, 0))))) AS adjusted FROM scored LEFT JOIN whit ON h = headline",
+    _WCARS,
+)
+def _(m: Market):
+    return kw.adjusted_signals(m.scored.select("headline_id", "headline", "signal"), word_weights(m))
+
+
+@query("TX10_weight_table", "headline_id:i keyword_w:d", "news", "SELECT headline_id, least(2, 1 + 10 * coalesce(best, 0)) AS keyword_w FROM news LEFT JOIN whit ON h = headline", _WCARS)
+def _(m: Market):
+    return kw.impact_weights(m.news.select("headline_id", "headline"), word_weights(m))
+
+
+@query(
+    "TX01_document_scores",
+    "doc_id:i raw_score:d normalised_score:d lex_label",
+    "",
+    "SELECT doc_id, raw_score, normalised_score, CASE WHEN normalised_score > 0.15 THEN 'bullish' WHEN normalised_score < -0.15 THEN 'bearish' ELSE 'neutral' END AS lex_label FROM documents JOIN lexed ON headline = text",
+    LEX_CTES.replace("SELECT DISTINCT headline AS h FROM news", "SELECT DISTINCT text AS h FROM documents").split(",\nlexnews")[0],
+)
+def _(m: Market):
+    return lx.score_texts(m.documents.select("doc_id", F.col("text").alias("headline")))
+
+
 @query(
     "TX11_lexicon_agreement",
     "headline_id:i lexicon_w:d",
@@ -314,6 +372,17 @@ def _(m: Market):
     return kw.sentiment_keywords(m.scored, "positive", KEYWORDS)
 
 
+@query(
+    "SO08_keyword_table",
+    "ticker keyword n:i rank:i",
+    "scored",
+    f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY n DESC, keyword) AS rank FROM (SELECT ticker, w AS keyword, count(*) AS n FROM scored JOIN ({WORD_SQL}) k ON length(w) > 0 AND contains(lower(headline), w)
+ WHERE label_name = 'positive' AND confidence >= 0.7 GROUP BY ALL)) WHERE rank <= 5""",
+)
+def _(m: Market):
+    return kw.sentiment_keywords(m.scored, "positive", headline_words(m))
+
+
 @query(
     "SO08_frequent_words",
     "ticker keyword n:i rank:i",
@@ -355,6 +424,14 @@ def _(m: Market):
     return study(m)
 
 
+_TABLE = STUDY_CTES.replace(f"(VALUES {_KW}) v(k)", f"(SELECT w AS k FROM ({WORD_SQL}) WHERE length(w) > 0) v")
+
+
+@query("STA15_keyword_table", "keyword event_count:i avg_CAR:d std_CAR:d positive_pct:d4", "panel cal ret news", "SELECT * FROM study", _TABLE)
+def _(m: Market):
+    return es.event_study(es.keyword_events(m.news, m.cal, headline_words(m)), es.abnormal_returns(m.panel))
+
+
 _SRC = """srcars AS (SELECT * FROM evs WHERE (source, keyword) IN (SELECT (source, keyword) FROM evs GROUP BY source, keyword HAVING count(*) >= 5))"""
 
 
@@ -398,14 +475,20 @@ def _(m: Market):
     "SO05_top_keywords_by_car",
     "keyword avg_CAR:d side",
     "panel cal ret news",
-    """SELECT keyword, avg_CAR, 'best' AS side FROM (SELECT * FROM study ORDER BY avg_CAR DESC, keyword LIMIT 3) UNION ALL
- SELECT keyword, avg_CAR, 'worst' AS side FROM (SELECT * FROM study ORDER BY avg_CAR, keyword LIMIT 3)""",
-    STUDY_CTES,
+    " UNION ALL ".join(
+        f"SELECT keyword, avg_CAR, '{side}' AS side FROM (SELECT * FROM study WHERE {cond} ORDER BY {order}, keyword LIMIT {n})"
+        for side, cond, order, n in (("best", "true", "avg_CAR DESC", 20), ("largest", "true", "abs(avg_CAR) DESC", 10), ("positive", "avg_CAR > 0", "avg_CAR DESC", 5), ("negative", "avg_CAR < 0", "avg_CAR", 5))
+    ),
+    _TABLE,
 )
 def _(m: Market):
-    s = study(m).select("keyword", "avg_CAR")
-    best = s.orderBy(F.desc("avg_CAR"), "keyword").limit(3).withColumn("side", F.lit("best"))
-    return best.unionByName(s.orderBy("avg_CAR", "keyword").limit(3).withColumn("side", F.lit("worst")))
+    s = es.event_study(es.keyword_events(m.news, m.cal, headline_words(m)), es.abnormal_returns(m.panel)).select("keyword", "avg_CAR")
+    car = F.col("avg_CAR")
+    out = None
+    for side, rows, order, n in (("best", s, car.desc(), 20), ("largest", s, F.abs(car).desc(), 10), ("positive", s.where(car > 0), car.desc(), 5), ("negative", s.where(car < 0), car.asc(), 5)):
+        top = rows.orderBy(order, "keyword").limit(n).withColumn("side", F.lit(side))
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 @query(
@@ -419,17 +502,22 @@ def _(m: Market):
     return study(m).withColumn("abs_CAR", F.abs("avg_CAR"))
 
 
+_HEADTERMS = _TERMS.replace("doc_id", "headline_id").replace("lower(text)", "lower(headline)").replace("FROM documents)", "FROM news)")
+_FOUND = f"found AS MATERIALIZED (SELECT term FROM (SELECT term, round(sum(weight) / (SELECT count(*) FROM news), 12) AS score FROM tfidf WHERE {meaningful_sql('term')} GROUP BY 1) ORDER BY score DESC, term LIMIT 50)"
+
+
 @query(
     "EX14_keyword_study",
-    "term in_headlines:i event_count:i",
-    "",
-    None,
+    "keyword in_headlines:i event_count:i avg_CAR:d t_stat:d4 p_value:d4 signal_grade",
+    "panel cal ret news",
+    f"""SELECT keyword, k AS in_headlines, event_count, avg_CAR, round(t, 4) AS t_stat, round(p, 4) AS p_value,
+ CASE WHEN abs(avg_CAR) > 0.01 AND p < 0.05 AND event_count >= 10 THEN 'A' WHEN abs(avg_CAR) > 0.005 AND p < 0.10 THEN 'B' WHEN keyword IN ('share buyback') AND abs(avg_CAR) > 0.002 THEN 'B' ELSE 'C' END AS signal_grade
+ FROM (SELECT *, {t_p_sql('t', '(event_count - 1)')} AS p FROM (SELECT *, avg_CAR / (std_CAR / sqrt(event_count)) AS t FROM study)) JOIN (SELECT keyword, count(*) AS k FROM hits GROUP BY 1) USING (keyword)""",
+    _HEADTERMS + ",\n" + _FOUND + ",\n" + STUDY_CTES.replace(f"(VALUES {_KW}) v(k)", "(SELECT term AS k FROM found) v"),
 )
 def _(m: Market):
-    # Keywords found in the headlines themselves feed the event study.  The list is bounded by its size argument.
-    heads = m.news.select("headline_id", "headline")
-    found = [r.term for r in kw.corpus_keywords(heads, "headline_id", "headline", n=20).select("term").collect()]
-    events = es.keyword_events(m.news, m.cal, found)
+    """Keywords of the headlines themselves, found by weight, feed the event study as a table."""
+    found = kw.corpus_keywords(m.news.select("headline_id", "headline"), "headline_id", "headline", stop_words=STOP)
+    events = settle(es.keyword_events(m.news, m.cal, found.select(F.col("term").alias("keyword"))))
     s = es.keyword_summary(es.event_study(events, es.abnormal_returns(m.panel)))
-    per = events.groupBy("keyword").agg(F.sum("n").alias("in_headlines"))
-    return s.join(per, "keyword").select(F.col("keyword").alias("term"), "in_headlines", "event_count")
+    return s.join(events.groupBy("keyword").agg(F.sum("n").alias("in_headlines")), "keyword")

@@ -213,10 +213,14 @@ def _(m: Market):
     return m.table("events").select("event_id", lb.blended_label(g, d).alias("p")).select("event_id", "p.*")
 
 
-@query("PRJ20_class_sample", "label_name n:i", "scored", "SELECT label_name, least(count(*), 100) AS n FROM scored GROUP BY 1")
+@query(
+    "PRJ20_class_sample",
+    "headline_id:i label_name",
+    "scored",
+    """SELECT headline_id, label_name FROM (SELECT *, row_number() OVER (PARTITION BY label_name ORDER BY md5(label_name || '|' || headline || '|' || headline_id || '|42')) AS rn FROM scored) WHERE rn <= 100""",
+)
 def _(m: Market):
-    picked = st.sample_per_class(m.scored, "label_name", "headline", 300, id_col="headline_id")
-    return picked.groupBy("label_name").agg(F.count("*").alias("n"))
+    return st.sample_per_class(m.scored, "label_name", "headline", 300, id_col="headline_id", seed=42)
 
 
 # ---- calendar joins ---------------------------------------------------------
@@ -429,30 +433,40 @@ def _(m: Market):
     return sg.news_features(sg.daily_signals(m.scored))
 
 
-@query(
-    "WN05_rolling_log_vol",
-    "date:t ticker rolling_vol:d",
-    "ret",
-    """SELECT date, ticker, CASE WHEN c = 5 THEN s * sqrt(252) END AS rolling_vol FROM (
- SELECT date, ticker, count(lr) OVER w AS c, stddev_samp(lr) OVER w AS s FROM (SELECT r.*, ln(r.close / p.close) AS lr FROM ret r LEFT JOIN ret p ON p.ticker = r.ticker AND p.pos = r.pos - 1)
- WINDOW w AS (PARTITION BY ticker ORDER BY pos RANGE BETWEEN 4 PRECEDING AND CURRENT ROW))""",
-)
+# Groups of five brands trade every day, so that windows of 20 returns fill.
+_GROUP = "'Group#' || (CAST(substr(ticker, 7) AS INT) % 5)"
+_GVOL = f"""gpx AS MATERIALIZED (SELECT date, {_GROUP} AS ticker, avg(close) AS close, pos FROM panel GROUP BY ALL),
+gvol AS MATERIALIZED (SELECT ticker, pos, date, CASE WHEN c = 20 THEN s * sqrt(252) END AS rolling_vol FROM (
+ SELECT ticker, pos, date, count(lr) OVER w AS c, stddev_samp(lr) OVER w AS s FROM (SELECT r.*, ln(r.close / p.close) AS lr FROM gpx r LEFT JOIN gpx p ON p.ticker = r.ticker AND p.pos = r.pos - 1)
+ WINDOW w AS (PARTITION BY ticker ORDER BY pos RANGE BETWEEN 19 PRECEDING AND CURRENT ROW)))"""
+
+
+def _group():
+    return F.concat(F.lit("Group#"), F.pmod(F.regexp_extract("ticker", r"(\d+)", 1).cast("int"), F.lit(5)).cast("string"))
+
+
+def group_vols(m: Market):
+    bars = m.panel.groupBy("date", "pos", _group().alias("ticker")).agg(F.avg("close").alias("close"))
+    return pn.rolling_log_vol(bars, 20)
+
+
+@query("WN05_rolling_log_vol", "date:t ticker rolling_vol:d", "panel", "SELECT date, ticker, rolling_vol FROM gvol", _GVOL)
 def _(m: Market):
-    return pn.rolling_log_vol(m.panel, 5)
+    return group_vols(m)
 
 
 @query(
     "JN05_strict_backward_vol",
     "date:t ticker vol:d",
-    "sig cal ret",
-    """SELECT p.date, p.ticker, CASE WHEN v.rolling_vol > 0.01 THEN v.rolling_vol ELSE 1 END AS vol FROM (SELECT s.date, s.ticker, c.pos FROM sig s ASOF JOIN cal c ON s.date <= c.date) p
- LEFT JOIN (SELECT ticker, pos, CASE WHEN c = 5 THEN s * sqrt(252) END AS rolling_vol FROM (
- SELECT ticker, pos, count(lr) OVER w AS c, stddev_samp(lr) OVER w AS s FROM (SELECT r.*, ln(r.close / p.close) AS lr FROM ret r LEFT JOIN ret p ON p.ticker = r.ticker AND p.pos = r.pos - 1)
- WINDOW w AS (PARTITION BY ticker ORDER BY pos RANGE BETWEEN 4 PRECEDING AND CURRENT ROW))) v ON v.ticker = p.ticker AND v.pos = p.pos - 1""",
+    "scored panel cal",
+    f"""SELECT p.date, p.ticker, CASE WHEN v.rolling_vol > 0.01 THEN v.rolling_vol ELSE 1 END AS vol FROM (SELECT s.date, s.ticker, c.pos FROM
+ (SELECT DISTINCT date, {_GROUP} AS ticker FROM scored WHERE confidence >= 0.7) s ASOF JOIN (SELECT date AS cd, pos FROM cal) c ON s.date <= c.cd) p LEFT JOIN gvol v ON v.ticker = p.ticker AND v.pos = p.pos - 1""",
+    _GVOL,
 )
 def _(m: Market):
-    vols = pn.rolling_log_vol(m.panel, 5).select("ticker", (F.col("pos") + 1).alias("pos"), "rolling_vol")
-    entered = cal.as_of_forward(sg.daily_signals(m.scored), m.cal).withColumnRenamed("entry_pos", "pos")
+    vols = group_vols(m).select("ticker", (F.col("pos") + 1).alias("pos"), "rolling_vol")
+    signals = sg.daily_signals(m.scored.withColumn("ticker", _group()))
+    entered = cal.as_of_forward(signals, m.cal).withColumnRenamed("entry_pos", "pos")
     vol = F.when(F.col("rolling_vol") > 0.01, F.col("rolling_vol")).otherwise(1.0)
     return entered.join(vols, ["ticker", "pos"], "left").withColumn("vol", vol)
 

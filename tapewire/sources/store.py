@@ -120,9 +120,17 @@ def content_hash(spark: SparkSession, path: str, block_lines: int = HASH_LINES)
     return files.agg(folded("file", "digest").alias("hash"))
 
 
-def state_row(spark: SparkSession, stage: str, status: str, code: str = "OK", message: str = "") -> DataFrame:
-    row = spark.range(1).select(F.lit(stage).alias("stage"), F.lit(status).alias("status"), F.lit(code).alias("code"), F.lit(message).alias("message"))
-    return row.withColumn("timestamp_utc", F.current_timestamp())
+STATES = "stage string, status string, code string, message string, timestamp_utc timestamp"
+
+
+def state_rows(events: DataFrame, status: str, code: Column | str = "OK") -> DataFrame:
+    """Run-log rows: ``events`` has the stage and, if there is one, the message; stamped with the job's time."""
+    message = F.col("message") if "message" in events.columns else F.lit("")
+    return events.select("stage", F.lit(status).alias("status"), (F.lit(code) if isinstance(code, str) else code).alias("code"), message.alias("message"), F.current_timestamp().alias("timestamp_utc"))
+
+
+def load_states(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(STATES).parquet(path)
 
 
 def append_state(df: DataFrame, path: str) -> None:
