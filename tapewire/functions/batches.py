@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -16,3 +16,13 @@ def bounded_batches(spark: SparkSession) -> None:
         now = spark.conf.get(key, None)
         if now is None or not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table that is read in fewer tasks than there are cores, dealt over all of them.
+
+    For scans with costly work per row: a file of one row group is one task however many texts it holds.
+    A table of many files stays as it is, and nothing is shuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)

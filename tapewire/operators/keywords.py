@@ -104,8 +104,9 @@ def text_terms(df: DataFrame, id_col: str, text: str, stop_words: list[str] | No
     rows = df.select(id_col, kept.alias("_w"))
     after = F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0)))
     pairs = F.zip_with(F.slice("_w", F.lit(1), F.greatest(F.size("_w") - 1, F.lit(0))), after, lambda a, b: F.concat_ws(" ", a, b))
-    rows = rows.select(id_col, F.sort_array(F.concat("_w", pairs)).alias("_t")).where(F.size("_t") > 0)
-    begins = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: (i == 0) | ~F.get("_t", i).eqNullSafe(F.get("_t", i - 1)))
+    rows = rows.select(id_col, F.sort_array(F.concat("_w", pairs)).alias("_t"))
+    # no filter on the size: Spark would push it down and evaluate the arrays twice
+    begins = F.filter(F.sequence(F.lit(0), F.greatest(F.size("_t") - 1, F.lit(0))), lambda i: (i == 0) | ~F.get("_t", i).eqNullSafe(F.get("_t", i - 1)))
     rows = rows.select(id_col, "_t", begins.alias("_s"))
     counted = F.transform("_s", lambda s, k: F.struct(F.get("_t", s).alias("term"), (F.coalesce(F.get("_s", k + 1), F.size("_t")) - s).cast("long").alias("tf")))
     return rows.select(id_col, F.explode_outer(counted).alias("_x")).select(id_col, "_x.term", "_x.tf").where("term is not null")
@@ -126,13 +127,15 @@ def tfidf_weights(
     min_df: int = 2,
     max_df: float = 0.80,
     max_features: int | None = None,
+    terms: DataFrame | None = None,
 ) -> DataFrame:
     """(id, term, weight): (1+ln tf) * (ln((1+n)/(1+df))+1), unit length per document.
 
     Terms meet the vocabulary by term, which leaves out all that occur in one document only; what is left
-    goes back to its document once, where the norm is a sum over the document's own array.
+    goes back to its document once, where the norm is a sum over the document's own array.  ``terms``: what
+    ``text_terms`` gives, written once by the caller, since it is read twice.
     """
-    terms = text_terms(df, id_col, text, stop_words)
+    terms = text_terms(df, id_col, text, stop_words) if terms is None else terms
     n_docs = df.agg(F.count("*")).scalar()
     vocab = vocabulary(terms, n_docs, min_df, max_df, max_features)
     idf = F.ln((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapewire import keyword_data as kd
+from tapewire.functions.batches import spread
 from tapewire.functions.settle import settle
 from tapewire.operators import event_study as es
 from tapewire.operators import keywords as kw
@@ -190,9 +191,18 @@ def meaningful_sql(col: str) -> str:
  AND len(list_filter(string_split({col}, ' '), lambda t: NOT list_contains({stop}, t))) > 0 AND {col} NOT IN ({names})))"""
 
 
+def texts(m: Market):
+    return spread(m.documents.select("doc_id", "text"))
+
+
+def terms(m: Market):
+    """The counted terms of all documents, written once: vocabulary and weights both read them."""
+    return settle(kw.text_terms(texts(m), "doc_id", "text", STOP))
+
+
 @query("TX06_tfidf_weights", "doc_id:i terms:i total:d5", "", "SELECT doc_id, count(*) AS terms, sum(weight) AS total FROM tfidf GROUP BY 1", _TERMS)
 def _(m: Market):
-    w = kw.tfidf_weights(m.documents, "doc_id", "text", stop_words=STOP)
+    w = kw.tfidf_weights(texts(m), "doc_id", "text", terms=terms(m))
     return w.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("weight").alias("total"))
 
 
@@ -204,7 +214,7 @@ def _(m: Market):
     _TERMS,
 )
 def _(m: Market):
-    return kw.corpus_keywords(m.documents, "doc_id", "text", stop_words=STOP)
+    return kw.corpus_keywords(texts(m), "doc_id", "text", terms=terms(m))
 
 
 _DOCKW = f"""dk AS (SELECT * FROM (SELECT doc_id, term, weight, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) AS rank FROM tfidf WHERE weight >= 0.2 AND {meaningful_sql('term')}) WHERE rank <= 5)"""
@@ -212,12 +222,12 @@ _DOCKW = f"""dk AS (SELECT * FROM (SELECT doc_id, term, weight, row_number() OVE
 
 @query("TX08_document_keywords", "doc_id:i term weight:d rank:i", "", "SELECT * FROM dk", _TERMS + ",\n" + _DOCKW)
 def _(m: Market):
-    return kw.document_keywords(m.documents, "doc_id", "text", stop_words=STOP)
+    return kw.document_keywords(texts(m), "doc_id", "text", terms=terms(m))
 
 
 @query("AG12_keyword_document_frequency", "term documents:i", "", "SELECT term, count(*) AS documents FROM dk GROUP BY 1", _TERMS + ",\n" + _DOCKW)
 def _(m: Market):
-    return kw.keyword_document_frequency(kw.document_keywords(m.documents, "doc_id", "text", stop_words=STOP))
+    return kw.keyword_document_frequency(kw.document_keywords(texts(m), "doc_id", "text", terms=terms(m)))
 
 
 @query(
@@ -230,7 +240,7 @@ def _(m: Market):
 def _(m: Market):
     from pyspark.sql import Window as W
 
-    w = kw.tfidf_weights(m.documents, "doc_id", "text", stop_words=STOP)
+    w = kw.tfidf_weights(texts(m), "doc_id", "text", terms=terms(m))
     top = kw.top_meaningful(w.groupBy("term").agg(F.round(F.sum("weight"), 6).alias("score")), 10)
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "term")))
 
@@ -277,8 +287,7 @@ def _(m: Market):
     _TERMS,
 )
 def _(m: Market):
-    terms = kw.text_terms(m.documents, "doc_id", "text", STOP)
-    return kw.filter_report(kw.vocabulary(terms, m.documents.agg(F.count("*")).scalar()), "term")
+    return kw.filter_report(kw.vocabulary(kw.text_terms(texts(m), "doc_id", "text", STOP), m.documents.agg(F.count("*")).scalar()), "term")
 
 
 CARS = {"investigation": -0.012, "guidance": 0.004, "share buyback": 0.02, "dividend": -0.006}
@@ -334,7 +343,7 @@ def _(m: Market):
     LEX_CTES.replace("SELECT DISTINCT headline AS h FROM news", "SELECT DISTINCT text AS h FROM documents").split(",\nlexnews")[0],
 )
 def _(m: Market):
-    return lx.score_texts(m.documents.select("doc_id", F.col("text").alias("headline")))
+    return lx.score_texts(texts(m).withColumnRenamed("text", "headline"))
 
 
 @query(
