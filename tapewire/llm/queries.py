@@ -85,8 +85,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH both_ AS (SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
 words AS MATERIALIZED (SELECT k, id, {_WORDS.format(text=_LOWER.format(text="text"))} AS w FROM both_),
-shingles AS MATERIALIZED (SELECT k, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END) AS g FROM words),
+short AS (SELECT DISTINCT len(w) AS n FROM words WHERE k = 'i' AND len(w) BETWEEN 1 AND 4),
+shingles AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT k, id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) AS g FROM words, short WHERE k = 'd' AND len(w) > n
+ UNION ALL SELECT k, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END) AS g FROM words)),
 sizes AS (SELECT id, count(*) AS n FROM shingles WHERE k = 'i' GROUP BY id),
 shared AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS c FROM shingles d JOIN shingles i ON d.k = 'd' AND i.k = 'i' AND d.g = i.g GROUP BY ALL)
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_item, CAST(c AS BIGINT) AS n_shared, c::DOUBLE / n AS containment FROM shared JOIN sizes ON id = item_id WHERE 100 * c >= 80 * n

@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tapewire.llm.tables import small_batches
+from tapewire.llm.tables import bitmap, in_bitmap, small_batches
 from tapewire.llm.words import slices, window_hashes, window_starts
 
 DEPTH = 2
 MIN_BITS, MAX_BITS = 18, 30
 SHARD_BITS = 18
+#: Bitmap of the doc_ids that stand for several texts; a false hit costs bytes only.
+MIXED_BITS = 20
 BLOCK_WINDOWS = 2 << 20
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -126,7 +128,7 @@ def _wide(low: int, blob: bytes) -> np.ndarray:
 def _columns(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> dict:
     low, docs = _narrow(doc)
     first, places = _narrow(pos)
-    return {"low": low, "doc": docs, "tag": tag.astype(np.uint16).tobytes(), "first": first, "pos": places}
+    return {"low": low, "doc": docs, "tag": tag.tobytes() if tag.any() else b"", "first": first, "pos": places}
 
 
 _SPANS = "low long, doc binary, tag binary, first long, pos binary"
@@ -137,7 +139,7 @@ def _read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     got = [table.column(c).to_pylist() for c, _ in _SPAN_FIELDS]
     doc = [_wide(low, b) for low, b in zip(got[0], got[1], strict=True)]
     pos = [_wide(low, b) for low, b in zip(got[3], got[4], strict=True)]
-    tag = [np.frombuffer(b, np.uint16) for b in got[2]]
+    tag = [np.frombuffer(b, np.int64) if b else np.zeros(len(d), np.int64) for b, d in zip(got[2], doc, strict=True)]
     return np.concatenate(doc), np.concatenate(tag), np.concatenate(pos)
 
 
@@ -150,7 +152,7 @@ def _prime(n: int) -> int:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 13, carry: list[str] | None = None, original: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for each input row; ``kept`` is the text of kept words
-    joined by one space.  ``carry`` names columns to pass through (not doc_id, tag or shard).  With
+    joined by one space.  ``carry`` names columns to pass through (not doc_id, tag, id_hash or shard).  With
     ``original`` the text column is called ``text``, and uncut texts, null among them, stay as they are.
 
     A null text has no words.  A row with a null doc_id keeps all its words and takes part in no
@@ -165,7 +167,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n_buckets = _prime(max(64, total >> 23))
     out_name = "text" if original else "kept"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(carry or []))
-    known = rows.where("doc_id IS NOT NULL").withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int"))
+    # rows of one doc_id are told apart by their text's hash, where there are several texts; elsewhere the tag is 0
+    rows = rows.withColumn("tag", F.xxhash64("text")).withColumn("id_hash", F.xxhash64("doc_id"))
+    known = rows.where("doc_id IS NOT NULL")
+    mixed = known.groupBy("id_hash").agg(F.min("tag").alias("t1"), F.max("tag").alias("t2")).where("t1 <> t2")
+    several = spark.sparkContext.broadcast(bitmap(mixed, "id_hash", MIXED_BITS))
+
+    def tags_of(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+        tag, id_hash = (np.asarray(batch.column(c).to_numpy(), np.int64) for c in ("tag", "id_hash"))
+        return np.where(in_bitmap(several.value, MIXED_BITS, id_hash.view(np.uint64)), tag, 0)
+
     shared = spark.sparkContext.broadcast(repeated_sketch(known, "text", size, bits))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +200,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
         held, n = [], 0
         for batch in batches:
-            ids, tags = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            ids, tags = batch.column(0).to_numpy(), tags_of(batch)
             for w in slices(batch.column(1)):
                 at = window_starts(w.bounds, size)
                 h = window_hashes(w.hashes, size)[at]
@@ -232,7 +243,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         cut = doc > low
         return pa.Table.from_pylist(cut_rows(doc[cut], tag[cut], pos[cut]), arrow).select(["shard", *(c for c, _ in _SPAN_FIELDS)])
 
-    found = known.select("doc_id", "text", "tag").mapInArrow(candidates, f"cut boolean, shard long, h binary, h2 binary, {_SPANS}")
+    found = known.select("doc_id", "text", "tag", "id_hash").mapInArrow(candidates, f"cut boolean, shard long, h binary, h2 binary, {_SPANS}")
     cuts = found.groupBy("cut", "shard").applyInArrow(group, f"shard long, {_SPANS}")
 
     def apply(key, texts, spans):
@@ -244,8 +255,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             order = np.lexsort((pos, tag, doc))
             doc, tag, pos = doc[order], tag[order], pos[order]
         else:
-            doc, tag, pos = np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.int64)
-        ids, tags = texts.column("doc_id").to_pylist(), texts.column("tag").to_pylist()
+            doc, tag, pos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids, tags = texts.column("doc_id").to_pylist(), tags_of(texts).tolist()
         texts = texts.column("text").combine_chunks()
         if isinstance(texts, pa.ChunkedArray):
             texts = pa.concat_arrays(texts.chunks)
@@ -266,7 +277,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": n_words, "n_removed": n_removed, out_name: kept} | more)
 
     spread = F.coalesce(F.pmod("doc_id", F.lit(n_buckets)), F.pmod(F.xxhash64("text"), F.lit(n_buckets)))  # a null text hashes like any other
-    left = rows.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int")).withColumn("shard", spread)
+    left = rows.withColumn("shard", spread)
     schema = [StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField(out_name, StringType())]
     schema += [docs.schema[c] for c in carry or []]
     return left.groupBy("shard").cogroup(cuts.groupBy("shard")).applyInArrow(apply, StructType(schema))

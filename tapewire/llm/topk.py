@@ -61,8 +61,10 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
     """(query number, id, score) of the best k rows of each query that score ``kth[query]`` or more.
 
     Rows with the query's own id are left out.  Values are whole numbers in float64 where that is exact,
-    else in int64.
+    else in int64, and where that could overflow in Python's whole numbers; a product beyond a long
+    raises ValueError.
     """
+    largest = float(np.abs(x.astype(np.float64)).max(initial=0)) * float(np.abs(q.astype(np.float64)).max(initial=0)) * x.shape[1]
     exact = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1] < 2**52
     xf, qf = x.astype(np.float64), q.astype(np.float64)
     order, leaves, centres, radii, inner = ball_tree(xf)
@@ -90,7 +92,7 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
         for one in np.unique(leaf):
             who = active[leaf == one]
             rows = order[leaves[one][0] : leaves[one][1]]
-            s = (qf[who] @ xf[rows].T) if exact else (q[who] @ x[rows].T)
+            s = (qf[who] @ xf[rows].T) if exact else (q[who] @ x[rows].T) if largest < 2**62 else _whole_products(q[who], x[rows])
             hit = (s >= kth[who][:, None]) & (ids[rows][None, :] != query_ids[who][:, None])
             a, b = np.nonzero(hit)
             new_q.append(who[a])
@@ -108,14 +110,23 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
     return best_q, best_id, best_s
 
 
+def _whole_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    s = q.astype(object) @ x.T.astype(object)
+    if max(map(abs, s.flat), default=0) >= 2**63:
+        raise ValueError("an inner product is beyond a long")
+    return s.astype(np.int64)
+
+
 def whole_vectors(df: DataFrame, vec_id: str, vector: str, scale: float = 64.0) -> DataFrame:
     """(vec_id, dim, v) with ``floor(scale * x)`` as whole numbers.
 
-    Rows with a null id, a null or empty vector, or a null or non-finite component are left out, as are
-    components beyond what a long holds.
+    Rows with a null id, a null or empty vector, or a null or non-finite component are left out.  A finite
+    component whose whole number is 2**62 or more raises an error: no score could be held in a long.
     """
-    x = F.transform(F.col(vector), lambda c: F.floor(c.cast("double") * F.lit(scale)))
-    fine = F.forall(F.col(vector), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * F.lit(scale)) < F.lit(float(2**62))))
+    large = F.raise_error(F.lit("a vector component is beyond a long")).cast("long")
+    whole = lambda c: F.when(F.abs(c.cast("double") * F.lit(scale)) < F.lit(float(2**62)), F.floor(c.cast("double") * F.lit(scale))).otherwise(large)
+    x = F.transform(F.col(vector), whole)
+    fine = F.forall(F.col(vector), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
     rows = df.where(F.col(vec_id).isNotNull() & (F.size(vector) > 0)).where(fine)
     return rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.size(vector).alias("dim"), x.cast("array<long>").alias("v"))
 

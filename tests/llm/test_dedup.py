@@ -1,12 +1,14 @@
+import random
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tapewire.llm import decontaminate, ngram_join, substring_dedup
 from tapewire.llm import words as W
-from tests.llm.helpers import awkward, frame, shingles, words
+from tests.llm.helpers import awkward, frame, prose, shingles, words
 
 
 def test_words_match_bytes_split():
@@ -91,6 +93,18 @@ def test_remove_repeats(spark):
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_repeats(rows)
 
 
+def test_texts_of_one_id_with_colliding_short_hashes(spark):
+    """Two texts of one doc_id whose hashes agree in their last 16 bits, one of them with a repeat."""
+    rng = random.Random(4)
+    passage = prose(rng, 40)
+    long = " ".join(prose(rng, 300) + passage)
+    tries = spark.range(300000).select(F.concat(F.lit("a b c"), F.col("id").cast("string")).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(65536)) == F.pmod(F.xxhash64(F.lit(long)), F.lit(65536)))
+    short = tries.first()["t"]
+    rows = [(1, " ".join(passage)), (5, long), (5, short), (5, short)]
+    got = substring_dedup.remove_repeats(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_repeats(rows)
+
+
 def test_sketch_loses_no_repeat_when_full(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BLOCK_WINDOWS", 500)
     monkeypatch.setattr(substring_dedup, "MAX_BITS", 18)
@@ -120,15 +134,20 @@ def test_leaks(spark):
     texts = dict(r for r in rows if r[0] is not None)
     w = texts[400].split()
     items = [(1, " ".join(w[100:140])), (2, " ".join(w[200:240] + ["z"] * 3)), (3, " ".join(w[:20] + ["q"] * 20)), (4, "one"), (5, None), (6, ""), (None, "one"), (7, " ".join(texts[0].split()[:50])), (1, " ".join(w[100:140])), (8, " ".join(w[300:330]).upper())]
+    items += [(9, "red FOX jump"), (10, "fox"), (11, "one two"), (12, "lazy dog red"), (13, "w1 w1 w1 w1")]
+    rows += [(500, "the red fox jump over a lazy dog"), (501, "Fox"), (502, "red fox"), (503, "a lazy"), (504, "dog red fox jump")]
     item_frame = frame(spark, items).withColumnRenamed("doc_id", "item_id")
     got = decontaminate.leaks(frame(spark, rows), item_frame).collect()
     best = defaultdict(float)
     for i, t in rows:
         for j, u in items:
             x, y = shingles(t), shingles(u)
+            if 0 < len(words(u)) < 5:  # a short item: these words in a row
+                x = {tuple(words(t, lower=True)[k : k + len(words(u))]) for k in range(len(words(t)))}
             if i is not None and j is not None and y and 100 * len(x & y) >= 80 * len(y):
                 best[(i, j)] = max(best[(i, j)], len(x & y) / len(y))
     assert {(r["doc_id"], r["item_id"]): r["containment"] for r in got} == dict(best) and len(got) == len(best)
     assert (400, 1) in best and (400, 2) in best and (400, 3) not in best and (400, 8) in best
+    assert (500, 9) in best and (504, 9) in best and (501, 10) in best and (500, 12) not in best
     assert decontaminate.leaks(frame(spark, []), item_frame).collect() == []
     assert decontaminate.leaks(frame(spark, rows), item_frame.limit(0)).collect() == []

@@ -35,6 +35,22 @@ def test_top_k(spark, shard_rows):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_top_k_of_large_components(spark):
+    """Products beyond 2**53 are exact; what no long holds raises."""
+    big = 2.0**24
+    rows = [(0, [big, 1.0]), (1, [big, 1.0]), (2, [big, 0.5]), (3, [-big, 3.0]), (4, [big - 2**-6, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") == 3).collect()]
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    want = sorted((-sum(a * b for a, b in zip(whole[3], whole[i], strict=True)), i) for i in whole if i != 3)
+    if all(abs(s) < 2**63 for s, _ in want):
+        assert sorted(got) == [(3, k + 1, i, -s) for k, (s, i) in enumerate(want)]
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.top_k(spark.createDataFrame([(0, [2.0**57]), (1, [1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.top_k(spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
 def water_line(sizes, weights=(3, 1, 2), share=1.5):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[k % 3] for k, s in enumerate(names)}
@@ -112,7 +128,7 @@ def test_pipeline_run(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_match_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings", "labels"):
+    for t in ("documents", "benchmark", "embeddings", "labels", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.execute(ORACLE_SQL[name]).to_arrow_table().to_pylist()
     got = [r.asDict() for r in QUERIES[name](spark, sf_dir).collect()]
@@ -122,4 +138,4 @@ def test_queries_match_sql(spark, sf_dir, name):
 
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
