@@ -6,8 +6,8 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tapewire import config
 from tapewire.functions.labels import blended_label, label_name
 from tapewire.functions.stats import ratio
+from tapewire.operators.boosting import BoostedModel, fit_boosted
 from tapewire.operators.lexicon import score_texts
 from tapewire.operators.ranks import value_positions
 from tapewire.operators.sets import strata_key
@@ -149,40 +150,22 @@ def classifier_scorer(model: PipelineModel, classes: int = 3) -> Scorer:
 # ---- tabular model ----------------------------------------------------------
 
 
-def alpha_pipeline(columns: list[str], trees: int = 200, depth: int = 4, subsample: float = 0.8) -> Pipeline:
-    """Forest on the feature columns; class index = label + 1.  (Spark's boosted trees are binary.)"""
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="keep"),
-            RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, subsamplingRate=subsample, seed=config.RANDOM_SEED),
-        ]
-    )
-
-
-def fit_alpha(df: DataFrame, columns: list[str], label: str = "label", **options: object) -> PipelineModel:
-    return alpha_pipeline(columns, **options).fit(align_features(df, columns).withColumn("_y", F.col(label) + 1))
-
-
-def align_features(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Missing columns and values become 0."""
-    for c in columns:
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(0.0))
-    return df.na.fill(0.0, columns)
+def fit_alpha(df: DataFrame, columns: list[str], label: str = "label", **options: object) -> BoostedModel:
+    """Boosted trees of three classes: label -1, 0, 1 is class 0, 1, 2; 200 rounds of depth 4 at rate 0.05 on 80 % of the rows."""
+    return fit_boosted(df.withColumn("_y", F.col(label) + 1), columns, "_y", classes=3, **options)
 
 
-def alpha_probabilities(model: PipelineModel | None, df: DataFrame, columns: list[str]) -> DataFrame:
-    """prob_down, prob_flat, prob_up; uniform without a model."""
+def alpha_probabilities(model: BoostedModel | None, df: DataFrame) -> DataFrame:
+    """prob_down, prob_flat, prob_up; uniform without a model.  The model aligns its columns itself."""
     names = ["prob_down", "prob_flat", "prob_up"]
     if model is None:
         return df.select("*", *[F.lit(1.0 / 3).alias(n) for n in names])
-    out = model.transform(align_features(df, columns)).withColumn("_a", vector_to_array("probability"))
-    return out.select(*df.columns, *[F.coalesce(F.get("_a", i), F.lit(0.0)).alias(n) for i, n in enumerate(names)])
+    out = model.transform(df)
+    return out.select(*df.columns, *[F.get("probability", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
-def feature_importances(model: PipelineModel, columns: list[str], top: int = 25) -> list[tuple[str, float]]:
-    weights = model.stages[-1].featureImportances.toArray()
-    return sorted(zip(columns, map(float, weights)), key=lambda kv: -kv[1])[:top]
+def feature_importances(model: BoostedModel, top: int = 25) -> list[tuple[str, float]]:
+    return model.importances()[:top]
 
 
 # ---- quality report ---------------------------------------------------------

@@ -127,11 +127,8 @@ def _(m: Market):
     return fx.vix_damp(fx.combine_factors(matrix(m)), m.vix)
 
 
-@query(
-    "FX08_market_features",
-    "date:t ticker market_bench_5d_ret:d market_bench_20d_ret:d market_bench_vol_20d:d market_ticker_5d_ret:d market_ticker_20d_ret:d market_ticker_vol_20d:d market_ticker_beta:d market_rsi_14:d",
-    "panel",
-    """SELECT t.date, t.ticker, b.b5 AS market_bench_5d_ret, b.b20 AS market_bench_20d_ret, b.bv AS market_bench_vol_20d,
+MARKET_SPEC = "date:t ticker market_bench_5d_ret:d market_bench_20d_ret:d market_bench_vol_20d:d market_ticker_5d_ret:d market_ticker_20d_ret:d market_ticker_vol_20d:d market_ticker_beta:d market_rsi_14:d"
+MARKET_SQL = """SELECT t.date, t.ticker, b.b5 AS market_bench_5d_ret, b.b20 AS market_bench_20d_ret, b.bv AS market_bench_vol_20d,
  coalesce((close - l5) / abs(l5), 0) AS market_ticker_5d_ret, coalesce((close - l20) / abs(l20), 0) AS market_ticker_20d_ret,
  CASE WHEN c20 = 20 THEN v20 * sqrt(252) ELSE 0 END AS market_ticker_vol_20d,
  CASE WHEN c60 = 60 THEN CASE WHEN vb > 0 THEN cv / vb ELSE 1 END ELSE 0 END AS market_ticker_beta,
@@ -139,14 +136,16 @@ def _(m: Market):
  FROM (SELECT *, lag(close, 5) OVER o AS l5, lag(close, 20) OVER o AS l20, count(r) OVER w20 AS c20, stddev_samp(r) OVER w20 AS v20, count(x) OVER w60 AS c60, var_pop(y) OVER w60 AS vb,
  covar_samp(x, y) OVER w60 AS cv, count(d) OVER w14 AS cd, avg(greatest(d, 0)) FILTER (d IS NOT NULL) OVER w14 AS ag, avg(greatest(-d, 0)) FILTER (d IS NOT NULL) OVER w14 AS al FROM t
  WINDOW o AS (PARTITION BY ticker ORDER BY pos), w20 AS (PARTITION BY ticker ORDER BY pos ROWS 19 PRECEDING), w60 AS (PARTITION BY ticker ORDER BY pos ROWS 59 PRECEDING), w14 AS (PARTITION BY ticker ORDER BY pos ROWS 13 PRECEDING)) t
- LEFT JOIN b USING (pos)""",
-    """lev AS (SELECT pos, avg(close) AS close FROM panel GROUP BY 1),
+ LEFT JOIN b USING (pos)"""
+MARKET_CTES = """lev AS (SELECT pos, avg(close) AS close FROM panel GROUP BY 1),
 br AS (SELECT *, close / lag(close) OVER (ORDER BY pos) - 1 AS br FROM lev),
 b AS (SELECT pos, br, coalesce((close - lag(close, 5) OVER o) / abs(lag(close, 5) OVER o), 0) AS b5, coalesce((close - lag(close, 20) OVER o) / abs(lag(close, 20) OVER o), 0) AS b20,
  CASE WHEN count(br) OVER w = 20 THEN stddev_samp(br) OVER w * sqrt(252) ELSE 0 END AS bv FROM br WINDOW o AS (ORDER BY pos), w AS (ORDER BY pos ROWS 19 PRECEDING)),
 t AS (SELECT *, CASE WHEN r IS NOT NULL AND br IS NOT NULL THEN r END AS x, CASE WHEN r IS NOT NULL AND br IS NOT NULL THEN br END AS y FROM (
- SELECT p.*, b.br, close / lag(close) OVER (PARTITION BY ticker ORDER BY pos) - 1 AS r, close - lag(close) OVER (PARTITION BY ticker ORDER BY pos) AS d FROM panel p LEFT JOIN b USING (pos)))""",
-)
+ SELECT p.*, b.br, close / lag(close) OVER (PARTITION BY ticker ORDER BY pos) - 1 AS r, close - lag(close) OVER (PARTITION BY ticker ORDER BY pos) AS d FROM panel p LEFT JOIN b USING (pos)))"""
+
+
+@query("FX08_market_features", MARKET_SPEC, "panel", MARKET_SQL, MARKET_CTES)
 def _(m: Market):
     bench = m.panel.groupBy("pos").agg(F.avg("close").alias("close"))
     return fx.market_features(m.panel, bench)

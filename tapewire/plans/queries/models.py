@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapewire import config
+from tapewire.functions.settle import settle
 from tapewire.operators import event_backtest as eb
 from tapewire.operators import factors as fx
 from tapewire.operators import lexicon as lx
@@ -15,11 +17,13 @@ from tapewire.operators import transmission as tr
 from tapewire.operators import validation as va
 from tapewire.plans.fixtures import Market
 from tapewire.plans.queries.core import metrics_sql, returns
-from tapewire.plans.queries.longshort import VIEWS, sql, trades
+from tapewire.plans.queries.longshort import MARKET_CTES, MARKET_SPEC, MARKET_SQL, VIEWS, sql, trades
 from tapewire.plans.oracle_stats import spearman_sql
 from tapewire.plans.queries.macro import MEMBERS, REC_CTES, EVENTS, REC_VIEWS, commodity, results, snapshots
 from tapewire.plans.queries.stats import counts
+from tapewire.plans.queries.text import LEX_CTES
 from tapewire.plans.registry import query
+from tapewire.rule_data import REGIMES, RULES, SHOCKS
 
 _LAB = "CASE label_name WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END"
 _PRED = "CASE WHEN confidence < 0.5 THEN 1 WHEN confidence < 0.75 THEN 0 ELSE 2 END"
@@ -111,45 +115,95 @@ def _(m: Market):
     return out.groupBy("label", F.col("prediction").cast("int").alias("prediction")).agg(F.count("*").alias("n"))
 
 
-FEATURES = ["market_ticker_5d_ret", "market_ticker_20d_ret", "market_ticker_vol_20d", "market_ticker_beta", "market_rsi_14"]
+def feature_vectors(m: Market):
+    """The whole feature vector of each (date, ticker) with news; the context is that of the month's first day."""
+    scored = lx.score_texts(m.scored, dedupe=True)
+    sent = scored.groupBy("date", "ticker").agg(
+        F.avg("signal").alias("sent_signal_score"),
+        F.avg("confidence").alias("sent_confidence"),
+        F.avg("normalised_score").alias("sent_lexicon_score"),
+        F.sum(F.size("matched_bullish")).alias("sent_bullish_count"),
+        F.sum(F.size("matched_bearish")).alias("sent_bearish_count"),
+        F.count("*").alias("sent_headline_count"),
+        F.count_if(F.col("confidence") >= config.CONFIDENCE_THRESHOLD).alias("sent_confident_count"),
+    )
+    bench = m.panel.groupBy("pos").agg(F.avg("close").alias("close"))
+    market = fx.market_features(m.panel, bench)
+    macro, comm = snapshots(m), commodity(m)
+    ctx = tr.context_rows(macro, comm)
+    wide = mc.macro_features(macro).join(mc.commodity_features(comm), "date").join(tr.chain_features(ctx), "date").join(ctx.select("date", "events"), "date")
+    rows = sent.join(market, ["date", "ticker"]).withColumn("month", F.to_date(F.date_trunc("month", "date"))).join(wide.withColumnRenamed("date", "month"), "month")
+    x = tr.exposure(tr.ticker_sectors(F.col("ticker"), MEMBERS), F.col("events"))
+    rows = rows.withColumn("_x", x)
+    parts = {"chain_net_exposure": "net_exposure", "chain_pos_exposure": "positive_exposure", "chain_neg_exposure": "negative_exposure"}
+    return rows.withColumns({n: F.col(f"_x.{c}") for n, c in parts.items()}).select("date", "ticker", *FEATURES)
+
+
+_MACRO = ["cpi_yoy", "unemployment", "payrolls_chg", "gdp_growth", "fed_funds", "yield_10yr", "yield_2yr", "yield_spread", "vix", "macro_surprise", "macro_trend"]
+_GOODS = ["oil", "gas", "copper", "gold"]
+_SENT = {
+    "sent_signal_score": "avg(s.signal)",
+    "sent_confidence": "avg(confidence)",
+    "sent_lexicon_score": "avg(normalised_score)",
+    "sent_bullish_count": "sum(len(bull))",
+    "sent_bearish_count": "sum(len(bear))",
+    "sent_headline_count": "count(*)",
+    "sent_confident_count": "count(*) FILTER (confidence >= 0.7)",
+}
+_MARKET = [c.split(":")[0] for c in MARKET_SPEC.split()[2:]]
+_CONTEXT = {f"macro_{c.removeprefix('macro_')}": f"x.{c}" for c in _MACRO} | {f"macro_regime_{r}": f"CASE WHEN regime = '{r}' THEN 1 ELSE 0 END" for r in REGIMES}
+for _n in _GOODS:
+    _CONTEXT |= {f"commodity_{_n}_price": f"{_n}_price", f"commodity_{_n}_change_5d": f"{_n}_change_5d", f"commodity_{_n}_vol": f"{_n}_volatility"}
+    _CONTEXT |= {f"commodity_{_n}_shock_{k}": f"CASE WHEN {_n}_shock = '{k}' THEN 1 ELSE 0 END" for k in SHOCKS}
+_CONTEXT |= {"commodity_stress": "commodity_stress", "chain_active_count": "coalesce(k, 0)", "chain_max_risk_level": "coalesce(top, 0)", "chain_avg_risk_level": "coalesce(mean, 0)"}
+_CONTEXT |= {f"chain_{r[0]}": f"CASE WHEN list_contains(rules, '{r[0]}') THEN 1 ELSE 0 END" for r in RULES}
+_CONTEXT |= {"chain_net_exposure": "net_exposure", "chain_pos_exposure": "positive_exposure", "chain_neg_exposure": "negative_exposure"}
+#: All numeric columns of the vector, by family.
+FEATURES = [*_SENT, *_MARKET, *_CONTEXT]
+
+
+@query(
+    "FX09_feature_vector",
+    "date:t ticker " + " ".join(f"{c}:d5" for c in FEATURES),
+    "news scored panel macro vix commod",
+    "SELECT s.date, s.ticker, " + ", ".join([*_SENT, *(f"mk.{c}" for c in _MARKET), *(f"{e} AS {n}" for n, e in _CONTEXT.items())])
+    + """ FROM sv s JOIN mk ON mk.date = s.date AND mk.ticker = s.ticker JOIN snap x ON x.date = date_trunc('month', s.date) JOIN csnap c ON c.date = x.date
+ LEFT JOIN (SELECT date AS ed, count(*) AS k, max(risk_level) AS top, avg(risk_level) AS mean, list(rule) AS rules FROM ev GROUP BY 1) e ON e.ed = x.date JOIN expo o ON o.date = x.date AND o.ticker = s.ticker""",
+    LEX_CTES
+    + ",\n"
+    + EVENTS
+    + ",\n"
+    + MARKET_CTES
+    + f",\nmk AS MATERIALIZED ({MARKET_SQL}),\nsv AS MATERIALIZED (SELECT s.date, s.ticker, "
+    + ", ".join(f"{e} AS {n}" for n, e in _SENT.items())
+    + " FROM scored s JOIN lexnews l USING (headline_id) GROUP BY 1, 2)",
+)
+def _(m: Market):
+    return feature_vectors(m)
 
 
 def training_rows(m: Market):
-    bench = m.panel.groupBy("pos").agg(F.avg("close").alias("close"))
-    feats = fx.market_features(m.panel, bench)
+    """Labelled vectors with their split; settled, since fitting reads them more than once."""
     labels = fx.training_labels(m.scored, m.panel, m.cal)
-    return labels.join(feats, ["ticker", "date"])
+    rows = labels.join(feature_vectors(m), ["ticker", "date"]).withColumn("day", F.col("date").cast("string"))
+    return settle(ml.stratified_split(rows, "label", "ticker", "day"))
 
 
-@query("ML06_alpha_model", "label:i n:i mean_up:d mean_down:d", "", None)
+@query("ML06_alpha_model", "label:i prediction:i n:i mean_up:d mean_down:d", "", None)
 def _(m: Market):
+    """Fitted on the training rows, scored on the test rows."""
     rows = training_rows(m)
-    model = ml.fit_alpha(rows, FEATURES)
-    return ml.alpha_probabilities(model, rows, FEATURES).groupBy("label").agg(F.count("*").alias("n"), F.avg("prob_up").alias("mean_up"), F.avg("prob_down").alias("mean_down"))
+    model = ml.fit_alpha(rows.where("split = 'train'"), FEATURES)
+    out = ml.alpha_probabilities(model, rows.where("split = 'test'"))
+    best = F.greatest("prob_down", "prob_flat", "prob_up")
+    out = out.withColumn("prediction", F.when(F.col("prob_down") == best, -1).when(F.col("prob_flat") == best, 0).otherwise(1))
+    return out.groupBy("label", "prediction").agg(F.count("*").alias("n"), F.avg("prob_up").alias("mean_up"), F.avg("prob_down").alias("mean_down"))
 
 
 @query("ML07_feature_importances", "feature importance:d", "", None)
 def _(m: Market):
-    model = ml.fit_alpha(training_rows(m), FEATURES)
-    return m.spark.createDataFrame(ml.feature_importances(model, FEATURES), "feature string, importance double")
-
-
-@query(
-    "FX09_feature_vector",
-    "date:t ticker headline_count:i sent_signal:d macro_vix:d2 commodity_stress:d4 chain_active_count:d market_ticker_5d_ret:d",
-    "",
-    None,
-)
-def _(m: Market):
-    days = m.cal.select("date")
-    macro = mc.macro_snapshots(m.macro, m.vix, days)
-    comm = mc.commodity_snapshots(m.commodities, days)
-    ctx = tr.context_rows(macro, comm)
-    sent = m.scored.groupBy("date", "ticker").agg(F.avg("signal").alias("sent_signal"), F.count("*").alias("headline_count"))
-    bench = m.panel.groupBy("pos").agg(F.avg("close").alias("close"))
-    market = fx.market_features(m.panel, bench)
-    wide = mc.macro_features(macro).join(mc.commodity_features(comm), "date").join(tr.chain_features(ctx), "date")
-    return sent.join(market, ["date", "ticker"]).join(wide, "date")
+    model = ml.fit_alpha(training_rows(m).where("split = 'train'"), FEATURES)
+    return m.spark.createDataFrame(ml.feature_importances(model), "feature string, importance double")
 
 
 @query(

@@ -281,11 +281,6 @@ def test_quality_defaults(spark):
     assert r.verdict == "Fair"
 
 
-def test_alpha_without_model_is_uniform(spark):
-    out = ml.alpha_probabilities(None, spark.createDataFrame([(1.0,)], "x double"), ["x"]).first()
-    assert out.prob_up == pytest.approx(1 / 3)
-
-
 def test_stream_scorer_survives_repeated_batches(spark, tmp_path):
     from tapewire.streaming.jobs import incremental_scorer
 
