@@ -270,14 +270,15 @@ def reality_check(returns: DataFrame, draws: int = 2000, hold_days: int = config
     observed = settle(runs.withColumn("sharpe", sharpe_of(F.col("n"), F.col("s"), F.col("ss"))))
     pool = observed.agg(F.collect_list("drawn").alias("pool")).scalar()
     size = observed.agg(F.coalesce(F.max("n"), F.lit(0.0))).scalar()
-    slots = F.sequence(F.lit(1), F.greatest(size.cast("int"), F.lit(1)))
-    pick = lambda slot: (F.conv(F.substring(F.md5(F.concat_ws("|", "rep", slot, F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long") % F.greatest(size, F.lit(1.0)).cast("long")).cast("int")
-    replicates = spark.range(draws).withColumnRenamed("id", "rep").withColumn("picks", F.transform(slots, pick)).withColumn("pool", pool)
+    # the scalars are columns first: Spark takes no subquery inside a lambda
+    replicates = spark.range(draws).withColumnRenamed("id", "rep").withColumns({"pool": pool, "size": size, "periods": F.greatest(size, F.lit(1.0)).cast("long")})
+    pick = lambda slot: (F.conv(F.substring(F.md5(F.concat_ws("|", "rep", slot, F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long") % F.col("periods")).cast("int")
+    replicates = replicates.withColumn("picks", F.transform(F.sequence(F.lit(1), F.col("periods").cast("int")), pick))
 
     def folded(r: Column) -> Column:
         zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"))
         sums = lambda a, k: F.struct((a["s"] + F.get(r, k)).alias("s"), (a["ss"] + F.get(r, k) * F.get(r, k)).alias("ss"))
-        return F.aggregate("picks", zero, sums, lambda a: sharpe_of(size, a["s"], a["ss"]))
+        return F.aggregate("picks", zero, sums, lambda a: sharpe_of(F.col("size"), a["s"], a["ss"]))
 
     best = replicates.select("rep", F.array_max(F.transform("pool", folded)).alias("top")).where("top is not null")
     top = observed.where("sharpe is not null").agg(F.max_by("run", "sharpe").alias("best_strategy"), F.max("sharpe").alias("best_sharpe"), F.count("*").alias("n_strategies"))
