@@ -128,11 +128,13 @@ def _prefixes(docs: DataFrame, doc_id: str, text: str, size: int, num: int, den:
                 )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, n long, s1 long, s2 long, g1 long, g2 long, prefix array<long>")
+    out = saved(rows.mapInArrow(scan, "doc_id long, n long, s1 long, s2 long, g1 long, g2 long, prefix array<long>"))
+    shared.destroy()
+    return out
 
 
 def _verified(docs: DataFrame, doc_id: str, text: str, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose exact sets reach the threshold."""
+    """The pairs (a, b) whose exact sets reach the threshold, written."""
     spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.xxhash64("id").alias("h"))
     wanted = spark.sparkContext.broadcast(bitmap(ids, "h", ID_BITMAP_BITS))
@@ -167,7 +169,9 @@ def _verified(docs: DataFrame, doc_id: str, text: str, pairs: DataFrame, size: i
     table = rows.withColumn("h", F.xxhash64("id")).mapInArrow(sets, "id long, s binary")
     left = pairs.join(table.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
     full = left.join(table.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+    out = saved(full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct())
+    wanted.destroy()  # its job is done
+    return out
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -179,7 +183,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    nodes = saved(_prefixes(docs, doc_id, text, size, num, den))
+    nodes = _prefixes(docs, doc_id, text, size, num, den)
     some = nodes.where("doc_id IS NOT NULL AND n > 0")
     of_set = some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("g1").alias("g1"), F.min("g2").alias("g2"))
     members = saved(some.join(of_set, ["s1", "s2", "n", "g1", "g2"]).select("doc_id", "rep", "n", "g1", "g2").distinct())
@@ -201,7 +205,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     pivots = bucket.where("gid <> low.gid").where(fits("n", "pos", "low.n", "low.pos")).select(F.col("low.gid").alias("a"), F.col("gid").alias("b"))
     inside = in_group.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
     pairs = saved(pivots.unionAll(inside).distinct())
-    links = saved(_verified(docs, doc_id, text, pairs, size, num, den))
+    links = _verified(docs, doc_id, text, pairs, size, num, den)
 
     # what a bucket or a group holds, by set; a group is a bucket of its own
     by_set = in_group.withColumnRenamed("n", "n_")
@@ -220,12 +224,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         tried = tried.select(F.least("rep", "low.r").alias("a"), F.greatest("rep", "low.r").alias("b")).distinct()
         tried = saved(tried.join(pairs, ["a", "b"], "left_anti"))
         pairs = pairs.unionAll(tried)
-        links = links.unionAll(saved(_verified(docs, doc_id, text, tried, size, num, den)))
+        links = links.unionAll(_verified(docs, doc_id, text, tried, size, num, den))
         held = held.drop("component")
 
     # what is left: all pairs of sets of a bucket that are in different components
-    each = held.select("token", "component").distinct()
-    two = each.select("token", F.col("component").alias("c1")).join(each.select("token", F.col("component").alias("c2")), "token").where("c1 < c2")
+    # components meet under the same filters first, at the best that their sets have in the bucket
+    each = held.groupBy("token", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    end = lambda k: each.select("token", *[F.col(c).alias(f"{x}{k}") for c, x in (("component", "c"), ("lo", "lo"), ("hi", "hi"), ("rest", "rest"))])
+    near = (F.col("hi1") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo1") * num)
+    near &= F.least("rest1", "rest2") * (num + den) >= (F.col("lo1") + F.col("lo2")) * num
+    two = end(1).join(end(2), "token").where("c1 < c2").where(near).select("token", "c1", "c2")
     side = lambda k: held.select("token", F.col("component").alias(f"c{k}"), F.col("rep").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}"))
     cross = two.join(side(1), ["token", "c1"]).join(side(2), ["token", "c2"]).where(fits("n1", "p1", "n2", "p2"))
     cross = saved(cross.select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
