@@ -73,11 +73,9 @@ def _histograms(block: int, binned: np.ndarray, label: np.ndarray, margin: np.nd
     for c in range(classes):
         g = np.rint((p[:, c] - (label[some] == c)) * UNIT)
         h = np.rint(p[:, c] * (1 - p[:, c]) * UNIT)
-        node = _leaves(binned, partial[c], level) * bins
-        for f in range(features):
-            at = node + binned[:, f]
-            for k, w in enumerate((g, h)):
-                out[c, :, f, :, k] = np.bincount(at, w, nodes * bins).astype(np.int64).reshape(nodes, bins)
+        at = (_leaves(binned, partial[c], level)[:, None] * features + np.arange(features)) * bins + binned
+        for k, w in enumerate((g, h)):
+            out[c, ..., k] = np.bincount(at.ravel(), np.repeat(w, features), nodes * features * bins).astype(np.int64).reshape(nodes, features, bins)
     return out
 
 

@@ -23,6 +23,16 @@ NAMES = [
     "SRC09_compact_date_json",
     "ML03_class_metrics",
     "ST04_daily_signal_stream",
+    "WN15_drawdown_blocks",
+    "ML02_stratified_split",
+    "PRJ20_class_sample",
+    "SRC22_content_hash",
+    "SRC25_run_states",
+    "TX02_negation",
+    "TX09_weight_table",
+    "JN07_document_keywords",
+    "SO08_keyword_table",
+    "STA15_keyword_table",
 ]
 
 
