@@ -29,3 +29,8 @@ def test_threshold_without_positions_has_no_hit_rate(flat_market):
     idle = [r for r in got.values() if r.n_active == 0]
     assert idle and all(r.hit_rate_1d is None and r.sharpe is None for r in idle)
     assert got["loose"].n_active > 0 and got["loose"].hit_rate_1d is not None
+
+
+def test_horizon_without_positions_has_no_hit_rate(flat_market):
+    rows = ex.horizon_ablation(*flat_market).collect()
+    assert rows and all(r.hit_rate is None for r in rows)
