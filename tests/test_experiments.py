@@ -34,3 +34,8 @@ def test_threshold_without_positions_has_no_hit_rate(flat_market):
 def test_horizon_without_positions_has_no_hit_rate(flat_market):
     rows = ex.horizon_ablation(*flat_market).collect()
     assert rows and all(r.hit_rate is None for r in rows)
+
+
+def test_keyword_variants_without_positions_count_no_trades(flat_market):
+    rows = ex.keyword_ablation(*flat_market, {"earnings": 0.001}).collect()
+    assert len(rows) == 3 and all(r.total_trades == 0 and r.hit_rate is None and r.sharpe_ratio is None for r in rows)
