@@ -39,3 +39,9 @@ def test_horizon_without_positions_has_no_hit_rate(flat_market):
 def test_keyword_variants_without_positions_count_no_trades(flat_market):
     rows = ex.keyword_ablation(*flat_market, {"earnings": 0.001}).collect()
     assert len(rows) == 3 and all(r.total_trades == 0 and r.hit_rate is None and r.sharpe_ratio is None for r in rows)
+
+
+def test_inversion_without_positions_counts_no_trades(flat_market):
+    rows = ex.inversion_study(*flat_market).collect()
+    assert {r.variant for r in rows} == {"normal", "inverted"}
+    assert all(r.total_trades == 0 and r.hit_rate is None and r.win_rate is None for r in rows)
