@@ -45,3 +45,11 @@ def test_inversion_without_positions_counts_no_trades(flat_market):
     rows = ex.inversion_study(*flat_market).collect()
     assert {r.variant for r in rows} == {"normal", "inverted"}
     assert all(r.total_trades == 0 and r.hit_rate is None and r.win_rate is None for r in rows)
+
+
+def test_equal_runs_have_equal_sharpe_and_the_first_name_wins(spark):
+    rng = random.Random(0)
+    r = [round(rng.uniform(-0.05, 0.05), 6) for _ in range(12)]
+    rows = [("a", i, x) for i, x in enumerate(r)] + [("b", i, r[i]) for i in reversed(range(12))]
+    returns = spark.createDataFrame(rows, "run string, idx int, r double").coalesce(1)
+    assert ex.reality_check(returns, draws=20).first().best_strategy == "a"
