@@ -23,3 +23,8 @@ def test_trades_that_cancel_are_no_win(spark):
 def test_unfit_returns_are_not_left_out(spark):
     t = trades(spark, [0.1, float("nan"), 0.2])
     assert all(r.net_return != r.net_return for r in ls.period_pnl(t, ["run"]).collect())
+
+
+def test_side_means_are_exact(spark):
+    assert [r.net_return for r in ls.side_curve(trades(spark, [0.1, 0.2, 0.3]), ["run"]).collect()] == [0.1] * 3
+    assert [r.net_return for r in ls.side_curve(trades(spark, [0.3, 0.2, 0.1], -1), ["run"]).collect()] == [0.1] * 3
