@@ -1,6 +1,8 @@
 """Returns of a period do not depend on the order of its trades."""
 
 import datetime as dt
+import random
+from fractions import Fraction
 
 from tapewire.operators import longshort as ls
 
@@ -28,3 +30,13 @@ def test_unfit_returns_are_not_left_out(spark):
 def test_side_means_are_exact(spark):
     assert [r.net_return for r in ls.side_curve(trades(spark, [0.1, 0.2, 0.3]), ["run"]).collect()] == [0.1] * 3
     assert [r.net_return for r in ls.side_curve(trades(spark, [0.3, 0.2, 0.1], -1), ["run"]).collect()] == [0.1] * 3
+
+
+def test_both_sides_together_are_exact(spark):
+    rng = random.Random(3)
+    whole = [(i, side, rng.randrange(-50000, 50000)) for i in range(100) for side in (1, -1) for _ in range(5)]
+    rows = [("r", dt.date(2024, 1, 1) + dt.timedelta(days=i), "T", 2, 0.0, side, 0.0, x / 1e6) for i, side, x in whole]
+    got = {r.rebalance_date: r.net_return for r in ls.side_curve(spark.createDataFrame(rows, SCHEMA), ["run"]).collect()}
+    for i in range(100):
+        sums = [Fraction(sum(x for j, s, x in whole if (j, s) == (i, side)), 5 * 10**6) for side in (1, -1)]
+        assert got[dt.date(2024, 1, 1) + dt.timedelta(days=i)] == float(sum(sums) / 2)
