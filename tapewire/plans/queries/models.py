@@ -15,13 +15,14 @@ from tapewire.operators import recommend as rc
 from tapewire.operators import reports as rp
 from tapewire.operators import transmission as tr
 from tapewire.operators import validation as va
+from tapewire.operators.sets import strata_key
 from tapewire.plans.fixtures import Market
 from tapewire.plans.queries.core import metrics_sql, returns
 from tapewire.plans.queries.longshort import MARKET_CTES, MARKET_SPEC, MARKET_SQL, VIEWS, sql, trades
 from tapewire.plans.oracle_stats import spearman_sql
 from tapewire.plans.queries.macro import MEMBERS, REC_CTES, EVENTS, REC_VIEWS, commodity, results, snapshots
 from tapewire.plans.queries.stats import counts
-from tapewire.plans.queries.text import LEX_CTES
+from tapewire.plans.queries.text import LEX_CTES, texts
 from tapewire.plans.registry import query
 from tapewire.rule_data import REGIMES, RULES, SHOCKS
 
@@ -108,10 +109,12 @@ def _(m: Market):
 
 @query("ML05_text_classifier", "label:i prediction:i n:i", "", None)
 def _(m: Market):
-    rows = m.table("documents").join(m.table("labels"), "doc_id").select("doc_id", "text", F.col("quality").alias("label"))
-    split = ml.stratified_split(rows, "label", "text", "doc_id")
+    labels = m.table("labels").select("doc_id", F.col("quality").alias("label"))
+    rows = texts(m).join(labels, "doc_id").withColumn("_key", strata_key("label", "text", "doc_id", config.RANDOM_SEED))
+    rows = settle(ml.with_terms(rows))  # the texts are read and cut into terms once
+    split = ml.split_by_key(rows, "label")
     model = ml.fit_text_classifier(split.where("split = 'train'"), split.where("split = 'val'"))
-    out = model.transform(split.where("split <> 'train'"))
+    out = ml.of_terms(model).transform(split.where("split <> 'train'"))
     return out.groupBy("label", F.col("prediction").cast("int").alias("prediction")).agg(F.count("*").alias("n"))
 
 
