@@ -2,8 +2,8 @@
 
 Features are cut into at most ``bins`` ranges by their quantiles and kept as blocks of bytes.  A tree grows
 level by level: each block adds up gradients and Hessians by (class, node, feature, bin), the blocks' sums
-are added in a tree of tasks, and the driver picks the splits; what reaches it is bounded by classes x
-nodes x features x bins.  Gradients are whole numbers (2**-24 units), so sums do not depend on the order of
+are added by task and, where there are many tasks, in a tree of them, and the driver picks the splits; what
+reaches it is bounded by ``DIRECT`` x classes x nodes x features x bins.  Gradients are whole numbers (2**-24 units), so sums do not depend on the order of
 blocks and a refit gives the same trees.
 
 Margins of the blocks are cached and renewed every ``RENEW`` rounds; a lost executor's blocks are read again
@@ -29,6 +29,8 @@ from tapewire import config
 from tapewire.functions.settle import settle
 
 RENEW = 10
+#: Sums of at most so many tasks go straight to the driver; a tree costs a second stage for each level of each round.
+DIRECT = 16
 UNIT = float(1 << 24)
 #: Added to the Hessian sums, and the least of them in a child.
 REGULAR, LEAST = 1.0, 1e-3
@@ -183,7 +185,13 @@ def _blocks(df: DataFrame, columns: list[str], label: str, edges: list[np.ndarra
     def decoded(r) -> tuple:
         return r["k"], np.frombuffer(bytes(r["x"]), np.uint8).reshape(r["n"], len(columns)), np.frombuffer(bytes(r["y"]), np.uint8)
 
-    return table.rdd.map(decoded)
+    # a level is one short job: no more tasks than cores
+    return table.coalesce(max(1, table.sparkSession.sparkContext.defaultParallelism)).rdd.map(decoded)
+
+
+def _added(sums: RDD) -> np.ndarray:
+    """The sum of the tasks' arrays."""
+    return sums.reduce(np.add) if sums.getNumPartitions() <= DIRECT else sums.treeReduce(np.add)
 
 
 def fit_boosted(df: DataFrame, columns: list[str], label: str, classes: int = 3, rounds: int = 200, depth: int = 4, rate: float = 0.05, share: float = 0.8, bins: int = 32, seed: int = config.RANDOM_SEED) -> BoostedModel:
@@ -216,7 +224,7 @@ def fit_boosted(df: DataFrame, columns: list[str], label: str, classes: int = 3,
                 if total is not None:
                     yield total
 
-            got = state.mapPartitions(sums).treeReduce(np.add)
+            got = _added(state.mapPartitions(sums))
             for c in range(classes):
                 _split(got[c], grown[c], level, level == depth - 1, rate)
         done.append(grown)

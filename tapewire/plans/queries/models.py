@@ -132,8 +132,9 @@ def feature_vectors(m: Market):
     )
     bench = m.panel.groupBy("pos").agg(F.avg("close").alias("close"))
     market = fx.market_features(m.panel, bench)
-    macro, comm = snapshots(m), commodity(m)
-    ctx = tr.context_rows(macro, comm)
+    # bounded by days, read several times below; each reader would scan orders and line items again
+    macro, comm = settle(snapshots(m)), settle(commodity(m))
+    ctx = settle(tr.context_rows(macro, comm))
     wide = mc.macro_features(macro).join(mc.commodity_features(comm), "date").join(tr.chain_features(ctx), "date").join(ctx.select("date", "events"), "date")
     rows = sent.join(market, ["date", "ticker"]).withColumn("month", F.to_date(F.date_trunc("month", "date"))).join(wide.withColumnRenamed("date", "month"), "month")
     x = tr.exposure(tr.ticker_sectors(F.col("ticker"), MEMBERS), F.col("events"))
@@ -186,9 +187,9 @@ def _(m: Market):
 
 
 def training_rows(m: Market):
-    """Labelled vectors with their split; settled, since fitting reads them more than once."""
-    labels = fx.training_labels(m.scored, m.panel, m.cal)
-    rows = labels.join(feature_vectors(m), ["ticker", "date"]).withColumn("day", F.col("date").cast("string"))
+    """Labelled vectors with their split; settled, since splitting and fitting read them more than once."""
+    labels = fx.training_labels(settle(m.scored.select("ticker", "date").distinct()), m.panel, m.cal)
+    rows = settle(labels.join(feature_vectors(m), ["ticker", "date"]).withColumn("day", F.col("date").cast("string")))
     return settle(ml.stratified_split(rows, "label", "ticker", "day"))
 
 

@@ -82,3 +82,27 @@ def test_draws_repeat_and_bad_input_raises(spark):
 def test_uniform_without_a_model(spark):
     out = ml.alpha_probabilities(None, spark.createDataFrame([(1.0,)], "x double")).first()
     assert out.prob_up == pytest.approx(1 / 3)
+
+
+def test_few_tasks_add_up_in_one_stage(spark):
+    """A level of a round is one stage where the tasks' sums may go straight to the driver."""
+    rdd = spark.sparkContext.parallelize(range(12), 12).map(lambda k: np.full(3, k))
+    spark.sparkContext.setJobGroup("one-stage", "")
+    try:
+        assert bo._added(rdd).tolist() == [66, 66, 66]
+        status = spark.sparkContext.statusTracker()
+        assert [len(status.getJobInfo(j).stageIds) for j in status.getJobIdsForGroup("one-stage")] == [1]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert bo._added(spark.sparkContext.parallelize(range(40), 40).map(lambda k: np.full(3, k))).tolist() == [780] * 3
+
+
+def test_training_rows_evaluate_the_vectors_once(spark, sf_dir, monkeypatch):
+    """The split and the fit read settled rows: the plan of the vectors is not part of what they read."""
+    from tapewire.plans.fixtures import Market
+    from tapewire.plans.queries import models
+
+    seen = []
+    monkeypatch.setattr(models.ml, "stratified_split", lambda df, *a: seen.append(df) or df)
+    models.training_rows(Market(spark, sf_dir))
+    assert "parquet" not in seen[0]._jdf.queryExecution().optimizedPlan().toString().lower()
