@@ -58,7 +58,8 @@ MASK_LETTER, MASK_OTHER = "\u01c1", "\u0001"
 def _literal_table(lex: Lexicon) -> Column:
     """Array of (phrase, weight, side, pattern, mask, flipped) from joined strings; Spark folds it into one literal.
 
-    ``pattern`` matches the whole-word phrase, ``flipped`` the token text with a negation word shortly before it.
+    ``pattern`` matches the whole-word phrase; it begins with the phrase's characters, which are searched for in long
+    steps, and looks back from its end.  ``flipped`` matches the token text with a negation word shortly before it.
     """
     rows = []
     negations = "|".join(re.escape(w) for w in lex.negations)
@@ -66,7 +67,7 @@ def _literal_table(lex: Lexicon) -> Column:
         words = re.findall(TOKEN_PATTERN, phrase)
         mask = "".join(MASK_LETTER if c.isalpha() else MASK_OTHER for c in phrase)
         flipped = f" (?:{negations})(?: [^ ]+){{0,{lex.window - 1}}} {' '.join(map(re.escape, words))} " if words and negations else "(?!)"
-        rows.append((phrase, str(weight), side, rf"(?<!\p{{L}})\Q{phrase}\E(?!\p{{L}})", mask, flipped))
+        rows.append((phrase, str(weight), side, rf"\Q{phrase}\E(?<!\p{{L}}\Q{phrase}\E)(?!\p{{L}})", mask, flipped))
     part = lambda i: F.split(F.lit("\n".join(r[i] for r in rows)), "\n")
     names = ["phrase", "weight", "side", "pattern", "mask", "flipped"]
     return F.arrays_zip(*[(part(i).cast("array<double>") if name == "weight" else part(i)).alias(name) for i, name in enumerate(names)])
@@ -87,7 +88,7 @@ def score_texts(df: DataFrame, text: str = "headline", lexicon: Lexicon | None =
         return df.join(score_texts(unique, text, lexicon), text, "left").select(*df.columns, *SCORE_COLUMNS)
     lex = lexicon or Lexicon()
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    rows = df.withColumn("_low", low).withColumn("_words", F.concat(F.lit(" "), F.array_join(tokens(F.col("_low")), " "), F.lit(" ")))
+    rows = df.withColumn("_low", low)
     # Phrases present at all, longest first; each is counted in what longer ones left, then masked.
     present = F.filter(_literal_table(lex), lambda e: F.contains(F.col("_low"), e["phrase"]))
     none = F.transform(F.slice(present, 1, 0), lambda e: F.struct(e.alias("entry"), F.lit(0).alias("n")))
@@ -99,11 +100,15 @@ def score_texts(df: DataFrame, text: str = "headline", lexicon: Lexicon | None =
     kept = F.aggregate(present, F.struct(F.col("_low").alias("text"), none.alias("found")), take, lambda state: F.filter(state["found"], lambda f: f["n"] > 0))
     rows = rows.withColumn("_kept", kept)
 
-    def value(f: Column) -> Column:
-        flip = F.regexp_like(F.col("_words"), f["entry"]["flipped"])
+    def value(f: Column, words: Column) -> Column:
+        flip = F.regexp_like(words, f["entry"]["flipped"])
         return f["n"] * f["entry"]["weight"] * F.when(flip, lex.negation_factor).otherwise(1.0)
 
-    base = F.aggregate(F.transform("_kept", value), F.lit(0.0), lambda a, v: a + v)
+    # The token text is an array's element, so that it is made once a row: Spark would put a column's expression
+    # into the lambda and cut the text into tokens for each phrase found.
+    words = F.concat(F.lit(" "), F.array_join(tokens(F.col("_low")), " "), F.lit(" "))
+    summed = lambda w: F.aggregate(F.transform("_kept", lambda f: value(f, w)), F.lit(0.0), lambda a, v: a + v)
+    base = F.when(F.size("_kept") > 0, F.get(F.transform(F.array(words), summed), F.lit(0))).otherwise(0.0)
 
     # A required text counts when it occurs anywhere in the lower-case headline.
     def triggered(required: list[str]) -> Column:

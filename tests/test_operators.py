@@ -273,6 +273,23 @@ def test_keep_first_and_sample(spark):
     assert len(a) == 30 and a == {r.text for r in st.sample_per_class(rows, "label", "text", 30).collect()}
 
 
+def test_token_text_is_made_once_a_row(spark):
+    """No lambda of the scorer holds the cutting into tokens, which would then run for each phrase found."""
+    df = spark.createDataFrame([("no growth, not strong growth; unstrong growth and growth",), (None,), ("nothing",)], "headline string")
+    out = lx.score_texts(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join(regexp_extract_all(") == plan.count("array(concat( , array_join(regexp_extract_all(") == 1
+    got = {r.headline: r for r in out.collect()}
+    assert got[None].raw_score == got["nothing"].raw_score == 0.0
+
+
+def test_whole_words_at_both_ends(spark):
+    lex = lx.Lexicon(bullish={"gain": 1.0, "a gain": 4.0}, bearish={"cut": -2.0}, neutral={}, combinations=[], negations=["not"])
+    texts = {"gain gains again gain": 2.0, "a gain, ba gain": 5.0, "\u00e9cut cut\u00e9 cut1 1cut": -4.0, "not gain gain": -1.6, "cutcut cut": -2.0}
+    got = {r.headline: r.raw_score for r in lx.score_texts(spark.createDataFrame([(t,) for t in texts], "headline string"), lexicon=lex).collect()}
+    assert got == pytest.approx(texts)
+
+
 def test_quality_defaults(spark):
     r = ml.quality_report(spark.createDataFrame([("m",)], "model string")).first()
     # accuracy .40 -> 2.75, f1 .375 -> 2.667, ic .02 -> 2, hit .5 -> 4
