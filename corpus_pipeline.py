@@ -28,7 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each component of linked documents the one with the smallest id stays, and of its repeated
     rows one."""
     member = ngram_join.jaccard_components(docs)
-    gone = member.where("component_id <> doc_id").select("doc_id").distinct()
+    gone = saved(member.where("component_id <> doc_id").select("doc_id").distinct())  # ids only; read three times
     kept = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
     many = kept.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     once = kept.join(many, "doc_id", "left_anti").select(COLUMNS)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewire.llm.substring_dedup import SHARD_BITS, _pack, _unpack
-from tapewire.llm.tables import bitmap, components, in_bitmap, saved, small_batches
+from tapewire.llm.tables import bitmap, in_bitmap, roots, saved, small_batches
 from tapewire.llm.words import set_key, shingle_sets, slices
 
 #: Hashed counters that order shingles by frequency: 2**COUNTER_BITS bytes are broadcast.
@@ -189,7 +189,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     members = saved(some.join(of_set, ["s1", "s2", "n", "g1", "g2"]).select("doc_id", "rep", "n", "g1", "g2").distinct())
     reps = members.where("doc_id = rep").drop("doc_id")
     groups = reps.groupBy("g1", "g2", "n").agg(F.min("rep").alias("gid"))
-    in_group = reps.join(groups, ["g1", "g2", "n"]).select("rep", "gid", "n")
+    in_group = saved(reps.join(groups, ["g1", "g2", "n"]).select("rep", "gid", "n"))  # read five times: plans stay short
 
     first = some.join(groups.withColumnRenamed("gid", "doc_id"), ["doc_id", "g1", "g2", "n"]).select("doc_id", "n", "prefix").dropDuplicates(["doc_id", "n"])
     rows = first.select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
@@ -212,7 +212,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     held = bucket.select("token", "gid", "n", "pos").join(by_set, "gid").where("n = n_").select("token", "rep", "n", "pos")
     held = held.unionAll(in_group.select((-F.xxhash64("gid", "n")).alias("token"), "rep", "n", F.lit(0).alias("pos")))
     for turn in range(PIVOT_TURNS + 1):
-        label = components(links).withColumnRenamed("vertex", "rep")
+        label = roots(links).withColumnRenamed("vertex", "rep")
         entry = held.join(label, "rep", "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("component"))
         mixed = entry.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("token")
         held = saved(entry.join(mixed, "token"))  # a bucket within one component is done
@@ -242,7 +242,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # rows of equal doc_id with different sets are one vertex
     many = members.groupBy("doc_id").agg(F.min("rep").alias("r1"), F.max("rep").alias("r2")).where("r1 < r2").select("doc_id", "r1")
     same = members.join(many, "doc_id").where("rep <> r1").select(F.col("r1").alias("a"), F.col("rep").alias("b"))
-    final = components(links.unionAll(more.select("a", "b")).unionAll(same))
+    final = roots(links.unionAll(more.select("a", "b")).unionAll(same))
     of_doc = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     got = of_doc.join(final.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     return nodes.select("doc_id", "n").join(got, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -90,25 +90,76 @@ def in_bitmap(bitmap_: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
     return (bitmap_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(vertex, component) for every vertex of an edge list; component is the smallest vertex reached.
+BLOCK_EDGES = 1 << 20
 
-    Alternates large-star and small-star steps.  Each step is a partial aggregate (smallest
-    neighbour) and an equi-join that adaptive execution splits when a hub is hot; the edge list is
-    written between rounds and no list reaches the driver.
-    """
-    e = saved(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
-    before = None
+
+def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vertex, smallest vertex reached, whether no edge has the vertex as ``u``) for each vertex of an edge
+    list that reaches a smaller one."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
     while True:
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        e = saved(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        x, y = root[a], root[b]
+        if (x == y).all():
             break
-        before = now
-    return e.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+    below = np.flatnonzero(root != np.arange(len(ids)))
+    loose = np.ones(len(ids), bool)
+    loose[a] = False
+    return ids[below], ids[root[below]], loose[below]
+
+
+def _contracted(edges: DataFrame, whole: bool = False) -> DataFrame:
+    """Blocks of edges (u, v) as stars around each block's smallest vertices.  ``whole``: rows are sorted
+    by u, and no block ends between rows of one u."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            u, v, loose = _stars(u, v)
+            return pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "loose": pa.array(loose)})
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += batch.num_rows
+            if n >= BLOCK_EDGES:
+                u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = np.searchsorted(u, u[-1]) if whole else n
+                if cut:
+                    yield flush(u[:cut], v[:cut])
+                held, n = [(u[cut:], v[cut:])], n - cut
+        if n:
+            yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long, loose boolean")
+
+
+def roots(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(vertex, component) for every vertex of an edge list that reaches a smaller one; component is the
+    smallest vertex reached.
+
+    Every round contracts blocks of edges to stars, lets each vertex's rows meet (one a block at most, so
+    none is hot) and links its parents there, and then points each vertex at its parent's parent by an
+    equi-join that adaptive execution splits when a hub is hot.  The edge list is a star forest once all
+    rows of a vertex are where they meet and no parent has a parent.  A round has three shuffles in two
+    short plans, as the driver keeps plans and tasks of each; the edge list is written in between and no
+    list reaches the driver.
+    """
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v")
+    while True:
+        met = saved(_contracted(_contracted(e).repartition("u").sortWithinPartitions("u"), whole=True))
+        low = met.groupBy(F.col("u").alias("parent")).agg(F.min("v").alias("low"))
+        e = met.join(low, F.col("v") == F.col("parent"), "left")
+        e = saved(e.select("u", F.coalesce("low", "v").alias("v"), (F.col("loose") | F.col("low").isNotNull()).alias("open")))
+        if e.where("open").isEmpty():
+            return e.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
+
 
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(vertex, component) for every vertex that has an edge to another one, as ``roots`` with the smallest vertices."""
+    e = roots(edges, a, b)
+    return e.unionAll(e.select(F.col("component").alias("vertex"), "component").distinct())
