@@ -18,6 +18,9 @@ the sums back in the same order.  Random numbers depend on shard and sweep alone
 a later job replays the sweeps from the table counts instead of storing seatings.  Only sums over all shards
 reach the driver.
 
+A task holds one block's tokens, or one shard's pairs, in few arrays of their length: what is sorted is ranked in
+32 bits, read messages go as soon as their arrays are there, and sweeps follow each other without being kept.
+
 Hot tokens, those with more than ``1 / (HOT_PER_SHARD * shards)`` of the tokens of a sample of texts, have their pairs
 dealt over all shards by context.  Their customers and tables at the parent are summed over the shards and seated on
 the driver (at most ``HOT_PER_SHARD * shards`` tokens).  Which tokens these are changes the work, not the model.
@@ -43,6 +46,7 @@ SWEEPS, SAMPLES = 3, 2
 EXACT_SEATS = 256
 STRENGTH = 1.0
 BLOCK_TOKENS = 2 << 20
+SENT_BYTES = 4 << 20
 MIN_SHARDS, SHARD_BYTES = 48, 1 << 24
 CONTEXT_BYTES = 6
 HOT_PER_SHARD, HOT_SAMPLE = 4, 32
@@ -85,6 +89,25 @@ def _heads(*sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _numbers(head: np.ndarray, n: int) -> np.ndarray:
+    """The number of the run that each of ``n`` places is in."""
+    out = np.zeros(n, np.int32)
+    out[head[1:]] = 1
+    return np.cumsum(out, out=out)
+
+
+def _ranks(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and the place of each value among them.  Empties the list."""
+    x = np.concatenate(parts)
+    parts.clear()
+    order = np.argsort(x)
+    x = x[order]
+    head = _heads(x)
+    rank = np.empty(len(x), np.int32)
+    rank[order] = _numbers(head, len(x))
+    return x[head], rank
+
+
 def _thin(x: np.ndarray, size: int) -> bytes:
     """The low bytes of each number."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
@@ -111,14 +134,20 @@ def _counts(blob: bytes) -> np.ndarray:
     return out
 
 
+def _narrow(parts: list[np.ndarray]) -> np.ndarray:
+    """Counts in a row, in 32 bits if they fit."""
+    return np.concatenate(parts, dtype=np.int32 if all(x.max(initial=0) < 2**31 for x in parts) else np.int64, casting="unsafe")
+
+
 def _seat(c: np.ndarray, mass: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables after ``c`` customers of one dish took seats; ``mass`` is the weight of opening a table."""
     t = np.minimum(c, 1).astype(np.float64)
-    order = np.argsort(-c, kind="stable")
+    order = np.flatnonzero(c > 1)  # most dishes have one customer, who is seated
+    order = order[np.argsort(-c[order], kind="stable")]
     c_, t_, m_ = c[order], t[order], mass[order]
-    seated = 1
+    less, seated = -c_, 1
     while True:
-        n = int(np.searchsorted(-c_, -seated, side="left"))  # dishes with more customers than seated
+        n = int(np.searchsorted(less, -seated, side="left"))  # dishes with more customers than seated
         if not n:
             break
         group = 1 if seated < EXACT_SEATS else seated // 16
@@ -142,7 +171,7 @@ class Shard:
         self.context = (key & _SLOT).astype(np.int64) if context is None else context
         head = _heads(token)
         self.head, self.token = head, token[head]
-        self.of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(key))))
+        self.of = np.repeat(np.arange(len(head), dtype=np.int32), np.diff(np.append(head, len(key))))
         self.total = np.add.reduceat(count, head) if len(head) else np.zeros(0, np.int64)
         hot = np.zeros(0, np.uint64) if hot is None else hot
         self.is_hot = np.isin(self.token, hot)  # tokens of which other shards have pairs, too
@@ -166,17 +195,25 @@ class Shard:
 
     def replay(self, g: dict, sweeps: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(tables by (token, context), the parent's customers and tables by token) after each sweep."""
-        t, own, out = np.minimum(self.count, 1).astype(float), np.minimum(self.total, 1).astype(float), []
+        return list(self.steps(g, sweeps))
+
+    def steps(self, g: dict, sweeps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """What ``replay`` lists, one sweep at a time."""
+        t, own = np.minimum(self.count, 1).astype(float), np.minimum(self.total, 1).astype(float)
         n = self._by_token(t)
         for s in range(sweeps):
             before = g["history"][s]
             p = self.parent(self.whole(n, before.get("hot_customers")), self.whole(own, before.get("hot_tables")), before, g)
             rng = np.random.Generator(np.random.PCG64([11, self.number, s]))
-            t = _seat(self.count, (STRENGTH + g["d1"] * before["tables"][self.context]) * p[self.of], g["d1"], rng)
+            del t
+            mass = g["d1"] * before["tables"][self.context]
+            mass += STRENGTH
+            mass *= p[self.of]
+            t = _seat(self.count, mass, g["d1"], rng)
+            del mass
             n = self._by_token(t)
             own = _seat(n.astype(np.int64), np.full(len(n), (STRENGTH + g["d0"] * before["parent_tables"]) / (g["V"] + 1)), g["d0"], rng)
-            out.append((t, n, own))
-        return out
+            yield t, n, own
 
     def _by_token(self, t: np.ndarray) -> np.ndarray:
         return np.add.reduceat(t, self.head) if len(self.head) else np.zeros(0)
@@ -186,29 +223,37 @@ class Shard:
         return (n - g["d0"] * own + (STRENGTH + g["d0"] * state["parent_tables"]) / (g["V"] + 1)) / (STRENGTH + state["parent_customers"])
 
 
-def _read(items: Iterator[tuple]) -> dict[str, list]:
-    """The messages of a partition by kind."""
-    out: dict[str, list] = {k: [] for k in ("pairs", "docs", "tables", "sums", "scores", "total")}
+def _read(items: Iterator[tuple], *kinds: str) -> dict[str, list]:
+    """The messages of these kinds of a partition."""
+    out: dict[str, list] = {k: [] for k in kinds}
     for _, message in items:
-        out[message[0]].append(message[1:])
+        if message[0] in out:
+            out[message[0]].append(message[1:])
     return out
 
 
 class _Pairs:
-    """A token shard from the messages of all blocks, with its contexts in order."""
+    """A token shard from the messages of all blocks, with its contexts in order.  Takes contexts and counts out of
+    the messages."""
 
     def __init__(self, messages: list[tuple], number: int, n: int, hot: np.ndarray):
         token = np.concatenate([np.repeat(np.frombuffer(m[2], np.uint64), np.frombuffer(m[3], np.uint32)) for m in messages])
         context = np.concatenate([_wide(m[4], CONTEXT_BYTES) for m in messages])
         count = np.concatenate([_counts(m[5]) for m in messages])
+        messages[:] = [m[:4] for m in messages]
         order = np.lexsort((context, token))
-        token, context, count = token[order], context[order], count[order]
+        token = token[order]
+        context = context[order]
+        count = count[order]
         head = _heads(token, context)
-        self.key, self.by = token[head], context[head]
-        self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
-        self.contexts, at = np.unique(self.by, return_inverse=True)
-        self.shard = Shard(self.key, np.add.reduceat(count, head), number, at, hot)
+        self.place = np.empty(len(order), np.int32)
+        self.place[order] = _numbers(head, len(order))
+        del order
+        count = np.add.reduceat(count, head)
+        token = token[head]
+        self.contexts, at = _ranks([context[head]])
+        del context, head
+        self.shard = Shard(token, count, number, at, hot)
         self.spans = list(_spans(_part(self.contexts >> np.uint64(8 * CONTEXT_BYTES - 32), n)))
 
     def state(self, g: dict, got: list[tuple]) -> dict:
@@ -216,7 +261,8 @@ class _Pairs:
         lists = {}
         for sweep in {m[0] for m in got}:
             parts = {m[1]: m for m in got if m[0] == sweep}
-            lists[sweep] = [np.concatenate([_counts(parts[c][k]) for c, _ in self.spans]) for k in (2, 3) if parts[self.spans[0][0]][k] is not None]
+            lists[sweep] = [_narrow([_counts(parts[c][k]) for c, _ in self.spans]) for k in (2, 3) if parts[self.spans[0][0]][k] is not None]
+        got.clear()
         return g | {"customers": lists[0][1], "history": [h | {"tables": lists[s][0]} for s, h in enumerate(g["history"])]}
 
 
@@ -246,37 +292,66 @@ def _hot(rows: DataFrame, n: int) -> np.ndarray:
     return np.sort(hot)
 
 
+def _pairs(tokens: list[np.ndarray], learned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The place of each token's pair among the distinct pairs, and their tokens, contexts and counts of ``learned``.
+
+    ``tokens``: those of whole texts, each with its end; the list is emptied.
+    """
+    known, rank = _ranks(tokens)
+    pair = rank.astype(np.int64)
+    pair <<= 32
+    pair[0] |= np.searchsorted(known, _END)
+    pair[1:] |= rank[:-1]
+    del rank
+    order = np.argsort(pair)
+    pair = pair[order]
+    head = _heads(pair)
+    count = np.add.reduceat(learned[order], head, dtype=np.int32)
+    place = np.empty(len(order), np.int32)
+    place[order] = _numbers(head, len(order))
+    del order
+    pair = pair[head]
+    return place, known[pair >> 32], _context(known[pair & 0xFFFFFFFF]), count
+
+
 def _blocks(rows: DataFrame, n: int, hot: np.ndarray) -> RDD:
     """Messages of blocks of documents: pairs to token shards, the documents themselves to the block's partition."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, blocks = TaskContext.get().partitionId(), 0
 
-        def flush(held: list[tuple]) -> pa.RecordBatch:
+        def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
             nonlocal blocks
             block, home = task << 24 | blocks, (task * 7919 + blocks) % n
             blocks += 1
-            token, before, size, ids, out_, valid = (np.concatenate([h[k] for h in held]) for k in range(6))
-            known, rank = np.unique(np.concatenate((token, before)), return_inverse=True)
-            pair = rank[: len(token)].astype(np.int64) << 32 | rank[len(token) :]
-            order = np.argsort(pair, kind="stable")
-            head = _heads(pair[order])
-            place = np.empty(len(order), np.int64)
-            place[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
-            count = np.add.reduceat(np.repeat(out_ == 0, size)[order].astype(np.int64), head)
-            token, context = known[pair[order[head]] >> 32], _context(known[pair[order[head]] & 0xFFFFFFFF])
+            size, ids, out_, valid = (np.concatenate([h[k] for h in held]) for k in range(1, 5))
+            tokens = [h[0] for h in held]
+            held.clear()
+            place, token, context, count = _pairs(tokens, np.repeat(out_ == 0, size))
             shard = _part(np.where(np.isin(token, hot), context >> np.uint64(8 * CONTEXT_BYTES - 32), token >> np.uint64(32)), n)
             order = np.argsort(shard, kind="stable")
-            moved = np.empty(len(order), np.int64)
-            moved[order] = np.arange(len(order))
-            place, token, context, count, shard, out = moved[place], token[order], context[order], count[order], shard[order], []
+            moved = np.empty(len(order), np.int32)
+            moved[order] = np.arange(len(order), dtype=np.int32)
+            place = moved[place]
+            del moved
+            token = token[order]
+            context = context[order]
+            count = count[order]
+            shard = shard[order]
+            del order
+            width = 3 if len(token) < 1 << 24 else 8
+            out = [{"to": home, "kind": "docs", "block": block, "home": width, "a": _thin(place, width), "b": size.astype(np.uint64).tobytes(), "c": ids.tobytes(), "d": (out_ | valid << 1).astype(np.uint8).tobytes()}]
+            del place
+            held_bytes = len(out[0]["a"])
             for s, at in _spans(shard):
+                if held_bytes >= SENT_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, arrow)
+                    out, held_bytes = [], 0
                 first = _heads(token[at])
                 one = (token[at][first].tobytes(), np.diff(np.append(first, at.stop - at.start)).astype(np.uint32).tobytes(), _thin(context[at], CONTEXT_BYTES), _small(count[at]))
                 out.append({"to": s, "kind": "pairs", "block": block, "home": home, "a": one[0], "b": one[1], "c": one[2], "d": one[3]})
-            width = 3 if len(head) < 1 << 24 else 8
-            out.append({"to": home, "kind": "docs", "block": block, "home": width, "a": _thin(place, width), "b": size.astype(np.uint64).tobytes(), "c": ids.tobytes(), "d": (out_ | valid << 1).astype(np.uint8).tobytes()})
-            return pa.RecordBatch.from_pylist(out, arrow)
+                held_bytes += sum(map(len, one))
+            yield pa.RecordBatch.from_pylist(out, arrow)
 
         held, n_tokens = [], 0
         for batch in batches:
@@ -284,15 +359,15 @@ def _blocks(rows: DataFrame, n: int, hot: np.ndarray) -> RDD:
             valid = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
             ids = ids.fill_null(0).to_numpy()
             out_ = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
-            for at, bounds, token, before in _tokens(batch.column(2)):
+            for at, bounds, token, _ in _tokens(batch.column(2)):
                 part = slice(at, at + len(bounds) - 1)
-                held.append((token, before, np.diff(bounds), ids[part], out_[part], valid[part]))
+                held.append((token, np.diff(bounds), ids[part], out_[part], valid[part]))
                 n_tokens += len(token)
                 if n_tokens >= BLOCK_TOKENS:
-                    yield flush(held)
-                    held, n_tokens = [], 0
+                    yield from flush(held)
+                    n_tokens = 0
         if n_tokens:
-            yield flush(held)
+            yield from flush(held)
 
     arrow = pa.schema([("to", pa.int64()), ("kind", pa.string()), ("block", pa.int64()), ("home", pa.int64()), *((c, pa.binary()) for c in "abcd")])
     sent = rows.mapInArrow(scan, "to long, kind string, block long, home long, a binary, b binary, c binary, d binary")
@@ -319,7 +394,7 @@ def scores(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "tex
         """Sends tables by context after ``s`` sweeps, with sums over the shard; before the first also keys and customers."""
 
         def run(number: int, items: Iterator[tuple]) -> Iterator[tuple]:
-            got = _read(items)
+            got = _read(items, "pairs", "tables")
             if not got["pairs"]:
                 return
             own = _Pairs(got["pairs"], number, n, hot)
@@ -330,7 +405,8 @@ def scores(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "tex
                 total = np.concatenate((total, x.part(x.total), x.part(np.add.reduceat(x.count > 0, x.head, dtype=float))))
                 by = (by["tables"].astype(np.int64), by["customers"].astype(np.int64))
             else:
-                t, customers, tables = x.replay(own.state(g, got["tables"]), s)[-1]
+                for t, customers, tables in x.steps(own.state(g, got["tables"]), s):  # noqa: B007
+                    pass
                 by, total = (np.bincount(x.context, t).astype(np.int64), None), np.concatenate(([customers.sum(), tables[~x.is_hot].sum()], x.part(customers)))
             yield number, ("total", s, total)
             for c, at in own.spans:
@@ -342,7 +418,7 @@ def scores(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "tex
         """Adds tables, before the first sweep also customers, by context and sends them back."""
 
         def run(number: int, items: Iterator[tuple]) -> Iterator[tuple]:
-            got = _read(items)
+            got = _read(items, "sums", "total")
             for sweep_, total in got["total"]:
                 if sweep_ == s:
                     yield -1, ("total", total)
@@ -382,15 +458,23 @@ def scores(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "tex
 
     def score(number: int, items: Iterator[tuple]) -> Iterator[tuple]:
         """Log10 probabilities of the pairs of each block, in its order, and training counts of its tokens."""
-        got = _read(items)
+        got = _read(items, "pairs", "tables")
         if not got["pairs"]:
             return
         own = _Pairs(got["pairs"], number, n, hot)
         x, here = own.shard, own.state(g, got["tables"])
         p = np.zeros(len(x.count))
-        for (t, customers, tables), state in list(zip(x.replay(here, SWEEPS), here["history"][1:], strict=True))[-SAMPLES:]:
-            up = x.parent(x.whole(customers, state["hot_customers"]), x.whole(tables, state["hot_tables"]), state, here)[x.of]
-            p += (x.count - g["d1"] * t + (STRENGTH + g["d1"] * state["tables"][x.context]) * up) / (STRENGTH + here["customers"][x.context])
+        for k, ((t, customers, tables), state) in enumerate(zip(x.steps(here, SWEEPS), here["history"][1:], strict=True)):
+            if k < SWEEPS - SAMPLES:
+                continue
+            up = x.parent(x.whole(customers, state["hot_customers"]), x.whole(tables, state["hot_tables"]), state, here)
+            one = g["d1"] * state["tables"][x.context]
+            one += STRENGTH
+            one *= up[x.of]
+            one += x.count - g["d1"] * t
+            one /= STRENGTH + here["customers"][x.context]
+            p += one
+            del one
         in_training = x.whole(x.total, hot_total.astype(np.int64))
         p = np.log10(p / SAMPLES).astype(np.float32)
         lo = 0
@@ -402,7 +486,7 @@ def scores(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "tex
 
     def add_up(items: Iterator[tuple]) -> Iterator[tuple]:
         """Sums by document."""
-        got = _read(items)
+        got = _read(items, "docs", "scores")
         for block, width, place, size, ids, marks in got["docs"]:
             parts = sorted((m for m in got["scores"] if m[0] == block), key=lambda m: m[1])
             total = np.concatenate([np.repeat(_counts(m[3]), np.frombuffer(m[4], np.uint32)) for m in parts])
