@@ -49,3 +49,9 @@ def test_terms_of_few_documents_are_among_the_best(spark, no_rows):
     no_rows()
     assert kept(kw.corpus_keywords(df, "doc_id", "text", 4, stop_words=[]), "term", "score") == want
     assert len(want) == 4
+
+
+def test_keyword_document_frequency(docs, no_rows):
+    want = kept(kw.keyword_document_frequency(kw.document_keywords(docs, "doc_id", "text", 3, terms=by_rows(docs, ["of"]))), "term", "documents")
+    no_rows()
+    assert kept(kw.keyword_document_frequency(kw.document_keywords(docs, "doc_id", "text", 3, stop_words=["of"])), "term", "documents") == want != []
