@@ -1,6 +1,7 @@
 """TF-IDF by blocks of documents gives what counting by term gives, without a row for each document and term."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tapewire.operators import keywords as kw
 from tapewire.operators import term_blocks
@@ -55,3 +56,11 @@ def test_keyword_document_frequency(docs, no_rows):
     want = kept(kw.keyword_document_frequency(kw.document_keywords(docs, "doc_id", "text", 3, terms=by_rows(docs, ["of"]))), "term", "documents")
     no_rows()
     assert kept(kw.keyword_document_frequency(kw.document_keywords(docs, "doc_id", "text", 3, stop_words=["of"])), "term", "documents") == want != []
+
+
+def test_tfidf_weights(docs, no_rows):
+    want = kept(kw.tfidf_weights(docs, "doc_id", "text", ["of"], max_df=1.0, terms=by_rows(docs, ["of"])), "doc_id", "term", "weight")
+    no_rows()
+    got = kw.tfidf_weights(docs, "doc_id", "text", ["of"], max_df=1.0)
+    assert kept(got, "doc_id", "term", "weight") == want != []
+    assert not [x for x in ("Window", "collect_list", "Generate") if x in got._jdf.queryExecution().optimizedPlan().toString()]
