@@ -64,3 +64,10 @@ def test_tfidf_weights(docs, no_rows):
     got = kw.tfidf_weights(docs, "doc_id", "text", ["of"], max_df=1.0)
     assert kept(got, "doc_id", "term", "weight") == want != []
     assert not [x for x in ("Window", "collect_list", "Generate") if x in got._jdf.queryExecution().optimizedPlan().toString()]
+
+
+def test_top_terms(docs, no_rows):
+    weights = kw.tfidf_weights(docs, "doc_id", "text", ["of"], terms=by_rows(docs, ["of"]))
+    want = kept(kw.top_meaningful(weights.groupBy("term").agg(F.round(F.sum("weight"), 6).alias("score")), 3), "term", "score")
+    no_rows()
+    assert kept(kw.top_terms(docs, "doc_id", "text", 3, lambda total: F.round(total, 6), ["of"]), "term", "score") == want != []
