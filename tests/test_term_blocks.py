@@ -71,3 +71,10 @@ def test_top_terms(docs, no_rows):
     want = kept(kw.top_meaningful(weights.groupBy("term").agg(F.round(F.sum("weight"), 6).alias("score")), 3), "term", "score")
     no_rows()
     assert kept(kw.top_terms(docs, "doc_id", "text", 3, lambda total: F.round(total, 6), ["of"]), "term", "score") == want != []
+
+
+def test_document_keywords(docs, no_rows):
+    cols = ("doc_id", "term", "weight", "rank")
+    want = kept(kw.document_keywords(docs, "doc_id", "text", 2, 0.4, terms=by_rows(docs, ["of"])), *cols)
+    no_rows()
+    assert kept(kw.document_keywords(docs, "doc_id", "text", 2, 0.4, stop_words=["of"]), *cols) == want != []
